@@ -66,18 +66,19 @@ class Scratch:
         self._path(path, lambda fs, p: fs.delete(p, True))
 
 
-def attach(df: DataFrame, small: DataFrame, on: list[str], how: str = "left", rows: int = SMALL_ROWS) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "left", rows: int = SMALL_ROWS) -> DataFrame:
     """Join df to a side with unique keys, whatever its size and however hot a key of df is.
 
     The side is counted first: up to ``rows`` rows it is broadcast; beyond
-    that it is copied SALTS times and df's rows spread over the copies, so a
-    key with a third of df's rows meets SALTS tasks instead of one.
+    that it is copied SALTS times and df's rows are spread over the copies by
+    a hash of column ``spread``, so a key with a third of df's rows meets
+    SALTS tasks instead of one.
     """
     if small.limit(rows + 1).count() <= rows:
         return df.join(F.broadcast(small), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if dict(df.dtypes)[c] in ("bigint", "int", "string") and c not in on][:2] or [F.rand()]), F.lit(SALTS))
-    copies = small.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(SALTS)])))
-    return df.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def words_of(text: Column) -> Column:

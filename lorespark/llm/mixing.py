@@ -68,7 +68,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCH
     table = rates(docs, weights, epochs)
     cdfs = table.select(F.col("source").alias("_source"), F.when(F.col("rate") > 700, F.raise_error(F.lit("rate over 700"))).otherwise(_cdf(F.col("rate"))).alias("_cdf"))
     drawn = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_u": _uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))})
-    counted = attach(drawn, cdfs, ["_source"], "inner").withColumn("copies", F.expr("size(filter(_cdf, c -> c <= _u))"))
+    counted = attach(drawn, cdfs, ["_source"], "doc_id", "inner").withColumn("copies", F.expr("size(filter(_cdf, c -> c <= _u))"))
     copies = counted.filter("copies > 0").drop("_source", "_u", "_cdf").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col("doc_id"), F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns, "copy", "copies", "shuffle_key")

@@ -105,7 +105,7 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
 
 def verdict(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """scored with base_failed, kept and the cutoffs of its stratum (null: rule not used there)."""
-    ruled = attach(scored, cuts, ["stratum"])
+    ruled = attach(scored, cuts, ["stratum"], "doc_id")
     rejected = F.lit(False)
     for r in RULES:
         rejected = rejected | F.coalesce(F.expr(_over(r, f"cut_{r}")), F.lit(False))
@@ -148,7 +148,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    report = quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    used = F.concat_ws(" ", *[F.format_string(f"{r}=%s", F.coalesce(F.col(f"cut_{r}").cast("string"), F.lit("-"))) for r in RULES])
+    return report.withColumn("cutoffs", used).drop(*[f"cut_{r}" for r in RULES])
 
 
 def _sql() -> str:
@@ -157,6 +159,7 @@ def _sql() -> str:
         f"SELECT stratum, '{r}' AS rule, {k} AS step, {c} AS cutoff, count(*) AS n, count(*) FILTER (WHERE {_over(r, str(c))}) AS k FROM seen GROUP BY stratum" for r, (_, _, ladder) in RULES.items() for k, c in enumerate(ladder)
     )
     cuts = ", ".join(f"max(CASE WHEN rule = '{r}' THEN cutoff END) AS cut_{r}" for r in RULES)
+    used = ", ".join(f"'{r}=' || coalesce(cut_{r}::VARCHAR, '-')" for r in RULES)
     over = " OR ".join(f"coalesce({_over(r, f'cut_{r}')}, false)" for r in RULES)
     return rf"""
 WITH w AS (
@@ -190,7 +193,7 @@ cuts AS (
     FROM judged j JOIN bad ON j.stratum = bad.stratum AND j.rule = bad.rule GROUP BY j.stratum, j.rule)
   GROUP BY stratum)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({over}) AS kept, b.stratum, {", ".join(f"cut_{r}" for r in RULES)}
+       NOT base_failed AND NOT ({over}) AS kept, b.stratum, concat_ws(' ', {used}) AS cutoffs
 FROM b LEFT JOIN cuts ON b.stratum = cuts.stratum
 """
 
