@@ -3,8 +3,10 @@
 from lorespark.llm.bpe import op4_bpe
 from lorespark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from lorespark.llm.mixing import OP5_SQL, op5_mix_sources
+from lorespark.llm.near_dedup import op3_near_dedup
 from lorespark.llm.quality import OP7_SQL, op7_quality_rules
 from lorespark.llm.sharding import op8_sharding
+from lorespark.llm.substring import op6_substring_dedup
 from lorespark.llm.token_counts import op2_token_counts
 from lorespark.llm.url_filter import OP1_SQL, op1_url_filters
 from lorespark.llm.warc import OP9_SQL, op9_warc
@@ -12,12 +14,19 @@ from lorespark.llm.warc import OP9_SQL, op9_warc
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_token_counts": op2_token_counts,
-    "op5_mix_sources": op5_mix_sources,
+    "op3_near_dedup": op3_near_dedup,
     "op4_bpe": op4_bpe,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
     "op10_exact_dedup": op10_exact_dedup,
 }
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op9_warc": OP9_SQL, "op5_mix_sources": OP5_SQL, "op4_bpe": op4_bpe,
-    "op7_quality_rules": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+ORACLE_SQL = {
+    "op1_url_filters": OP1_SQL,
+    "op5_mix_sources": OP5_SQL,
+    "op7_quality_rules": OP7_SQL,
+    "op9_warc": OP9_SQL,
+    "op10_exact_dedup": OP10_SQL,
+}
