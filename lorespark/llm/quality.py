@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, attach, documents, words_of
+from lorespark.llm.common import SMALL_ROWS, Scratch, attach, documents, words_of
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -103,13 +103,18 @@ def cutoffs(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     return taken.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
+def rejected() -> Column:
+    """Whether any rule of the row's stratum rejects it."""
+    out = F.lit(False)
+    for r in RULES:
+        out = out | F.coalesce(F.expr(_over(r, f"cut_{r}")), F.lit(False))
+    return out
+
+
 def verdict(scored: DataFrame, cuts: DataFrame) -> DataFrame:
     """scored with base_failed, kept and the cutoffs of its stratum (null: rule not used there)."""
     ruled = attach(scored, cuts, ["stratum"], "doc_id")
-    rejected = F.lit(False)
-    for r in RULES:
-        rejected = rejected | F.coalesce(F.expr(_over(r, f"cut_{r}")), F.lit(False))
-    return ruled.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return ruled.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected())
 
 
 def stratum_of(docs: DataFrame) -> Column:
@@ -135,16 +140,22 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """The documents that the rules keep, with their columns unchanged.
 
-    The statistics are computed beside the text, so no text is shuffled: once
-    for the labelled documents to find the cutoffs, once for all to filter.
+    The statistics are computed beside the text, so no text is shuffled: for
+    the labelled good documents to find the cutoffs, then for all to filter.
     """
-    slim = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"))
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    few = good.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     scratch = Scratch(docs.sparkSession, "quality")
-    cuts = scratch.write(cutoffs(features(slim).drop("text"), labels, risk), "cutoffs")
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    hidden = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"), *[F.col(c).alias(n) for c, n in names.items()])
-    kept = verdict(features(hidden), cuts).filter("kept")
-    return kept.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
+    slim = docs.select("doc_id", "text", stratum_of(docs).alias("stratum")).join(F.broadcast(good) if few else good, "doc_id", "left_semi")
+    scored = scratch.write(features(slim).drop("text"), "features")
+    # The base limits come from the joined side as well: a filter that needs only the statistics would be
+    # pushed below them, and their array expressions evaluated again for every element.
+    cuts = scratch.write(cutoffs(scored, labels, risk).withColumns({"_least": F.lit(10), "_most": F.lit(20)}), "cutoffs")
+    hidden = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"), *[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)])
+    ruled = attach(features(hidden), cuts, ["stratum"], "doc_id")
+    failed = (F.col("n_words") < F.coalesce("_least", F.lit(10))) | (100 * F.col("n_repeat_words") > F.coalesce("_most", F.lit(20)) * F.col("n_words"))
+    # coalesce keeps Spark from inferring "is not null" filters on the statistics and pushing those down.
+    return ruled.filter(F.coalesce(~(failed | rejected()), F.lit(False))).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
