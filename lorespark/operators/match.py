@@ -15,14 +15,15 @@ FUZZY, FUZZY_LOW, PHONETIC, PHONETIC_LOW = 0.7, 0.6, 0.5, 0.4
 def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float) -> DataFrame:
     """Pairs (term, candidate) of Dice similarity of at least ``least`` > 0, with column score.
 
-    Candidate pairs share a bigram; names below two characters are matched
-    whole. Both sides are taken distinct first, so a hot name is scored once;
+    Candidate pairs share a bigram, or, where a single character can be
+    contained in a name short enough for the threshold, a character. Both sides are taken distinct first, so a hot name is scored once;
     pairs are cut to those that share enough bigrams for the threshold before
     anything is scored.
     """
     t = terms.select(term).distinct().withColumn("_t", bare(F.col(term))).withColumn("_tg", bigrams(F.col("_t")))
     c = candidates.select(name).distinct().withColumn("_c", bare(F.col(name))).withColumn("_cg", bigrams(F.col("_c")))
-    blocks = lambda grams, whole: F.when(F.size(grams) > 0, grams).otherwise(F.array(whole))
+    letters = lambda x: F.array_distinct(F.split(x, "(?<=.)(?=.)"))
+    blocks = lambda grams, x: F.when(F.length(x) <= 1.0 / least, F.concat(grams, letters(x))).when(F.length(x) < 2, F.array(x)).otherwise(grams)
     tb = t.select(term, F.size("_tg").alias("_nt"), F.explode(blocks(F.col("_tg"), F.col("_t"))).alias("_g"))
     cb = c.select(name, F.size("_cg").alias("_nc"), F.explode(blocks(F.col("_cg"), F.col("_c"))).alias("_g"))
     met = tb.join(cb, "_g").groupBy(term, name).agg(F.count(F.lit(1)).alias("_s"), F.first("_nt").alias("_nt"), F.first("_nc").alias("_nc"))

@@ -24,7 +24,7 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def headed_sections(pages: DataFrame, levels: str = "1-6", least: int = 0) -> DataFrame:
     """(page_id, at, level, title, body): the text from each heading to the next."""
-    parts = F.slice(F.split("html", rf"(?i)(?=<h[{levels}][ >])"), 2, 100_000)
+    parts = F.filter(F.split("html", rf"(?i)(?=<h[{levels}][ >])"), lambda x: x.rlike(rf"(?i)^<h[{levels}][ >]"))
     each = pages.select("page_id", F.posexplode(parts).alias("at", "part"))
     head = rf"(?is)^<h([{levels}])[^>]*>(.*?)</h[{levels}]>"
     title = clean(F.regexp_replace(F.regexp_extract("part", head, 2), "<[^>]+>", ""))
