@@ -129,9 +129,14 @@ class Span:
         return {(int(self.starts[i]), int(self.ends[i]), int(self.ids[i])): int(i) for i in np.flatnonzero(prev <= self.starts)}
 
 
+def _margin(coder) -> int:
+    """Characters at a window's edge whose tokens may hang on what the window cuts off: a special token, a contraction."""
+    return max([4, *(len(t.content) for t in coder.get_added_tokens_decoder().values())])
+
+
 def join_spans(coder, text: str, left: Span, right: Span) -> Span:
     """The encoding of both spans' text: a window around the join grows until both sides agree with it."""
-    cut, w = left.end, FIRST_WINDOW
+    cut, w, margin = left.end, FIRST_WINDOW, _margin(coder)
     ends, starts = left.tails(), right.heads()
     while True:
         a, b = max(left.begin, cut - w), min(right.end, cut + w)
@@ -140,14 +145,14 @@ def join_spans(coder, text: str, left: Span, right: Span) -> Span:
         if a == left.begin:
             lo = (0, 0)
         else:
-            both = [(i, ends[k]) for k, i in mid.tails().items() if k in ends and k[1] < cut]
+            both = [(i, ends[k]) for k, i in mid.tails().items() if k in ends and a + margin <= k[0] and k[1] < cut]
             if both:
                 i, j = max(both)
                 lo = (j + 1, i + 1)
         if b == right.end:
             hi = (len(mid.ids), len(right.ids))
         else:
-            both = [(i, starts[k]) for k, i in mid.heads().items() if k in starts and k[0] > cut]
+            both = [(i, starts[k]) for k, i in mid.heads().items() if k in starts and k[0] > cut and k[1] + margin <= b]
             if both:
                 hi = min(both)
         if lo and hi and lo[1] <= hi[0]:
