@@ -11,8 +11,9 @@
 4. Only buckets that still hold more than one component go on. Their texts are
    compared signature by signature in blocks of bounded size, pairs across
    components only, each pair in the first band that it shares; those that
-   agree are confirmed on the full sets. So no link is lost to the choice of
-   a bucket's smallest text, and no group of copies is expanded into pairs.
+   agree are confirmed on the full sets inside the block, until what is linked
+   is joined. So no link is lost to the choice of a bucket's smallest text,
+   and no group of copies is expanded into rows of pairs.
 5. Components over all links, by large-star and small-star.
 """
 
@@ -96,7 +97,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(oid, set) of the wanted documents' texts, the set as sorted 64-bit hashes."""
+    """(oid, d1, set) of the wanted documents' texts, the set as sorted 64-bit hashes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -108,7 +109,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     few = wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     texts = _texts(docs).select("oid", "text").join(F.broadcast(wanted) if few else wanted, "oid", "left_semi")
-    return texts.mapInArrow(walk, "oid bigint, d1 bigint, set binary").groupBy("oid", "d1").agg(F.first("set").alias("set")).select("oid", "set")
+    return texts.mapInArrow(walk, "oid bigint, d1 bigint, set binary").groupBy("oid", "d1").agg(F.first("set").alias("set"))
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |x and y| >= percent * |x or y|, for sorted distinct hashes."""
+    few, many = sorted((len(x), len(y)))
+    if 100 * few < percent * many:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (few + many - both)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -132,64 +142,92 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
             sets.setdefault(oid, []).append(np.frombuffer(s, np.uint64))
         keep = []
         for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-            ok = False
-            for x in sets.get(a, []):
-                for y in sets.get(b, []):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok |= 100 * both >= percent * (len(x) + len(y) - both)
-            keep.append(ok)
+            keep.append(any(_linked(x, y, percent) for x in sets.get(a, []) for y in sets.get(b, [])))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.write(placed.groupBy("ba", "bb").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(confirm, "a bigint, b bigint"), name)
 
 
-def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, least: float) -> DataFrame:
-    """Pairs of step 4: alike by signature, of one bucket, of different components.
+def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame, n: int, percent: int, least: float, scratch: Scratch) -> DataFrame:
+    """Links of step 4, enough of them to join what is linked: of one bucket, of different components.
 
-    rows: key, band, rep, n (texts in the bucket).
+    rows: key, band, rep, n (texts in the bucket). The first pass over the
+    blocks keeps the texts that agree with any text of another component; only
+    their full sets are sent to the second pass, which confirms. Both emit at
+    most a row per text and block, however many pairs they compare.
     """
     now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = now.join(open_, "key").join(reps.select("rep", "sig", "n_shingles"), "rep")
+    members = now.join(open_, "key").join(reps, "rep")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
     cast = members.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).withColumns({"bi": F.least("mine", "other"), "bj": F.greatest("mine", "other")})
-    dealt = cast.select("key", "bi", "bj", "mine", "band", "rep", "component", "n_shingles", "sig").repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = "key bigint, bi int, bj int, mine int, band int, rep bigint, d1 bigint, component bigint, sig binary"
+    columns = [c.split()[0] for c in shape.split(", ")]
+    dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+
+    def alike(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text's index with those behind it that agree with it and first do so in this band."""
+        comp, mine = group["component"].to_numpy(), group["mine"].to_numpy()
+        sign = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
+        band, cross = group["band"][0].as_py(), group["bi"][0].as_py() != group["bj"][0].as_py()
+        for i in range(len(comp) - 1):
+            ok = comp[i + 1 :] != comp[i]
+            if cross:
+                ok &= mine[i + 1 :] != mine[i]
+            j = np.flatnonzero(ok) + i + 1
+            if len(j):
+                same = sign[j] == sign[i]
+                close = same.mean(axis=1) >= least
+                first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+                yield i, j[close][first == band]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_in_order(batches, ["key", "bi", "bj"]):
+            active = np.zeros(group.num_rows, bool)
+            for i, j in alike(group):
+                active[j] = True
+                active[i] |= len(j) > 0
+            if active.any():
+                yield from group.filter(pa.array(active)).to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, ["key", "bi", "bj"]):
-            rep, comp, mine, size = (group[c].to_numpy() for c in ("rep", "component", "mine", "n_shingles"))
-            sign = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-            band, cross = group["band"][0].as_py(), group["bi"][0].as_py() != group["bj"][0].as_py()
-            a, b = [], []
-            for i in range(len(rep) - 1):
-                ok = comp[i + 1 :] != comp[i]
-                if cross:
-                    ok &= mine[i + 1 :] != mine[i]
-                j = np.flatnonzero(ok) + i + 1
-                j = j[(sign[j] == sign[i]).mean(axis=1) >= least] if len(j) else j
-                j = j[(size[j] >= 0.5 * size[i]) & (size[j] <= 2 * size[i])]
-                if len(j):
-                    first = (sign[j] == sign[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                    j = j[first == band]
-                    a.append(np.minimum(rep[i], rep[j]))
-                    b.append(np.maximum(rep[i], rep[j]))
-            if a:
-                yield pa.record_batch({"a": pa.array(np.concatenate(a)), "b": pa.array(np.concatenate(b))})
-
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+            rep, comp = group["rep"].to_pylist(), group["component"].to_pylist()
+            sets = [np.frombuffer(s, np.uint64) for s in group["set"].to_pylist()]
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            links = []
+            for i, others in alike(group):
+                for j in others.tolist():
+                    a, b = root(comp[i]), root(comp[j])
+                    if a == b or not _linked(sets[i], sets[j], percent):
+                        continue
+                    up[a] = b
+                    links.append((rep[i], rep[j]))
+            if links:
+                yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    active = scratch.write(dealt(cast).mapInArrow(find, shape), "active")
+    ids = scratch.write(active.select(F.col("rep").alias("oid")).distinct(), "active_ids")
+    sets = _sets(docs, ids, n).withColumnRenamed("oid", "rep")
+    return scratch.write(dealt(active.join(sets, ["rep", "d1"]), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, n_links.
+    """One row per document: doc_id, n_shingles, component_id, kept.
 
     Words are those of the whole text with A-Z in lower case, between ASCII
     white space. Documents are linked when 100 * intersection >= percent *
     union of their sets of shingles. Without words or text a document has no
     shingle and no link. A null doc_id counts as larger than any other and is
     its own component_id (null) unless linked. Rows that share a doc_id are
-    one vertex with all their texts. n_links counts the confirmed links of the
-    document's text to different texts (copies are not expanded).
+    one vertex with all their texts.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
     least = percent / 100 - SLACK * (0.16 / HASHES) ** 0.5
@@ -197,7 +235,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     full = told.filter("n_shingles > 0")
     groups = scratch.write(full.groupBy("d1", "d2").agg(F.min("oid").alias("rep"), F.max("oid").alias("last")), "groups")
     reps = full.join(groups.select(F.col("rep").alias("oid"), "d1", "d2"), ["oid", "d1", "d2"]).groupBy(F.col("oid").alias("rep"), "d1").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = scratch.write(reps.drop("d1"), "reps")
+    reps = scratch.write(reps, "reps")
 
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", 1 + 2 * ROWS * i, 2 * ROWS)).alias("key")) for i in range(BANDS)])
     entries = reps.select("rep", F.explode(bands).alias("e")).select("rep", "e.band", "e.key")
@@ -207,20 +245,18 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     stars = rows.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(_alike(stars, reps, least), docs, shingle_words, percent, scratch, "star_links")
     comp = components(links, scratch, "star_comp")
-    more = _confirmed(_across(rows, reps, comp, least), docs, shingle_words, percent, scratch, "more_links")
+    more = _across(rows, reps, comp, docs, shingle_words, percent, least, scratch)
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links, scratch, "comp")
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of_rep = comp.select(F.col("node").alias("rep"), "component")
-    by_text = groups.join(of_rep, "rep", "left").join(degree, "rep", "left")
+    by_text = groups.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # Only texts with copies or links have anything to say; a text alone is its own component.
-    said = by_text.filter("rep < last or component is not null or n_links is not null").select("d1", "d2", F.coalesce("component", "rep").alias("component"), "n_links")
+    said = by_text.filter("rep < last or component is not null").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     joined = attach(told, said, ["d1", "d2"], "oid")
     comp_id = F.when((F.col("n_shingles") == 0) | F.col("component").isNull(), F.col("oid")).otherwise(F.col("component"))
     kept = comp_id == F.col("oid")
-    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
