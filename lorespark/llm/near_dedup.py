@@ -32,8 +32,8 @@ from lorespark.llm.hashing import WordHashes, digest, mixed, runs
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
-#: Signatures of texts of similarity 0.8 agree in 0.8 of the hashes, standard deviation 0.028; a pair goes on from 4 deviations below.
-SLACK = 4.0
+#: Signatures of texts of similarity 0.8 agree in 0.8 of the hashes, standard deviation 0.028; a pair goes on from 5 deviations below.
+SLACK = 5.0
 #: Texts of a block in step 4, and about so many texts to a block of full sets.
 BLOCK, SET_BLOCK = 1024, 256
 #: Null doc_ids count as larger than any other.
