@@ -69,3 +69,60 @@ def within_budget(rows: DataFrame, by: list[str], order: list[str], length: str,
 def mention_index(mentions: DataFrame, kind: str, canonical: str, ts: str) -> DataFrame:
     """Per name: its distinct whole seconds, how many, and the first."""
     return mentions.groupBy(kind, canonical).agg(F.array_sort(F.collect_set(F.floor(ts).cast("bigint"))).alias("seconds")).select(kind, canonical, "seconds", F.size("seconds").alias("n"), F.element_at("seconds", 1).alias("first_second"))
+
+
+def _lists(replacements: DataFrame, by: str) -> DataFrame:
+    """Per key its replacements, longest original first, one per lower-case original."""
+    once = replacements.groupBy(by, F.lower("original").alias("original")).agg(F.min(F.struct("official", "type")).alias("o"))
+    row = F.struct((-F.length("original")).alias("len"), "original", F.col("o.official").alias("official"), F.col("o.type").alias("type"))
+    return once.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("_r"))
+
+
+def _quoted(c):
+    return F.regexp_replace(c, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")
+
+
+def normalize_text(segments: DataFrame, replacements: DataFrame, by: str) -> DataFrame:
+    """segments with normalized: originals replaced by official names, longest first, in whole words.
+
+    A match that starts with a capital gets the official name with a capital,
+    another one the official name in lower case.
+    """
+    end = "(?![A-Za-z0-9_])"
+
+    def one(acc, x):
+        head, tail = F.substring(x["original"], 1, 1), _quoted(F.substring(x["original"], 2, 1000))
+        upper = F.concat(F.lit("(?<![A-Za-z0-9_])"), _quoted(F.upper(head)), F.lit("(?i:"), tail, F.lit(")" + end))
+        lower = F.concat(F.lit("(?<![A-Za-z0-9_])"), _quoted(head), F.lit("(?i:"), tail, F.lit(")" + end))
+        safe = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
+        capital = F.concat(F.upper(F.substring(x["official"], 1, 1)), F.substring(x["official"], 2, 1000))
+        same = F.upper(head) == head
+        after = F.regexp_replace(acc, upper, safe(capital))
+        return F.when(same, F.regexp_replace(acc, upper, safe(capital))).otherwise(F.regexp_replace(after, lower, safe(F.lower(x["official"]))))
+
+    joined = segments.join(_lists(replacements, by), by, "left")
+    return joined.withColumn("normalized", F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.aggregate("_r", F.col("text"), one))).drop("_r")
+
+
+def tag_text(segments: DataFrame, replacements: DataFrame, by: str) -> DataFrame:
+    """segments with tagged: official names and originals become [TYPE:Official], nothing inside a tag is touched."""
+
+    def one(acc, x):
+        names = F.concat(F.lit("(?i)(?<![A-Za-z0-9_])(?:"), _quoted(x["original"]), F.lit("|"), _quoted(x["official"]), F.lit(r")(?![A-Za-z0-9_])(?![^\[\]]*\])"))
+        return F.regexp_replace(acc, names, F.concat(F.lit("["), F.upper(x["type"]), F.lit(":"), F.regexp_replace(x["official"], r"([\\$])", r"\\$1"), F.lit("]")))
+
+    joined = segments.join(_lists(replacements, by), by, "left")
+    return joined.withColumn("tagged", F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.aggregate("_r", F.col("text"), one))).drop("_r")
+
+
+def alias_variants(names: DataFrame, name: str) -> DataFrame:
+    """(alias, canonical): a name in lower case, its plural or singular, and without a closing squad word."""
+    low = F.lower(F.trim(name))
+    variants = F.array(
+        low,
+        F.when(~low.endswith("s") & (F.length(low) > 5), F.concat(low, F.lit("s"))),
+        F.when(low.endswith("s") & (F.length(low) > 6), F.substring(low, F.lit(1), F.length(low) - 1)),
+        F.when(F.length(F.regexp_replace(low, r"\s+(?:squad|unit|team|band|pack|\[legends\])$", "")) > 5, F.regexp_replace(low, r"\s+(?:squad|unit|team|band|pack|\[legends\])$", "")),
+    )
+    each = names.select(F.col(name).alias("canonical"), F.explode(F.array_distinct(F.filter(variants, lambda x: x.isNotNull()))).alias("alias"))
+    return each.groupBy("alias").agg(F.min("canonical").alias("canonical"))
