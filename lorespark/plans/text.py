@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import phonetic, text
 from lorespark.functions.similarity import dice
-from lorespark.operators import match, transcript
+from lorespark.operators import match, merge, transcript
 from lorespark.plans import Tables, query
 from lorespark.sources import captions, pages
 
@@ -112,7 +112,9 @@ def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.readable(F.col("html")).alias("text"))
 
 
-@query()
+@query("""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS site, regexp_extract_all(html, '\\]\\(([^)\\s]+)\\)', 1) || regexp_extract_all(html, 'href="([^"]+)"', 1) AS l FROM pages),
+          u AS (SELECT page_id, site, unnest(l) AS href, unnest(range(0, len(l))) AS i FROM h), f AS (SELECT page_id, site, href, min(i) AS i FROM u GROUP BY ALL)
+          SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS "at", CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END AS target FROM f""")
 def page_links(t: Tables) -> DataFrame:
     return pages.page_links(t.pages)
 
@@ -157,7 +159,7 @@ def budget_prefix(t: Tables) -> DataFrame:
     return transcript.within_budget(rows, ["conv_id"], ["turn"], "len", 500)
 
 
-@query()
+@query(_DICE.format(names="SELECT r_name AS name FROM region", terms="SELECT n_name AS term FROM nation") + "SELECT term AS n_name, name AS r_name, floor(score * 100 + 0.5) / 100 AS score FROM s JOIN nation ON term = n_name JOIN region ON n_regionkey = r_regionkey AND r_name = name")
 def dice_scores(t: Tables) -> DataFrame:
     n = t.nation
     return n.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name", text.round2(dice(F.col("n_name"), F.col("r_name"))).alias("score"))
@@ -172,3 +174,43 @@ def role_histogram(t: Tables) -> DataFrame:
 def labelled_with_defaults(t: Tables) -> DataFrame:
     c = F.when(F.col("toxic") == 1, "low").when(F.col("quality") == 1, "high").otherwise("medium")
     return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("quality"), c.alias("confidence"))
+
+
+@query("""WITH d AS (SELECT lower(n_name) AS k, n_name AS name, 'nation' AS kind, 1 AS p FROM nation UNION ALL SELECT lower(r_name), r_name, 'region', 0 FROM region UNION ALL SELECT DISTINCT lower(p_type), p_type, 'type', 2 FROM part),
+          t AS (SELECT upper(n_name) AS term FROM nation UNION SELECT lower(r_name) FROM region UNION SELECT p_type FROM part UNION SELECT p_brand FROM part)
+          SELECT term, coalesce(arg_min(kind, (p, name)), 'unknown') AS kind, arg_min(name, (p, name)) AS canonical FROM t LEFT JOIN d ON lower(term) = k GROUP BY term""")
+def categorize_terms(t: Tables) -> DataFrame:
+    entry = lambda df, c, kind, p: df.select(F.col(c).alias("name"), F.lit(kind).alias("kind"), F.lit(p).alias("precedence")).distinct()
+    entries = entry(t.nation, "n_name", "nation", 1).union(entry(t.region, "r_name", "region", 0)).union(entry(t.part, "p_type", "type", 2))
+    terms = t.nation.select(F.upper("n_name").alias("term")).union(t.region.select(F.lower("r_name"))).union(t.part.select("p_type")).union(t.part.select("p_brand"))
+    return merge.categorize(terms, entries)
+
+
+@query("""WITH m AS (SELECT DISTINCT p_brand, CASE WHEN p_size > 25 THEN p_type END AS scope, max(p_name) AS v FROM part GROUP BY ALL), q AS (SELECT DISTINCT p_brand, p_type AS scope FROM part)
+          SELECT q.p_brand, q.scope, coalesce(o.v, g.v) AS v FROM q LEFT JOIN m o ON q.p_brand = o.p_brand AND q.scope = o.scope LEFT JOIN m g ON q.p_brand = g.p_brand AND g.scope IS NULL""")
+def scoped_mapping(t: Tables) -> DataFrame:
+    m = t.part.groupBy("p_brand", F.when(F.col("p_size") > 25, F.col("p_type")).alias("scope")).agg(F.max("p_name").alias("v"))
+    return merge.scoped_mapping(t.part.select("p_brand", F.col("p_type").alias("scope")), m, ["p_brand"], "scope", "v")
+
+
+@query("""SELECT report, chunk, name, player, confidence FROM (
+            SELECT conv_id AS report, turn AS chunk, text[1:1] AS name, turn % 2 AS player, CASE turn % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'high' ELSE 'medium' END AS confidence,
+                   row_number() OVER (PARTITION BY conv_id, lower(text[1:1]), turn % 2 ORDER BY CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END DESC, turn) AS n FROM conversations) WHERE n = 1""")
+def merge_chunks(t: Tables) -> DataFrame:
+    level = F.expr("case turn % 3 when 0 then 'low' when 1 then 'high' else 'medium' end")
+    rows = t.conversations.select(F.col("conv_id").alias("report"), F.col("turn").alias("chunk"), F.substring("text", 1, 1).alias("name"), (F.col("turn") % 2).alias("player"), level.alias("confidence"))
+    return merge.merge_units(rows)
+
+
+@query("""SELECT conv_id, arg_min(CASE WHEN role = 'system' THEN text END, turn) FILTER (WHERE role = 'system') AS system_text, arg_min(text, turn) FILTER (WHERE role = 'user') AS user_text FROM conversations GROUP BY conv_id""")
+def first_scalars(t: Tables) -> DataFrame:
+    rows = t.conversations.select("conv_id", "turn", F.when(F.col("role") == "system", F.col("text")).alias("system_text"), F.when(F.col("role") == "user", F.col("text")).alias("user_text"))
+    return merge.merge_scalars(rows, "conv_id", "turn", ["system_text", "user_text"])
+
+
+@query()
+def tagged_conversations(t: Tables) -> DataFrame:
+    """Conversations with two words normalised and tagged."""
+    words = t.spark.createDataFrame([("the", "Thee", "article"), ("with", "Withal", "prep")], "original string, official string, type string")
+    rep = t.conversations.select("conv_id").distinct().crossJoin(F.broadcast(words))
+    return transcript.tag_text(transcript.normalize_text(t.conversations.select("conv_id", "turn", "text"), rep, "conv_id").drop("text").withColumnRenamed("normalized", "text"), rep, "conv_id")
