@@ -18,6 +18,8 @@ from lorespark.llm.common import attach, documents
 SEED = 20
 #: Weights where none are given: a source weighs its bytes to this power.
 POWER = 0.5
+#: A larger mean is the sum of equal parts up to this one, each drawn by itself: exp(-rate) stays far from underflow.
+LARGEST = 500.0
 #: Bytes of the mix, as a multiple of the bytes of the corpus.
 EPOCHS = 1.0
 
@@ -66,10 +68,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCH
     """
     docs = docs.drop("copy", "copies", "shuffle_key")
     table = rates(docs, weights, epochs)
-    cdfs = table.select(F.col("source").alias("_source"), F.when(F.col("rate") > 700, F.raise_error(F.lit("rate over 700"))).otherwise(_cdf(F.col("rate"))).alias("_cdf"))
-    drawn = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_u": _uniform(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))})
-    counted = attach(drawn, cdfs, ["_source"], "doc_id", "inner").withColumn("copies", F.expr("size(filter(_cdf, c -> c <= _u))"))
-    copies = counted.filter("copies > 0").drop("_source", "_u", "_cdf").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
+    parts = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("int")
+    cdfs = table.select(F.col("source").alias("_source"), parts.alias("_parts"), _cdf(F.col("rate") / parts).alias("_cdf"))
+    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    drawn = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_key": key})
+    met = attach(drawn, cdfs, ["_source"], "doc_id", "inner")
+    # The first part's uniform is hashed from seed and doc_id alone, those of further parts from their number too.
+    uniforms = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: _uniform(F.lit(str(seed)), F.col("_key"), F.when(j > 0, j.cast("string"))))
+    counted = met.withColumn("_us", uniforms).withColumn("copies", F.expr("aggregate(_us, 0, (n, u) -> n + size(filter(_cdf, c -> c <= u)))"))
+    copies = counted.filter("copies > 0").drop("_source", "_key", "_us", "_parts", "_cdf").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col("doc_id"), F.col("copy"))))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns, "copy", "copies", "shuffle_key")
 

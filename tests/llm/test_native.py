@@ -106,6 +106,8 @@ def test_mixing(spark):
     zero = sum(1 for i in range(4000) if i not in per) / 4000
     assert zero == pytest.approx(2.71828**-0.5625, abs=0.03)
     assert mix(df.limit(0)).count() == 0
+    heavy = {r["doc_id"]: r["copies"] for r in mix(docs(spark, [(1, "x", "en", "a"), (2, "y", "en", "b")]), spark.createDataFrame([("a", 1.0)], "source string, weight double"), epochs=900.0).collect()}
+    assert set(heavy) == {1} and abs(heavy[1] - 1800) < 200
     assert sorted(map(str, mix(df, weights).collect())) == sorted(map(str, got))
 
 
