@@ -152,16 +152,16 @@ def snapshot_diff(t: Tables) -> DataFrame:
 
 
 @query("""SELECT coalesce(p.p_partkey, s.k) AS p_partkey, coalesce(s.brand, p.p_brand) AS p_brand, coalesce(p.p_size, s.size) AS p_size
-          FROM part p FULL JOIN (SELECT p_partkey * 2 AS k, 'NEW' || p_brand AS brand, p_size AS size FROM part WHERE p_partkey % 3 = 0) s ON p.p_partkey = s.k""")
+          FROM part p FULL JOIN (SELECT p_partkey + 500 AS k, 'NEW' || p_brand AS brand, p_size AS size FROM part WHERE p_size > 30) s ON p.p_partkey = s.k""")
 def upsert(t: Tables) -> DataFrame:
-    source = t.part.filter("p_partkey % 3 = 0").select((F.col("p_partkey") * 2).alias("p_partkey"), F.concat(F.lit("NEW"), "p_brand").alias("p_brand"), "p_size")
+    source = t.part.filter("p_size > 30").select((F.col("p_partkey") + 500).alias("p_partkey"), F.concat(F.lit("NEW"), "p_brand").alias("p_brand"), "p_size")
     return etl.upsert(t.part.select("p_partkey", "p_brand", "p_size"), source, ["p_partkey"], ["p_brand"])
 
 
-@query("""SELECT p_partkey, p_brand FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'X' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 2 <> 0""")
+@query("""SELECT p_partkey, p_brand FROM part WHERE p_size <= 30 UNION ALL SELECT p_partkey, 'X' FROM part WHERE p_size > 30""")
 def insert_ignore(t: Tables) -> DataFrame:
-    target = t.part.filter("p_partkey % 2 = 0").select("p_partkey", "p_brand")
-    return etl.insert_ignore(target, t.part.filter("p_partkey % 3 = 0").select("p_partkey", F.lit("X").alias("p_brand")), ["p_partkey"])
+    target = t.part.filter("p_size <= 30").select("p_partkey", "p_brand")
+    return etl.insert_ignore(target, t.part.filter("p_size > 20").select("p_partkey", F.lit("X").alias("p_brand")), ["p_partkey"])
 
 
 @query("""SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
