@@ -90,10 +90,17 @@ def _windows(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return _of(docs, wanted).mapInArrow(walk, "w1 bigint, w2 bigint, oid bigint, d1 bigint, pos int").distinct()
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """Windows that start in more than one document, with the smallest of these."""
+def _repeated(windows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Windows that start in more than one document, with the smallest of these.
+
+    The smallest are written before the join: both of its sides are then
+    plain shuffles, of which Spark splits the partition of a passage that a
+    great many documents share.
+    """
     firsts = windows.groupBy("w1", "w2").agg(F.min("oid").alias("first"), F.max("oid").alias("last")).filter("first < last").drop("last")
-    return windows.join(firsts, ["w1", "w2"])
+    found = scratch.write(windows.join(scratch.write(firsts, f"{name}_firsts"), ["w1", "w2"]), name)
+    scratch.drop(f"{name}_firsts")
+    return found
 
 
 def _longest(level: DataFrame, window: int, scratch: Scratch) -> DataFrame:
@@ -104,7 +111,7 @@ def _longest(level: DataFrame, window: int, scratch: Scratch) -> DataFrame:
         behind = level.select("oid", "d1", (F.col("pos") - length).alias("pos"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
         twice = level.join(behind, ["oid", "d1", "pos"]).select(F.xxhash64("w1", "w2", "v1", "v2").alias("w1"), F.xxhash64("v2", "w1", "v1", "w2").alias("w2"), "oid", "d1", "pos")
         length *= 2
-        level = scratch.write(_repeated(scratch.write(twice, f"twice{length}")), f"level{length}")
+        level = _repeated(scratch.write(twice, f"twice{length}"), scratch, f"level{length}")
         scratch.drop(f"twice{length}")
         if level.isEmpty():
             break
@@ -159,10 +166,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     groups = scratch.write(groups, "groups")
     alone = told.join(groups.select(F.col("first").alias("oid"), "d1", "d2"), ["oid", "d1", "d2"], "left_semi")
     seeds = scratch.write(alone.select("oid", F.explode("seeds").alias("seed")), "seeds")
-    common = seeds.groupBy("seed").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi")).filter("lo < hi").select("seed")
+    common = scratch.write(seeds.groupBy("seed").agg(F.min("oid").alias("lo"), F.max("oid").alias("hi")).filter("lo < hi").select("seed"), "common")
     wanted = scratch.write(seeds.join(common, "seed").groupBy("oid").agg(F.collect_set("seed").alias("seeds")), "wanted")
     scratch.drop("seeds")
-    level = scratch.write(_repeated(scratch.write(_windows(docs, wanted, window), "windows")), "level")
+    level = _repeated(scratch.write(_windows(docs, wanted, window), "windows"), scratch, "level")
     scratch.drop("windows")
     spans = level.filter("first < oid").groupBy("oid", "d1").agg(F.collect_list("pos").alias("pos")).groupBy("oid").agg(F.collect_list(F.struct("d1", "pos")).alias("texts"))
     cleaned = _cleaned(docs, scratch.write(spans, "spans"), window).drop("kept").distinct()

@@ -124,10 +124,11 @@ def page_sections(t: Tables) -> DataFrame:
     return pages.headed_sections(t.pages)
 
 
-@query("""SELECT name, soundex_code FROM (VALUES ('x', 'x')) v(name, soundex_code) WHERE false""")
-def no_bad_names(t: Tables) -> DataFrame:
-    """Names without any sound code: none in the catalogue."""
-    return t.nation.select(F.col("n_name").alias("name"), phonetic.soundex(F.col("n_name")).alias("soundex_code")).filter("soundex_code = ''")
+@query()
+def sound_codes(t: Tables) -> DataFrame:
+    """Both codes of every name of three categories."""
+    names = t.nation.select(F.col("n_name").alias("name")).union(t.region.select("r_name")).union(t.part.select("p_name").distinct())
+    return names.select("name", phonetic.soundex(F.col("name")).alias("soundex"), phonetic.metaphone(F.col("name")).alias("metaphone"))
 
 
 @query("""WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
