@@ -247,8 +247,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     comp = components(links, scratch, "star_comp")
     more = _across(rows, reps, comp, docs, shingle_words, percent, least, scratch)
     if not more.isEmpty():
-        links = links.union(more)
-        comp = components(links, scratch, "comp")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "comp")
 
     by_text = groups.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     # Only texts with copies or links have anything to say; a text alone is its own component.
