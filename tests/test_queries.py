@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 def plain(v):
     if hasattr(v, "tolist"):
         v = v.tolist()
-    if v is None or v != v or str(v) in ("<NA>", "NaT"):
+    if v is None or str(v) in ("<NA>", "NaT") or v != v:
         return "~"
     if isinstance(v, float):
         return f"{v:.9g}" if math.isfinite(v) else str(v)
