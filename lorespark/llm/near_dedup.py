@@ -2,7 +2,8 @@
 
 1. Every document gets a digest of its words, the size of its shingle set and
    a signature: the minima of 200 universal hashes over the set, 16 bits kept
-   of each. Texts with equal words go on as one, the smallest doc_id.
+   of each. Texts with equal words go on as one, under a number of their own
+   (rep); doc_ids, which may be null or repeat, come back at the end only.
 2. Signatures are cut into 40 bands of 5. Texts that agree in a band share a
    bucket. A pair of similarity 0.8 misses every band with a chance of 1e-7.
 3. In each bucket every text is paired with the smallest one: as many pairs as
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import SMALL_ROWS, Scratch, attach, documents, groups_in_order
@@ -62,11 +63,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(8)) & np.uint64(0xFFFF)).astype("<u2")
 
 
+def _oid(doc_id: Column) -> Column:
+    return F.coalesce(doc_id, F.lit(NO_ID))
+
+
+def _mark(text: Column) -> Column:
+    """MD5 of the text as it stands: with the doc_id it tells rows apart, whatever ids are null or repeat."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("oid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return docs.select("doc_id", _oid(F.col("doc_id")).alias("oid"), _mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def _prepare(docs: DataFrame, n: int) -> DataFrame:
+    """One row per document; spot tells rows with the same id and text apart."""
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -78,9 +90,9 @@ def _prepare(docs: DataFrame, n: int) -> DataFrame:
                     d.append(digest(b" ".join(words)))
                     sizes.append(len(x))
                     signs.append(signature(x).tobytes() if len(x) else None)
-                yield pa.record_batch({"doc_id": part["doc_id"], "oid": part["oid"], "d1": pa.array([x for x, _ in d], pa.int64()), "d2": pa.array([y for _, y in d], pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "sig": pa.array(signs, pa.binary())})
+                yield pa.record_batch({"doc_id": part["doc_id"], "oid": part["oid"], "mark": part["mark"], "spot": pa.array(range(begin, begin + len(d)), pa.int64()), "d1": pa.array([x for x, _ in d], pa.int64()), "d2": pa.array([y for _, y in d], pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "sig": pa.array(signs, pa.binary())})
 
-    return _texts(docs).mapInArrow(walk, "doc_id bigint, oid bigint, d1 bigint, d2 bigint, n_shingles bigint, sig binary")
+    return _texts(docs).mapInArrow(walk, "doc_id bigint, oid bigint, mark binary, spot bigint, d1 bigint, d2 bigint, n_shingles bigint, sig binary")
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -97,19 +109,18 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(oid, d1, set) of the wanted documents' texts, the set as sorted 64-bit hashes."""
+    """(rep, set) of the wanted texts (rep, oid, mark), the set as sorted 64-bit hashes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
-                words = [t.lower().split() for t in part["text"].to_pylist()]
-                yield pa.record_batch({"oid": part["oid"], "d1": pa.array([digest(b" ".join(w))[0] for w in words], pa.int64()), "set": pa.array([shingle_set(hashes, w, n).tobytes() for w in words], pa.binary())})
+                yield pa.record_batch({"rep": part["rep"], "set": pa.array([shingle_set(hashes, t.lower().split(), n).tobytes() for t in part["text"].to_pylist()], pa.binary())})
 
     few = wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    texts = _texts(docs).select("oid", "text").join(F.broadcast(wanted) if few else wanted, "oid", "left_semi")
-    return texts.mapInArrow(walk, "oid bigint, d1 bigint, set binary").groupBy("oid", "d1").agg(F.first("set").alias("set"))
+    texts = _texts(docs).select("oid", "mark", "text").join(F.broadcast(wanted) if few else wanted, ["oid", "mark"])
+    return texts.select("rep", "text").mapInArrow(walk, "rep bigint, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -121,7 +132,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (few + many - both)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= percent * |A or B|, on full sets.
 
     Texts are hashed into blocks and pairs go to their pair of blocks, so a
@@ -129,20 +140,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int, scratch:
     with each pair.
     """
     pairs = scratch.write(pairs, f"{name}_pairs")
-    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("oid")).distinct(), f"{name}_ids")
+    ids = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(reps.select("rep", "oid", "mark"), "rep"), f"{name}_ids")
     n_blocks = max(1, ids.count() // SET_BLOCK)
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
     placed = pairs.withColumns({"ba": block("a"), "bb": block("b")})
-    need = placed.select(F.col("ba").alias("to_a"), F.col("bb").alias("to_b"), F.explode(F.array("a", "b")).alias("oid")).distinct()
-    sent = need.join(_sets(docs, ids, n), "oid")
+    need = placed.select(F.col("ba").alias("to_a"), F.col("bb").alias("to_b"), F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sent = need.join(_sets(docs, ids, n), "rep")
 
     def confirm(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for oid, s in zip(right["oid"].to_pylist(), right["set"].to_pylist(), strict=True):
-            sets.setdefault(oid, []).append(np.frombuffer(s, np.uint64))
-        keep = []
-        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True):
-            keep.append(any(_linked(x, y, percent) for x in sets.get(a, []) for y in sets.get(b, [])))
+        sets = {rep: np.frombuffer(s, np.uint64) for rep, s in zip(right["rep"].to_pylist(), right["set"].to_pylist(), strict=True)}
+        keep = [_linked(sets[a], sets[b], percent) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.write(placed.groupBy("ba", "bb").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(confirm, "a bigint, b bigint"), name)
@@ -158,11 +165,11 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     """
     now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = now.join(open_, "key").join(reps, "rep")
+    members = now.join(open_, "key").join(reps.select("rep", "sig"), "rep")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     mine = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
     cast = members.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).withColumns({"bi": F.least("mine", "other"), "bj": F.greatest("mine", "other")})
-    shape = "key bigint, bi int, bj int, mine int, band int, rep bigint, d1 bigint, component bigint, sig binary"
+    shape = "key bigint, bi int, bj int, mine int, band int, rep bigint, component bigint, sig binary"
     columns = [c.split()[0] for c in shape.split(", ")]
     dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
@@ -214,28 +221,19 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
                 yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
     active = scratch.write(dealt(cast).mapInArrow(find, shape), "active")
-    ids = scratch.write(active.select(F.col("rep").alias("oid")).distinct(), "active_ids")
-    sets = _sets(docs, ids, n).withColumnRenamed("oid", "rep")
-    return scratch.write(dealt(active.join(sets, ["rep", "d1"]), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
+    ids = scratch.write(active.select("rep").distinct().join(reps.select("rep", "oid", "mark"), "rep"), "active_ids")
+    return scratch.write(dealt(active.join(_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
-
-    Words are those of the whole text with A-Z in lower case, between ASCII
-    white space. Documents are linked when 100 * intersection >= percent *
-    union of their sets of shingles. Without words or text a document has no
-    shingle and no link. A null doc_id counts as larger than any other and is
-    its own component_id (null) unless linked. Rows that share a doc_id are
-    one vertex with all their texts.
-    """
+def _judged(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """Rows of near_dedup() with oid and mark, by which a row is found again."""
     scratch = Scratch(docs.sparkSession, "near_dedup")
     least = percent / 100 - SLACK * (0.16 / HASHES) ** 0.5
     told = scratch.write(_prepare(docs, shingle_words), "told")
-    full = told.filter("n_shingles > 0")
-    groups = scratch.write(full.groupBy("d1", "d2").agg(F.min("oid").alias("rep"), F.max("oid").alias("last")), "groups")
-    reps = full.join(groups.select(F.col("rep").alias("oid"), "d1", "d2"), ["oid", "d1", "d2"]).groupBy(F.col("oid").alias("rep"), "d1").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = scratch.write(reps, "reps")
+    who = F.struct("oid", "mark")
+    groups = told.filter("n_shingles > 0").groupBy("d1", "d2").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # Numbers are given once, as the table is written.
+    reps = scratch.write(groups.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "lo.oid", "lo.mark", (F.col("lo") < F.col("hi")).alias("copies"), "n_shingles", "sig"), "reps")
 
     bands = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("sig", 1 + 2 * ROWS * i, 2 * ROWS)).alias("key")) for i in range(BANDS)])
     entries = reps.select("rep", F.explode(bands).alias("e")).select("rep", "e.band", "e.key")
@@ -243,27 +241,59 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     rows = scratch.write(entries.join(shared, "key"), "rows")
 
     stars = rows.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_alike(stars, reps, least), docs, shingle_words, percent, scratch, "star_links")
+    links = _confirmed(_alike(stars, reps, least), reps, docs, shingle_words, percent, scratch, "star_links")
     comp = components(links, scratch, "star_comp")
     more = _across(rows, reps, comp, docs, shingle_words, percent, least, scratch)
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "comp")
 
-    by_text = groups.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    # The smallest (doc_id, mark) of a component, its own smallest text among them, stands for it.
+    nodes = comp.select(F.col("node").alias("rep"), "component").union(comp.select(F.col("component").alias("rep"), "component").distinct())
+    named = scratch.write(nodes.join(reps.select("rep", "d1", "d2", "oid", "mark"), "rep"), "named")
+    heads = named.groupBy("component").agg(F.min(who).alias("head"))
+    linked = attach(named, heads, ["component"], "rep").select("d1", "d2", "head")
     # Only texts with copies or links have anything to say; a text alone is its own component.
-    said = by_text.filter("rep < last or component is not null").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    joined = attach(told, said, ["d1", "d2"], "oid")
-    comp_id = F.when((F.col("n_shingles") == 0) | F.col("component").isNull(), F.col("oid")).otherwise(F.col("component"))
-    kept = comp_id == F.col("oid")
-    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"))
+    copied = reps.filter("copies").select("d1", "d2", who.alias("head"))
+    said = scratch.write(linked.union(copied).groupBy("d1", "d2").agg(F.min("head").alias("head")), "said")
+    joined = attach(told, said, ["d1", "d2"], "spot")
+    alone = (F.col("n_shingles") == 0) | F.col("head").isNull()
+    comp_id = F.when(alone, F.col("oid")).otherwise(F.col("head.oid"))
+    kept = alone | (F.col("head") == who)
+    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"), "oid", "mark")
+
+
+def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept.
+
+    Words are those of the whole text with A-Z in lower case, between ASCII
+    white space. Documents are linked when 100 * intersection >= percent *
+    union of their sets of shingles. Without words or text a document has no
+    shingle and no link. A null doc_id counts as larger than any other and is
+    its own component_id (null) unless linked to a smaller one. Every text is
+    judged for itself: rows that share a doc_id, or have none, are linked only
+    if their texts are, and of those the one with the smallest MD5 is kept.
+    Rows that repeat doc_id and text get one verdict.
+    """
+    return _judged(docs, shingle_words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one of each component, with their columns unchanged."""
-    gone = near_dedup(docs, shingle_words, percent).filter("not kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_gone")).distinct()
-    gone = Scratch(docs.sparkSession, "near_dropped").write(gone, "gone")
-    few = gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == gone["_gone"], "left_anti")
+    """The documents that stay, one row of each component, with their columns unchanged.
+
+    Of rows that repeat doc_id and text one stays, any of them; those without words all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "near_dropped")
+    judged = scratch.write(_judged(docs, shingle_words, percent).select(F.col("oid").alias("_oid"), F.col("mark").alias("_mark"), "kept", (F.col("n_shingles") > 0).alias("words")), "judged")
+    gone = judged.filter("not kept").select("_oid", "_mark").distinct()
+    twice = judged.filter("kept and words").groupBy("_oid", "_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_oid", "_mark")
+    gone, twice = scratch.write(gone, "gone"), scratch.write(twice, "twice")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _oid(F.col("doc_id")).alias("_oid"), _mark(F.col("text")).alias("_mark"))
+    sized = lambda x: F.broadcast(x) if x.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else x
+    stay = keyed.join(sized(gone), ["_oid", "_mark"], "left_anti")
+    if not twice.isEmpty():
+        once = stay.join(sized(twice), ["_oid", "_mark"], "left_semi").groupBy("_oid", "_mark").agg(F.first("_row").alias("_row"))
+        stay = stay.join(sized(twice), ["_oid", "_mark"], "left_anti").select("_row").union(once.select("_row"))
+    return stay.select("_row.*")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,6 +129,19 @@ def test_near_dedup_odd_rows(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
+def test_near_dedup_null_and_repeated_ids(spark):
+    t, u, v, w = (" ".join(f"{c}{i}" for i in range(30)) for c in "tuvw")
+    near_t, near_u = t + " more", u + " more"
+    left = lambda rows: sorted(((r["doc_id"], r["text"]) for r in drop_near_copies(docs(spark, rows)).collect()), key=str)
+    assert left([(1, t), (None, t), (None, u)]) == [(1, t), (None, u)]
+    assert left([(1, t), (7, near_t), (7, u)]) == [(1, t), (7, u)]
+    assert left([(None, t), (None, t), (None, t.upper()), (None, ""), (None, None)]) in [sorted([(None, x), (None, ""), (None, None)], key=str) for x in (t, t.upper())]
+    # Two null rows near 1 and 2, and two rows of 3 near 4 and 5, do not link these.
+    rows = [(1, t), (2, u), (None, near_t), (None, near_u), (3, v), (3, w), (4, v + " x"), (5, w + " x"), (None, "z")]
+    got = sorted((tuple(r)[0::2] + (r["kept"],) for r in near_dedup(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 1, True), (2, 2, True), (None, 1, False), (None, 2, False), (3, 3, True), (3, 3, True), (4, 3, False), (5, 3, False), (None, None, True)], key=str)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(200, 230)] + [(300, x) for x in range(301, 340)]
