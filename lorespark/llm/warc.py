@@ -5,9 +5,10 @@ Spark's text writer joins records by the two blank lines that end a record in
 the format; the commit protocol makes the files safe against lost executors.
 Reading takes each archive as bytes and walks it record by record. A record
 that fails a check (version line, headers, length, end mark, payload digest)
-is quarantined: the reader searches for the next version line, or the next
-gzip member in a compressed archive, logs the bytes between as a gap with its
-reason, and goes on from there.
+is quarantined: the reader searches for the next version line, logs the bytes
+between as a gap with its reason, and goes on from there. Each gzip member of
+a compressed archive is inflated and walked likewise; after a damaged member
+the search is for the next one.
 """
 
 from __future__ import annotations
@@ -90,6 +91,23 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
 
 _VERSION = re.compile(rb"(?<![^\n])WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
+_ALGORITHMS = {"md5", "sha1", "sha224", "sha256", "sha384", "sha512"}
+
+
+def _verified(stated: str, payload: bytes) -> bool | None:
+    """Whether a payload has its stated digest (hex, base32 or base64); None where the algorithm is not known.
+
+    A digest without an algorithm is read as SHA-1 where only that has its length.
+    """
+    name, colon, value = stated.rpartition(":")
+    value = value.strip().rstrip("=")
+    name = name.strip().lower().replace("-", "")
+    if not colon:
+        name = "sha1" if len(value) == 40 or len(value) == 32 and not re.fullmatch("[0-9A-Fa-f]+", value) else ""
+    if name not in _ALGORITHMS:
+        return None
+    raw = hashlib.new(name, payload).digest()
+    return value.lower() == raw.hex() or value.upper() == base64.b32encode(raw).decode().rstrip("=") or value in [f(raw).decode().rstrip("=") for f in (base64.b64encode, base64.urlsafe_b64encode)]
 
 
 def _record(data: bytes, at: int) -> tuple[int, dict] | str:
@@ -100,7 +118,7 @@ def _record(data: bytes, at: int) -> tuple[int, dict] | str:
     if top < 0:
         return "headers do not end"
     head = {}
-    for row in data[at:top].split(b"\r\n")[1:]:
+    for row in re.sub(rb"\r\n[ \t]+", b" ", data[at:top]).split(b"\r\n")[1:]:
         name, colon, value = row.partition(b":")
         if not colon:
             return "bad header"
@@ -113,17 +131,19 @@ def _record(data: bytes, at: int) -> tuple[int, dict] | str:
     kind = head.get(b"warc-type", b"").decode("ascii", "replace")
     split = data.find(b"\r\n\r\n", begin, end)
     payload = data[split + 4 : end] if split >= 0 else data[begin:end]
-    digest = head.get(b"warc-payload-digest", b"").decode("ascii", "replace").removeprefix("sha1:")
-    if kind == "response" and digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+    digest = head.get(b"warc-payload-digest", b"").decode("ascii", "replace")
+    verified = _verified(digest, payload) if kind == "response" and digest else True
+    if verified is False:
         return "digest differs"
     number = lambda k: int(m[1]) if (m := re.fullmatch(rb"<urn:page:(-?\d+)>", head.get(k, b""))) else None
     size = head.get(b"x-payload-length", b"")
     return end + 4, {
         "kind": "record",
+        "reason": None if verified else "digest not verified",
         "record_type": kind,
         "page_id": number(b"warc-record-id"),
         "url": u.decode("utf-8", "replace") if (u := head.get(b"warc-target-uri")) is not None else None,
-        "payload_digest": digest or None,
+        "payload_digest": re.sub("^sha-?1:", "", digest, flags=re.I) or None,
         "payload_bytes": int(size) if size.isdigit() else len(payload),
         "refers_to": number(b"warc-refers-to"),
         "payload": None if kind == "revisit" else payload,
@@ -134,7 +154,11 @@ def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, plain or of gzip members, in order; together they cover every byte."""
     if data[:3] == _GZIP or (_GZIP in data and not _VERSION.search(data)):
         yield from _salvage_gzip(data)
-        return
+    else:
+        yield from _salvage_plain(data)
+
+
+def _salvage_plain(data: bytes) -> Iterator[dict]:
     at = 0
     while at < len(data):
         got = _record(data, at)
@@ -148,33 +172,55 @@ def salvage(data: bytes) -> Iterator[dict]:
         at = to
 
 
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What a member holds, the offset after it (-1: not known) and what is wrong with it; a damaged one is inflated up to the damage."""
+    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
+    while at < len(data):
+        before = unzip.copy() if step > 1 else None
+        try:
+            out.append(unzip.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                return b"".join(out), -1, "bad member"
+            unzip, step = before, step >> 4 or 1
+            continue
+        at += step
+        if unzip.eof:
+            return b"".join(out), min(at, len(data)) - len(unzip.unused_data), None
+    return b"".join(out), -1, "member cut short"
+
+
 def _salvage_gzip(data: bytes) -> Iterator[dict]:
-    """Each member holds one record; offsets are those of the members."""
+    """The records and gaps inside each member have the member's offset, the first its length and the others 0.
+
+    A member that is cut short is right as far as it goes. What any other damaged member held before
+    the damage showed may be false, so of its records only responses whose digest is right come out.
+    The damage is the reason of these rows; a gap has the member's length.
+    """
     at = 0
     while at < len(data):
-        reason, inner, end = "bad member", None, -1
-        if data[at : at + 3] == _GZIP:
-            unzip = zlib.decompressobj(31)
-            try:
-                inner = unzip.decompress(data[at:])
-                if unzip.eof:
-                    end = len(data) - len(unzip.unused_data)
-                else:
-                    reason = "member cut short"
-            except zlib.error:
-                inner = None
-        if end > 0 and isinstance(got := _record(inner, 0), tuple) and got[0] == len(inner):
-            yield {"offset": at, "length": end - at, **got[1]}
+        inner, end, reason = _inflated(data, at) if data[at : at + 3] == _GZIP else (b"", -1, "bad member")
+        if end > 0:
+            rows = _salvage_plain(inner) if inner else [{"kind": "gap", "reason": "empty member"}]
+            for i, row in enumerate(rows):
+                yield {**row, "offset": at, "length": 0 if i else end - at}
             at = end
             continue
-        to = end if end > 0 else data.find(_GZIP, at + 1)
+        for row in _salvage_plain(inner):
+            if row["kind"] == "record" and (reason == "member cut short" or row["record_type"] == "response" and row["payload_digest"] and not row["reason"]):
+                yield {**row, "offset": at, "length": 0, "reason": row["reason"] or reason}
+        to = data.find(_GZIP, at + 1)
         to = len(data) if to < 0 else to
-        yield {"offset": at, "length": to - at, "kind": "gap", "reason": got if end > 0 and isinstance(got, str) else reason}
+        yield {"offset": at, "length": to - at, "kind": "gap", "reason": reason}
         at = to
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows of RECORDS: the records of all archives in a folder, and the gaps that were quarantined."""
+    """Rows of RECORDS: the records of all archives in a folder, and the gaps that were quarantined.
+
+    A record with a reason is kept, but its digest could not be verified or its gzip member is damaged.
+    payload_digest is as stated, without "sha1:".
+    """
     fields = [c.split()[0] for c in RECORDS.split(",")]
     schema = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for n, c in zip(fields, RECORDS.split(","), strict=True)])
 
@@ -184,7 +230,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 rows, held = [], 0
                 for r in salvage(content.as_py() or b""):
                     rows.append({"path": name.as_py(), **r} | ({} if payloads else {"payload": None}))
-                    held += r["length"]
+                    held += max(r["length"], len(r.get("payload") or b""))
                     if held > 8 << 20 or len(rows) >= 1000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, held = [], 0

@@ -130,3 +130,47 @@ def test_salvage_of_gzip_members(spark, tmp_path):
     got = list(salvage(b"".join([*members[:3], bytes(bad), *members[4:]])))
     assert sum(r["kind"] == "record" for r in got) == 11 and any(r["kind"] == "gap" for r in got)
     assert sum(r["length"] for r in got) == sum(map(len, members))
+
+
+def foreign(i, digest=None, fold=False):
+    """A response of another writer."""
+    html = f"<p>{i}</p>".encode() * 9
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + html
+    head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI:{chr(13) + chr(10) if fold else ''} http://f/{i}\r\n"
+    head += f"WARC-Payload-Digest: {digest(html)}\r\n" if digest else ""
+    return f"{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_salvage_of_foreign_digests_and_folded_headers():
+    b32 = lambda n, x: base64.b32encode(hashlib.new(n, x).digest()).decode()
+    right = [
+        lambda x: "sha256:" + hashlib.sha256(x).hexdigest(),
+        lambda x: "SHA-256:" + b32("sha256", x),
+        lambda x: "md5:" + hashlib.md5(x).hexdigest().upper(),
+        lambda x: "sha1:" + hashlib.sha1(x).hexdigest(),
+        lambda x: "sha1:" + b32("sha1", x).lower(),
+        lambda x: "sha512:" + base64.b64encode(hashlib.sha512(x).digest()).decode(),
+        lambda x: b32("sha1", x),
+    ]
+    got = list(salvage(b"".join(foreign(i, d, fold=i % 2 == 0) for i, d in enumerate(right))))
+    assert [(r["kind"], r["reason"], r["page_id"], r["url"]) for r in got] == [("record", None, i, f"http://f/{i}") for i in range(len(right))]
+    wrong = list(salvage(b"".join(foreign(i, lambda x, d=d: d(x + b"?")) for i, d in enumerate(right))))
+    assert [(r["kind"], r["reason"]) for r in wrong] == [("gap", "digest differs")] * len(right)
+    (odd,) = salvage(foreign(1, lambda x: "blake9:abc"))
+    assert (odd["kind"], odd["reason"], odd["payload_digest"]) == ("record", "digest not verified", "blake9:abc")
+
+
+def test_salvage_of_foreign_gzip():
+    sha1 = lambda x: "sha1:" + hashlib.sha1(x).hexdigest()
+    plain = [foreign(i, sha1) for i in range(9)]
+    ids = lambda data: [r["page_id"] for r in salvage(data) if r["kind"] == "record"]
+    whole = gzip.compress(b"".join(plain))
+    pairs = b"".join(gzip.compress(b"".join(plain[i : i + 2])) for i in range(0, 9, 2))
+    assert ids(whole) == ids(pairs) == list(range(9))
+    damaged = gzip.compress(b"".join([*plain[:4], plain[4].replace(b"<p>", b"<q>"), *plain[5:]]))
+    assert ids(damaged) == [0, 1, 2, 3, 5, 6, 7, 8] and [r["reason"] for r in salvage(damaged) if r["kind"] == "gap"] == ["digest differs"]
+    stored = gzip.compress(b"".join(plain), 0)
+    cut, bad = stored[: len(stored) * 2 // 3], stored[:-8] + bytes(8)
+    assert ids(cut) == list(range(5 + (ids(cut)[-1] == 5))) and ids(bad) == list(range(9))
+    for data in (whole, pairs, damaged, cut, bad, whole + gzip.compress(b"") + pairs):
+        assert sum(r["length"] for r in salvage(data)) == len(data)
