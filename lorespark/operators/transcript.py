@@ -91,11 +91,11 @@ def normalize_text(segments: DataFrame, replacements: DataFrame, by: str) -> Dat
     end = "(?![A-Za-z0-9_])"
 
     def one(acc, x):
-        head, tail = F.substring(x["original"], 1, 1), _quoted(F.substring(x["original"], 2, 1000))
+        head, tail = F.substring(x["original"], 1, 1), _quoted(F.substring(x["original"], 2, 1 << 30))
         upper = F.concat(F.lit("(?<![A-Za-z0-9_])"), _quoted(F.upper(head)), F.lit("(?i:"), tail, F.lit(")" + end))
         lower = F.concat(F.lit("(?<![A-Za-z0-9_])"), _quoted(head), F.lit("(?i:"), tail, F.lit(")" + end))
         safe = lambda c: F.regexp_replace(c, r"([\\$])", r"\\$1")
-        capital = F.concat(F.upper(F.substring(x["official"], 1, 1)), F.substring(x["official"], 2, 1000))
+        capital = F.concat(F.upper(F.substring(x["official"], 1, 1)), F.substring(x["official"], 2, 1 << 30))
         same = F.upper(head) == head
         after = F.regexp_replace(acc, upper, safe(capital))
         return F.when(same, F.regexp_replace(acc, upper, safe(capital))).otherwise(F.regexp_replace(after, lower, safe(F.lower(x["official"]))))

@@ -105,3 +105,17 @@ def test_game_folds(spark):
     assert [(r["objective"], r["player"], r["since"]) for r in ev.owners(df).collect()] == [("A", 1, 7.0)]
     t = [(r["phase"], r["player"], r["round"]) for r in ev.turns(df).orderBy("ts").collect()]
     assert t[0] == ("movement", 0, 1) and t[5] == ("command", 1, 1) and t[11] == ("command", 0, 2)
+
+
+def test_names_longer_than_a_thousand_characters_are_used_whole(spark):
+    from types import SimpleNamespace
+
+    from lorespark.plans import text as plans
+
+    long = "ab" * 800
+    seg = spark.createDataFrame([("v", f"x {long}c y"), ("v", f"x {long} y")], "v string, text string")
+    rep = spark.createDataFrame([("v", long + "c", "Q" + long, "unit")], "v string, original string, official string, type string")
+    got = sorted(r["normalized"] for r in transcript.normalize_text(seg, rep, "v").collect())
+    assert got == sorted([f"x {('Q' + long).lower()} y", f"x {long} y"])
+    part = spark.createDataFrame([("n" + long,)], "p_name string")
+    assert [len(r["term"]) for r in plans.similarity_join(SimpleNamespace(part=part, spark=spark)).collect()] == [1601]
