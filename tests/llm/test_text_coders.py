@@ -30,26 +30,59 @@ def want(text):
 
 
 def test_bpe_equals_library(spark):
-    some = [None, "", "  ", "Hello, World's don't", "<|endoftext|> x<|startoftext|>y", "x\x00y\x1cz", "é ́", "日本語 " * 50]
+    some = [None, "", "  ", "Hello, World's don't", "<|endoftext|> x<|startoftext|>y", "x\x00y\x1cz", "é ́", "日本語 " * 50]
     some += texts(1, 40, "abcdefg'stéÉ̈İ12!?  \n\tzqu日本👍", 400)
     some += texts(2, 6, "abcdefghinorst'é!1", 3000) + [some[3], some[3]]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(some)], DOCS)
-    got = {r["doc_id"]: tuple(r)[1:] for r in bpe.encode_digests(df, WORD, leaf=200).collect()}
-    assert got == {i: want(t) for i, t in enumerate(some)}
+    for spread in (200, 1000, 10**6):
+        got = {r["doc_id"]: tuple(r)[1:] for r in bpe.encode_digests(df, WORD, leaf=200, spread=spread).collect()}
+        assert got == {i: want(t) for i, t in enumerate(some)}
     twice = spark.createDataFrame([(1, "q" * 900, "en")] * 3, DOCS)
-    assert [tuple(r)[1:] for r in bpe.encode_digests(twice, WORD, leaf=200).collect()] == [want("q" * 900)] * 3
+    assert [tuple(r)[1:] for r in bpe.encode_digests(twice, WORD, leaf=200, spread=200).collect()] == [want("q" * 900)] * 3
     assert bpe.encode_digests(df.limit(0), WORD).count() == 0
 
 
-@pytest.mark.parametrize("alphabet", ["abcdefghinorst", "aé'st́İ!1 ", "aaab"])
-def test_join_windows_grow_until_sides_agree(monkeypatch, alphabet):
+def test_every_way_gives_the_same_ids_on_the_table(spark):
+    """Whole texts of a table: one leaf each, trees inside a task, trees over tasks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = sorted((r["doc_id"], *want(r["text"])) for r in docs.select("doc_id", "text").collect())
+    for leaf, spread in ((10**6, 10**6), (300, 10**6), (300, 300)):
+        assert sorted(map(tuple, bpe.encode_digests(docs, WORD, leaf, spread).collect())) == expected
+
+
+def test_ids_and_texts_come_back(spark):
+    """A byte-level tokenizer, whose words don't stand apart, loses nothing."""
+    path = P.path("byte_bpe_50k.json")
+    assert bpe.words_stand_apart(WORD) and not bpe.words_stand_apart(path)
+    some = [None, "", " a  b\n\n c", "x" * 700, *texts(7, 20, "ab c'sté12!  \n日👍", 900)]
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(some)], "doc_id bigint, text string, ids string")
+    t = bpe._tokenizer(path)
+    for spread in (100, 10**6):
+        coded = bpe.encode_ids(df, path, leaf=100, spread=spread)
+        assert {r["doc_id"]: r["ids"] for r in coded.collect()} == {i: t.encode(x or "").ids for i, x in enumerate(some)}
+    assert {r["doc_id"]: r["text"] for r in bpe.decode_ids(coded, path).collect()} == {i: x or "" for i, x in enumerate(some)}
+
+
+def test_worker_memory_is_renewed(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 20)
+    coder = bpe.Coder(WORD)
+    for s in texts(8, 60, "abé'12! ", 200):
+        assert coder.encode([s.encode()], 50)[0] == np.asarray(coder.tokenizer.encode(s).ids, "<u4").tobytes()
+        assert len(coder.young) < 200
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghinorst", "aé'st́İ!1 ", "aaab", "ab c"])
+@pytest.mark.parametrize("edge", [0, 5, 512])
+def test_join_windows_grow_until_sides_agree(monkeypatch, alphabet, edge):
     monkeypatch.setattr(bpe, "FIRST_WINDOW", 2)
-    t = bpe._tokenizer(WORD)
-    for s in texts(3, 150, alphabet, 300):
+    monkeypatch.setattr(bpe, "EDGE", edge)
+    coder = bpe.Coder(WORD)
+    for s in texts(3, 100, alphabet, 300):
         s = s + "<|endoftext|>" + s
         cuts = [len(s) * i // 8 for i in range(9)]
-        spans = [bpe.Span.encode(t, s, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-        assert bpe.join_tree(t, s, spans).ids.tolist() == t.encode(s, add_special_tokens=False).ids
+        ids = coder.leaves([s[a:b].encode() for a, b in zip(cuts, cuts[1:], strict=False)])
+        spans = [bpe.Span.leaf(coder, s[a:b], a, i) for a, b, i in zip(cuts, cuts[1:], ids, strict=False)]
+        assert bpe.join_tree(coder, s, spans).ids.tolist() == coder.tokenizer.encode(s, add_special_tokens=False).ids
 
 
 def test_count_tree_follows_edits():
