@@ -1,12 +1,15 @@
 """Exact dedup: tree-merge of sorted digest runs.
 
 Each input partition makes one run: its distinct digests, each with the best
-row that the run has seen. In every round, FAN runs are merged into one: rows
-meet by (merged run, digest), Spark sorts and merges them, and each digest
-keeps its best row. A digest thus meets at most FAN rows in a task, even where
-a third of all rows are copies of one text. After the last round one run is
-left, spread over all tasks by digest. The winners then go back down the same
-tree, one round at a time, so the way back has no hot key either.
+row that the run has seen. The rounds are those of a binomial tree, three of
+its steps at a time: after k rounds run r holds what the runs r * FAN^k to
+(r + 1) * FAN^k - 1 held, FAN = 2^3, so a round is one exchange and an
+eight-way merge in place of three exchanges of pairs, with the same result.
+Rows meet by (merged run, digest), Spark sorts and merges them, and each
+digest keeps its best row. A digest thus meets at most FAN rows in a task,
+even where a third of all rows are copies of one text. After the last round
+one run is left, spread over all tasks by digest. The winners then go back
+down the same tree, one round at a time, so the way back has no hot key either.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, documents, without_spaces
+from lorespark.llm.common import Scratch, documents, keep_rows, row_id, row_mark, without_spaces
 
 #: Runs merged into one in a round.
 FAN = 8
@@ -24,8 +27,9 @@ SAME = ["text_sha256", "norm_chars", "norm_hash"]
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, length, digest of the normalised text, and the run (partition) that it is in."""
-    norm = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), without_spaces(F.col("text")).alias("norm"))
+    """One row per document: doc_id, length, digest of the normalised text, the run (partition) that it is in, and row_id and row_mark."""
+    keys = [row_id(F.col("doc_id")).alias("_oid"), row_mark(F.col("text")).alias("_mark")]
+    norm = docs.select("doc_id", *keys, F.length(F.coalesce("text", F.lit(""))).alias("chars"), without_spaces(F.col("text")).alias("norm"))
     return norm.select(
         "doc_id",
         "chars",
@@ -34,6 +38,8 @@ def digests(docs: DataFrame) -> DataFrame:
         F.xxhash64("norm").alias("norm_hash"),
         F.spark_partition_id().alias("run"),
         F.monotonically_increasing_id().alias("row_no"),
+        "_oid",
+        "_mark",
     )
 
 
@@ -61,37 +67,33 @@ def tree_merge(leaves: DataFrame, scratch: Scratch) -> DataFrame:
     return leaves.join(won, ["run", *SAME])
 
 
+def _judged(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    leaves = scratch.write(digests(docs), "leaves")
+    return tree_merge(leaves, scratch).withColumn("kept", F.col("row_no") == F.col("keep_row"))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document with the row of its group that stays.
 
     Input: doc_id, text, any other columns. Texts are equal when identical
-    after deleting ``[\\x20\\x09-\\x0D]``; a null text counts as empty. The row
-    with the most code points stays, then the smallest doc_id (null last);
-    of fully repeated rows exactly one has kept = true. Empty input gives an
-    empty result.
+    after deleting ``[\\x20\\x09-\\x0D]``; a null text counts as empty; texts are
+    digested whole, whatever their length. The row with the most code points
+    stays, then the smallest doc_id (null last); of fully repeated rows exactly
+    one has kept = true. Other columns are not looked at, whatever their names.
+    Empty input gives an empty result.
     """
-    scratch = Scratch(docs.sparkSession, "exact_dedup")
-    leaves = scratch.write(digests(docs), "leaves")
-    return tree_merge(leaves, scratch).select("doc_id", "keep_id", "group_size", (F.col("row_no") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return _judged(docs, Scratch(docs.sparkSession, "exact_dedup")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents whose rows stay, with their columns unchanged.
+    """The documents whose rows stay, with their columns unchanged, whatever their names; groups as in exact_dedup().
 
-    Rows that repeat wholly (same doc_id, same text) leave one row.
+    Rows that repeat wholly (same doc_id, same text) leave one row, any of
+    them. Empty input gives an empty result.
     """
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    sha = F.sha2(without_spaces(F.col("text")), 256)
-    on = F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha"))
-    same = docs.withColumn("_sha", sha).withColumn("_chars", F.length(F.coalesce("text", F.lit("")))).join(kept, on, "left_semi")
-    # Only a doc_id that occurs twice with equal texts can leave two rows here; the longest of them stays.
-    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if ids.isEmpty():
-        return same.drop("_sha", "_chars")
-    from pyspark.sql import Window
-
-    first = Window.partitionBy("doc_id", "_sha").orderBy(F.col("_chars").desc(), F.xxhash64("text"))
-    return same.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_sha", "_chars", "_n")
+    scratch = Scratch(docs.sparkSession, "exact_dropped")
+    judged = scratch.write(_judged(docs, scratch).select("_oid", "_mark", "kept", F.lit(True).alias("once")), "judged")
+    return keep_rows(docs, judged, scratch)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

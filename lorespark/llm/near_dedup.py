@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SMALL_ROWS, Scratch, attach, documents, groups_in_order
+from lorespark.llm.common import NO_ID, Scratch, attach, documents, groups_in_order, keep_rows, row_id, row_mark, sized
 from lorespark.llm.components import components
 from lorespark.llm.hashing import WordHashes, digest, mixed, runs
 
@@ -37,8 +37,6 @@ HASHES = BANDS * ROWS
 SLACK = 5.0
 #: Texts of a block in step 4, and about so many texts to a block of full sets.
 BLOCK, SET_BLOCK = 1024, 256
-#: Null doc_ids count as larger than any other.
-NO_ID = (1 << 63) - 1
 
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,17 +61,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(8)) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def _oid(doc_id: Column) -> Column:
-    return F.coalesce(doc_id, F.lit(NO_ID))
-
-
-def _mark(text: Column) -> Column:
-    """MD5 of the text as it stands: with the doc_id it tells rows apart, whatever ids are null or repeat."""
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
-
-
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _oid(F.col("doc_id")).alias("oid"), _mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    return docs.select("doc_id", row_id(F.col("doc_id")).alias("oid"), row_mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
 def _prepare(docs: DataFrame, n: int) -> DataFrame:
@@ -118,8 +107,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(begin, 256)
                 yield pa.record_batch({"rep": part["rep"], "set": pa.array([shingle_set(hashes, t.lower().split(), n).tobytes() for t in part["text"].to_pylist()], pa.binary())})
 
-    few = wanted.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    texts = _texts(docs).select("oid", "mark", "text").join(F.broadcast(wanted) if few else wanted, ["oid", "mark"])
+    texts = _texts(docs).select("oid", "mark", "text").join(sized(wanted), ["oid", "mark"])
     return texts.select("rep", "text").mapInArrow(walk, "rep bigint, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
@@ -164,23 +152,33 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     most a row per text and block, however many pairs they compare.
     """
     now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    members = now.join(open_, "key").join(reps.select("rep", "sig"), "rep")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks.cast("bigint")).cast("int")
-    cast = members.withColumns({"mine": mine, "other": F.explode(F.sequence(F.lit(0), blocks - 1))}).withColumns({"bi": F.least("mine", "other"), "bj": F.greatest("mine", "other")})
-    shape = "key bigint, bi int, bj int, mine int, band int, rep bigint, component bigint, sig binary"
+    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    members = now.join(open_.select("key", F.col("most.component").alias("most"), F.col("most.c").alias("n_most")), "key").join(reps.select("rep", "sig"), "rep")
+    # Texts of the bucket's largest component need no comparing among themselves: only the others are copied to all of its blocks.
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    largest, large, others = F.col("component") == F.col("most"), blocks(F.col("n_most")), blocks(F.col("n") - F.col("n_most"))
+    mine = F.pmod(F.xxhash64("rep"), F.when(largest, large).otherwise(others).cast("bigint")).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda bi, bj: F.struct(bi.alias("bi"), bj.alias("bj"))
+    # Cells (-1 - a, b): block a of the largest component with block b of the others. Cells (a, b): two blocks of the others.
+    with_most = F.when(largest, F.transform(all_of(others), lambda b: cell(-1 - F.col("mine"), b))).otherwise(F.transform(all_of(large), lambda a: cell(-1 - a, F.col("mine"))))
+    among = F.when(largest, F.array().cast("array<struct<bi:int,bj:int>>")).otherwise(F.transform(all_of(others), lambda o: cell(F.least("mine", o), F.greatest("mine", o))))
+    cast = members.withColumns({"mine": mine, "largest": largest}).withColumn("cell", F.explode(F.concat(with_most, among))).withColumns({"bi": F.col("cell.bi"), "bj": F.col("cell.bj")})
+    shape = "key bigint, bi int, bj int, mine int, largest boolean, band int, rep bigint, component bigint, sig binary"
     columns = [c.split()[0] for c in shape.split(", ")]
     dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
     def alike(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         """Each text's index with those behind it that agree with it and first do so in this band."""
-        comp, mine = group["component"].to_numpy(), group["mine"].to_numpy()
+        comp, mine, largest = group["component"].to_numpy(), group["mine"].to_numpy(), group["largest"].to_numpy()
         sign = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-        band, cross = group["band"][0].as_py(), group["bi"][0].as_py() != group["bj"][0].as_py()
+        band, bi, bj = (group[c][0].as_py() for c in ("band", "bi", "bj"))
         for i in range(len(comp) - 1):
             ok = comp[i + 1 :] != comp[i]
-            if cross:
+            if bi < 0:
+                ok &= largest[i + 1 :] != largest[i]
+            elif bi != bj:
                 ok &= mine[i + 1 :] != mine[i]
             j = np.flatnonzero(ok) + i + 1
             if len(j):
@@ -283,17 +281,8 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Of rows that repeat doc_id and text one stays, any of them; those without words all stay.
     """
     scratch = Scratch(docs.sparkSession, "near_dropped")
-    judged = scratch.write(_judged(docs, shingle_words, percent).select(F.col("oid").alias("_oid"), F.col("mark").alias("_mark"), "kept", (F.col("n_shingles") > 0).alias("words")), "judged")
-    gone = judged.filter("not kept").select("_oid", "_mark").distinct()
-    twice = judged.filter("kept and words").groupBy("_oid", "_mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_oid", "_mark")
-    gone, twice = scratch.write(gone, "gone"), scratch.write(twice, "twice")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _oid(F.col("doc_id")).alias("_oid"), _mark(F.col("text")).alias("_mark"))
-    sized = lambda x: F.broadcast(x) if x.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else x
-    stay = keyed.join(sized(gone), ["_oid", "_mark"], "left_anti")
-    if not twice.isEmpty():
-        once = stay.join(sized(twice), ["_oid", "_mark"], "left_semi").groupBy("_oid", "_mark").agg(F.first("_row").alias("_row"))
-        stay = stay.join(sized(twice), ["_oid", "_mark"], "left_anti").select("_row").union(once.select("_row"))
-    return stay.select("_row.*")
+    judged = _judged(docs, shingle_words, percent).select(F.col("oid").alias("_oid"), F.col("mark").alias("_mark"), "kept", (F.col("n_shingles") > 0).alias("once"))
+    return keep_rows(docs, scratch.write(judged, "judged"), scratch)
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

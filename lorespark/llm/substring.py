@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SMALL_ROWS, Scratch, attach, documents
+from lorespark.llm.common import NO_ID, Scratch, attach, documents, fits
 from lorespark.llm.hashing import WordHashes, digest, runs
 
 WINDOW = 50
-NO_ID = (1 << 63) - 1
 
 
 def _seeds(hashed: np.ndarray, window: int) -> np.ndarray:
@@ -64,8 +63,9 @@ def _prepare(docs: DataFrame, window: int) -> DataFrame:
 def _of(docs: DataFrame, told: DataFrame) -> DataFrame:
     """Texts of the documents of another table, with its columns (unique oid)."""
     texts = _texts(docs).select("oid", "text")
-    if told.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        texts = texts.join(F.broadcast(told.select("oid")), "oid", "left_semi")
+    ids = told.select("oid")
+    if fits(ids):
+        texts = texts.join(F.broadcast(ids), "oid", "left_semi")
     return texts.join(told, "oid")
 
 
