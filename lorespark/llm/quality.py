@@ -2,13 +2,18 @@
 
 Every document gets a few text statistics (array and string functions in the
 JVM only). A rule rejects a document whose per-mille score exceeds a cutoff.
-Cutoffs come from labelled documents: for each stratum (language) and rule the
-most aggressive cutoff of a fixed ladder is taken for which the exact binomial
-(Clopper-Pearson) upper bound on the false-rejection rate is within the rule's
-share of the allowed risk. The ladder is walked from lenient to strict and
-stops at the first cutoff that fails (fixed-sequence testing); across strata
-and rules the error level is divided by their number (Bonferroni). A stratum
-with too few labelled good documents gets no cutoff: its documents stay.
+The rules are set together: a fixed sequence of steps, from lenient to strict,
+gives each rule a cutoff, and a document is rejected if any rule rejects it.
+Labelled good documents tell how far a stratum (language) may go: a step is
+safe if the exact binomial (Clopper-Pearson) upper bound on the share of good
+documents that it rejects is at most alpha. The sequence is walked until the
+first step that is not safe (fixed-sequence testing, so no share of the risk
+goes to single steps or rules); over the strata and the pool of all of them
+the error level is divided by their number (Bonferroni). A stratum with too
+few labels for a step of its own takes the pool's: its bound then holds for
+good documents of all strata together. The steps are fixed beforehand, and a
+fifth of the labels is kept out of the choice: on it the realised loss is
+counted.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SMALL_ROWS, Scratch, attach, documents, words_of
+from lorespark.llm.common import Scratch, attach, documents, sized, words_of
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -31,13 +36,16 @@ class Risk:
     delta: float = 0.05
 
 
-#: Per-mille scores by rule, each with its ladder of cutoffs from lenient to strict.
+#: Per-mille scores by rule, each with its cutoffs at the steps of the sequence, from lenient to strict.
 RULES = {
     "symbols": ("1000 * n_symbols", "word_chars", [500, 300, 200, 150, 100, 70, 50]),
     "dup_lines": ("1000 * n_dup_lines", "n_lines", [900, 700, 500, 400, 300, 200, 150]),
     "repeats": ("1000 * n_repeat_words", "n_words", [200, 150, 120, 100, 80, 60, 40]),
     "long_words": ("100 * word_chars", "n_words", [4000, 2500, 2000, 1600, 1400, 1200, 1100]),
 }
+STEPS = 7
+#: One label in so many is kept out of the choice of steps.
+HOLDOUT = 5
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -71,107 +79,124 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _over(rule: str, cutoff: Column | str) -> str:
-    over, under, _ = RULES[rule]
-    return f"{over} > {cutoff} * {under}"
+def _over(step: str) -> str:
+    """SQL: whether any rule rejects a row at a step (from 1)."""
+    return "(" + " or ".join(f"{over} > element_at(array({', '.join(map(str, ladder))}), {step}) * {under}" for over, under, ladder in RULES.values()) + ")"
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """One row per stratum: its cutoff for each rule, null where none is safe.
+def held_out(doc_id: Column) -> Column:
+    """Whether a label is kept for counting the realised loss."""
+    return F.conv(F.substring(F.md5(doc_id.cast("string")), 1, 4), 16, 10).cast("int") % HOLDOUT == 0
 
-    scored: doc_id, stratum and the statistics of features(). labels: doc_id,
-    quality (1: good); rows with null or other values are not used. Only good
-    documents that pass the base rules count: the others are lost or wanted
-    lost already.
+
+def good_ones(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """scored rows of documents labelled good that pass the base rules: the others are lost or wanted lost already."""
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    return scored.filter(~base_failed()).join(good, "doc_id", "left_semi")
+
+
+def steps(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
+    """One row per stratum with labels, and the pool's with a null stratum: its strictest safe step, 0 where none is.
+
+    scored: doc_id, stratum (not null) and the statistics of features().
+    labels: doc_id, quality (1: good); rows with null or other values are not used.
     """
-    good = labels.filter("quality = 1").groupBy("doc_id").agg(F.lit(1).alias("_good"))
-    seen = scored.filter(~base_failed()).join(good, "doc_id", "left_semi")
-    lost = [F.count_if(F.expr(_over(r, str(c)))).alias(f"{r}_{c}") for r, (_, _, ladder) in RULES.items() for c in ladder]
-    counts = seen.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *lost)
-    tests = F.lit(len(RULES)) * F.col("strata")
-    a = risk.alpha / len(RULES)
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(k).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}").alias("k")) for r, (_, _, ladder) in RULES.items() for k, c in enumerate(ladder)])
+    seen = good_ones(scored, labels).filter(~held_out(F.col("doc_id")))
+    lost = [F.count_if(F.expr(_over(str(k)))).alias(f"k{k}") for k in range(1, STEPS + 1)]
+    counts = Scratch(scored.sparkSession, "quality_counts").write(seen.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *lost), "counts")
+    tests = counts.count() + 1
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *[f"k{k}" for k in range(1, STEPS + 1)]]]
+    both = counts.unionByName(counts.agg(F.lit(None).cast("string").alias("stratum"), *sums))
+    each = F.array(*[F.struct(F.lit(k).alias("step"), F.col(f"k{k}").alias("k")) for k in range(1, STEPS + 1)])
+    tested = both.select("stratum", "n", F.explode(each).alias("x")).select("stratum", "n", "x.*")
     # P(Bin(n, a) <= k) <= level  <=>  the Clopper-Pearson upper bound for k of n is at most a.
+    a = risk.alpha
     tail = f"""aggregate(sequence(1L, greatest(k, 1L)), named_struct('t', n * ln(1 - {a!r}D), 's', exp(n * ln(1 - {a!r}D))),
         (acc, i) -> if(i > k, acc, named_struct('t', acc.t + ln((n - i + 1) / cast(i as double)) + ln({a!r}D / (1 - {a!r}D)),
                                                 's', acc.s + exp(acc.t + ln((n - i + 1) / cast(i as double)) + ln({a!r}D / (1 - {a!r}D))))), acc -> acc.s)"""
-    tested = counts.crossJoin(F.broadcast(counts.agg(F.count(F.lit(1)).alias("strata")))).select("stratum", "n", tests.alias("tests"), F.explode(steps).alias("x")).select("stratum", "n", "tests", "x.*")
-    bound = tested.withColumn("safe", F.expr(f"if(k > n * {a!r}D, false, {tail} <= {risk.delta!r}D / tests)"))
-    first_bad = F.min(F.when(~F.col("safe"), F.col("step")))
-    per_rule = bound.groupBy("stratum", "rule").agg(F.max(F.struct("step", "cutoff")).alias("last"), first_bad.alias("bad"), F.collect_list(F.struct("step", "cutoff")).alias("all"))
-    taken = per_rule.select("stratum", "rule", F.when(F.col("bad").isNull(), F.col("last.cutoff")).otherwise(F.expr("get(filter(all, x -> x.step = bad - 1), 0).cutoff")).alias("cutoff"))
-    return taken.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    bound = tested.withColumn("safe", F.expr(f"if(k > n * {a!r}D, false, {tail} <= {risk.delta!r}D / {tests})"))
+    return bound.groupBy("stratum").agg((F.coalesce(F.min(F.when(~F.col("safe"), F.col("step"))), F.lit(STEPS + 1)) - 1).alias("step"))
+
+
+def _applied(chosen: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The strata's own steps, and columns for the step that a row takes and for where it comes from, once they are attached."""
+    pool = chosen.filter("stratum is null").first()["step"]
+    step = F.when(F.coalesce("own", F.lit(0)) > 0, F.col("own")).otherwise(F.lit(pool))
+    source = F.when(F.coalesce("own", F.lit(0)) > 0, "own").when(F.lit(pool > 0), "pool").otherwise("none")
+    return chosen.filter("stratum is not null").select("stratum", F.col("step").alias("own")), step, source
 
 
 def rejected() -> Column:
-    """Whether any rule of the row's stratum rejects it."""
-    out = F.lit(False)
-    for r in RULES:
-        out = out | F.coalesce(F.expr(_over(r, f"cut_{r}")), F.lit(False))
-    return out
+    """Whether a rule rejects a row at its step."""
+    return (F.col("step") > 0) & F.expr(_over("greatest(step, 1)"))
 
 
-def verdict(scored: DataFrame, cuts: DataFrame) -> DataFrame:
-    """scored with base_failed, kept and the cutoffs of its stratum (null: rule not used there)."""
-    ruled = attach(scored, cuts, ["stratum"], "doc_id")
+def verdict(scored: DataFrame, chosen: DataFrame) -> DataFrame:
+    """scored with base_failed, kept, step (0: no cutoffs) and its source (own, pool, none)."""
+    own, step, source = _applied(chosen)
+    ruled = attach(scored, own, ["stratum"], "doc_id").withColumns({"step": step, "source": source}).drop("own")
     return ruled.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected())
 
 
+def realised_loss(judged: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per stratum of verdict()'s rows: labelled good documents that no step was chosen by, and how many of them are lost."""
+    kept_apart = good_ones(judged, labels).filter(held_out(F.col("doc_id")))
+    return kept_apart.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_holdout"), F.count_if(~F.col("kept")).alias("n_holdout_lost"))
+
+
 def stratum_of(docs: DataFrame) -> Column:
     """Documents without a language form a stratum of their own."""
     return F.coalesce(F.col("lang"), F.lit("?")) if "lang" in docs.columns else F.lit("?")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """One row per document: doc_id, the base statistics, base_failed, kept, stratum and its cutoffs.
+    """One row per document: doc_id, the base statistics, base_failed, kept, stratum, step, source, and of its stratum n_holdout and n_holdout_lost.
 
-    A null text counts as empty and fails the base rules. Repeated rows are
-    judged one by one. Other columns of docs are not looked at. Empty docs
-    give an empty result; empty labels give no cutoffs, so that only the base
-    rules reject.
+    A null text counts as empty and fails the base rules; a null language is a
+    stratum of its own; a null doc_id has no label. Texts are judged whole,
+    whatever their length. Repeated rows are judged one by one. Other columns
+    of docs are not looked at, whatever their names. Empty docs give an empty
+    result; empty labels give no cutoffs, so that only the base rules reject.
     """
     slim = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"))
     scratch = Scratch(docs.sparkSession, "quality")
     scored = scratch.write(features(slim).drop("text"), "features")
-    cuts = scratch.write(cutoffs(scored, labels, risk), "cutoffs")
-    return verdict(scored, cuts).select("doc_id", *BASE, "base_failed", "kept", "stratum", *[f"cut_{r}" for r in RULES])
+    judged = verdict(scored, scratch.write(steps(scored, labels, risk), "steps"))
+    loss = attach(judged, scratch.write(realised_loss(judged, labels), "loss"), ["stratum"], "doc_id")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return loss.select("doc_id", *BASE, "base_failed", "kept", "stratum", F.col("step").cast("int").alias("step"), "source", zero("n_holdout"), zero("n_holdout_lost"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The documents that the rules keep, with their columns unchanged.
+    """The documents that the rules keep, with their columns unchanged, whatever their names; cases as in quality_report().
 
     The statistics are computed beside the text, so no text is shuffled: for
-    the labelled good documents to find the cutoffs, then for all to filter.
+    the labelled good documents to find the steps, then for all to filter.
     """
     good = labels.filter("quality = 1").select("doc_id").distinct()
-    few = good.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     scratch = Scratch(docs.sparkSession, "quality")
-    slim = docs.select("doc_id", "text", stratum_of(docs).alias("stratum")).join(F.broadcast(good) if few else good, "doc_id", "left_semi")
+    slim = docs.select("doc_id", "text", stratum_of(docs).alias("stratum")).join(sized(good), "doc_id", "left_semi")
     scored = scratch.write(features(slim).drop("text"), "features")
+    own, step, _ = _applied(scratch.write(steps(scored, labels, risk), "steps"))
     # The base limits come from the joined side as well: a filter that needs only the statistics would be
     # pushed below them, and their array expressions evaluated again for every element.
-    cuts = scratch.write(cutoffs(scored, labels, risk).withColumns({"_least": F.lit(10), "_most": F.lit(20)}), "cutoffs")
-    hidden = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"), *[F.col(c).alias(f"_in_{i}") for i, c in enumerate(docs.columns)])
-    ruled = attach(features(hidden), cuts, ["stratum"], "doc_id")
+    limits = own.withColumns({"_least": F.lit(10), "_most": F.lit(20)})
+    hidden = docs.select("doc_id", "text", stratum_of(docs).alias("stratum"), *[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)])
+    ruled = attach(features(hidden), limits, ["stratum"], "doc_id").withColumn("step", step)
     failed = (F.col("n_words") < F.coalesce("_least", F.lit(10))) | (100 * F.col("n_repeat_words") > F.coalesce("_most", F.lit(20)) * F.col("n_words"))
     # coalesce keeps Spark from inferring "is not null" filters on the statistics and pushing those down.
     return ruled.filter(F.coalesce(~(failed | rejected()), F.lit(False))).select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    used = F.concat_ws(" ", *[F.format_string(f"{r}=%s", F.coalesce(F.col(f"cut_{r}").cast("string"), F.lit("-"))) for r in RULES])
-    return report.withColumn("cutoffs", used).drop(*[f"cut_{r}" for r in RULES])
+    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _sql() -> str:
-    a, level = Risk().alpha / len(RULES), Risk().delta
-    tests = "\nUNION ALL\n".join(
-        f"SELECT stratum, '{r}' AS rule, {k} AS step, {c} AS cutoff, count(*) AS n, count(*) FILTER (WHERE {_over(r, str(c))}) AS k FROM seen GROUP BY stratum" for r, (_, _, ladder) in RULES.items() for k, c in enumerate(ladder)
-    )
-    cuts = ", ".join(f"max(CASE WHEN rule = '{r}' THEN cutoff END) AS cut_{r}" for r in RULES)
-    used = ", ".join(f"'{r}=' || coalesce(cut_{r}::VARCHAR, '-')" for r in RULES)
-    over = " OR ".join(f"coalesce({_over(r, f'cut_{r}')}, false)" for r in RULES)
+    a, level = Risk().alpha, Risk().delta
+    over = lambda k: "(" + " OR ".join(f"{x} > {ladder[k]} * {y}" for x, y, ladder in RULES.values()) + ")"
+    tests = "\nUNION ALL\n".join(f"SELECT stratum, {k + 1} AS step, count(*) AS n, count(*) FILTER (WHERE {over(k)}) AS k FROM cal GROUP BY stratum" for k in range(STEPS))
+    lost = " ".join(f"WHEN {k + 1} THEN {over(k)}" for k in range(STEPS))
     return rf"""
 WITH w AS (
   SELECT doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS text,
@@ -189,23 +214,27 @@ f AS (
          len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
          coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-seen AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, ('0x' || md5(doc_id::VARCHAR)[1:4])::INT % {HOLDOUT} = 0 AS apart FROM f),
+good AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+cal AS (SELECT * FROM good WHERE NOT apart UNION ALL SELECT * REPLACE (NULL AS stratum) FROM good WHERE NOT apart),
 tests AS ({tests}),
 judged AS (
   SELECT *, CASE WHEN k > n * {a!r} THEN false ELSE
     list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a!r}) + (n - i) * ln(1 - {a!r}))))
-      <= {level!r} / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM seen)) END AS safe
+      <= {level!r} / (SELECT count(DISTINCT stratum) + 1 FROM tests) END AS safe
   FROM tests),
-bad AS (SELECT stratum, rule, min(CASE WHEN NOT safe THEN step END) AS bad FROM judged GROUP BY stratum, rule),
-cuts AS (
-  SELECT stratum, {cuts} FROM (
-    SELECT j.stratum, j.rule, arg_max(cutoff, step) FILTER (WHERE bad IS NULL OR step < bad) AS cutoff
-    FROM judged j JOIN bad ON j.stratum = bad.stratum AND j.rule = bad.rule GROUP BY j.stratum, j.rule)
-  GROUP BY stratum)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT ({over}) AS kept, b.stratum, concat_ws(' ', {used}) AS cutoffs
-FROM b LEFT JOIN cuts ON b.stratum = cuts.stratum
+own AS (SELECT stratum, (coalesce(min(CASE WHEN NOT safe THEN step END), {STEPS + 1}) - 1)::INT AS step FROM judged GROUP BY stratum),
+pool AS (SELECT coalesce(max(step), 0) AS p FROM own WHERE stratum IS NULL),
+v AS (
+  SELECT b.*, CASE WHEN coalesce(own.step, 0) > 0 THEN own.step ELSE p END AS step,
+         CASE WHEN coalesce(own.step, 0) > 0 THEN 'own' WHEN p > 0 THEN 'pool' ELSE 'none' END AS source
+  FROM b CROSS JOIN pool LEFT JOIN own ON b.stratum = own.stratum),
+k AS (SELECT *, NOT base_failed AND NOT (CASE step {lost} ELSE false END) AS kept FROM v),
+h AS (SELECT stratum, count(*) AS n_holdout, count(*) FILTER (WHERE NOT kept) AS n_holdout_lost FROM k
+      WHERE apart AND NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, k.stratum, step::INT AS step, source,
+       coalesce(n_holdout, 0) AS n_holdout, coalesce(n_holdout_lost, 0) AS n_holdout_lost
+FROM k LEFT JOIN h ON k.stratum = h.stratum
 """
 
 

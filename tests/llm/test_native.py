@@ -1,5 +1,6 @@
 """URL filters, quality rules, mixing, sharding: rules told again in Python."""
 
+import hashlib
 import zlib
 from collections import Counter
 from datetime import datetime
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm.mixing import mix, rates
-from lorespark.llm.quality import Risk, cutoffs, features, keep_good, quality_report
+from lorespark.llm.quality import HOLDOUT, RULES, STEPS, Risk, features, keep_good, quality_report, steps
 from lorespark.llm.sharding import Topology, shard
 from lorespark.llm.url_filter import filter_urls
 
@@ -62,27 +63,47 @@ def test_features(spark, text):
     assert tuple(got) == brute_features(text)
 
 
-def test_cutoffs_hold_the_exact_bound(spark):
-    """2,000 good documents of one language; scores such that some cutoffs are safe and stricter ones are not."""
-    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20)) + (" " + "#" * 40 if i % 400 == 0 else " ##" if i % 20 == 0 else "")
-    rows = [(i, text(i), "en", "s") for i in range(2000)] + [(5000 + i, text(i * 20), "xx", "s") for i in range(20)]
-    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows] + [(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
+def brute_steps(good, risk):
+    """Strictest safe step of each stratum and of the pool (None), by the exact binomial tail in whole numbers of rows."""
+    groups = {None: []}
+    for doc_id, stratum, text in good:
+        n_words, chars, symbols, dup, rep = brute_features(text)
+        lines = sum(1 for x in text.split("\n") if x.split())
+        if n_words < 10 or 100 * rep > 20 * n_words or int(hashlib.md5(str(doc_id).encode()).hexdigest()[:4], 16) % HOLDOUT == 0:
+            continue
+        scores = (1000 * symbols, chars), (1000 * dup, lines), (1000 * rep, n_words), (100 * chars, n_words)
+        for s in (stratum, None):
+            groups.setdefault(s, []).append([any(x > ladder[k] * y for (x, y), (_, _, ladder) in zip(scores, RULES.values(), strict=True)) for k in range(STEPS)])
+    out = {}
+    for s, rows in groups.items():
+        out[s] = STEPS
+        for k in range(STEPS):
+            n, lost = len(rows), sum(r[k] for r in rows)
+            if sum(comb(n, i) * risk.alpha**i * (1 - risk.alpha) ** (n - i) for i in range(lost + 1)) > risk.delta / len(groups):
+                out[s] = k
+                break
+    return out
+
+
+def test_steps_hold_the_exact_bound(spark):
+    """Good documents of three languages; en's first steps are safe and stricter ones are not, xx has too few labels and takes the pool's."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(20)) + (" " + "#" * 40 if i % 400 == 0 else " ##########" if i % 20 == 0 else "")
+    rows = [(i, text(i), "en", "s") for i in range(2000)] + [(5000 + i, text(i * 20 + 1), "xx", "s") for i in range(20)] + [(6000 + i, text(7), None, "s") for i in range(3)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in rows[:-3]] + [(1, 1, 0), (2, 0, 0), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     df, risk = docs(spark, rows), Risk(alpha=0.02, delta=0.05)
-    scored = features(df.withColumnRenamed("lang", "stratum"))
-    cuts = {r["stratum"]: r for r in cutoffs(scored, labels, risk).collect()}
-    assert cuts["xx"]["cut_symbols"] is None
-    a, level, best = 0.005, 0.05 / 8, None
-    facts = [f for f in (brute_features(t) for _, t, lang, _ in rows if lang == "en") if f[0] >= 10 and 100 * f[4] <= 20 * f[0]]
-    for c in [500, 300, 200, 150, 100, 70, 50]:
-        k = sum(1000 * f[2] > c * f[1] for f in facts)
-        if sum(comb(len(facts), i) * a**i * (1 - a) ** (len(facts) - i) for i in range(k + 1)) > level:
-            break
-        best = c
-    assert cuts["en"]["cut_symbols"] == best
-    report = {r["doc_id"]: r["kept"] for r in quality_report(df, labels, risk).collect()}
-    kept = keep_good(df, labels, risk)
-    assert kept.columns == df.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, k in report.items() if k)
+    scored = features(df.select("doc_id", "text", F.coalesce("lang", F.lit("?")).alias("stratum")))
+    got = {r["stratum"]: r["step"] for r in steps(scored, labels, risk).collect()}
+    assert got == brute_steps([(i, lang, t) for i, t, lang, _ in rows[:-3]], risk)
+    assert 0 < got["en"] < STEPS and got["xx"] == 0 and got[None] > 0
+    report = {r["doc_id"]: r for r in quality_report(df, labels, risk).collect()}
+    assert {r["stratum"]: (r["step"], r["source"]) for r in report.values()} == {"en": (got["en"], "own"), "xx": (got[None], "pool"), "?": (got[None], "pool")}
+    assert report[400]["kept"] is False and report[6000]["kept"] and report[1]["n_holdout"] > 300
+    apart = [r for i, r in report.items() if i < 2000 and int(hashlib.md5(str(i).encode()).hexdigest()[:4], 16) % HOLDOUT == 0 and not r["base_failed"]]
+    assert (report[1]["n_holdout"], report[1]["n_holdout_lost"]) == (len(apart), sum(not r["kept"] for r in apart))
+    clash = df.withColumns({"stratum": F.lit(1), "own": F.lit(2), "step": F.lit(3), "n_words": F.lit(4), "a.b": F.lit(5)})
+    kept = keep_good(clash, labels, risk)
+    assert kept.columns == clash.columns
+    assert sorted(r["doc_id"] for r in kept.filter("own = 2 and step = 3 and n_words = 4").collect()) == sorted(i for i, r in report.items() if r["kept"])
 
 
 def test_quality_without_labels_or_rows(spark):
