@@ -57,28 +57,46 @@ def _cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all")), step, lambda acc: acc["all"])
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: docs' columns, and copy (from 0), copies and shuffle_key.
+#: Rows without a doc_id are dealt over so many keys more, for they may share one text.
+SPREAD = 1024
+NEW = ["copy", "copies", "shuffle_key"]
 
-    A null source is a source of its own, a null text has no bytes. Rows that
-    repeat a doc_id share its draw. Columns of docs named like the three new
-    ones are replaced. Empty docs give an empty mix. Rates above about 700
-    would underflow the first term; they are split into equal parts by a
-    larger ``epochs`` call and are refused here.
-    """
-    docs = docs.drop("copy", "copies", "shuffle_key")
+
+def _mixed(docs: DataFrame, weights: DataFrame | None, epochs: float, seed: int) -> DataFrame:
+    """The columns of docs by position (c0, c1, ...), and those of NEW."""
     table = rates(docs, weights, epochs)
     parts = F.greatest(F.ceil(F.col("rate") / LARGEST), F.lit(1)).cast("int")
     cdfs = table.select(F.col("source").alias("_source"), parts.alias("_parts"), _cdf(F.col("rate") / parts).alias("_cdf"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
-    drawn = docs.withColumns({"_source": F.coalesce("source", F.lit("?")), "_key": key})
-    met = attach(drawn, cdfs, ["_source"], "doc_id", "inner")
+    deal = F.when(F.col("doc_id").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(0)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    drawn = docs.select(*columns, F.coalesce("source", F.lit("?")).alias("_source"), key.alias("_key"), deal.alias("_deal"))
+    met = attach(drawn, cdfs, ["_source"], "_key", "inner")
     # The first part's uniform is hashed from seed and doc_id alone, those of further parts from their number too.
     uniforms = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: _uniform(F.lit(str(seed)), F.col("_key"), F.when(j > 0, j.cast("string"))))
     counted = met.withColumn("_us", uniforms).withColumn("copies", F.expr("aggregate(_us, 0, (n, u) -> n + size(filter(_cdf, c -> c <= u)))"))
-    copies = counted.filter("copies > 0").drop("_source", "_key", "_us", "_parts", "_cdf").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col("doc_id"), F.col("copy"))))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key").select(*docs.columns, "copy", "copies", "shuffle_key")
+    copies = counted.filter("copies > 0").drop("_source", "_us", "_parts", "_cdf").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)")))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.col("_key"), F.col("copy"))))
+    return keyed.repartition("shuffle_key", "_deal").sortWithinPartitions("shuffle_key").drop("_key", "_deal")
+
+
+def mix(docs: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus: docs' columns, and copy (from 0), copies and shuffle_key.
+
+    A null source is a source of its own; a null or empty text has no bytes,
+    but is drawn like the others of its source; texts of any length go whole.
+    Rows that repeat a doc_id share its draw; a null doc_id is drawn by its
+    text. Columns of docs named like the three new ones are replaced (mix_rows
+    keeps them); any other names stay. Empty docs give an empty mix. A rate
+    above LARGEST is drawn as the sum of equal parts, so none underflows.
+    """
+    out = _mixed(docs, weights, epochs, seed)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in NEW], *NEW)
+
+
+def mix_rows(docs: DataFrame, weights: DataFrame | None = None, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+    """mix() with docs' columns alone, whatever their names."""
+    return _mixed(docs, weights, epochs, seed).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
