@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import documents
+from lorespark.llm.common import Scratch, documents
 
 #: Sub-ranges that each shard's slots are counted in; fixed, so the table of counts has a proven bound.
 RANGES = 1024
@@ -46,20 +46,24 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
 
 
-def _winner(level: str, node: Column, weights: Column, key: Column) -> Column:
-    """Index of the child of a node with the smallest exponential draw -ln(u) / weight."""
+def _hex(hashed: Column, digits: int) -> Column:
+    return F.conv(F.substring(hashed, 1, digits), 16, 10)
+
 
-    def draw(weight: Column, i: Column) -> Column:
-        hashed = F.md5(F.concat_ws("/", F.lit(level), node, i, key))
-        u = (F.conv(F.substring(hashed, 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
-        return F.struct((-F.ln(u) / weight).alias("e"), i.alias("i"))
+def _draw(level: str, node: Column, child: Column, weight: Column, key: Column) -> Column:
+    """Exponential draw -ln(u) / weight of a child of a node."""
+    u = (_hex(F.md5(F.concat_ws("/", F.lit(level), node, child.cast("string"), key)), 12).cast("double") + 0.5) / float(2**48)
+    return -F.ln(u) / weight
 
-    return F.when(F.size(weights) == 1, F.lit(0)).otherwise(F.array_min(F.transform(weights, draw))["i"])
+
+def _winner(level: str, node: Column, weights: Column, key: Column) -> Column:
+    """(e, i): the smallest draw among the children of a node, and which one drew it."""
+    return F.array_min(F.transform(weights, lambda weight, i: F.struct(_draw(level, node, i, weight, key).alias("e"), i.alias("i"))))
 
 
-def descend(rows: DataFrame, tree: Topology, key: str, out: str) -> DataFrame:
-    """rows with the shard number of each key: one draw for its region, one for its rack there, one for its shard there."""
-    w, racks = tree.weights, [len(region) for region in tree.weights]
+def descend(rows: DataFrame, tree: Topology, key: str) -> DataFrame:
+    """rows with shard (one draw for the region, one for the rack there, one for the shard there) and region_draw, the region's."""
+    w = tree.weights
     first, number = [], 0
     for region in w:
         first.append([])
@@ -70,39 +74,46 @@ def descend(rows: DataFrame, tree: Topology, key: str, out: str) -> DataFrame:
     region_w = lit([float(sum(map(sum, region))) for region in w])
     rack_w = lit([[float(sum(rack)) for rack in region] for region in w])
     shard_w = lit([[[float(x) for x in rack] for rack in region] for region in w])
-    assert racks and number == tree.n_shards
     region = rows.withColumn("_region", _winner("region", F.lit("root"), region_w, F.col(key)))
-    rack = region.withColumn("_rack", _winner("rack", F.col("_region").cast("string"), rack_w[F.col("_region")], F.col(key)))
-    node = F.concat_ws(".", F.col("_region"), F.col("_rack"))
-    leaf = rack.withColumn("_leaf", _winner("shard", node, shard_w[F.col("_region")][F.col("_rack")], F.col(key)))
-    return leaf.withColumn(out, (lit(first)[F.col("_region")][F.col("_rack")] + F.col("_leaf")).cast("int")).drop("_region", "_rack", "_leaf")
+    at = F.col("_region.i")
+    rack = region.withColumn("_rack", _winner("rack", at.cast("string"), rack_w[at], F.col(key))["i"])
+    leaf = rack.withColumn("_leaf", _winner("shard", F.concat_ws(".", at.cast("string"), F.col("_rack").cast("string")), shard_w[at][F.col("_rack")], F.col(key))["i"])
+    return leaf.withColumns({"shard": (lit(first)[at][F.col("_rack")] + F.col("_leaf")).cast("int"), "region_draw": F.col("_region.e")}).drop("_region", "_rack", "_leaf")
 
 
-def shard(docs: DataFrame, tree: Topology = Topology.even()) -> DataFrame:
+def shard(docs: DataFrame, tree: Topology = Topology.even(), new_weight: float = 1.0) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Sizes count the UTF-8 bytes of the text (null: none) plus 16. Slots number
-    each shard's rows from 0 without gaps, in the order of a hashed sub-range,
-    then doc_id: sub-range counts are summed first, so no task sorts a whole
-    shard. Repeated rows get slots of their own. A null doc_id is placed by
-    its text.
+    Sizes count the UTF-8 bytes of the text (null: none) plus 16; texts of any
+    length count whole. grown_shard is the shard in Topology.grown(new_weight):
+    only the new region has a draw of its own to make there. Slots number each
+    shard's rows from 0 without gaps, in the order of a hashed sub-range, then
+    doc_id: sub-range counts are summed first, so no task sorts a whole shard.
+    Repeated rows get slots of their own. A null doc_id is placed by its text,
+    and its sub-range by its row. Other columns are not looked at, whatever
+    their names. Empty docs give an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
+    keyed = docs.select(
         "doc_id",
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         _key().alias("_key"),
-    ).withColumn("_range", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot/"), "_key")), 1, 8), 16, 10).cast("bigint"), F.lit(RANGES)).cast("int"))
-    rows = descend(descend(rows, tree, "_key", "shard"), tree.grown(), "_key", "grown_shard").drop("_key")
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id().cast("string")).otherwise("").alias("_row"),
+    )
+    ranged = keyed.withColumn("_range", F.pmod(_hex(F.md5(F.concat(F.lit("slot/"), "_key", "_row")), 8).cast("bigint"), F.lit(RANGES)).cast("int"))
+    new = _draw("region", F.lit("root"), F.lit(len(tree.weights)), F.lit(float(new_weight)), F.col("_key"))
+    grown = F.when(new < F.col("region_draw"), F.lit(tree.n_shards)).otherwise(F.col("shard"))
+    placed = descend(ranged, tree, "_key").withColumn("grown_shard", grown.cast("int")).drop("_key", "_row", "region_draw")
+    rows = Scratch(docs.sparkSession, "sharding").write(placed, "rows")
 
     # At most n_shards * RANGES counts, whatever the input.
     counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("shard", "_range").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    placed = rows.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "_range"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_in")).cast("bigint").alias("slot"), "grown_shard")
+    slotted = rows.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "_range"])
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_in")).cast("bigint").alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
