@@ -6,14 +6,19 @@ every capture is judged by the entries that were active when it was fetched:
 an as-of join on each pattern that could cover its URL. A pattern is a host, a
 parent domain of hosts, or a host with a path prefix of whole segments; the
 most specific active one decides, a block before an allow of equal reach.
+
+Patterns meet by hashes that a fold over labels and segments makes, one step
+for each, so a URL with very many of them costs no more than its length; what
+meets is then compared as text. Intervals stay rows: those of a pattern with
+many of them are cut into days, so that a capture meets those of its day only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import attach
+from lorespark.llm.common import Scratch, attach
 
 ENTRIES = "list_name string, pattern string, action string, since timestamp"
 
@@ -27,58 +32,103 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+#: A pattern with more intervals than this is cut into days.
+MANY = 64
+
+
 def intervals(entries: DataFrame) -> DataFrame:
-    """One row per pattern: its validity intervals (since, until, action, list_name).
+    """pattern, since, until, action, list_name: the validity intervals of every pattern.
 
     Within a list an entry holds until the next one of the same pattern; of
     entries of one moment, a removal comes first, then allow, then block, and
     the last holds. Entries with a null pattern, action or date are left out.
     """
-    from pyspark.sql import Window
-
     order = F.expr("case action when 'remove' then 0 when 'allow' then 1 else 2 end")
     log = Window.partitionBy("list_name", "pattern").orderBy("since", order)
     held = entries.filter("pattern is not null and since is not null and action in ('block', 'allow', 'remove')").withColumn("until", F.lead("since").over(log))
-    active = held.filter("action <> 'remove' and (until is null or until > since)")
-    return active.groupBy("pattern").agg(F.collect_list(F.struct("since", "until", "action", "list_name")).alias("spans"))
+    return held.filter("action <> 'remove' and (until is null or until > since)").select("pattern", "since", "until", "action", "list_name")
 
 
-def patterns_of(url: Column) -> Column:
-    """(reach, pattern) of each pattern that covers a URL: its domains, and its host with each path prefix.
+def _folded(parts: Column, first: Column) -> Column:
+    """Hashes of the first 1, 2, ... parts, each made from the one before."""
+    return F.aggregate(parts, F.struct(first.alias("h"), F.array().cast("array<bigint>").alias("all")), lambda a, x: F.struct(F.xxhash64(a["h"], x).alias("h"), F.concat(a["all"], F.array(F.xxhash64(a["h"], x))).alias("all")), lambda a: a["all"])
 
-    reach orders them by how specific they are: host labels, then path segments.
-    """
-    labels = F.split(host_of(url), r"\.")
-    segments = F.filter(F.split(path_of(url), "/"), lambda x: x != "")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct((n * 1000000).alias("reach"), F.array_join(F.slice(labels, F.size(labels) - n + 1, n), ".").alias("pattern")))
-    paths = F.when(F.size(segments) == 0, F.array().cast("array<struct<reach: int, pattern: string>>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(segments)), lambda n: F.struct((F.size(labels) * 1000000 + n).alias("reach"), F.concat(host_of(url), F.lit("/"), F.array_join(F.slice(segments, 1, n), "/")).alias("pattern")))
-    )
-    return F.when(F.coalesce(host_of(url), F.lit("")) == "", F.array().cast("array<struct<reach: int, pattern: string>>")).otherwise(F.concat(domains, paths))
 
+def _labels(host: Column) -> Column:
+    """Labels of a host from the right."""
+    return F.reverse(F.split(host, r"\."))
 
-def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """One row per distinct (page_id, url, fetched): verdict, the pattern and list that decided, kept.
 
-    captures: page_id, url, fetched (timestamp); other columns are left out.
-    verdict is block, allow or none (no active entry; URLs without a host,
-    null URLs and captures without a time too). kept is false for block.
+def _segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda x: x != "")
+
+
+DOMAIN, PATH = F.lit(1).cast("bigint"), F.lit(2)
+
+
+def _pattern_key(pattern: Column) -> Column:
+    host, path = F.split_part(pattern, F.lit("/"), F.lit(1)), F.regexp_extract(pattern, r"^[^/]*(/.*)$", 1)
+    domain = F.element_at(_folded(_labels(host), DOMAIN), -1)
+    segments = _segments(path)
+    return F.when(F.size(segments) == 0, domain).otherwise(F.element_at(_folded(segments, F.xxhash64(PATH, domain)), -1))
+
+
+def _probes(host: Column, path: Column, labels: Column, segments: Column) -> Column:
+    """(labels, segments, key) of each pattern of at most so many labels and segments that covers a URL; labels, then segments, tell its reach."""
+    shape = "array<struct<labels:int,segments:int,key:bigint>>"
+    all_labels, some_segments = _labels(host), F.slice(_segments(path), F.lit(1), segments)
+    hashes = _folded(all_labels, DOMAIN)
+    domains = F.transform(F.slice(hashes, F.lit(1), labels), lambda h, i: F.struct((i + 1).alias("labels"), F.lit(0).alias("segments"), h.alias("key")))
+    paths = F.transform(_folded(some_segments, F.xxhash64(PATH, F.element_at(hashes, -1))), lambda h, i: F.struct(F.size(all_labels).alias("labels"), (i + 1).alias("segments"), h.alias("key")))
+    return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast(shape)).otherwise(F.concat(domains, F.when(F.size(all_labels) <= labels, paths).otherwise(F.array())).cast(shape))
+
+
+def _pattern_text(host: Column, path: Column, labels: Column, segments: Column) -> Column:
+    """The pattern of a probe as text."""
+    parts = F.split(host, r"\.")
+    domain = F.array_join(F.slice(parts, F.size(parts) - labels + 1, labels), ".")
+    return F.when(segments == 0, domain).otherwise(F.concat(host, F.lit("/"), F.array_join(F.slice(_segments(path), F.lit(1), segments), "/")))
+
+
+def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
+    """One row per capture: page_id, url, fetched, verdict, the pattern and list that decided, kept.
+
+    captures: page_id, url, fetched (timestamp); other columns are left out,
+    whatever their names. verdict is block, allow or none (no active entry;
+    URLs without a host, null URLs and captures without a time too). kept is
+    false for block. Repeated captures come out as often as they came in;
+    null page_ids stay null; URLs of any length are read whole. Empty captures
+    give an empty result, an empty list the verdict none.
     """
-    spans = intervals(entries)
-    probes = captures.select("page_id", "url", "fetched").withColumn("_p", F.explode_outer(patterns_of(F.col("url"))))
-    probes = probes.select("page_id", "url", "fetched", F.col("_p.reach").alias("reach"), F.coalesce("_p.pattern", F.concat(F.lit("/"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("pattern"))
-    met = attach(probes, spans, ["pattern"], "page_id")
-    active = F.expr("filter(spans, x -> x.since <= fetched and (x.until is null or fetched < x.until))")
-    hits = met.withColumn("_hit", F.array_max(F.transform(active, lambda x: F.struct((x["action"] == "block").alias("block"), x["list_name"].alias("list_name")))))
-    best = F.max(F.when(F.col("_hit").isNotNull(), F.struct("reach", F.col("_hit.block").alias("block"), F.col("_hit.list_name").alias("list_name"), "pattern")))
-    judged = hits.groupBy("page_id", "url", "fetched").agg(best.alias("b"))
+    scratch = Scratch(captures.sparkSession, "urls")
+    spans = scratch.write(intervals(entries).withColumn("key", _pattern_key(F.col("pattern"))), "spans")
+    many = spans.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MANY).select("key")
+    hosts = F.split_part("pattern", F.lit("/"), F.lit(1))
+    longest = spans.agg(F.max(F.size(F.split(hosts, r"\."))), F.max(F.size(_segments(F.regexp_extract("pattern", r"^[^/]*(/.*)$", 1))))).first()
+    rows = captures.select("page_id", "url", "fetched", F.monotonically_increasing_id().alias("row")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    probes = rows.withColumn("p", F.explode_outer(_probes(F.col("host"), F.col("path"), F.lit(longest[0] or 0), F.lit(longest[1] or 0)))).select("*", "p.*").drop("p")
+    day = lambda c: F.datediff(c, F.lit("1970-01-01"))
+    if many.isEmpty():
+        dated = spans.withColumn("day", F.lit(-1))
+        probes = probes.withColumn("day", F.lit(-1))
+    else:
+        first, last = captures.agg(F.min(day(F.col("fetched"))), F.max(day(F.col("fetched")))).first()
+        lo, hi = F.greatest(day(F.col("since")), F.lit(first or 0)), F.least(F.coalesce(day(F.col("until")), F.lit(last or 0)), F.lit(last or 0))
+        whole = spans.join(many, "key", "left_anti").withColumn("day", F.lit(-1))
+        dated = whole.unionByName(spans.join(many, "key", "left_semi").filter(lo <= hi).withColumn("day", F.explode(F.sequence(lo, hi))))
+        probes = probes.withColumn("day", F.explode(F.array(F.lit(-1), F.coalesce(day(F.col("fetched")), F.lit(-2)))))
+    met = attach(probes, dated, ["key", "day"], "row")
+    active = (F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until")))
+    meant = F.col("pattern") == _pattern_text(F.col("host"), F.col("path"), F.col("labels"), F.col("segments"))
+    best = F.max(F.when(active & meant, F.struct("labels", "segments", (F.col("action") == "block").alias("block"), "list_name", "pattern")))
+    judged = met.groupBy("row").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "fetched")], best.alias("b"))
     verdict = F.when(F.col("b").isNull(), "none").when(F.col("b.block"), "block").otherwise("allow")
     return judged.select("page_id", "url", "fetched", verdict.alias("verdict"), F.col("b.pattern").alias("pattern"), F.col("b.list_name").alias("list_name"), (verdict != "block").alias("kept"))
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
     """pages as captures: the tables hold no fetch time, so one in 2024 follows from page_id."""
-    day = F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int")
+    day = F.pmod(F.pmod(F.col("page_id"), F.lit(366)) * 37, F.lit(366)).cast("int")
     at = F.expr("timestamp'2024-01-01 00:00:00'") + F.make_dt_interval(day, F.lit(0), F.lit(0), F.pmod(F.col("page_id"), F.lit(86400)))
     return pages.select("page_id", "url", at.alias("fetched"))
 
@@ -104,7 +154,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH u AS (
-  SELECT page_id, url, timestamp '2024-01-01' + to_days(((page_id * 37) % 366)::INT) + to_seconds(page_id % 86400) AS fetched,
+  SELECT row_number() OVER () AS row, page_id, url, timestamp '2024-01-01' + to_days(((page_id % 366 * 37) % 366)::INT) + to_seconds(page_id % 86400) AS fetched,
          rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '.') AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs
   FROM pages),
@@ -123,15 +173,15 @@ t AS (
          lead(timestamp '2024-01-01' + to_days(day)) OVER (PARTITION BY list_name, pattern ORDER BY day, CASE action WHEN 'remove' THEN 0 WHEN 'allow' THEN 1 ELSE 2 END) AS until
   FROM e),
 p AS (
-  SELECT page_id, url, fetched, n * 1000000 AS reach, array_to_string(string_split(host, '.')[-n:], '.') AS pattern
+  SELECT row, n AS labels, 0 AS segments, array_to_string(string_split(host, '.')[-n:], '.') AS pattern
   FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS n FROM u WHERE host <> '')
   UNION ALL
-  SELECT page_id, url, fetched, len(string_split(host, '.')) * 1000000 + n, host || '/' || array_to_string(segs[1:n], '/')
+  SELECT row, len(string_split(host, '.')), n, host || '/' || array_to_string(segs[1:n], '/')
   FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS n FROM u WHERE host <> '')),
 hit AS (
-  SELECT p.page_id, p.url, p.fetched, p.pattern, t.list_name, t.action,
-         row_number() OVER (PARTITION BY p.page_id, p.url, p.fetched ORDER BY reach DESC, action = 'block' DESC, t.list_name DESC) AS n
-  FROM p JOIN t ON p.pattern = t.pattern AND t.action <> 'remove' AND t.since <= p.fetched AND (t.until IS NULL OR p.fetched < t.until))
-SELECT DISTINCT u.page_id, u.url, u.fetched, coalesce(hit.action, 'none') AS verdict, hit.pattern, hit.list_name, coalesce(hit.action, 'none') <> 'block' AS kept
-FROM u LEFT JOIN hit ON u.page_id = hit.page_id AND u.url IS NOT DISTINCT FROM hit.url AND u.fetched = hit.fetched AND hit.n = 1
+  SELECT p.row, p.pattern, t.list_name, t.action,
+         row_number() OVER (PARTITION BY p.row ORDER BY labels DESC, segments DESC, action = 'block' DESC, t.list_name DESC) AS n
+  FROM p JOIN u ON p.row = u.row JOIN t ON p.pattern = t.pattern AND t.action <> 'remove' AND t.since <= u.fetched AND (t.until IS NULL OR u.fetched < t.until))
+SELECT u.page_id, u.url, u.fetched, coalesce(hit.action, 'none') AS verdict, hit.pattern, hit.list_name, coalesce(hit.action, 'none') <> 'block' AS kept
+FROM u LEFT JOIN hit ON u.row = hit.row AND hit.n = 1
 """
