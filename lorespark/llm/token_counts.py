@@ -6,6 +6,11 @@ character sums. The text is split again from a leaf boundary before the edit,
 with two characters of context at least, up to the first leaf boundary behind
 it that the new splitting meets again: from there on every pre-token is what
 it was. Only that region is encoded; the sums on its paths to the root change.
+
+Trees are kept as a table (the text with the sums of its leaves), which a batch
+of edits turns into the next one: a tree is put together again from its leaves
+without splitting or encoding anything, and documents without edits are handed
+on as they are.
 """
 
 from __future__ import annotations
@@ -18,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import documents
+from lorespark.llm.common import Scratch, attach, documents
 
 #: Pre-tokens in a leaf when a tree is built; a leaf that grows to GROWN times that is split by building the tree again.
 LEAF, GROWN = 32, 16
 CACHE = 300_000
 
 EDITS = "array<struct<pos: int, n_delete: int, insert: string>>"
-OUT = "doc_id bigint, n_tokens bigint, n_edits int, n_tokens_edited bigint, n_pieces bigint, n_pieces_reencoded bigint, edited_chars bigint"
+#: A table of trees: n_tokens is the sum at the root; chars, tokens and pieces are those of the leaves.
+TREES = "doc_id bigint, text string, n_tokens bigint, chars array<int>, tokens array<int>, pieces array<int>"
+EDITED = f"{TREES}, n_tokens_before bigint, n_edits int, n_pieces_reencoded bigint"
 
 
 @lru_cache(4)
@@ -56,24 +63,32 @@ class Counter(dict):
 class CountTree:
     """Segment tree over the leaves of one text; node 1 is the root, node i has children 2i and 2i + 1."""
 
-    def __init__(self, count: Counter, text: str):
+    def __init__(self, count: Counter, text: str, leaves: tuple[list[int], list[int], list[int]] | None = None):
+        """Of a text, or of a text and the characters, tokens and pieces of its leaves as leaves() gave them."""
         self.count = count
         self.reencoded = 0
-        self._build(text)
+        if leaves is None:
+            self._build(text)
+        else:
+            self.text = text
+            self._from_leaves(*leaves)
+
+    def leaves(self) -> tuple[list[int], list[int], list[int]]:
+        """Characters, tokens and pieces of the leaves that hold any; the first one always."""
+        held = [i for i in range(self.m, 2 * self.m) if self.pieces[i]] or [self.m]
+        return tuple([x[i] for i in held] for x in (self.chars, self.tokens, self.pieces))
+
+    def _from_leaves(self, *leaves: list[int]) -> None:
+        self.m = 1 << (len(leaves[0]) - 1).bit_length()
+        self.chars, self.tokens, self.pieces = ([0] * self.m + x + [0] * (self.m - len(x)) for x in leaves)
+        for i in range(self.m - 1, 0, -1):
+            self._sum(i)
 
     def _build(self, text: str) -> None:
         self.text = text
         pieces = self.count.pattern.findall(text)
-        n_leaves = max(1, -(-len(pieces) // LEAF))
-        self.m = 1 << (n_leaves - 1).bit_length()
-        self.chars, self.tokens, self.pieces = ([0] * (2 * self.m) for _ in range(3))
-        for i in range(n_leaves):
-            some = pieces[i * LEAF : (i + 1) * LEAF]
-            self.chars[self.m + i] = sum(map(len, some))
-            self.tokens[self.m + i] = sum(map(self.count.__getitem__, some))
-            self.pieces[self.m + i] = len(some)
-        for i in range(self.m - 1, 0, -1):
-            self._sum(i)
+        parts = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._from_leaves([sum(map(len, p)) for p in parts], [sum(map(self.count.__getitem__, p)) for p in parts], [len(p) for p in parts])
 
     def _sum(self, i: int) -> None:
         for x in (self.chars, self.tokens, self.pieces):
@@ -134,46 +149,81 @@ class CountTree:
             self._build(self.text)
 
 
-def count_tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per document: its tokens before and after its edits, and what the edits cost.
+def _rows(schema: str, batches: Iterator[pa.RecordBatch], row) -> Iterator[pa.RecordBatch]:
+    """Batches of what row() makes of each row, few texts at a time."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    fields = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 128):
+            part = batch.slice(begin, 128)
+            rows = [row(*values) for values in zip(*(part[c].to_pylist() for c in part.schema.names), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields.types, strict=True)], schema=fields)
+
+
+def build_trees(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """One row per document, its tree (TREES).
+
+    A null text is empty; a null doc_id stays null; texts of any length are
+    counted whole. Repeated rows give repeated rows; other columns are left
+    out, whatever their names; empty docs give an empty table.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(ranks_path, pattern)
+
+        def row(doc_id, text):
+            tree = CountTree(count, text or "")
+            return doc_id, tree.text, tree.n_tokens, *tree.leaves()
+
+        yield from _rows(TREES, batches, row)
+
+    return docs.select("doc_id", "text").mapInArrow(walk, TREES)
 
-    docs: doc_id, text, edits (EDITS, in order; each position is one of the
-    text as the edits before it left it). A null text is empty, null edits are
-    none, a null insert is empty. Positions outside the text are moved to its
-    end. Repeated rows give repeated rows.
+
+def edit_trees(trees: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The trees (EDITED) after the edits in column ``edits`` (EDITS, in order; each position is one of the text as the edits before it left it).
+
+    Null edits are none, and such a tree is handed on untouched; a null insert
+    is empty; positions outside the text are moved to its end. The result is a
+    table of trees for the next batch of edits.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(ranks_path, pattern)
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        schema = pa.schema(list(zip([c.split()[0] for c in OUT.split(", ")], types, strict=True)))
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(begin, 256), []
-                for doc_id, text, edits in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), part["edits"].to_pylist(), strict=True):
-                    tree = CountTree(count, text or "")
-                    before = tree.n_tokens
-                    for e in edits or []:
-                        tree.edit(e["pos"] or 0, e["n_delete"] or 0, e["insert"] or "")
-                    rows.append((doc_id, before, len(edits or []), tree.n_tokens, tree.pieces[1], tree.reencoded, len(tree.text)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=schema)
-
-    return docs.select("doc_id", "text", "edits").mapInArrow(walk, OUT)
-
-
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the edits of a table (doc_id, edit_no, pos, n_delete, insert) as the array that count_tokens() takes."""
+
+        def row(doc_id, text, n_tokens, chars, tokens, pieces, edits):
+            if not edits:
+                return doc_id, text, n_tokens, chars, tokens, pieces, n_tokens, 0, 0
+            tree = CountTree(count, text, (chars, tokens, pieces))
+            for e in edits:
+                tree.edit(e["pos"] or 0, e["n_delete"] or 0, e["insert"] or "")
+            return doc_id, tree.text, tree.n_tokens, *tree.leaves(), n_tokens, len(edits), tree.reencoded
+
+        yield from _rows(EDITED, batches, row)
+
+    return trees.select("doc_id", "text", "n_tokens", "chars", "tokens", "pieces", "edits").mapInArrow(walk, EDITED)
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """trees (or documents) with the edits of a table (doc_id, edit_no, pos, n_delete, insert) as the array that edit_trees() takes.
+
+    Edits of a doc_id go to every row that has it, in the order of edit_no;
+    a document's edits are gathered in one row, as its text is.
+    """
     one = F.struct("edit_no", F.col("pos").cast("int").alias("pos"), F.col("n_delete").cast("int").alias("n_delete"), "insert")
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_e"))
     bare = F.transform("_e", lambda e: F.struct(e["pos"].alias("pos"), e["n_delete"].alias("n_delete"), e["insert"].alias("insert")))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left").select("doc_id", "text", bare.alias("edits"))
+    return attach(trees.drop("edits"), lists.select("doc_id", bare.alias("edits")), ["doc_id"], "text")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with three edits that follow from doc_id: a word inserted, ten characters cut, five replaced."""
+    """Every document's kept tree after three edits that follow from doc_id: a word inserted, ten characters cut, five replaced."""
     import public_tokenizers
 
-    spot = lambda prime: F.pmod(F.col("doc_id") * prime, F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1))).cast("int").alias("pos")
-    edit = lambda prime, n, text: F.struct(spot(prime), F.lit(n).alias("n_delete"), F.lit(text).alias("insert"))
-    edits = F.array(edit(7919, 0, " revised"), edit(104729, 10, ""), edit(1299709, 5, "it's 42\n"))
-    return count_tokens(documents(spark, sf_dir).withColumn("edits", edits), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coder = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = Scratch(spark, "token_counts").write(build_trees(documents(spark, sf_dir), *coder), "trees")
+    spot = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.greatest(F.length("text"), F.lit(1))).cast("int").alias("pos")
+    edit = lambda salt, n, text: F.struct(spot(salt), F.lit(n).alias("n_delete"), F.lit(text).alias("insert"))
+    edited = edit_trees(trees.withColumn("edits", F.array(edit(1, 0, " revised"), edit(2, 10, ""), edit(3, 5, "it's 42\n"))), *coder)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return edited.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), total("pieces").alias("n_pieces"), "n_pieces_reencoded", total("chars").alias("edited_chars"))

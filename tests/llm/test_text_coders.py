@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 
 from lorespark.llm import bpe
-from lorespark.llm.token_counts import CountTree, count_tokens, counter, with_edits
+from lorespark.llm.token_counts import CountTree, build_trees, counter, edit_trees, op2_token_counts, with_edits
 from lorespark.llm.warc import read_warc, salvage, write_warc
 
 WORD, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -101,12 +101,38 @@ def test_edits_reencode_little():
     assert tree.reencoded < 200 and tree.n_tokens == len(tree.count.coder.encode_ordinary(tree.text))
 
 
-def test_count_tokens_odd_rows(spark):
-    df = spark.createDataFrame([(1, "hello world", "en"), (2, None, "en"), (None, "", "en"), (1, "hello world", "en")], DOCS)
+def test_trees_are_kept_between_edits():
+    """A tree put together from its leaves goes on as the one they came from."""
+    count, rng = counter(RANKS, P.PATTERN), random.Random(9)
+    for s in ["", *texts(10, 40, "ab cd's  \n 12!é日", 2500)]:
+        one, two = CountTree(count, s), CountTree(count, s)
+        for _ in range(5):
+            edit = rng.randint(0, len(s) + 3), rng.choice([0, 3, 900, 5000]), rng.choice(["", "x y", "long " * 300])
+            one.edit(*edit)
+            two = CountTree(count, two.text, two.leaves())
+            two.edit(*edit)
+            assert (two.text, two.n_tokens, two.pieces[1]) == (one.text, one.n_tokens, one.pieces[1])
+            assert two.n_tokens == len(count.coder.encode_ordinary(two.text))
+
+
+def test_edited_trees_odd_rows(spark):
+    df = spark.createDataFrame([(1, "hello world", "en"), (2, None, "en"), (None, "", "en"), (1, "hello world", "en"), (1 << 62, "a" * 50, "en")], "doc_id bigint, text string, edits string")
     edits = spark.createDataFrame([(1, 0, 5, 0, " big"), (1, 1, 0, 5, "bye"), (2, 0, 7, 9, None), (9, 0, 0, 0, "x")], "doc_id bigint, edit_no int, pos int, n_delete int, insert string")
-    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_edits"], r["edited_chars"]) for r in count_tokens(with_edits(df, edits), RANKS, P.PATTERN).collect())
-    assert got == [("1", 2, 2, 13), ("1", 2, 2, 13), ("2", 0, 1, 0), ("None", 0, 0, 0)]
-    assert count_tokens(with_edits(df.limit(0), edits), RANKS, P.PATTERN).count() == 0
+    trees = build_trees(df, RANKS, P.PATTERN)
+    once = edit_trees(with_edits(trees, edits), RANKS, P.PATTERN)
+    n = len(counter(RANKS, P.PATTERN).coder.encode_ordinary("a" * 50))
+    row = lambda r: (str(r["doc_id"]), r["n_tokens_before"], r["n_tokens"], r["n_edits"], len(r["text"]))
+    assert sorted(map(row, once.collect())) == [("1", 2, 3, 2, 13), ("1", 2, 3, 2, 13), ("2", 0, 0, 1, 0), (str(1 << 62), n, n, 0, 50), ("None", 0, 0, 0, 0)]
+    twice = edit_trees(with_edits(once, edits.filter("doc_id = 1 and edit_no = 1")), RANKS, P.PATTERN)
+    assert sorted(r["text"] for r in twice.filter("doc_id = 1").collect()) == ["byeig world"] * 2
+    assert edit_trees(with_edits(build_trees(df.limit(0), RANKS, P.PATTERN), edits), RANKS, P.PATTERN).count() == 0
+
+
+def test_op2_with_large_and_null_ids(spark, tmp_path):
+    df = spark.createDataFrame([(1 << 62, "a b c d e f g " * 9, "en"), (-5, "x", "en"), (None, None, "en")], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op2_token_counts(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and all(r["n_edits"] == 3 for r in got)
 
 
 def pages(spark, rows):
