@@ -9,7 +9,7 @@ from lorespark.llm.sharding import op8_sharding
 from lorespark.llm.substring import op6_substring_dedup
 from lorespark.llm.token_counts import op2_token_counts
 from lorespark.llm.url_filter import OP1_SQL, op1_url_filters
-from lorespark.llm.warc import OP9_SQL, op9_warc
+from lorespark.llm.warc import OP9_SQL, WARC_SALVAGE_SQL, op9_warc, warc_salvage
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
@@ -21,6 +21,7 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_sharding": op8_sharding,
     "op9_warc": op9_warc,
+    "warc_salvage": warc_salvage,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLE_SQL = {
@@ -28,5 +29,6 @@ ORACLE_SQL = {
     "op5_mix_sources": OP5_SQL,
     "op7_quality_rules": OP7_SQL,
     "op9_warc": OP9_SQL,
+    "warc_salvage": WARC_SALVAGE_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -5,10 +5,14 @@ Spark's text writer joins records by the two blank lines that end a record in
 the format; the commit protocol makes the files safe against lost executors.
 Reading takes each archive as bytes and walks it record by record. A record
 that fails a check (version line, headers, length, end mark, payload digest)
-is quarantined: the reader searches for the next version line, logs the bytes
-between as a gap with its reason, and goes on from there. Each gzip member of
-a compressed archive is inflated and walked likewise; after a damaged member
-the search is for the next one.
+is quarantined, and the bytes up to where the walk goes on are logged as a gap
+with its reason. Where the record's length was sound (only the digest differs)
+that is its end, so what its payload quotes is not taken for records.
+Otherwise the reader searches for the next version line; what it finds may lie
+inside the damaged record, and says so, up to the next gap or to where the
+damaged record claims to end. Each gzip member of a compressed archive is
+inflated and walked likewise; after a damaged member the search is for the
+next one.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from lorespark.llm.common import Scratch, attach
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "2024-01-01T00:00:00Z"
-#: An archive holds at most so many records, so that one fits in a reader's memory.
-RECORDS_PER_FILE = 1000
+#: Records of an archive by the largest payload in it, (bytes, records): about 64 MB, so that one fits in a reader's memory.
+#: Larger payloads go one to an archive.
+ARCHIVES = ((64 << 10, 1000), (1 << 20, 64), (16 << 20, 4), (1 << 62, 1))
+#: Bytes that one gzip member may inflate to.
+INFLATED = 1 << 30
 
 RECORDS = (
     "path string, offset bigint, length bigint, kind string, reason string, record_type string, page_id bigint, url string,"
@@ -58,35 +65,54 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return marked.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("_last")), F.col("_last"))).drop("_last")
 
 
-def record_text(pages: DataFrame) -> DataFrame:
-    """One column, the record of each row of with_revisits() without its end mark."""
+def record_text(pages: DataFrame, damage: Column | None = None) -> DataFrame:
+    """Columns value, the record of each row of with_revisits() without its end mark, and payload_bytes.
+
+    damage, for drills, spoils records: 1 states a wrong digest, 2 a length
+    that is seven bytes too long, 3 has no version line; others spoil nothing.
+    """
+    damage = F.lit(0) if damage is None else F.coalesce(damage, F.lit(0))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}"), line("Content-Length", F.col("payload_bytes").cast("string")), F.lit(CRLF))
     block = F.concat(http, F.when(revisit, F.lit("")).otherwise(F.col("html")))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     optional = lambda name, value: F.coalesce(line(name, value), F.lit(""))
+    digest = F.when(damage == 1, F.translate("payload_digest", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "BCDEFGHIJKLMNOPQRSTUVWXYZ234567A")).otherwise(F.col("payload_digest"))
     header = F.concat(
-        F.lit(f"WARC/1.1{CRLF}"),
+        F.when(damage == 3, F.lit(f"WARC/?.?{CRLF}")).otherwise(F.lit(f"WARC/1.1{CRLF}")),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         optional("WARC-Record-ID", urn("page_id")),
         F.lit(f"WARC-Date: {WRITTEN}{CRLF}"),
         optional("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", "%0A")),
         optional("WARC-Refers-To", urn("refers_to")),
         F.when(revisit, F.lit(f"WARC-Profile: {PROFILE}{CRLF}")).otherwise(F.lit("")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{CRLF}"),
-        line("Content-Length", F.octet_length(block).cast("string")),
+        line("Content-Length", (F.octet_length(block) + F.when(damage == 2, 7).otherwise(0)).cast("string")),
         F.lit(CRLF),
     )
-    return pages.select(F.concat(header, block).alias("value"))
+    return pages.select(F.concat(header, block).alias("value"), "payload_bytes")
 
 
-def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    """Write pages (page_id, url, html; other columns are left out) as archives into a new folder."""
-    records = record_text(with_revisits(pages, least_bytes))
-    records.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, damage: Column | None = None) -> None:
+    """Write pages (page_id, url, html; other columns are left out, whatever their names) as archives into a new folder.
+
+    Null html is an empty payload, a null url or page_id leaves its header
+    out; repeated rows make a record each. Archives are bounded by bytes:
+    pages are written by classes of size, the larger the fewer to a file.
+    Empty pages make a folder without records.
+    """
+    records = record_text(with_revisits(pages.select("page_id", "url", "html"), least_bytes), damage)
+    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    below = -1
+    for most, n in ARCHIVES:
+        some = records.filter((F.col("payload_bytes") > below) & (F.col("payload_bytes") <= most)) if largest > ARCHIVES[0][0] else records
+        some.select("value").write.mode("append").option("lineSep", CRLF * 2).option("maxRecordsPerFile", n).text(path)
+        below = most
+        if largest <= most:
+            break
 
 
 _VERSION = re.compile(rb"(?<![^\n])WARC/1\.[01]\r\n")
@@ -110,31 +136,31 @@ def _verified(stated: str, payload: bytes) -> bool | None:
     return value.lower() == raw.hex() or value.upper() == base64.b32encode(raw).decode().rstrip("=") or value in [f(raw).decode().rstrip("=") for f in (base64.b64encode, base64.urlsafe_b64encode)]
 
 
-def _record(data: bytes, at: int) -> tuple[int, dict] | str:
-    """The record at an offset and the offset after it, or what is wrong with it."""
+def _record(data: bytes, at: int) -> tuple[int, dict] | tuple[int, str]:
+    """The offset after the record at an offset, and the record; or the offset that it claims to end at (-1: not known), and what is wrong with it."""
     if not _VERSION.match(data, at):
-        return "no version line"
+        return -1, "no version line"
     top = data.find(b"\r\n\r\n", at)
     if top < 0:
-        return "headers do not end"
+        return -1, "headers do not end"
     head = {}
     for row in re.sub(rb"\r\n[ \t]+", b" ", data[at:top]).split(b"\r\n")[1:]:
         name, colon, value = row.partition(b":")
         if not colon:
-            return "bad header"
+            return -1, "bad header"
         head[name.strip().lower()] = value.strip()
     if not head.get(b"content-length", b"").isdigit():
-        return "no length"
+        return -1, "no length"
     begin, end = top + 4, top + 4 + int(head[b"content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
-        return "no end mark"
+        return end, "no end mark"
     kind = head.get(b"warc-type", b"").decode("ascii", "replace")
     split = data.find(b"\r\n\r\n", begin, end)
     payload = data[split + 4 : end] if split >= 0 else data[begin:end]
     digest = head.get(b"warc-payload-digest", b"").decode("ascii", "replace")
     verified = _verified(digest, payload) if kind == "response" and digest else True
     if verified is False:
-        return "digest differs"
+        return end + 4, "digest differs"
     number = lambda k: int(m[1]) if (m := re.fullmatch(rb"<urn:page:(-?\d+)>", head.get(k, b""))) else None
     size = head.get(b"x-payload-length", b"")
     return end + 4, {
@@ -159,34 +185,44 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 
 def _salvage_plain(data: bytes) -> Iterator[dict]:
-    at = 0
+    at, doubtful = 0, 0
     while at < len(data):
-        got = _record(data, at)
-        if isinstance(got, tuple):
-            yield {"offset": at, "length": got[0] - at, **got[1]}
-            at = got[0]
+        end, got = _record(data, at)
+        if isinstance(got, dict):
+            if at < doubtful:
+                got["reason"] = got["reason"] or "may lie inside a damaged record"
+            yield {"offset": at, "length": end - at, **got}
+            at = end
             continue
-        found = _VERSION.search(data, at + 1)
-        to = found.start() if found else len(data)
+        if got == "digest differs":
+            to = doubtful = end
+        else:
+            found = _VERSION.search(data, at + 1)
+            to = found.start() if found else len(data)
+            doubtful = end if end > at and end <= len(data) else len(data)
         yield {"offset": at, "length": to - at, "kind": "gap", "reason": got}
         at = to
 
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
     """What a member holds, the offset after it (-1: not known) and what is wrong with it; a damaged one is inflated up to the damage."""
-    unzip, out, step = zlib.decompressobj(31), [], 1 << 16
+    unzip, out, step, size = zlib.decompressobj(31), [], 1 << 12, 0
     while at < len(data):
         before = unzip.copy() if step > 1 else None
         try:
-            out.append(unzip.decompress(data[at : at + step]))
+            out.append(unzip.decompress(memoryview(data)[at : at + step]))
         except zlib.error:
             if step == 1:
                 return b"".join(out), -1, "bad member"
             unzip, step = before, step >> 4 or 1
             continue
+        size += len(out[-1])
         at += step
         if unzip.eof:
             return b"".join(out), min(at, len(data)) - len(unzip.unused_data), None
+        if size > INFLATED:
+            return b"".join(out), -1, "member too large"
+        step = min(2 * step, 1 << 18) if step >= 1 << 12 else step
     return b"".join(out), -1, "member cut short"
 
 
@@ -248,6 +284,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A drill of the salvage reader: every seventh page's record is damaged in one of three ways as it is written; per page that comes back, what op9 tells of it.
+
+    A page that refers to a damaged one comes back, for its own record is sound; of damaged revisits only the digest is not checked.
+    """
+    path = f"{Scratch(spark, 'warc').root}/damaged"
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_warc(pages, path, damage=F.when(F.pmod("page_id", F.lit(7)) == 0, F.pmod(F.floor(F.col("page_id") / 7), F.lit(3)) + 1))
+    read = read_warc(spark, path, payloads=False).filter("kind = 'record'")
+    return read.select("page_id", "payload_bytes", "record_type", "refers_to")
+
+
 OP9_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (
@@ -259,3 +307,10 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
        CASE WHEN page_id <> last THEN last END AS refers_to
 FROM d
 """
+
+WARC_SALVAGE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to
+FROM p WHERE page_id % 7 <> 0 OR (page_id // 7 % 3 = 0 AND page_id <> last)
+"""
