@@ -164,6 +164,7 @@ def links(markdown: Column) -> Column:
 
 
 def any_word_match(query: Column, text: Column) -> Column:
-    """Whether every word of the query is part of some word of the text."""
-    words = lambda c: F.split(F.lower(F.trim(c)), r"\s+")
-    return F.forall(words(query), lambda q: F.exists(words(text), lambda t: F.contains(t, q)))
+    """Whether the query is part of the text, or every word of it part of some word of the text."""
+    low_q, low_t = F.lower(query), F.lower(text)
+    words = lambda c: F.split(c, r"\s+")
+    return F.contains(low_t, low_q) | F.forall(words(low_q), lambda q: F.exists(words(low_t), lambda t: F.contains(t, q)))

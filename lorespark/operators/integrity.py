@@ -33,14 +33,33 @@ def name_faults(c: Column, longest: int = 100) -> Column:
     return F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull())
 
 
-# What marks a name as an ability, a stratagem or a resource and not as a unit.
-NOT_A_UNIT = (
-    r"(?i)\((?:[^)]*\b)?(?:ability|stratagem|reserve|detachment|resource|reference|rule|resurgent points)\b[^)]*\)|\btokens?\b"
-)
+# Spellings that mark a name as a stratagem, an ability or a resource and not as a unit; letters of either case.
+NOT_A_UNIT = [
+    r"\(stratagem",
+    r"\(ability",
+    r"\(rule",
+    r"\(reserve",
+    r"\(detachment",
+    r"\(resource",
+    r"\(reference\)",
+    r"stratagem\s*/\s*ability",
+    r"ability\s*/\s*stratagem",
+    r"resurgent points",
+    r"cult ambush.*token",
+]
+
+
+def any_of(c: Column, patterns: list[str]) -> Column:
+    """Whether one of the patterns occurs in a text, in letters of either case."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(f"(?i){p}")
+    return out
 
 
 def misclassified(c: Column) -> Column:
-    return c.rlike(NOT_A_UNIT)
+    """Whether a unit's name is that of something else."""
+    return any_of(c, NOT_A_UNIT)
 
 
 def counts_of(tables: dict[str, DataFrame]) -> DataFrame:

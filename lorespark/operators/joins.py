@@ -40,17 +40,18 @@ def as_of_many(left: DataFrame, right: DataFrame, by: list[str], at: str, take:
     return as_of(l, r, "_k", at, take).drop("_k", f"{at}_then")
 
 
-def tiered(queries: DataFrame, rows: DataFrame, tiers: list[Column], key: list[str], order: list[Column], near: Column) -> DataFrame:
+def tiered(queries: DataFrame, rows: DataFrame, tiers: list[Column], key: list[str], order: list[Column]) -> DataFrame:
     """Each query's best row: of the lowest tier that any row meets, the first in order.
 
-    near is the join condition that covers every tier.
+    Every tier is a join of its own, so those that are equalities are hash
+    joins; a query goes on to the next tier only if the ones before found none.
     """
-    tier = F.lit(None).cast("int")
-    for i, t in reversed(list(enumerate(tiers))):
-        tier = F.when(t, i).otherwise(tier)
-    met = queries.join(rows, near).withColumn("tier", tier).filter("tier is not null")
-    first = Window.partitionBy(*key).orderBy(F.col("tier"), *order)
-    return met.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    first, out, open_ = Window.partitionBy(*key).orderBy(*order), None, queries
+    for i, tier in enumerate(tiers):
+        met = open_.join(rows, tier).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").withColumn("tier", F.lit(i))
+        out = met if out is None else out.unionByName(met)
+        open_ = open_.join(met.select(*key), key, "left_anti")
+    return out
 
 
 def waterfall(keys: DataFrame, on: str, sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -65,9 +66,30 @@ def waterfall(keys: DataFrame, on: str, sources: list[tuple[str, DataFrame, str]
     return out.withColumns({"value": F.coalesce(*[v for v, _ in values]), "found_in": source}).drop(*[f"_v{i}" for i in range(len(sources))])
 
 
+def not_in(rows: DataFrame, key: str, listed: DataFrame, listed_key: str) -> DataFrame:
+    """SQL's NOT IN: rows whose key is not listed; none at all where the list holds a null, and none with a null key unless the list is empty."""
+    told = listed.agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col(listed_key).isNull()).alias("_nulls"))
+    n, nulls = told.first()
+    if nulls:
+        return rows.limit(0)
+    return rows.filter(F.col(key).isNotNull()).join(listed.select(F.col(listed_key).alias(key)), key, "left_anti").select(*rows.columns) if n else rows
+
+
+def starting_with(names: DataFrame, name: str, prefix: Column, others: DataFrame, other: str) -> DataFrame:
+    """Pairs of a name and another one that starts with the prefix made of the first.
+
+    Every beginning of the other name that is as long as some prefix meets
+    that prefix by equality, so no block is compared pair by pair.
+    """
+    p = names.select(name, prefix.alias("_p"))
+    lengths = F.lit(p.agg(F.sort_array(F.collect_set(F.length("_p")))).first()[0] or [0])  # at most as many as the longest prefix has characters
+    heads = others.select(other, F.explode(F.transform(F.filter(lengths, lambda n: n <= F.length(other)), lambda n: F.substring(F.col(other), F.lit(1), n))).alias("_p"))
+    return p.join(heads, "_p").select(name, other)
+
+
 def include_or_not_exclusive(rows: DataFrame, tags: DataFrame, key: str, tag: str, wanted: str, exclusive: DataFrame) -> DataFrame:
     """Rows that carry the wanted tag, or none of the exclusive tags."""
-    flags = tags.join(F.broadcast(exclusive.select(tag).distinct().withColumn("_ex", F.lit(True))), tag, "left").groupBy(key).agg(
+    flags = tags.join(exclusive.select(tag).distinct().withColumn("_ex", F.lit(True)), tag, "left").groupBy(key).agg(
         F.max(F.col(tag) == wanted).alias("_in"), F.max(F.coalesce("_ex", F.lit(False))).alias("_any")
     )
     return rows.join(flags, key, "left").filter(F.coalesce("_in", F.lit(False)) | ~F.coalesce("_any", F.lit(False))).drop("_in", "_any")

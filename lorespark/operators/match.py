@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import phonetic, text
 from lorespark.functions.similarity import bare, bigrams, dice_of
 
 # Thresholds of the matchers.
-FUZZY, FUZZY_LOW, PHONETIC, PHONETIC_LOW = 0.7, 0.6, 0.5, 0.4
+FUZZY, PHONETIC, PHONETIC_LOW = 0.7, 0.5, 0.4
+
+
+def _units(grams: Column, bare_text: Column, longest: Column | bool) -> Column:
+    """What names can meet by: bigrams, and characters where one may be all of the other name."""
+    letters = F.array_distinct(F.split(bare_text, "(?<=.)(?=.)"))
+    return F.when(F.length(bare_text) == 1, F.array(bare_text)).when(F.lit(longest), F.concat(grams, letters)).otherwise(grams)
+
+
+def _rarest_first(rows: DataFrame, key: str, units: Column, seen: DataFrame) -> DataFrame:
+    """key and its units (n, g), those that fewest names have first. seen has a row per unit: of a-z and 0-9 at most 1,332."""
+    each = rows.select(key, F.explode(units).alias("g")).join(F.broadcast(seen), "g")
+    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("ranked"))
+
+
+def containment_pairs(shorter: DataFrame, longer: DataFrame, short_key: str, long_key: str, least: float = 0.0) -> DataFrame:
+    """Pairs in which the bare text of one side (columns _x, _g; not empty) is part of the other's, at least ``least`` times as long.
+
+    A name meets the longer ones by the rarest of its units, so common bigrams are no hot keys.
+    """
+    rest = lambda df, key: df.select(key, F.col("_x"), F.col("_g"))
+    s, l = rest(shorter, short_key).filter("_x <> ''"), rest(longer, long_key)  # noqa: E741
+    unit = _units(F.col("_g"), F.col("_x"), F.lit(True) if least <= 0 else F.length("_x") <= 1.0 / least)
+    all_l = l.select(long_key, F.col("_x").alias("_y"), F.explode(unit).alias("g"))
+    seen = all_l.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    first = _rarest_first(s, short_key, _units(F.col("_g"), F.col("_x"), False), seen)
+    whole = s.select(short_key, F.size(_units(F.col("_g"), F.col("_x"), False)).alias("size"))
+    probe = first.join(whole, short_key).filter(F.size("ranked") == F.col("size")).select(short_key, F.col("ranked")[0]["g"].alias("g"))
+    met = probe.join(s.select(short_key, "_x"), short_key).join(all_l, "g")
+    return met.filter(F.contains("_y", F.col("_x")) & (F.length("_x") >= least * F.length("_y"))).select(short_key, long_key).distinct()
 
 
 def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float) -> DataFrame:
     """Pairs (term, candidate) of Dice similarity of at least ``least`` > 0, with column score.
 
-    Candidate pairs share a bigram, or, where a single character can be
-    contained in a name short enough for the threshold, a character. Both sides are taken distinct first, so a hot name is scored once;
-    pairs are cut to those that share enough bigrams for the threshold before
-    anything is scored.
+    Both sides are taken distinct first, so a hot name is scored once. Names
+    whose sets of bigrams are alike enough share one of their rarest bigrams
+    (prefix filtering), and a name that is part of another meets it by its
+    rarest one; only such pairs, of sizes that allow the score, are scored.
     """
-    t = terms.select(term).distinct().withColumn("_t", bare(F.col(term))).withColumn("_tg", bigrams(F.col("_t")))
-    c = candidates.select(name).distinct().withColumn("_c", bare(F.col(name))).withColumn("_cg", bigrams(F.col("_c")))
-    letters = lambda x: F.array_distinct(F.split(x, "(?<=.)(?=.)"))
-    blocks = lambda grams, x: F.when(F.length(x) <= 1.0 / least, F.concat(grams, letters(x))).when(F.length(x) < 2, F.array(x)).otherwise(grams)
-    tb = t.select(term, F.size("_tg").alias("_nt"), F.explode(blocks(F.col("_tg"), F.col("_t"))).alias("_g"))
-    cb = c.select(name, F.size("_cg").alias("_nc"), F.explode(blocks(F.col("_cg"), F.col("_c"))).alias("_g"))
-    met = tb.join(cb, "_g").groupBy(term, name).agg(F.count(F.lit(1)).alias("_s"), F.first("_nt").alias("_nt"), F.first("_nc").alias("_nc"))
-    # Containment has every bigram of the shorter side in common; Dice needs least/2 of both sides' number.
-    likely = met.filter((F.col("_s") >= F.least("_nt", "_nc")) | (2.0 * F.col("_s") >= least * (F.col("_nt") + F.col("_nc"))))
-    scored = likely.select(term, name).join(t, term).join(c, name).withColumn("score", dice_of(F.col("_t"), F.col("_c"), F.col("_tg"), F.col("_cg")))
+    sides = lambda df, c: df.select(c).distinct().withColumn("_x", bare(F.col(c))).withColumn("_g", bigrams(F.col("_x")))
+    t, c = sides(terms, term), sides(candidates, name)
+    seen = t.select(F.explode("_g").alias("g")).union(c.select(F.explode("_g").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    share = least / (2.0 - least)  # of a set's bigrams are in any set that is alike enough
+    prefix = lambda df, key, n: _rarest_first(df, key, F.col("_g"), seen).select(key, F.size("ranked").alias(n), F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.size("ranked") * F.lit(share - 1e-9)).cast("int") + 1)).alias("r")).select(key, n, F.col("r.g").alias("g"))
+    near = (F.least("_nt", "_nc") >= (share - 1e-9) * F.greatest("_nt", "_nc"))
+    dice_pairs = prefix(t, term, "_nt").join(prefix(c, name, "_nc"), "g").filter(near).select(term, name)
+    inside = containment_pairs(t, c, term, name, least).select(term, name).union(containment_pairs(c, t, name, term, least).select(term, name))
+    pairs = dice_pairs.union(inside).distinct()
+    x = lambda df, key, n: df.select(key, F.col("_x").alias(f"_x{n}"), F.col("_g").alias(f"_g{n}"))
+    scored = pairs.join(x(t, term, 1), term).join(x(c, name, 2), name).withColumn("score", dice_of(F.col("_x1"), F.col("_x2"), F.col("_g1"), F.col("_g2")))
     return scored.filter(F.col("score") >= least).select(term, name, "score")
 
 
@@ -39,38 +69,66 @@ def top_matches(pairs: DataFrame, term: str, name: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def phonetic_pairs(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float) -> DataFrame:
-    """Pairs with an equal sound code; score is the mean of the code's base and the share of equal codes."""
-    # Base scores of the codes.
-    kinds = [("metaphone", phonetic.metaphone, 0.7), ("soundex", phonetic.soundex, 0.4)]
-    codes = lambda df, c: df.select(c).distinct().select(c, F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), f(F.col(c)).alias("code"), F.lit(b).alias("base")) for k, f, b in kinds])).alias("x")).select(c, "x.*").filter("code <> ''")
-    met = codes(terms, term).join(codes(candidates, name).drop("base"), ["kind", "code"])
-    score = (F.max("base") + F.count(F.lit(1)) / F.lit(float(len(kinds)))) / 2
-    return met.groupBy(term, name).agg(score.alias("score")).filter(F.col("score") >= least)
-
+def phonetic_pairs(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float, overrides: DataFrame | None = None) -> DataFrame:
+    """Pairs with an equal sound code; score is the mean of the best equal code's base score and of the codes' similarity.
 
-def match_chain(terms: DataFrame, candidates: DataFrame, aliases: DataFrame, term: str = "term", name: str = "name", least: float = FUZZY) -> DataFrame:
+    A term's primary Double Metaphone meets primaries, its secondary one
+    secondaries that differ from their primary, and so on for the other codes.
+    overrides (variation, canonical), known mishearings: a term that is a
+    variation of a candidate's name gets that name alone, at 0.95.
+    """
+    coded = lambda df, c: df.select(c).distinct().withColumn("codes", phonetic.codes(F.col(c)))
+    t, k = coded(terms, term), coded(candidates, name)
+    # Base scores of an equal code.
+    kinds = {"primary": 0.9, "secondary": 0.7, "metaphone": 0.6, "soundex": 0.4}
+    each = lambda df, c, own: df.select(c, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.when(own(i), F.col(f"codes.{i}")).alias("code"), F.lit(b).alias("base")) for i, b in kinds.items()])).alias("x")).select(c, "x.*").filter("code <> ''")
+    named = each(k, name, lambda i: F.col("codes.secondary") != F.col("codes.primary") if i == "secondary" else F.lit(True)).drop("base")
+    met = each(t, term, lambda i: F.lit(True)).join(named, ["kind", "code"]).groupBy(term, name).agg(F.max("base").alias("base"))
+    both = met.join(t.withColumnRenamed("codes", "a"), term).join(k.withColumnRenamed("codes", "b"), name)
+    scored = both.withColumn("score", (F.col("base") + phonetic.similarity(F.col("a"), F.col("b"))) / 2).select(term, name, "score")
+    if overrides is not None:
+        low = lambda c: F.lower(F.trim(c))
+        first = overrides.groupBy(low("variation").alias("_v")).agg(F.min(low("canonical")).alias("_c"))
+        known = t.select(term).join(first, low(term) == F.col("_v")).join(candidates.select(name).distinct(), F.lower(name) == F.col("_c")).select(term, name, F.lit(0.95).alias("score"))
+        scored = scored.join(known.select(term).distinct(), term, "left_anti").unionByName(known)
+    return scored.filter(F.col("score") >= least)
+
+
+def first_containing(terms: DataFrame, candidates: DataFrame, term: str, name: str, order: str) -> DataFrame:
+    """(term, name) of the first candidate in order whose lower-case text is part of the term's or has it as a part; empty names are left out."""
+    sides = lambda df, c, *more: df.select(c, *more).filter(F.trim(c) != "").withColumn("_x", bare(F.col(c))).withColumn("_g", bigrams(F.col("_x")))
+    t, c = sides(terms.select(term).distinct(), term), sides(candidates, name)
+    pairs = containment_pairs(t, c, term, name).select(term, name).union(containment_pairs(c, t, name, term).select(term, name)).distinct()
+    ranked = pairs.join(candidates.select(name, order), name)
+    low, t_low = F.lower(name), F.lower(F.trim(term))
+    return ranked.filter(F.contains(low, t_low) | F.contains(t_low, low)).groupBy(term).agg(F.min_by(name, F.struct(order, name)).alias(name))
+
+
+def match_chain(terms: DataFrame, candidates: DataFrame, aliases: DataFrame, term: str = "term", name: str = "name", least: float = FUZZY, overrides: DataFrame | None = None) -> DataFrame:
     """One row per distinct term: the name, matcher and score of the first matcher that is sure enough.
 
-    aliases: alias, canonical (unique lower-case aliases). Matchers in order:
-    alias, exact, phonetic, fuzzy, phonetic at its lower threshold; each hit
-    needs ``least`` as well. Terms without a match keep null.
+    aliases: alias, canonical (unique lower-case aliases). candidates may have
+    a column ``place``, their order; else they are in order of name. Matchers
+    in order: alias, exact, phonetic, fuzzy (the first candidate that contains
+    the term or is contained, if it is like enough, else the one most alike),
+    phonetic at its lower threshold; each hit needs ``least`` as well. Terms
+    without a match keep null.
     """
     t = terms.select(term).distinct()
+    c = (candidates if "place" in candidates.columns else candidates.withColumn("place", F.col(name))).groupBy(name).agg(F.min("place").alias("place"))
     low = F.lower(F.trim(F.col(term)))
-    first = candidates.groupBy(F.lower(name).alias("_low")).agg(F.min(name).alias(name))
-    alias = t.join(aliases.select(F.col("alias").alias("_low"), F.col("canonical").alias(name)), low == F.col("_low")).select(term, name, F.lit(1.0).alias("score"), F.lit(0).alias("step"), F.lit("alias").alias("matcher"))
-    exact = t.join(first, low == F.col("_low")).select(term, name, F.lit(1.0).alias("score"), F.lit(1).alias("step"), F.lit("exact").alias("matcher"))
-    sound = phonetic_pairs(t, candidates, term, name, PHONETIC_LOW)
-    fuzzy = similarity_join(t, candidates, term, name, FUZZY_LOW)
-    hits = (
-        alias.unionByName(exact)
-        .unionByName(sound.filter(F.col("score") >= PHONETIC).select(term, name, "score", F.lit(2).alias("step"), F.lit("phonetic").alias("matcher")))
-        .unionByName(fuzzy.select(term, name, "score", F.lit(3).alias("step"), F.lit("fuzzy").alias("matcher")))
-        .unionByName(sound.select(term, name, "score", F.lit(4).alias("step"), F.lit("phonetic_fallback").alias("matcher")))
-    ).filter(F.col("score") >= least)
-    best = Window.partitionBy(term).orderBy("step", F.col("score").desc(), name)
-    top = hits.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n", "step")
+    first = c.groupBy(F.lower(name).alias("_low")).agg(F.min_by(name, F.struct("place", name)).alias(name))
+    hit = lambda df, step, matcher, score="score": df.select(term, name, (F.col(score) if isinstance(score, str) else F.lit(score)).alias("score"), F.lit(step).alias("step"), F.lit(matcher).alias("matcher"))
+    alias = t.join(aliases.select(F.col("alias").alias("_low"), F.col("canonical").alias(name)), low == F.col("_low"))
+    exact = t.join(first, low == F.col("_low"))
+    sound = phonetic_pairs(t, c, term, name, PHONETIC_LOW, overrides)
+    fuzzy = similarity_join(t, c, term, name, least)
+    inside = fuzzy.join(first_containing(t, c, term, name, "place"), [term, name])
+    hits = hit(alias, 0, "alias", 1.0).union(hit(exact, 1, "exact", 1.0)).union(hit(sound.filter(F.col("score") >= PHONETIC), 2, "phonetic"))
+    hits = hits.union(hit(inside, 3, "fuzzy")).union(hit(fuzzy.filter(F.col("score") > least), 4, "fuzzy")).union(hit(sound, 5, "phonetic_fallback"))
+    ranked = hits.filter(F.col("score") >= least).join(c, name, "left")
+    best = Window.partitionBy(term).orderBy("step", F.col("score").desc(), F.col("place").asc_nulls_last(), name)
+    top = ranked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(term, name, "score", "matcher")
     return t.join(top, term, "left")
 
 
@@ -96,3 +154,22 @@ def longest_first(mentions: DataFrame, by: list[str]) -> DataFrame:
     kind = "array<struct<at:int,short:int,n:int,term:string,canonical:string,kind:string>>"
     fold = F.expr(f"aggregate(all, named_struct('end', 0, 'kept', cast(array() as {kind})), (a, x) -> if(x.at >= a.end, named_struct('end', x.at + x.n, 'kept', concat(a.kept, array(x))), a), a -> a.kept)")
     return lists.select(*by, F.explode(fold).alias("m")).select(*by, "m.at", "m.n", "m.term", "m.canonical", "m.kind")
+
+
+def word_parts(queries: DataFrame, texts: DataFrame, query: str, text: str, words: str) -> DataFrame:
+    """Pairs of a query and a text whose words (distinct, of a-z and 0-9) include every word of the query or have it as a part; queries without words meet nothing.
+
+    A query meets texts by that of its words which is part of words of fewest
+    texts; the pairs found so are compared word by word.
+    """
+    told = texts.select(text, F.explode(words).alias("w"))
+    known = told.groupBy(F.col("w").alias("known")).agg(F.count(F.lit(1)).alias("n"))
+    asked = queries.select(query, F.explode(words).alias("asked"))
+    unit = lambda df, c: df.select(c, F.col(c).alias("_x")).withColumn("_g", bigrams(F.col("_x")))
+    parts = containment_pairs(unit(asked.select("asked").distinct(), "asked"), unit(known, "known"), "asked", "known")
+    often = parts.join(known, "known").groupBy("asked").agg(F.sum("n").alias("n"))
+    # A word that no text has makes its query meet nothing: it is the rarest.
+    rarest = asked.join(often, "asked", "left").groupBy(query).agg(F.min_by("asked", F.struct(F.coalesce("n", F.lit(0)), "asked")).alias("asked"))
+    met = rarest.join(parts, "asked").join(told, F.col("known") == F.col("w")).select(query, text).distinct()
+    both = met.join(queries.select(query, F.col(words).alias("_q")), query).join(texts.select(text, F.col(words).alias("_w")), text)
+    return both.filter(F.forall("_q", lambda q: F.exists("_w", lambda w: F.contains(w, q)))).select(query, text)

@@ -48,7 +48,18 @@ def orphans_not_exists(t: Tables) -> DataFrame:
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.095)")
 def not_in_subquery(t: Tables) -> DataFrame:
-    return t.supplier.join(t.lineitem.filter("l_quantity > 49 and l_discount > 0.095"), F.col("s_suppkey") == F.col("l_suppkey"), "left_anti").select("s_suppkey")
+    return joins.not_in(t.supplier.select("s_suppkey"), "s_suppkey", t.lineitem.filter("l_quantity > 49 and l_discount > 0.095"), "l_suppkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE nullif(c_custkey % 3, 0) NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey BETWEEN 2 AND 5)")
+def not_in_null_keys(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", F.nullif(F.col("c_custkey") % 3, F.lit(0)).alias("k"))
+    return joins.not_in(rows, "k", t.nation.filter("n_nationkey between 2 and 5").select(F.col("n_nationkey").alias("l")), "l").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(n_nationkey, 3) FROM nation)")
+def not_in_null_list(t: Tables) -> DataFrame:
+    return joins.not_in(t.customer.select("c_custkey"), "c_custkey", t.nation.select(F.nullif("n_nationkey", F.lit(3)).alias("l")), "l")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -68,11 +79,9 @@ def include_or_not_exclusive(t: Tables) -> DataFrame:
 @query("""SELECT a.p_name AS name, b.p_name AS longer FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b
           ON starts_with(b.p_name, split_part(a.p_name, ' ', 1)) AND a.p_name <> b.p_name""")
 def prefix_join(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct().withColumn("w", F.split_part("p_name", F.lit(" "), F.lit(1)))
-    a, b = names.select(F.col("p_name").alias("name"), "w"), names.select(F.col("p_name").alias("longer"), F.col("w").alias("w2"))
-    # The first word of the longer name begins with the first word of the shorter: blocked on its first letters.
-    block = lambda c: F.substring(c, 1, 2)
-    return a.join(b, (block("w") == block("w2")) & F.startswith("longer", F.col("w")) & (F.col("name") != F.col("longer"))).select("name", "longer")
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    pairs = joins.starting_with(names, "name", F.split_part("name", F.lit(" "), F.lit(1)), names.withColumnRenamed("name", "longer"), "longer")
+    return pairs.filter("name <> longer")
 
 
 @query("""SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n_nations,
@@ -103,7 +112,7 @@ def case_insensitive_exact(t: Tables) -> DataFrame:
 def tiered_lookup(t: Tables) -> DataFrame:
     q = t.spark.createDataFrame([("nation-3",), ("tion_2",), ("region-1",), ("NATION_11",), ("9",)], "q string")
     tiers = [text.slugify(F.col("n_name")) == F.col("q"), F.lower("n_name") == F.lower("q"), text.contains_ci(F.col("n_name"), F.col("q"))]
-    return joins.tiered(F.broadcast(q), t.nation, tiers, ["q"], [F.col("n_nationkey")], tiers[0] | tiers[1] | tiers[2]).select("q", "n_name", "tier")
+    return joins.tiered(q, t.nation, tiers, ["q"], [F.col("n_nationkey")]).select("q", "n_name", "tier")
 
 
 @query("""SELECT p_partkey, coalesce(CASE WHEN p_size > 45 THEN p_brand END, CASE WHEN p_retailprice > 1500 THEN p_type END, 'none') AS told FROM part""")

@@ -19,6 +19,19 @@ s AS (SELECT term, name, CASE WHEN h.b = g.b THEN 1.0 WHEN h.b = '' OR g.b = ''
         WHEN contains(h.b, g.b) OR contains(g.b, h.b) THEN least(length(h.b), length(g.b)) / greatest(length(h.b), length(g.b))::DOUBLE
         ELSE 2.0 * len(list_intersect(h.g, g.g)) / (len(h.g) + len(g.g)) END::DOUBLE AS score FROM h, g)
 """
+
+
+def readable_sql(html: str) -> str:
+    """text.readable() in DuckDB's words."""
+    steps = [(r"(?i)</?h[1-6][^>]*>|</?p(?:\s[^>]*)?>|<table[^>]*>|<div[^>]*class=\"[^\"]*BreakInside[^\"]*\"[^>]*>", "\n\n"), (r"(?i)<br\s*/?>|</table>|</tr>", "\n"), (r"(?i)<li[^>]*>", "\n• "), (r"<[^>]+>", "")]
+    for pattern, to in steps:
+        html = f"regexp_replace({html}, '{pattern}', '{to}', 'g')"
+    for name, to in text.ENTITIES.items():
+        html = "replace({}, '{}', '{}')".format(html, name, to.replace("'", "''"))
+    html = f"regexp_replace(regexp_replace({html}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g')"
+    return f"regexp_replace(array_to_string(list_transform(string_split({html}, '\n'), lambda x: trim(x)), '\n'), '^\\s+|\\s+$', '', 'g')"
+
+
 _PARTS = "SELECT p_name AS name FROM part"
 _TYPOS = "SELECT 'x' || substr(p_name, 2) AS term FROM part"
 
@@ -60,7 +73,12 @@ def detect_mentions(t: Tables) -> DataFrame:
     return match.detect_mentions(segments, F.broadcast(words), ["conv_id", "turn"]).select("conv_id", "turn", "at", "n", "term", "canonical")
 
 
-@query()
+@query("""WITH w AS (SELECT conv_id, turn, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM conversations),
+          g AS (SELECT conv_id, turn, i::INT AS i, n::INT AS n, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)),
+          l AS (SELECT conv_id, turn, list({'at': i, 'n': n, 'term': g.term} ORDER BY i, n DESC) AS l FROM g WHERE g.term IN ('the', 'with', 'of the', 'et', 'les') GROUP BY ALL),
+          f AS (SELECT conv_id, turn, unnest(list_reduce(l, lambda a, x: CASE WHEN x.at >= a.until THEN {'until': x.at + x.n, 'kept': list_append(a.kept, x)} ELSE a END,
+                       {'until': 0::INT, 'kept': []::STRUCT("at" INT, n INT, term VARCHAR)[]}).kept) AS m FROM l)
+          SELECT conv_id, turn, m.at AS "at", m.n AS n, m.term AS term, 'W' || m.term AS canonical, 'word' AS kind FROM f""".replace("\\\\", "\\"))
 def mentions_longest_first(t: Tables) -> DataFrame:
     words = t.spark.createDataFrame([(w, "W" + w, "word") for w in ("the", "with", "of the", "et", "les")], "term string, canonical string, kind string")
     found = match.detect_mentions(t.conversations.select("conv_id", "turn", "text"), F.broadcast(words), ["conv_id", "turn"])
@@ -107,7 +125,7 @@ def page_cache(t: Tables) -> DataFrame:
     return pages.cached(t.pages)
 
 
-@query()
+@query(f"SELECT page_id, {readable_sql('html')} AS text FROM pages")
 def page_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", text.readable(F.col("html")).alias("text"))
 
@@ -119,26 +137,30 @@ def page_links(t: Tables) -> DataFrame:
     return pages.page_links(t.pages)
 
 
-@query()
+@query(f"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(html, '(?i)(<h[1-6][ >])', chr(1) || '\\1', 'g'), chr(1)), lambda x: regexp_matches(x, '(?i)^<h[1-6][ >]')) AS parts FROM pages),
+          e AS (SELECT page_id, unnest(parts) AS part, unnest(range(0, len(parts)))::INT AS "at" FROM p)
+          SELECT page_id, "at", regexp_extract(part, '(?is)^<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS level,
+                 trim(regexp_replace(replace(regexp_replace(regexp_extract(part, '(?is)^<h([1-6])[^>]*>(.*?)</h[1-6]>', 2), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS title,
+                 {readable_sql("regexp_replace(part, '(?is)^<h([1-6])[^>]*>(.*?)</h[1-6]>', '', 'g')")} AS body FROM e""")
 def page_sections(t: Tables) -> DataFrame:
     return pages.headed_sections(t.pages)
 
 
 @query()
 def sound_codes(t: Tables) -> DataFrame:
-    """Both codes of every name of three categories."""
+    """The four codes of every name of three categories."""
     names = t.nation.select(F.col("n_name").alias("name")).union(t.region.select("r_name")).union(t.part.select("p_name").distinct())
-    return names.select("name", phonetic.soundex(F.col("name")).alias("soundex"), phonetic.metaphone(F.col("name")).alias("metaphone"))
+    return names.select("name", phonetic.codes(F.col("name")).alias("c")).select("name", "c.*")
 
 
-@query("""WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)
-          SELECT item_id, doc_id FROM k JOIN d ON list_has_all(w, q) WHERE len(q) > 0""")
+@query("""WITH k AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS q FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
+          n AS (SELECT DISTINCT unnest(q) AS qw FROM k), v AS (SELECT DISTINCT unnest(w) AS dw FROM d), m AS (SELECT qw, dw FROM n JOIN v ON contains(dw, qw)),
+          h AS (SELECT DISTINCT doc_id, qw FROM (SELECT doc_id, unnest(w) AS dw FROM d) e JOIN m ON e.dw = m.dw)
+          SELECT item_id, doc_id FROM (SELECT item_id, len(q) AS n, unnest(q) AS qw FROM k) i JOIN h ON i.qw = h.qw GROUP BY ALL HAVING count(*) = max(n)""")
 def word_containment(t: Tables) -> DataFrame:
-    """Every word of the item is a word of the text: both sides' words meet, pairs with all the item's words stay."""
+    """Every word of the item is part of a word of the text. Items meet texts by the word that fewest texts have; only such pairs are compared word by word."""
     words = lambda df, key: df.select(key, F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
-    items = words(t.benchmark, "item_id").select("item_id", F.size("w").alias("n"), F.explode("w").alias("word"))
-    texts = words(t.documents, "doc_id").select("doc_id", F.explode("w").alias("word"))
-    return items.join(texts, "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter("c = n").select("item_id", "doc_id")
+    return match.word_parts(words(t.benchmark, "item_id"), words(t.documents, "doc_id"), "item_id", "doc_id", "w")
 
 
 @query("""SELECT a.p_name AS a, b.p_name AS b FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b ON a.p_name < b.p_name AND split_part(a.p_name, ' ', 2) = split_part(b.p_name, ' ', 2)""")
@@ -148,10 +170,18 @@ def block_pairs(t: Tables) -> DataFrame:
     return n.join(b, (F.col("k") == F.col("k2")) & (F.col("p_name") < F.col("b"))).select(F.col("p_name").alias("a"), "b")
 
 
-@query()
+@query("""WITH l AS (SELECT conv_id, turn, turn * 0.25 AS start, trim(replace(replace(replace(replace(replace(regexp_replace(split_part(role, 't', 1), '<[^>]+>', '', 'g'), '&amp;', '&'), '&#39;', chr(39)), '&quot;', '"'), '&lt;', '<'), '&gt;', '>')) AS text FROM conversations),
+          o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, floor(start), text ORDER BY turn) AS n FROM l WHERE text <> ''),
+          c AS (SELECT conv_id, list({'start': start::DOUBLE, 'duration': 0.5::DOUBLE, 'text': text} ORDER BY turn) AS l FROM o WHERE n = 1 GROUP BY conv_id),
+          f AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: CASE WHEN len(a) > 0 AND a[-1].text = x.text AND x.start - a[-1].start < 0.5
+                       THEN list_append(a[:-2], {'start': a[-1].start, 'duration': x.start + x.duration - a[-1].start, 'text': x.text}) ELSE list_append(a, x) END,
+                       []::STRUCT("start" DOUBLE, duration DOUBLE, "text" VARCHAR)[])) AS s FROM c)
+          SELECT conv_id, s.start AS start, s.duration AS duration, s.text AS text FROM f""")
 def captions_parse(t: Tables) -> DataFrame:
-    """Conversations written as caption files and parsed back."""
-    line = F.format_string("00:%02d:%02d.000 --> 00:%02d:%02d.500\n%s\n", F.floor(F.col("turn") / 60), F.col("turn") % 60, F.floor(F.col("turn") / 60), F.col("turn") % 60, F.regexp_replace("text", r"\s+", " "))
+    """Roles of conversations written as caption files of four lines a second, and parsed back."""
+    at = F.col("turn") * 250
+    stamp = lambda ms: F.format_string("00:%02d:%02d.%03d", F.floor(ms / 60000), F.floor(ms / 1000) % 60, ms % 1000)
+    line = F.concat(stamp(at), F.lit(" --> "), stamp(at + 500), F.lit("\n"), F.split_part("role", F.lit("t"), F.lit(1)), F.lit("\n"))
     files = t.conversations.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\nKind: captions\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")).alias("vtt"))
     return captions.parse(files, "conv_id", "vtt")
 
@@ -214,6 +244,7 @@ def first_scalars(t: Tables) -> DataFrame:
 @query()
 def tagged_conversations(t: Tables) -> DataFrame:
     """Conversations with two words normalised and tagged."""
-    words = t.spark.createDataFrame([("the", "Thee", "article"), ("with", "Withal", "prep")], "original string, official string, type string")
-    rep = t.conversations.select("conv_id").distinct().crossJoin(F.broadcast(words))
+    words = [("the", "Thee", "article"), ("with", "Withal", "prep")]
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("original"), F.lit(n).alias("official"), F.lit(k).alias("type")) for o, n, k in words])).alias("w")
+    rep = t.conversations.select("conv_id").distinct().select("conv_id", each).select("conv_id", "w.*")
     return transcript.tag_text(transcript.normalize_text(t.conversations.select("conv_id", "turn", "text"), rep, "conv_id").drop("text").withColumnRenamed("normalized", "text"), rep, "conv_id")

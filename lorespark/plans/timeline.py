@@ -76,13 +76,25 @@ def first_per_second(t: Tables) -> DataFrame:
     return transcript.first_per_second(rows, ["conv_id"], "start", ["turn"]).select("conv_id", "turn", "text")
 
 
-@query()
+@query("""WITH r AS (SELECT conv_id, list({'start': turn * 40.0::DOUBLE, 'text': text, 'o': contains(lower(text), 'the') OR contains(lower(text), 'les'), 'c': contains(lower(text), 'deploy') OR contains(lower(text), 'first turn')} ORDER BY turn, text) AS l FROM conversations GROUP BY conv_id),
+          f AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: {
+                  'open': (a.open OR x.o) AND NOT (x.start > (CASE WHEN x.o AND NOT a.open THEN x.start + 120 ELSE a.until END) OR x.c),
+                  'until': CASE WHEN x.o AND NOT a.open THEN x.start + 120 ELSE a.until END,
+                  'kept': CASE WHEN a.open OR x.o THEN list_append(a.kept, {'start': x.start, 'text': x.text}) ELSE a.kept END},
+                {'open': false, 'until': 0::DOUBLE, 'kept': []::STRUCT("start" DOUBLE, "text" VARCHAR)[]}).kept) AS s FROM r)
+          SELECT conv_id, s.start AS start, s.text AS text FROM f""")
 def keyword_sections(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", (F.col("turn") * 40.0).alias("start"), "text")
     return transcript.sections(rows, "conv_id", "start", "text", ["the", "les"], ["deploy", "first turn"], 120)
 
 
-@query()
+@query("""WITH r AS (SELECT conv_id, list({'at': turn::BIGINT, 'len': length(text)::BIGINT} ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+          f AS (SELECT conv_id, unnest(list_reduce(l, lambda a, x: {
+                  'chunk': CASE WHEN a.sum > 0 AND a.sum + x.len > 600 THEN a.chunk + 1 ELSE a.chunk END,
+                  'sum': CASE WHEN a.sum > 0 AND a.sum + x.len > 600 THEN x.len ELSE a.sum + x.len END,
+                  'out': list_append(a.out, {'at': x.at, 'chunk': CASE WHEN a.sum > 0 AND a.sum + x.len > 600 THEN a.chunk + 1 ELSE a.chunk END})},
+                {'chunk': 0::BIGINT, 'sum': 0::BIGINT, 'out': []::STRUCT("at" BIGINT, chunk BIGINT)[]}).out) AS p FROM r)
+          SELECT conv_id, p.at AS turn, p.chunk AS chunk FROM f""")
 def greedy_chunks(t: Tables) -> DataFrame:
     return transcript.pack(t.conversations.select("conv_id", "turn", F.length("text").alias("len")), "conv_id", "turn", "len", 600)
 

@@ -29,7 +29,9 @@ def headed_sections(pages: DataFrame, levels: str = "1-6", least: int = 0) -> Da
     head = rf"(?is)^<h([{levels}])[^>]*>(.*?)</h[{levels}]>"
     title = clean(F.regexp_replace(F.regexp_extract("part", head, 2), "<[^>]+>", ""))
     body = readable(F.regexp_replace("part", head, ""))
-    return each.select("page_id", "at", F.regexp_extract("part", head, 1).alias("level"), title.alias("title"), body.alias("body")).filter(F.length("body") >= least)
+    out = each.select("page_id", "at", F.regexp_extract("part", head, 1).alias("level"), title.alias("title"), body.alias("body"))
+    # A filter on the body is pushed below the projection and evaluates its expressions once more.
+    return out.filter(F.length("body") >= least) if least else out
 
 
 def questions(pages: DataFrame) -> DataFrame:
