@@ -126,3 +126,121 @@ def alias_variants(names: DataFrame, name: str) -> DataFrame:
     )
     each = names.select(F.col(name).alias("canonical"), F.explode(F.array_distinct(F.filter(variants, lambda x: x.isNotNull()))).alias("alias"))
     return each.groupBy("alias").agg(F.min("canonical").alias("canonical"))
+
+
+# Seconds at which samples of a transcript start, and how long one is.
+SAMPLES, SAMPLE_SECONDS = (300, 600, 900, 1200, 1500, 1800, 2400, 3000, 3600), 120
+
+
+def sample_windows(segments: DataFrame, start: str, after: float) -> DataFrame:
+    """segments inside the fixed sample windows that open later than ``after``."""
+    hit = F.lit(False)
+    for t in SAMPLES:
+        if t > after:
+            hit = hit | ((F.col(start) >= t) & (F.col(start) < t + SAMPLE_SECONDS))
+    return segments.filter(hit)
+
+
+def excerpt(segments: DataFrame, by: str, start: str, order: str, text: str, intro: float = 300, most: int = 8000) -> DataFrame:
+    """(by, excerpt): the introduction, one segment a second, joined in order and cut to a number of characters."""
+    once = first_per_second(segments.filter(F.col(start) < intro), [by], start, [order])
+    lists = once.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(start, order, F.col(text).alias("t")))).alias("all"))
+    return lists.select(by, F.left(F.array_join(F.transform("all", lambda x: x["t"]), " "), F.lit(most)).alias("excerpt"))
+
+
+def pack_overlapping(segments: DataFrame, by: str, order: str, length: str, limit: int, single: int = 0) -> DataFrame:
+    """(by, chunk, first, last, n) of greedy chunks in order; each but the first begins with the last segment of the one before.
+
+    A transcript of up to ``single`` in all is one chunk. Chunks are closed
+    where the next segment would pass the limit.
+    """
+    row = F.struct(F.col(order).cast("bigint").alias("at"), F.col(length).cast("bigint").alias("len"))
+    lists = segments.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("all"), F.sum(length).alias("total"))
+    whole = F.col("total") <= single
+    fold = F.expr(
+        f"""aggregate(all, named_struct('first', cast(null as bigint), 'last', cast(null as bigint), 'len', 0L, 'sum', 0L, 'n', 0, 'out', cast(array() as array<struct<first:bigint,last:bigint,n:int>>)), (a, x) ->
+              if(a.n > 0 and a.sum + x.len > {limit} and total > {single},
+                 named_struct('first', a.last, 'last', x.at, 'len', x.len, 'sum', a.len + x.len, 'n', 2, 'out', concat(a.out, array(named_struct('first', a.first, 'last', a.last, 'n', a.n)))),
+                 named_struct('first', coalesce(a.first, x.at), 'last', x.at, 'len', x.len, 'sum', a.sum + x.len, 'n', a.n + 1, 'out', a.out)),
+              a -> concat(a.out, array(named_struct('first', a.first, 'last', a.last, 'n', a.n))))"""
+    )
+    return lists.withColumn("_w", whole).select(by, F.posexplode(fold).alias("chunk", "c")).select(by, "chunk", "c.first", "c.last", "c.n")
+
+
+def text_chunks(rows: DataFrame, by: str, text: str, size: int = 8000, overlap: int = 500, single: int = 10000, back: int = 500) -> DataFrame:
+    """(by, chunk, part): a text of more than ``single`` characters in chunks of about ``size``.
+
+    A chunk ends behind the last sentence mark in its last ``back`` characters,
+    else before the last space there, else where it is full; the next one
+    starts ``overlap`` characters before that. One fold per text.
+    """
+    c, n = "t", "length(t)"
+    tail = "substring(t, at + size - back + 2, back)"
+    mark = f"length(regexp_extract({tail}, '(?s)^(.*[.!?])', 1))"
+    space = f"length(regexp_extract({tail}, '(?s)^(.*) ', 1))"
+    cut = f"if({mark} > 0, at + size - back + 1 + {mark}, if(instr({tail}, ' ') > 0, at + size - back + 1 + {space}, at + size))"
+    for name, value in (("size", size), ("back", back)):
+        cut = cut.replace(f" {name}", f" {value}")
+    steps = f"sequence(1, greatest(1, cast(ceil({n} / {max(1, size - back - overlap)}) as int) + 1))"
+    cut = cut.replace("at +", "a.at +")
+    fold = f"""aggregate({steps}, named_struct('at', 0, 'done', false, 'out', cast(array() as array<string>)), (a, i) ->
+        if(a.done, a, if({n} <= {single} or a.at + {size} >= {n},
+           named_struct('at', a.at, 'done', true, 'out', concat(a.out, array(trim(substring(t, a.at + 1, {n}))))),
+           named_struct('at', if({cut} - {overlap} > 0, {cut} - {overlap}, {cut}), 'done', false, 'out', concat(a.out, array(trim(substring(t, a.at + 1, {cut} - a.at))))))),
+        a -> filter(a.out, x -> x <> ''))"""
+    return rows.select(by, F.coalesce(text, F.lit("")).alias(c)).select(by, F.posexplode(F.expr(fold)).alias("chunk", "part"))
+
+
+def longest_spans(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Spans (by..., start, end, ...) chosen longest first, then by start, each if it meets none chosen before."""
+    rest = [c for c in spans.columns if c not in (*by, "start", "end")]
+    row = F.struct((F.col("start") - F.col("end")).alias("short"), "start", "end", *rest)
+    lists = spans.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"))
+    kind = lists.schema["all"].dataType.simpleString()
+    fold = F.expr(f"aggregate(all, cast(array() as {kind}), (a, x) -> if(exists(a, y -> x.start < y.end and y.start < x.end), a, concat(a, array(x))))")
+    return lists.select(*by, F.explode(fold).alias("s")).select(*by, "s.start", "s.end", *[f"s.{c}" for c in rest])
+
+
+def word_spans(segments: DataFrame, by: list[str], text: str, words: int = 3) -> DataFrame:
+    """(by..., start, end, n, phrase): runs of up to ``words`` words with their places in the text, from 0."""
+    found = F.regexp_extract_all(text, F.lit(r"(\s*)(\S+)"), 0)
+    sized = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,s:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(F.regexp_replace(x, r"^\s+", "").alias("w"), (a["at"] + F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))).alias("s")))).alias("out")), lambda a: a["out"])
+    each = segments.select(*by, sized.alias("_w"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("_w") - i + 1)), lambda n: F.struct(F.element_at("_w", i)["s"].alias("start"), (F.element_at("_w", i + n - 1)["s"] + F.length(F.element_at("_w", i + n - 1)["w"])).alias("end"), n.alias("n"), F.array_join(F.transform(F.slice("_w", i, n), lambda x: x["w"]), " ").alias("phrase")))))
+    return each.filter(F.size("_w") > 0).select(*by, F.explode(runs).alias("r")).select(*by, "r.*")
+
+
+def phonetic_scan(segments: DataFrame, names: DataFrame, by: list[str], text: str, name: str, common: DataFrame, least: float = 0.5, taken: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """(by..., start, end, phrase, matched, confidence): runs of words that sound like a name, longest first, none over another.
+
+    Runs of under four characters, single words of under five, common words
+    (column word), runs that are a name already and runs over spans that are
+    taken (by..., start, end) are left out.
+    """
+    from lorespark.operators.match import phonetic_pairs
+
+    runs = word_spans(segments, by, text)
+    bare = F.trim(F.regexp_replace(F.lower("phrase"), r"[^a-z\s]", ""))
+    long = runs.withColumn("_bare", bare).filter((F.length("phrase") >= 4) & ((F.size(F.split("_bare", r"\s+")) > 1) | (F.length("_bare") >= 5)))
+    if taken is not None:
+        t = taken.select(*by, F.col("start").alias("_s"), F.col("end").alias("_e"))
+        met = (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
+        for c in by:
+            met = met & (long[c] == t[c])
+        long = long.join(t, met, "left_anti")
+    open_ = long.join(common.select(F.col("word").alias("_bare")).distinct(), "_bare", "left_anti").drop("_bare")
+    pairs = phonetic_pairs(open_.select("phrase").distinct(), names, "phrase", name, least, overrides)
+    order = Window.partitionBy("phrase").orderBy(F.col("score").desc(), name)
+    best = pairs.withColumn("_n", F.row_number().over(order)).filter("_n = 1").filter(F.lower("phrase") != F.lower(name))
+    hits = open_.join(best.select("phrase", F.col(name).alias("matched"), F.col("score").alias("confidence")), "phrase")
+    return longest_spans(hits.select(*by, "start", "end", "phrase", "matched", "confidence"), by)
+
+
+def timelines(mentions: DataFrame, kind: str, canonical: str, shown: int = 5) -> DataFrame:
+    """(kind, line): names by their first second, with the first few times as m:ss and the total where there are more."""
+    from lorespark.functions.text import clock
+
+    times = F.array_join(F.transform(F.slice("seconds", 1, shown), clock), ", ")
+    line = F.concat(F.col(canonical), F.lit(": "), times, F.when(F.size("seconds") > shown, F.format_string("... (%d total mentions)", F.size("seconds"))).otherwise(F.lit("")))
+    row = F.struct(F.col("seconds")[0].alias("first"), F.col(canonical).alias("name"), line.alias("line"))
+    return mentions.filter(F.size("seconds") > 0).groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n").alias("lines"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.functions.rules import is_legends
+
 WEAPON = "struct<name:string,type:string,range:string,attacks:string,skill:string,strength:string,ap:string,damage:string,keywords:array<string>>"
 UNIT = f"struct<name:string,canonicalName:string,stats:struct<movement:string,toughness:int,save:string,wounds:int,leadership:string,objectiveControl:int>,weapons:array<{WEAPON}>,abilities:array<string>,keywords:array<string>,pointsCost:int>"
 CATALOGUE = f"id string, name string, units array<{UNIT}>"
@@ -49,3 +51,54 @@ def dictionary(sources: list[tuple[int, DataFrame]]) -> DataFrame:
 def xml_entries(spark: SparkSession, path: str, schema: str, row_tag: str = "selectionEntry") -> DataFrame:
     """Entries of XML catalogues, attributes under @_ names."""
     return spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "@_").option("valueTag", "#text").schema(schema).load(path)
+
+
+def visible_links(links: DataFrame, not_units: list[str]) -> DataFrame:
+    """Entry links (catalogue, name, type, hidden, conditions) of units: entries that are shown, whose names hold none of the words for other things and are no legends."""
+    other = F.exists(F.array(*[F.lit(w) for w in not_units]), lambda w: F.contains("name", w)) if not_units else F.lit(False)
+    return links.filter((F.col("type") == "selectionEntry") & ~F.coalesce(F.col("hidden"), F.lit(False)) & ~other & ~is_legends(F.col("name")))
+
+
+def ally_conditions(links: DataFrame, flags: DataFrame, gate_id: str | None = None) -> DataFrame:
+    """(catalogue, name, ally_group): units by what shows them; a null group is the core.
+
+    links: catalogue, name, conditions (array of structs type, value, child_id;
+    null: always shown). flags: child_id, type, value, ally_group. A unit with
+    a condition that is a flag's belongs to its group, one without conditions,
+    or with an "atLeast" condition on the gate, to the core; others are left out.
+    """
+    each = links.select("catalogue", "name", F.explode_outer("conditions").alias("c")).select("catalogue", "name", "c.*")
+    marked = each.join(flags.withColumnRenamed("type", "t").withColumnRenamed("value", "v").withColumnRenamed("child_id", "i"), (F.col("child_id") == F.col("i")) & (F.col("type") == F.col("t")) & (F.col("value") == F.col("v")), "left")
+    gate = F.coalesce((F.col("type") == "atLeast") & (F.col("child_id") == F.lit(gate_id)), F.lit(False))
+    per = marked.groupBy("catalogue", "name").agg(F.collect_set("ally_group").alias("groups"), F.max(F.col("child_id").isNull() | gate).alias("core"))
+    kept = per.filter((F.size("groups") > 0) | F.col("core"))
+    return kept.select("catalogue", "name", F.explode_outer("groups").alias("ally_group"))
+
+
+def detachment_units(allies: DataFrame, detachments: DataFrame) -> DataFrame:
+    """(catalogue, detachment, units): the core units and those of the ally groups that a detachment (catalogue, detachment, ally_groups) allows, sorted."""
+    met = detachments.join(allies, "catalogue").filter(F.col("ally_group").isNull() | F.array_contains("ally_groups", F.col("ally_group")))
+    return met.groupBy("catalogue", "detachment").agg(F.array_sort(F.collect_set("name")).alias("units"))
+
+
+def faction_aliases(factions: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, alias) of factions (id, name): the name in lower case, its known aliases (name, alias), and its id in words."""
+    own = factions.select("id", F.explode(F.array_distinct(F.array(F.lower("name"), F.replace("id", F.lit("-"), F.lit(" "))))).alias("alias"))
+    return own.union(factions.join(known, "name").select("id", F.lower("alias"))).distinct()
+
+
+def clean_aliases(generated: DataFrame, existing: DataFrame, official: DataFrame) -> DataFrame:
+    """(name, aliases) of official unit names: generated and existing aliases (unit, alias), met without case and without
+    "[Legends]"; aliases in lower case, each once, none that is the name itself; units that are not official are left out."""
+    low = F.lower("name")
+    names = official.select("name", F.explode(F.array_distinct(F.array(low, F.regexp_replace(low, r"\s*\[legends\]$", "")))).alias("k")).groupBy("k").agg(F.min("name").alias("name"))
+    given = generated.select("unit", "alias").union(existing.select("unit", "alias")).select(F.lower("unit").alias("k"), F.lower(F.trim("alias")).alias("alias"))
+    met = given.join(names, "k").filter((F.col("alias") != "") & (F.col("alias") != F.lower("name")))
+    return met.groupBy("name").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def batch_results(results: DataFrame) -> DataFrame:
+    """(group, results): lines of a batch (custom_id "group:part", aliases map) put together by group; of equal keys the last part's holds."""
+    each = results.select(F.split_part("custom_id", F.lit(":"), F.lit(1)).alias("group"), F.split_part("custom_id", F.lit(":"), F.lit(2)).alias("part"), F.explode("aliases").alias("unit", "names"))
+    last = each.groupBy("group", "unit").agg(F.max_by("names", F.struct(F.length("part"), "part")).alias("names"))
+    return last.groupBy("group").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit", "names")))).alias("results"))
