@@ -57,7 +57,8 @@ def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: st
     near = (F.least("_nt", "_nc") >= (share - 1e-9) * F.greatest("_nt", "_nc"))
     dice_pairs = prefix(t, term, "_nt").join(prefix(c, name, "_nc"), "g").filter(near).select(term, name)
     inside = containment_pairs(t, c, term, name, least).select(term, name).union(containment_pairs(c, t, name, term, least).select(term, name))
-    pairs = dice_pairs.union(inside).distinct()
+    bare_of_all = t.filter("_x = ''").select(term, "_x").join(c.filter("_x = ''").select(name, "_x"), "_x").select(term, name)
+    pairs = dice_pairs.union(inside).union(bare_of_all).distinct()
     x = lambda df, key, n: df.select(key, F.col("_x").alias(f"_x{n}"), F.col("_g").alias(f"_g{n}"))
     scored = pairs.join(x(t, term, 1), term).join(x(c, name, 2), name).withColumn("score", dice_of(F.col("_x1"), F.col("_x2"), F.col("_g1"), F.col("_g2")))
     return scored.filter(F.col("score") >= least).select(term, name, "score")

@@ -141,7 +141,7 @@ def repair_detachments(players: DataFrame, transcripts: DataFrame, detachments:
 
 
 def check_detachments(players: DataFrame, detachments: DataFrame) -> DataFrame:
-    """players with their detachment as the catalogue writes it: equal without case, else the first by name that holds it or is held, else Unknown; factions that the catalogue lacks keep theirs."""
+    """players with a detachment of their faction: their own if the catalogue has it in any case, else the first by name that holds it or is held, else Unknown; players of factions that the catalogue lacks keep theirs."""
     d = detachments.select(F.lower("faction").alias("_f"), F.col("detachment").alias("_d")).distinct()
     low, official = F.lower("detachment"), F.lower("_d")
     tier = F.when(low == official, 0).when(F.contains(official, low) | F.contains(low, official), 1)

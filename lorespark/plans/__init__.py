@@ -37,4 +37,4 @@ def all_of(conditions: list):
     return reduce(lambda a, b: a & b, conditions)
 
 
-from lorespark.plans import catalog, sheets, text, timeline  # noqa: E402, F401
+from lorespark.plans import catalog, games, records, rulebook, sheets, text, timeline  # noqa: E402, F401

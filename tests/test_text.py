@@ -62,8 +62,42 @@ def test_readable(spark):
 
 def test_sounds(spark):
     assert one(spark, phonetic.soundex, "Robert Rupert") == "R163 R163"
-    assert one(spark, phonetic.metaphone, "Knight") == one(spark, phonetic.metaphone, "Night")
-    assert one(spark, phonetic.metaphone, "phantom") == one(spark, phonetic.metaphone, "fantom")
+    long = "b" + "ab" * 120
+    assert len(phonetic.word_codes(long)[0]) == 121 and one(spark, lambda c: phonetic.codes(c)["metaphone"], long) == phonetic.word_codes(long)[0]
+    assert one(spark, lambda c: phonetic.codes(c)["primary"], "Xavier  Smith 12") == "SF SM0 "
+    assert one(spark, lambda c: phonetic.codes(c)["metaphone"], "") == ""
+
+
+# Codes as published with the algorithm, or read off its rules by hand.
+DOUBLE = {
+    "Smith": ("SM0", "XMT"), "Schmidt": ("XMT", "SMT"), "Thumb": ("0M", "TM"), "Catherine": ("K0RN", "KTRN"), "Wright": ("RT", "RT"), "Xavier": ("SF", "SFR"), "Jose": ("HS", "HS"),
+    "cabrillo": ("KPRL", "KPR"), "bajador": ("PJTR", "PHTR"), "Wachtler": ("AKTLR", "FKTLR"), "Tichner": ("TXNR", "TKNR"), "Arnow": ("ARN", "ARNF"), "Filipowicz": ("FLPTS", "FLPFX"),
+    "Edge": ("AJ", "AJ"), "accident": ("AKSTNT", "AKSTNT"), "bacci": ("PX", "PX"), "focaccia": ("FKX", "FKX"), "Mchugh": ("MK", "MK"), "knight": ("NT", "NT"), "laugh": ("LF", "LF"),
+    "caesar": ("SSR", "SSR"), "chianti": ("KNT", "KNT"), "michael": ("MKL", "MXL"), "architect": ("ARKTKT", "ARKTKT"), "orchestra": ("ARKSTR", "ARKSTR"), "rogier": ("RJ", "RJR"),
+    "island": ("ALNT", "ALNT"), "sugar": ("XKR", "SKR"), "snider": ("SNTR", "XNTR"), "school": ("SKL", "SKL"), "schermerhorn": ("XRMRRN", "SKRMRRN"), "thomas": ("TMS", "TMS"),
+    "breaux": ("PR", "PR"), "zhao": ("J", "J"), "czerny": ("SRN", "XRN"), "dumb": ("TM", "TM"), "": ("", ""), "12": ("", ""),
+}
+
+
+@pytest.mark.parametrize("word", list(DOUBLE))
+def test_double_metaphone(word):
+    assert phonetic.word_codes(word)[1:] == DOUBLE[word]
+
+
+@pytest.mark.parametrize(("word", "code"), [("Knight", "NT"), ("night", "NT"), ("phantom", "FNTM"), ("fantom", "FNTM"), ("dumb", "TM"), ("school", "SKL"), ("science", "SNS"), ("edge", "EJ"), ("which", "WX"), ("xylo", "SL"), ("nation", "NXN"), ("thin", "0N"), ("Aeon", "EN")])
+def test_metaphone(word, code):
+    assert phonetic.word_codes(word)[0] == code
+
+
+@pytest.mark.parametrize(("name", "want"), [("Resurgent Points", True), ("Stratagem / Ability", True), ("ability/stratagem x", True), ("X (stratagems)", True), ("X (rules)", True), ("X (reserves)", True), ("X (Detachment rule)", True), ("X (resource)", True), ("X (reference)", True), ("Token Guard", False), ("Shadow Token Bearers", False), ("X (army ability)", False), ("Y (cross reference note)", False), ("Resurgent", False)])
+def test_misclassified_spellings(spark, name, want):
+    assert one(spark, integrity.misclassified, name) is want
+
+
+def test_parts_of_words(spark):
+    match = lambda q, t: spark.createDataFrame([(q, t)], "q string, t string").select(text.any_word_match(F.col("q"), F.col("t"))).first()[0]
+    assert match("wright", "the shipwrights' hall") and match("ship hall", "the Shipwrights' HALL") and match("e s", "the shipwright")
+    assert not match("ship yard", "the shipwrights' hall")
 
 
 @pytest.mark.parametrize(("name", "want"), [("Cult Ambush (rule/ability)", True), ("Cult Ambush token used", True), ("Some Stratagem (stratagem)", True), ("Achilles Ridgerunners (mortar)", False), ("Kabalite Warriors", False)])
