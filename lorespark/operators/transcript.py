@@ -244,3 +244,32 @@ def timelines(mentions: DataFrame, kind: str, canonical: str, shown: int = 5) ->
     line = F.concat(F.col(canonical), F.lit(": "), times, F.when(F.size("seconds") > shown, F.format_string("... (%d total mentions)", F.size("seconds"))).otherwise(F.lit("")))
     row = F.struct(F.col("seconds")[0].alias("first"), F.col(canonical).alias("name"), line.alias("line"))
     return mentions.filter(F.size("seconds") > 0).groupBy(kind).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "\n").alias("lines"))
+
+
+def detect_types(segments: DataFrame, dictionary: DataFrame, by: list[str], types: list[str], gated: dict[str, str] | None = None) -> DataFrame:
+    """(by..., term, canonical, kind): one replacement for each distinct term of a segment, that of the first type in order.
+
+    dictionary: term (normalised), canonical, kind. Terms of a gated type count
+    only where the text holds the type's word.
+    """
+    from lorespark.operators.match import detect_mentions
+
+    found = detect_mentions(segments, dictionary, by)
+    for kind, word in (gated or {}).items():
+        texts = segments.select(*by, F.contains(F.lower("text"), F.lit(word)).alias("_open"))
+        found = found.join(texts, by).filter((F.col("kind") != kind) | F.col("_open")).drop("_open")
+    rank = F.array_position(F.array(*[F.lit(k) for k in types]), F.col("kind"))
+    best = found.filter(rank > 0).groupBy(*by, "term").agg(F.min_by(F.struct("canonical", "kind"), F.struct(rank, "canonical")).alias("b"))
+    return best.select(*by, "term", "b.canonical", "b.kind")
+
+
+def entity_spans(texts: DataFrame, names: DataFrame, by: list[str], text: str, name: str) -> DataFrame:
+    """(by..., start, end, name): places (from 0) where a name, its plural, or its singular stands between marks or ends of words, longest first, none over another."""
+    low = F.lower(F.trim(name))
+    forms = F.array_distinct(F.filter(F.array(low, F.concat(low, F.lit("s")), F.when(F.length(low) > 3, F.regexp_replace(low, "s$", ""))), lambda x: x != ""))
+    known = names.select(F.col(name).alias("name"), F.explode(forms).alias("form")).groupBy("form").agg(F.min("name").alias("name"))
+    most = names.agg(F.max(F.size(F.split(F.trim(name), r"\s+")))).first()[0] or 1
+    runs = word_spans(texts, by, text, most)
+    head = F.regexp_extract("phrase", r"^[^\p{L}\p{N}]*", 0)
+    bare = runs.withColumns({"start": F.col("start") + F.length(head), "form": F.lower(F.regexp_replace("phrase", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))}).withColumn("end", F.col("start") + F.length("form"))
+    return longest_spans(bare.join(known, "form").select(*by, "start", "end", "name").distinct(), by)

@@ -131,3 +131,14 @@ def test_live_mentions(spark, tmp_path):
     q = game.live_mentions(stream, words).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r["seq"], r["canonical"]) for r in spark.table("live").collect()] == [(1, "Farseer")]
+
+
+def test_stages_and_their_artifacts(spark, tmp_path):
+    from lorespark.operators.stages import run_stages
+
+    good = [("double", lambda df: df.select((F.col("id") * 2).alias("id"))), ("some", lambda df: df.filter("id > 4"))]
+    out, facts = run_stages(spark, spark.range(5), good, str(tmp_path / "a"))
+    assert sorted(r["id"] for r in out.collect()) == [6, 8]
+    assert [(r["name"], r["status"], r["rows"]) for r in facts.orderBy("stage").collect()] == [("double", "done", 5), ("some", "done", 2)]
+    out, facts = run_stages(spark, spark.range(5), [good[0], ("bad", lambda df: df.select("missing")), good[1]], str(tmp_path / "b"))
+    assert out is None and [r["status"] for r in facts.orderBy("stage").collect()] == ["done", "failed", "skipped"]
