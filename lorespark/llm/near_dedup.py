@@ -270,15 +270,18 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> Da
     its own component_id (null) unless linked to a smaller one. Every text is
     judged for itself: rows that share a doc_id, or have none, are linked only
     if their texts are, and of those the one with the smallest MD5 is kept.
-    Rows that repeat doc_id and text get one verdict.
+    Rows that repeat doc_id and text get one verdict. Texts of any length go
+    whole; other columns are not looked at, whatever their names; empty docs
+    give an empty result.
     """
     return _judged(docs, shingle_words, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, one row of each component, with their columns unchanged.
+    """The documents that stay, one row of each component, with their columns unchanged, whatever their names; links as in near_dedup().
 
-    Of rows that repeat doc_id and text one stays, any of them; those without words all stay.
+    Of rows that repeat doc_id and text one stays, any of them; those without
+    words all stay. Empty docs give an empty result.
     """
     scratch = Scratch(docs.sparkSession, "near_dropped")
     judged = _judged(docs, shingle_words, percent).select(F.col("oid").alias("_oid"), F.col("mark").alias("_mark"), "kept", (F.col("n_shingles") > 0).alias("once"))

@@ -158,7 +158,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     counts as larger than any other; rows that share a doc_id do not remove
     each other's words. longest_repeat is the longest of window, 2 * window,
     4 * window ... at which a run of the document starts in another one too,
-    0 if none does.
+    0 if none does. Texts of any length go whole; repeated rows give repeated
+    rows; other columns are not looked at, whatever their names; empty docs
+    give an empty result.
     """
     scratch = Scratch(docs.sparkSession, "substring")
     told = scratch.write(_prepare(docs, window), "told")

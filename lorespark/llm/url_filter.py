@@ -63,23 +63,28 @@ def _segments(path: Column) -> Column:
     return F.filter(F.split(path, "/"), lambda x: x != "")
 
 
-DOMAIN, PATH = F.lit(1).cast("bigint"), F.lit(2)
+#: What the hashes of domains and of paths begin with.
+DOMAIN, PATH = 1, 2
+
+
+def _start() -> Column:
+    return F.lit(DOMAIN).cast("bigint")
 
 
 def _pattern_key(pattern: Column) -> Column:
     host, path = F.split_part(pattern, F.lit("/"), F.lit(1)), F.regexp_extract(pattern, r"^[^/]*(/.*)$", 1)
-    domain = F.element_at(_folded(_labels(host), DOMAIN), -1)
+    domain = F.element_at(_folded(_labels(host), _start()), -1)
     segments = _segments(path)
-    return F.when(F.size(segments) == 0, domain).otherwise(F.element_at(_folded(segments, F.xxhash64(PATH, domain)), -1))
+    return F.when(F.size(segments) == 0, domain).otherwise(F.element_at(_folded(segments, F.xxhash64(F.lit(PATH), domain)), -1))
 
 
 def _probes(host: Column, path: Column, labels: Column, segments: Column) -> Column:
     """(labels, segments, key) of each pattern of at most so many labels and segments that covers a URL; labels, then segments, tell its reach."""
     shape = "array<struct<labels:int,segments:int,key:bigint>>"
     all_labels, some_segments = _labels(host), F.slice(_segments(path), F.lit(1), segments)
-    hashes = _folded(all_labels, DOMAIN)
+    hashes = _folded(all_labels, _start())
     domains = F.transform(F.slice(hashes, F.lit(1), labels), lambda h, i: F.struct((i + 1).alias("labels"), F.lit(0).alias("segments"), h.alias("key")))
-    paths = F.transform(_folded(some_segments, F.xxhash64(PATH, F.element_at(hashes, -1))), lambda h, i: F.struct(F.size(all_labels).alias("labels"), (i + 1).alias("segments"), h.alias("key")))
+    paths = F.transform(_folded(some_segments, F.xxhash64(F.lit(PATH), F.element_at(hashes, -1))), lambda h, i: F.struct(F.size(all_labels).alias("labels"), (i + 1).alias("segments"), h.alias("key")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast(shape)).otherwise(F.concat(domains, F.when(F.size(all_labels) <= labels, paths).otherwise(F.array())).cast(shape))
 
 

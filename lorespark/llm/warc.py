@@ -9,8 +9,8 @@ is quarantined, and the bytes up to where the walk goes on are logged as a gap
 with its reason. Where the record's length was sound (only the digest differs)
 that is its end, so what its payload quotes is not taken for records.
 Otherwise the reader searches for the next version line; what it finds may lie
-inside the damaged record, and says so, up to the next gap or to where the
-damaged record claims to end. Each gzip member of a compressed archive is
+inside the damaged record, and says so: up to where that one claims to end,
+or, where it does not say, to the end of the archive. Each gzip member of a compressed archive is
 inflated and walked likewise; after a damaged member the search is for the
 next one.
 """
@@ -254,8 +254,13 @@ def _salvage_gzip(data: bytes) -> Iterator[dict]:
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Rows of RECORDS: the records of all archives in a folder, and the gaps that were quarantined.
 
-    A record with a reason is kept, but its digest could not be verified or its gzip member is damaged.
-    payload_digest is as stated, without "sha1:".
+    A record with a reason is kept, but its digest could not be verified, its
+    gzip member is damaged, or it may be text that a damaged record quotes.
+    payload_digest is as stated, without "sha1:". A folder without records or
+    with empty files gives an empty table; records that repeat come out as
+    often. An archive is held in memory as a whole while it is walked, and
+    binaryFile reads files of up to 2 GB: those of write_warc() stay near 64 MB
+    unless one payload is larger.
     """
     fields = [c.split()[0] for c in RECORDS.split(",")]
     schema = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]]) for n, c in zip(fields, RECORDS.split(","), strict=True)])

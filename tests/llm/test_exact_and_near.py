@@ -98,6 +98,42 @@ def test_exact_dedup_ignores_other_columns(spark):
     assert drop_copies(odd).columns == odd.columns
 
 
+def test_drops_keep_columns_with_any_names(spark):
+    from pyspark.sql import functions as F
+
+    t = "one two three four five six seven"
+    names = ["_sha", "_keep_id", "_chars", "_oid", "_mark", "_row", "kept", "once", "n", "run", "rank", "a.b", "d1", "sig", "component"]
+    odd = docs(spark, [(1, t), (2, t + " "), (3, t + " eight"), (None, "x y"), (None, "x y"), (None, "x  y")]).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
+    exact, near_ = drop_copies(odd), drop_near_copies(odd)
+    assert exact.columns == near_.columns == odd.columns
+    got = exact.collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("2", t + " "), ("3", t + " eight"), ("None", "x  y")]
+    assert all(r[c] == c + ("-" if r["doc_id"] is None else str(r["doc_id"])) for r in got for c in names)
+    assert len(near_.collect()) == 4 - 1
+    assert drop_copies(odd.limit(0)).count() == drop_near_copies(odd.limit(0)).count() == 0
+
+
+def test_rows_without_ids_or_repeated_ids_are_dropped_one_by_one(spark):
+    rows = [(None, "a b"), (None, "ab"), (None, "c"), (7, "d"), (7, "e"), (7, "d "), (8, "e"), (9, None), (10, "")]
+    left = sorted(((r["doc_id"], r["text"]) for r in drop_copies(docs(spark, rows)).collect()), key=str)
+    assert left == sorted([(None, "a b"), (None, "c"), (7, "d "), (7, "e"), (9, None)], key=str)
+
+
+def test_sides_of_joins_are_measured(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lorespark.llm import common
+
+    small = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("s"), F.array(F.lit(1), F.lit(2)).alias("l"))
+    assert common.fits(small) and not common.fits(small, 49)
+    left = spark.range(200).select((F.col("id") % 60).alias("id"), F.col("id").alias("k"))
+    rows = lambda how: sorted(map(str, common.attach(left, small, ["id"], "k", how).collect()))
+    want = rows("left"), rows("inner")
+    monkeypatch.setattr(common, "SMALL_BYTES", 40_000)
+    assert not common.fits(small)
+    assert (rows("left"), rows("inner")) == want
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_dedup(spark, n):
     texts = corpus(2)

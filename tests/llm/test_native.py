@@ -4,15 +4,15 @@ import hashlib
 import zlib
 from collections import Counter
 from datetime import datetime
-from math import comb
+from math import comb, log
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm.mixing import mix, rates
+from lorespark.llm.mixing import mix, mix_rows, rates
 from lorespark.llm.quality import HOLDOUT, RULES, STEPS, Risk, features, keep_good, quality_report, steps
 from lorespark.llm.sharding import Topology, shard
-from lorespark.llm.url_filter import filter_urls
+from lorespark.llm.url_filter import captures_of, filter_urls
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -45,6 +45,30 @@ def test_url_filter_as_of(spark):
     assert filter_urls(df.limit(0), entries).count() == 0
 
 
+def test_url_filter_long_urls_repeats_and_large_ids(spark):
+    entries = spark.createDataFrame([("l", "bad.org", "block", day(1)), ("l", "ok.org/a/b", "block", day(1)), ("l", ".".join(["x"] * 30 + ["deep.org"]), "allow", day(1))], "list_name string, pattern string, action string, since timestamp")
+    labels, segments = ".".join(["x"] * 2500 + ["bad.org"]), "/".join(["a", "b"] + ["s"] * 9000)
+    rows = [(1, f"http://{labels}/", day(4)), (2, f"http://ok.org/{segments}", day(4)), (1 << 62, "http://bad.org/", day(4)), (3, "http://bad.org/", day(4)), (3, "http://bad.org/", day(4)), (4, "http://y." + "x." * 30 + "deep.org/", day(4)), (5, "http://ok.org/a", day(4))]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, fetched timestamp").withColumns({c: F.lit(1) for c in ("row", "p", "key", "host", "labels", "verdict")})
+    got = sorted((r["page_id"], r["verdict"]) for r in filter_urls(df, entries).collect())
+    assert got == sorted([(1, "block"), (2, "block"), (1 << 62, "block"), (3, "block"), (3, "block"), (4, "allow"), (5, "none")])
+    big = spark.createDataFrame([(1 << 62, "http://h.org/"), (-7, None)], "page_id bigint, url string")
+    assert filter_urls(captures_of(big), entries).count() == 2
+
+
+def test_url_filter_pattern_with_many_entries(spark):
+    """A pattern that is blocked and allowed every six hours is judged as one with few entries is."""
+    from datetime import timedelta
+
+    log = [("l", "flip.org", "block" if k % 2 else "allow", day(1) + timedelta(hours=6 * k)) for k in range(100)] + [("m", "still.org", "block", day(3)), ("l", "flip.org", "remove", day(27))]
+    entries = spark.createDataFrame(log, "list_name string, pattern string, action string, since timestamp")
+    at = [day(1) + timedelta(hours=5 * k) for k in range(130)]
+    df = spark.createDataFrame([(k, "http://www.flip.org/", t) for k, t in enumerate(at)] + [(1000, "http://still.org/", day(9)), (1001, "http://still.org/", None)], "page_id bigint, url string, fetched timestamp")
+    got = {r["page_id"]: r["verdict"] for r in filter_urls(df, entries).collect()}
+    want = {k: "none" if t >= day(27) else "block" if min(int((t - day(1)) / timedelta(hours=6)), 99) % 2 else "allow" for k, t in enumerate(at)}
+    assert got == want | {1000: "block", 1001: "none"}
+
+
 def brute_features(text):
     words = (text or "").encode().split()
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
@@ -132,6 +156,48 @@ def test_mixing(spark):
     assert sorted(map(str, mix(df, weights).collect())) == sorted(map(str, got))
 
 
+def test_mixing_keeps_columns_with_any_names(spark):
+    names = ["_key", "_source", "_us", "_parts", "_cdf", "_deal", "c0", "copy", "copies", "shuffle_key", "a.b"]
+    df = docs(spark, [(i, "xy" * (i % 5), "en", "s" if i % 3 else None) for i in range(60)] + [(None, None, "en", "s")] * 3).withColumns({c: F.lit(c) for c in names})
+    rows, full = mix_rows(df), mix(df)
+    assert rows.columns == df.columns and full.columns == [c for c in df.columns if c not in ("copy", "copies", "shuffle_key")] + ["copy", "copies", "shuffle_key"]
+    got = rows.collect()
+    assert got and all(r[c] == c for r in got for c in names)
+    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in full.collect())
+    assert all(isinstance(r["copy"], int) and r["copy"] < r["copies"] for r in full.collect())
+
+
+def draw(level, node, child, weight, key):
+    u = (int(hashlib.md5(f"{level}/{node}/{child}/{key}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+    return -log(u) / weight
+
+
+def descend_by_hand(weights, key):
+    first = lambda level, node, ws: min(range(len(ws)), key=lambda i: draw(level, node, i, ws[i], key))
+    region = first("region", "root", [sum(map(sum, r)) for r in weights])
+    rack = first("rack", region, [sum(x) for x in weights[region]])
+    leaf = first("shard", f"{region}.{rack}", weights[region][rack])
+    before = sum(len(x) for r in weights[:region] for x in r) + sum(len(x) for x in weights[region][:rack])
+    return before + leaf
+
+
+@pytest.mark.parametrize("weights", [Topology.even().weights, (((1.0, 2.5), (3.0,)), ((0.5, 1.0, 1.0),), ((4.0,), (1.0, 1.0)))])
+def test_sharding_equals_a_descent_by_hand(spark, weights):
+    rows = [(i * 7919 - 50, "é" * (i % 9), "en", "s") for i in range(400)] + [(5, None, "en", "s"), (5, "x", "en", "s"), (None, "y", "en", "s"), (None, "y", "en", "s"), (None, None, "en", "s")]
+    key = lambda i, t: str(i) if i is not None else "text:" + hashlib.md5((t or "").encode()).hexdigest()
+    got = shard(docs(spark, rows), Topology(weights)).collect()
+    grown = (*weights, ((1.0,),))
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), descend_by_hand(weights, key(i, t)), descend_by_hand(grown, key(i, t))) for i, t, *_ in rows)
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == want
+    # Slots: by sub-range of the key's hash, then doc_id; rows without doc_id stand anywhere.
+    place = lambda i: int(hashlib.md5(f"slot/{i}".encode()).hexdigest()[:8], 16) % 1024
+    for s in {r["shard"] for r in got}:
+        mine = sorted((r for r in got if r["shard"] == s), key=lambda r: r["slot"])
+        assert [r["slot"] for r in mine] == list(range(len(mine)))
+        told = [(place(r["doc_id"]), r["doc_id"]) for r in mine if r["doc_id"] is not None]
+        assert told == sorted(told)
+
+
 def test_sharding_is_gapless_and_grows_into_the_new_shard(spark):
     rows = [(i, "é" * (i % 7), "en", "s") for i in range(6000)] + [(3, "x", "en", "s"), (3, "x", "en", "s"), (None, "y", "en", "s"), (None, None, "en", "s")]
     got = shard(docs(spark, rows)).collect()

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -233,3 +234,49 @@ def test_salvage_of_foreign_gzip():
     assert ids(cut) == list(range(5 + (ids(cut)[-1] == 5))) and ids(bad) == list(range(9))
     for data in (whole, pairs, damaged, cut, bad, whole + gzip.compress(b"") + pairs):
         assert sum(r["length"] for r in salvage(data)) == len(data)
+
+
+def test_quoted_records_are_not_taken_for_records(spark, tmp_path):
+    """Page 1 quotes a whole record of page 99; its own record is damaged in each way."""
+    quoted = list(salvage(archive(spark, tmp_path, 3)))
+    data = archive(spark, tmp_path / "b", 1)
+    inner = data.replace(b"urn:page:0", b"urn:page:99")
+    sha = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+
+    def record(page, body, digest=None, more=0):
+        block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Payload-Digest: {digest or sha(body)}\r\nContent-Length: {len(block) + more}\r\n\r\n".encode()
+        return head + block + b"\r\n\r\n"
+
+    tail = record(2, b"sound")
+    ids = lambda x: [(r["page_id"], r["reason"]) for r in salvage(x) if r["kind"] == "record"]
+    body = b"<p>\r\n" + inner + b"</p>"
+    assert len(quoted) == 3 and ids(record(1, body) + tail) == [(1, None), (2, None)]
+    assert ids(record(1, body, sha(b"other")) + tail) == [(2, None)]
+    doubt = "may lie inside a damaged record"
+    assert ids(record(1, body, more=7) + tail) == [(99, doubt), (2, doubt)]
+    assert ids(record(1, body).replace(b"WARC/1.1", b"WARC/?.?", 1) + tail) == [(99, doubt), (2, doubt)]
+    whole = record(1, body, sha(b"other")) + tail
+    assert sum(r["length"] for r in salvage(whole)) == len(whole)
+
+
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", "x" * 70_000 + str(i)) for i in range(150)] + [(1000 + i, "u", f"small {i}") for i in range(1200)] + [(5000, "u", "y" * 1_200_000)]
+    write_warc(pages(spark, rows).coalesce(1), str(tmp_path / "w"))
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 64 * 71_500 and len(sizes) >= 6
+    got = read_warc(spark, str(tmp_path / "w"), payloads=False).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(i for i, *_ in rows) and {r["kind"] for r in got} == {"record"}
+    write_warc(pages(spark, []), str(tmp_path / "none"))
+    assert read_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_gzip_members_take_linear_time():
+    sha1 = lambda x: "sha1:" + hashlib.sha1(x).hexdigest()
+    took = []
+    for n in (1000, 4000):
+        data = b"".join(gzip.compress(foreign(i, sha1)) for i in range(n))
+        began = time.process_time()
+        assert sum(r["kind"] == "record" for r in salvage(data)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
