@@ -12,33 +12,39 @@ from lorespark.functions.similarity import bare, bigrams, dice_of
 FUZZY, PHONETIC, PHONETIC_LOW = 0.7, 0.5, 0.4
 
 
-def _units(grams: Column, bare_text: Column, longest: Column | bool) -> Column:
-    """What names can meet by: bigrams, and characters where one may be all of the other name."""
+#: Letters and digits from common to rare; names meet by the rarest of their units in this fixed order.
+COMMON_FIRST = "etaoinsrhldcumfpgwybvkxjqz0123456789"
+
+
+def _units(grams: Column, bare_text: Column, with_letters: Column | bool) -> Column:
+    """What a name can be met by: bigrams, a single character's own, and all characters where one may be the whole of the other name."""
     letters = F.array_distinct(F.split(bare_text, "(?<=.)(?=.)"))
-    return F.when(F.length(bare_text) == 1, F.array(bare_text)).when(F.lit(longest), F.concat(grams, letters)).otherwise(grams)
+    return F.when(F.length(bare_text) == 1, F.array(bare_text)).when(F.lit(with_letters), F.concat(grams, letters)).otherwise(grams)
+
+
+def _rarest_first(units: Column) -> Column:
+    at = lambda u, i: F.instr(F.lit(COMMON_FIRST), F.substring(u, i, 1))
+    return F.transform(F.array_sort(F.transform(units, lambda u: F.struct((-at(u, 1) - at(u, 2)).alias("r"), u.alias("u")))), lambda x: x["u"])
+
+
+def _entries(kind: str, units: Column) -> Column:
+    return F.transform(units, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("g")))
 
 
-def _rarest_first(rows: DataFrame, key: str, units: Column, seen: DataFrame) -> DataFrame:
-    """key and its units (n, g), those that fewest names have first. seen has a row per unit: of a-z and 0-9 at most 1,332."""
-    each = rows.select(key, F.explode(units).alias("g")).join(F.broadcast(seen), "g")
-    return each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("ranked"))
+def _whole(x: Column, grams: Column) -> Column:
+    """The rarest unit of a name, as an array; empty for an empty name."""
+    return F.slice(_rarest_first(_units(grams, x, False)), 1, 1)
 
 
-def containment_pairs(shorter: DataFrame, longer: DataFrame, short_key: str, long_key: str, least: float = 0.0) -> DataFrame:
-    """Pairs in which the bare text of one side (columns _x, _g; not empty) is part of the other's, at least ``least`` times as long.
+def containment_pairs(shorter: DataFrame, longer: DataFrame, short_key: str, long_key: str) -> DataFrame:
+    """Pairs in which a name's bare text (column _x; not empty) is part of the other's.
 
     A name meets the longer ones by the rarest of its units, so common bigrams are no hot keys.
     """
-    rest = lambda df, key: df.select(key, F.col("_x"), F.col("_g"))
-    s, l = rest(shorter, short_key).filter("_x <> ''"), rest(longer, long_key)  # noqa: E741
-    unit = _units(F.col("_g"), F.col("_x"), F.lit(True) if least <= 0 else F.length("_x") <= 1.0 / least)
-    all_l = l.select(long_key, F.col("_x").alias("_y"), F.explode(unit).alias("g"))
-    seen = all_l.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    first = _rarest_first(s, short_key, _units(F.col("_g"), F.col("_x"), False), seen)
-    whole = s.select(short_key, F.size(_units(F.col("_g"), F.col("_x"), False)).alias("size"))
-    probe = first.join(whole, short_key).filter(F.size("ranked") == F.col("size")).select(short_key, F.col("ranked")[0]["g"].alias("g"))
-    met = probe.join(s.select(short_key, "_x"), short_key).join(all_l, "g")
-    return met.filter(F.contains("_y", F.col("_x")) & (F.length("_x") >= least * F.length("_y"))).select(short_key, long_key).distinct()
+    x = F.col("_x")
+    s = shorter.filter("_x <> ''").select(short_key, "_x", F.explode(_whole(x, bigrams(x))).alias("g"))
+    l = longer.select(long_key, x.alias("_y"), F.explode(_units(bigrams(x), x, True)).alias("g"))  # noqa: E741
+    return s.join(l, "g").filter(F.contains("_y", x)).select(short_key, long_key).distinct()
 
 
 def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float) -> DataFrame:
@@ -48,19 +54,26 @@ def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: st
     whose sets of bigrams are alike enough share one of their rarest bigrams
     (prefix filtering), and a name that is part of another meets it by its
     rarest one; only such pairs, of sizes that allow the score, are scored.
+    One join finds them all.
     """
-    sides = lambda df, c: df.select(c).distinct().withColumn("_x", bare(F.col(c))).withColumn("_g", bigrams(F.col("_x")))
-    t, c = sides(terms, term), sides(candidates, name)
-    seen = t.select(F.explode("_g").alias("g")).union(c.select(F.explode("_g").alias("g"))).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    share = least / (2.0 - least)  # of a set's bigrams are in any set that is alike enough
-    prefix = lambda df, key, n: _rarest_first(df, key, F.col("_g"), seen).select(key, F.size("ranked").alias(n), F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - F.ceil(F.size("ranked") * F.lit(share - 1e-9)).cast("int") + 1)).alias("r")).select(key, n, F.col("r.g").alias("g"))
-    near = (F.least("_nt", "_nc") >= (share - 1e-9) * F.greatest("_nt", "_nc"))
-    dice_pairs = prefix(t, term, "_nt").join(prefix(c, name, "_nc"), "g").filter(near).select(term, name)
-    inside = containment_pairs(t, c, term, name, least).select(term, name).union(containment_pairs(c, t, name, term, least).select(term, name))
-    bare_of_all = t.filter("_x = ''").select(term, "_x").join(c.filter("_x = ''").select(name, "_x"), "_x").select(term, name)
-    pairs = dice_pairs.union(inside).union(bare_of_all).distinct()
-    x = lambda df, key, n: df.select(key, F.col("_x").alias(f"_x{n}"), F.col("_g").alias(f"_g{n}"))
-    scored = pairs.join(x(t, term, 1), term).join(x(c, name, 2), name).withColumn("score", dice_of(F.col("_x1"), F.col("_x2"), F.col("_g1"), F.col("_g2")))
+    share = least / (2.0 - least) - 1e-9  # of a set's bigrams are in any set that is alike enough
+    x = F.col("_x")
+
+    def side(df: DataFrame, key: str, probe: str, meet: str, n: int) -> DataFrame:
+        grams = bigrams(x)
+        prefix = F.slice(_rarest_first(grams), F.lit(1), F.size(grams) - F.ceil(F.size(grams) * F.lit(share)).cast("int") + 1)
+        open_ = _units(grams, x, F.length(x) <= 1.0 / least)
+        bare_names = F.when(x == "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        all_ = F.concat(_entries("alike", prefix), _entries(probe, _whole(x, grams)), _entries(meet, open_), _entries("empty", bare_names))
+        return df.select(key).distinct().withColumn("_x", bare(F.col(key))).select(key, x.alias(f"_x{n}"), F.size(grams).alias(f"_n{n}"), F.explode(all_).alias("e")).select(key, f"_x{n}", f"_n{n}", "e.kind", "e.g")
+
+    met = side(terms, term, "in_name", "in_term", 1).join(side(candidates, name, "in_term", "in_name", 2), ["kind", "g"])
+    inside = lambda a, b: F.contains(b, a) & (F.length(a) >= least * F.length(b))
+    kind, x1, x2 = F.col("kind"), F.col("_x1"), F.col("_x2")
+    near = (kind == "alike") & (F.least("_n1", "_n2") >= share * F.greatest("_n1", "_n2"))
+    likely = met.filter(near | ((kind == "in_name") & inside(x1, x2)) | ((kind == "in_term") & inside(x2, x1)) | (kind == "empty"))
+    pairs = likely.select(term, name, "_x1", "_x2").distinct()
+    scored = pairs.withColumn("score", dice_of(x1, x2, bigrams(x1), bigrams(x2)))
     return scored.filter(F.col("score") >= least).select(term, name, "score")
 
 
@@ -78,28 +91,27 @@ def phonetic_pairs(terms: DataFrame, candidates: DataFrame, term: str, name: str
     overrides (variation, canonical), known mishearings: a term that is a
     variation of a candidate's name gets that name alone, at 0.95.
     """
-    coded = lambda df, c: df.select(c).distinct().withColumn("codes", phonetic.codes(F.col(c)))
-    t, k = coded(terms, term), coded(candidates, name)
+    coded = lambda df, c, n: df.select(c).distinct().withColumn(n, phonetic.codes(F.col(c)))
+    t, k = coded(terms, term, "_a"), coded(candidates, name, "_b")
     # Base scores of an equal code.
     kinds = {"primary": 0.9, "secondary": 0.7, "metaphone": 0.6, "soundex": 0.4}
-    each = lambda df, c, own: df.select(c, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.when(own(i), F.col(f"codes.{i}")).alias("code"), F.lit(b).alias("base")) for i, b in kinds.items()])).alias("x")).select(c, "x.*").filter("code <> ''")
-    named = each(k, name, lambda i: F.col("codes.secondary") != F.col("codes.primary") if i == "secondary" else F.lit(True)).drop("base")
-    met = each(t, term, lambda i: F.lit(True)).join(named, ["kind", "code"]).groupBy(term, name).agg(F.max("base").alias("base"))
-    both = met.join(t.withColumnRenamed("codes", "a"), term).join(k.withColumnRenamed("codes", "b"), name)
-    scored = both.withColumn("score", (F.col("base") + phonetic.similarity(F.col("a"), F.col("b"))) / 2).select(term, name, "score")
+    each = lambda df, c, n, own: df.select(c, n, F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.when(own(i), F.col(f"{n}.{i}")).alias("code"), F.lit(b).alias("base")) for i, b in kinds.items()])).alias("x")).select(c, n, "x.*").filter("code <> ''")
+    named = each(k, name, "_b", lambda i: F.col("_b.secondary") != F.col("_b.primary") if i == "secondary" else F.lit(True)).drop("base")
+    met = each(t, term, "_a", lambda i: F.lit(True)).join(named, ["kind", "code"]).groupBy(term, name).agg(F.max("base").alias("base"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    scored = met.withColumn("score", (F.col("base") + phonetic.similarity(F.col("_a"), F.col("_b"))) / 2).select(term, name, "score")
     if overrides is not None:
         low = lambda c: F.lower(F.trim(c))
         first = overrides.groupBy(low("variation").alias("_v")).agg(F.min(low("canonical")).alias("_c"))
-        known = t.select(term).join(first, low(term) == F.col("_v")).join(candidates.select(name).distinct(), F.lower(name) == F.col("_c")).select(term, name, F.lit(0.95).alias("score"))
+        known = terms.select(term).distinct().join(first, low(term) == F.col("_v")).join(candidates.select(name).distinct(), F.lower(name) == F.col("_c")).select(term, name, F.lit(0.95).alias("score"))
         scored = scored.join(known.select(term).distinct(), term, "left_anti").unionByName(known)
     return scored.filter(F.col("score") >= least)
 
 
 def first_containing(terms: DataFrame, candidates: DataFrame, term: str, name: str, order: str) -> DataFrame:
     """(term, name) of the first candidate in order whose lower-case text is part of the term's or has it as a part; empty names are left out."""
-    sides = lambda df, c, *more: df.select(c, *more).filter(F.trim(c) != "").withColumn("_x", bare(F.col(c))).withColumn("_g", bigrams(F.col("_x")))
+    sides = lambda df, c: df.select(c).filter(F.trim(c) != "").withColumn("_x", bare(F.col(c)))
     t, c = sides(terms.select(term).distinct(), term), sides(candidates, name)
-    pairs = containment_pairs(t, c, term, name).select(term, name).union(containment_pairs(c, t, name, term).select(term, name)).distinct()
+    pairs = containment_pairs(t, c, term, name).select(term, name).union(containment_pairs(c, t, name, term).select(term, name))
     ranked = pairs.join(candidates.select(name, order), name)
     low, t_low = F.lower(name), F.lower(F.trim(term))
     return ranked.filter(F.contains(low, t_low) | F.contains(t_low, low)).groupBy(term).agg(F.min_by(name, F.struct(order, name)).alias(name))
@@ -166,7 +178,7 @@ def word_parts(queries: DataFrame, texts: DataFrame, query: str, text: str, word
     told = texts.select(text, F.explode(words).alias("w"))
     known = told.groupBy(F.col("w").alias("known")).agg(F.count(F.lit(1)).alias("n"))
     asked = queries.select(query, F.explode(words).alias("asked"))
-    unit = lambda df, c: df.select(c, F.col(c).alias("_x")).withColumn("_g", bigrams(F.col("_x")))
+    unit = lambda df, c: df.select(c, F.col(c).alias("_x"))
     parts = containment_pairs(unit(asked.select("asked").distinct(), "asked"), unit(known, "known"), "asked", "known")
     often = parts.join(known, "known").groupBy("asked").agg(F.sum("n").alias("n"))
     # A word that no text has makes its query meet nothing: it is the rarest.
