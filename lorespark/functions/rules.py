@@ -1,4 +1,8 @@
-"""Rules over game texts as column expressions. Word lists and tables of a game are parameters."""
+"""Rules over game texts as column expressions.
+
+Word lists and tables of a game are parameters. The patterns, labels and
+numbers inside the functions are fixed values: they say what the rules are.
+"""
 
 from __future__ import annotations
 

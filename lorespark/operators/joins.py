@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, take: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, take: list[str], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """left with columns of the latest right row of the same key at or before its time; nulls where there is none.
 
     One shuffle: both sides go into one ordered stream per key, right rows
-    first at equal times, and the last right row is carried forward.
+    first at equal times, and the last right row is carried forward. Where a
+    key may hold a large part of all rows, bucket (a function of the time that
+    never falls as it grows) parts its stream: each bucket is a stream of its
+    own, and the last right row of the buckets before is carried in from a
+    table of one row per key and bucket.
     """
-    l = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(right.select(F.struct(ts, *take)).schema[0].dataType)})  # noqa: E741
-    r = right.select(by, ts, F.lit(0).alias("_side"), F.struct(ts, *take).alias("_r"))
+    kind = right.select(F.struct(ts, *take)).schema[0].dataType
+    part = (lambda df: df.withColumn("_bucket", bucket(F.col(ts)))) if bucket else (lambda df: df.withColumn("_bucket", F.lit(0)))
+    l = part(left).withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(kind)})  # noqa: E741
+    r = part(right).select(by, ts, "_bucket", F.lit(0).alias("_side"), F.struct(ts, *take).alias("_r"))
     both = l.unionByName(r, allowMissingColumns=True)
-    order = Window.partitionBy(by).orderBy(F.col(ts), F.col("_side"), *[F.col(f"_r.{c}") for c in take]).rowsBetween(Window.unboundedPreceding, 0)
+    keys = [by, "_bucket"] if bucket else [by]
+    order = Window.partitionBy(*keys).orderBy(F.col(ts), F.col("_side"), *[F.col(f"_r.{c}") for c in take]).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_last", F.last("_r", ignorenulls=True).over(order)).filter("_side = 1")
+    if bucket:
+        ends = both.groupBy(by, "_bucket").agg(F.max("_r").alias("_end"))
+        before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(by, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+        seen = seen.join(carried, [by, "_bucket"], "left").withColumn("_last", F.coalesce("_last", "_carried"))
     return seen.select(*left.columns, F.col(f"_last.{ts}").alias(f"{ts}_then"), *[F.col(f"_last.{c}").alias(c) for c in take])
 
 

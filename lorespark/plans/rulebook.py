@@ -13,12 +13,12 @@ from lorespark.plans import Tables, query
 RULES = [r"(?i)\beach time\b", r"(?i)\bre-roll\b"]
 
 
-@query(r"""WITH x AS (SELECT p_partkey, p_name || ' ofthe feelnopain aBc FEELNOPAIN 5 INFANTRYINFANTRYINFANTRY' AS t FROM part)
-          SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(t, '(?i)feelnopain', 'Feel No Pain', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '(?i)\b(of)(the)\b', '\1 \2', 'g') AS normal,
+@query(r"""WITH x AS (SELECT p_partkey, p_name || ' ofthe neverfalter aBc NEVERFALTER 5 INFANTRYINFANTRYINFANTRY' AS t FROM part)
+          SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(t, '(?i)neverfalter', 'Never Falter', 'g'), '([a-z])([A-Z])', '\1 \2', 'g'), '(?i)\b(of)(the)\b', '\1 \2', 'g') AS normal,
                  replace(t, 'INFANTRYINFANTRYINFANTRY', 'INFANTRY') AS deduped, left(t, 9) AS short, p_size * 10 BETWEEN 20 AND 500 AS valid FROM part JOIN x USING (p_partkey)""")
 def fixed_texts(t: Tables) -> DataFrame:
-    c = F.concat("p_name", F.lit(" ofthe feelnopain aBc FEELNOPAIN 5 INFANTRYINFANTRYINFANTRY"))
-    return t.part.select("p_partkey", rules.normalize_text(c, {"feelnopain": "Feel No Pain"}).alias("normal"), rules.repeated_keywords(c).alias("deduped"), rules.truncate(c, 9).alias("short"), rules.valid_points(F.col("p_size") * 10).alias("valid"))
+    c = F.concat("p_name", F.lit(" ofthe neverfalter aBc NEVERFALTER 5 INFANTRYINFANTRYINFANTRY"))
+    return t.part.select("p_partkey", rules.normalize_text(c, {"neverfalter": "Never Falter"}).alias("normal"), rules.repeated_keywords(c).alias("deduped"), rules.truncate(c, 9).alias("short"), rules.valid_points(F.col("p_size") * 10).alias("valid"))
 
 
 @query(r"""SELECT p_partkey, CASE WHEN contains(upper(p_type), 'BRASS') OR contains(upper(p_type), 'STEEL') THEN 'metal' WHEN contains(upper(p_type), 'SMALL') THEN 'small' ELSE 'ability' END AS kind,
@@ -32,32 +32,32 @@ def keyword_scalars(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", rules.keyword_type(F.col("p_type"), kinds).alias("kind"), rules.keyword_name(F.concat(F.lit(r"\[ "), "p_name", F.lit("  X\\]"))).alias("name"), rules.video_id(link).alias("video"), rules.boost_confidence(level, size / 50).alias("boosted"), rules.lower_confidence(level).alias("lowered"))
 
 
-@query(r"""SELECT p_partkey, 'Deadly Demise D6 of the Oath ' || p_size AS ability, p_name || ' x' AS composition, CASE WHEN p_size % 2 = 0 THEN 'Each time it rolls.' || chr(10) || chr(10) || 'More.' ELSE 'Lore.' || chr(10) || chr(10) || p_name END AS rules,
+@query(r"""SELECT p_partkey, 'Bitter End D6 of the Oath ' || p_size AS ability, p_name || ' x' AS composition, CASE WHEN p_size % 2 = 0 THEN 'Each time it rolls.' || chr(10) || chr(10) || 'More.' ELSE 'Lore.' || chr(10) || chr(10) || p_name END AS rules,
                  p_name AS sized, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_size % 4 = 1 THEN NULL ELSE 'Host of ' || p_name END AS detachment, p_size % 2 = 0 AS mission, CASE p_size % 3 WHEN 0 THEN 'chapter_approved_2025' WHEN 1 THEN 'leviathan' ELSE 'matched_play' END AS pack FROM part""")
 def text_rules(t: Tables) -> DataFrame:
     n, size = F.col("p_name"), F.col("p_size")
     para = F.when(size % 2 == 0, F.concat(F.lit("Lore of "), n, F.lit(".\n\nEach time it rolls.\n\nMore."))).otherwise(F.concat(F.lit("Lore.\n\n"), n))
     host = F.when(size % 4 == 0, "# Not Found").when(size % 4 == 1, "Army Rules").otherwise(F.concat(F.lit("![i](u)Host of "), n, F.lit(" 2")))
     return t.part.select(
-        "p_partkey", rules.clean_ability_name(F.concat(F.lit("DeadlyDemiseD6 ofthe Oath"), size)).alias("ability"), rules.clean_composition(F.concat(n, F.lit(" --- 160 70 |a| x 120"))).alias("composition"), rules.from_first_rule(para, RULES).alias("rules"),
+        "p_partkey", rules.clean_ability_name(F.concat(F.lit("BitterEndD6 ofthe Oath"), size)).alias("ability"), rules.clean_composition(F.concat(n, F.lit(" --- 160 70 |a| x 120"))).alias("composition"), rules.from_first_rule(para, RULES).alias("rules"),
         rules.without_suffix(F.concat(n, F.lit(" Strike Force")), ["Incursion", "Strike Force"]).alias("sized"), rules.detachment_name(host).alias("detachment"), rules.mission_name(F.when(size % 2 == 0, "TAKE & HOLD 2").otherwise("Take & Hold")).alias("mission"),
         rules.mission_pack(F.when(size % 3 == 0, "u/chapter-approved-2025-26/").when(size % 3 == 1, "u/leviathan").otherwise("u/other")).alias("pack"),
     )
 
 
-@query(r"""SELECT n_nationkey, ['Hellblasters', 'Iron Hands', 'Terminators'] AS units, CASE WHEN n_nationkey % 2 = 0 THEN 'knights' ELSE 'wolves' END AS first, CASE WHEN n_nationkey % 2 = 0 THEN ['knights', 'wolves'] ELSE ['wolves'] END AS labels,
-                 ['archon', 'archon skari', 'archon skaris'] AS variants FROM nation""")
+@query(r"""SELECT n_nationkey, ['Iron Lances', 'Longbowmen', 'Pikemen'] AS units, CASE WHEN n_nationkey % 2 = 0 THEN 'riders' ELSE 'wolves' END AS first, CASE WHEN n_nationkey % 2 = 0 THEN ['riders', 'wolves'] ELSE ['wolves'] END AS labels,
+                 ['captain', 'captain varo', 'captain varos'] AS variants FROM nation""")
 def mention_rules(t: Tables) -> DataFrame:
-    told = F.concat(F.lit("we run 5x Hellblasters and 3 Iron Hands, then the Terminators of "), F.lower("n_name"))
-    pats = [(r"\bgrey knights?\b", "knights"), (r"\bwol(?:f|ves)\b", "wolves")]
-    fight = F.when(F.col("n_nationkey") % 2 == 0, "Wolves against Grey Knights").otherwise("the wolves win")
-    return t.nation.select("n_nationkey", F.array_sort(rules.mentioned_units(told)).alias("units"), rules.first_label(fight, pats).alias("first"), rules.all_labels(fight, pats).alias("labels"), F.array_sort(F.filter(rules.unit_variants(F.lit("Archon Skari with Blade"), ["archon", "succubus"]), lambda x: F.length(x) < 20)).alias("variants"))
+    told = F.concat(F.lit("we run 5x Longbowmen and 3 Iron Lances, then the Pikemen of "), F.lower("n_name"))
+    pats = [(r"\bgrey riders?\b", "riders"), (r"\bwol(?:f|ves)\b", "wolves")]
+    fight = F.when(F.col("n_nationkey") % 2 == 0, "Wolves against Grey Riders").otherwise("the wolves win")
+    return t.nation.select("n_nationkey", F.array_sort(rules.mentioned_units(told)).alias("units"), rules.first_label(fight, pats).alias("first"), rules.all_labels(fight, pats).alias("labels"), F.array_sort(F.filter(rules.unit_variants(F.lit("Captain Varo with Blade"), ["captain", "sergeant"]), lambda x: F.length(x) < 20)).alias("variants"))
 
 
-@query(r"""SELECT n_nationkey, ['text', 'link', 'text', 'keyword', 'text', 'unit-keyword', 'text'] AS kinds, ['See ', n_name, ' and gain ', 'LETHAL HITS', ' near ', 'SPACE MARINES', ' units'] AS contents, 'u' || n_nationkey AS target,
+@query(r"""SELECT n_nationkey, ['text', 'link', 'text', 'keyword', 'text', 'unit-keyword', 'text'] AS kinds, ['See ', n_name, ' and gain ', 'DEADLY BLOWS', ' near ', 'RIVER GUARDS', ' units'] AS contents, 'u' || n_nationkey AS target,
                  'Oath' AS rule, 'Old ' || n_name AS lore, 'Each time it fights.' || chr(10) || chr(10) || 'Then it rests.' AS effect, 'one TWO two' AS replaced FROM nation""")
 def rich_texts(t: Tables) -> DataFrame:
-    line = F.concat(F.lit("See ["), "n_name", F.lit("](u"), F.col("n_nationkey").cast("string"), F.lit(") and gain [LETHAL HITS] near SPACE MARINES units"))
+    line = F.concat(F.lit("See ["), "n_name", F.lit("](u"), F.col("n_nationkey").cast("string"), F.lit(") and gain [DEADLY BLOWS] near RIVER GUARDS units"))
     rule = rules.army_rule(F.concat(F.lit("### Oath\n\nOld "), "n_name", F.lit("\n\nEach time it fights.\n\nThen it rests.\n\n| a | b |")), RULES)
     spans = F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("one").alias("text")), F.struct(F.lit(4).alias("start"), F.lit(7).alias("end"), F.lit("TWO").alias("text")))
     s = rules.segments(line)

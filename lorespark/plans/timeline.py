@@ -20,6 +20,15 @@ def as_of_join(t: Tables) -> DataFrame:
     return joins.as_of(clicks, views, "user_id", "ts", ["seen_id"])
 
 
+@query("""SELECT c.event_id, v.ts AS ts_then, v.event_id AS seen_id FROM (SELECT *, user_id % 3 AS k FROM events WHERE event_type = 'error') c ASOF LEFT JOIN (SELECT *, user_id % 3 AS k FROM events WHERE event_type = 'purchase') v ON c.k = v.k AND c.ts >= v.ts""")
+def as_of_hot_key(t: Tables) -> DataFrame:
+    """Three keys hold all events: their streams are parted by day."""
+    e = t.events.withColumn("k", F.col("user_id") % 3)
+    left = e.filter("event_type = 'error'").select("event_id", "k", "ts")
+    right = e.filter("event_type = 'purchase'").select("k", "ts", F.col("event_id").alias("seen_id"))
+    return joins.as_of(left, right, "k", "ts", ["seen_id"], bucket=lambda c: F.to_date(c)).select("event_id", "ts_then", "seen_id")
+
+
 @query("""SELECT a.event_id, b.event_id AS r_event_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'error' AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000""")
 def band_join(t: Tables) -> DataFrame:
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))

@@ -43,7 +43,11 @@ def windowed(rows: DataFrame, ts: str, kind: str, width: str, late: str) -> Data
 
 
 def clamped_stream(rows: DataFrame, by: str, ts: str, delta: str, start: int, low: int, high: int) -> DataFrame:
-    """clamped() on a stream in arrival order: the balance of each key that got events, at each trigger."""
+    """clamped() on a stream in arrival order: the balance of each key that got events, at each trigger.
+
+    Events are in order of time within a trigger only: one that comes late is
+    folded when it comes, so the balance may differ from that of clamped().
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         balance, n = state.get if state.exists else (start, 0)
