@@ -11,8 +11,8 @@ that is its end, so what its payload quotes is not taken for records.
 Otherwise the reader searches for the next version line; what it finds may lie
 inside the damaged record, and says so: up to where that one claims to end,
 or, where it does not say, to the end of the archive. Each gzip member of a compressed archive is
-inflated and walked likewise; after a damaged member the search is for the
-next one.
+inflated and walked likewise; after a damaged member (one that inflates to
+over 1 GB counts as such) the search is for the next one.
 """
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, damage: Column
     Empty pages make a folder without records.
     """
     records = record_text(with_revisits(pages.select("page_id", "url", "html"), least_bytes), damage)
-    largest = records.agg(F.max("payload_bytes")).first()[0] or 0
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     below = -1
     for most, n in ARCHIVES:
         some = records.filter((F.col("payload_bytes") > below) & (F.col("payload_bytes") <= most)) if largest > ARCHIVES[0][0] else records
