@@ -16,7 +16,8 @@ def page(*parts: str | Column) -> Column:
 def _sheet(t: Tables) -> DataFrame:
     """A datasheet per part: stats and points from its numbers, weapons and keywords from its name and type."""
     size, n = F.col("p_size"), F.col("p_name")
-    return t.part.select(
+    # Parsing is all that costs here: rows of a table in one small file are dealt out to all tasks first.
+    return t.part.repartition(t.spark.sparkContext.defaultParallelism).select(
         F.col("p_partkey").alias("page_id"),
         F.lit("http://x/datasheets").alias("url"),
         page(

@@ -129,7 +129,8 @@ def weapons(pages: DataFrame, abilities: list[str] = (), whole: list[str] = ())
     cell = F.element_at("r.html", F.col("at"))
     marked = F.transform(F.regexp_extract_all(cell, F.lit(r'(?is)<span[^>]*class="[^"]*\bkwb2\b[^"]*"[^>]*>(?:<span[^>]*>)?([^<]*)'), 1), lambda x: F.concat(F.lit("["), F.upper(F.trim(x)), F.lit("]")))
     bare = F.regexp_replace(F.regexp_replace(h.text_of(tags(cell)), r"\s+", " "), r"^\s*[-–]\s*", "")
-    named = rows.withColumn("at", at).withColumns({"w": weapon_name(bare, list(abilities), list(whole)), "marked": F.filter(marked, lambda x: F.length(x) > 3)})
+    # A generator keeps the name's fold below the filters that use it, so that it is evaluated once.
+    named = rows.withColumn("at", at).withColumns({"w": F.explode(F.array(weapon_name(bare, list(abilities), list(whole)))), "marked": F.filter(marked, lambda x: F.length(x) > 3)})
     value = lambda i: F.get("r.cells", F.col("at") + (i - 1))
     up, first = F.upper("w.name"), F.upper(F.col("r.cells")[0])
     header = first.isin("RANGED WEAPONS", "MELEE WEAPONS", "WEAPON", "WEAPONS") | first.contains("RANGE") | first.contains("---") | up.contains("RANGED WEAPON") | up.contains("MELEE WEAPON") | up.isin("RANGE", "WEAPON", "WEAPONS") | up.contains("DEED") | up.contains("VOW")

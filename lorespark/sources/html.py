@@ -14,8 +14,8 @@ def text_of(html: Column) -> Column:
 
 
 def elements(html: Column, tag: str) -> Column:
-    """All elements of a tag that hold none of their own kind, with their tags."""
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})\b[^>]*>(?:(?!<(?:{tag})\b).)*?</(?:{tag})>"), 0)
+    """All elements of a tag, with their tags; they hold none of their own kind."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<(?:{tag})\b[^>]*>.*?</(?:{tag})>"), 0)
 
 
 def cells(row: Column) -> Column:
