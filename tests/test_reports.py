@@ -15,7 +15,7 @@ def test_validated_names(spark):
     official = spark.createDataFrame([("a", n) for n in NAMES] + [("b", "Farsight")], "scope string, official string")
     names = spark.createDataFrame([("a", n) for n in ("Lanceguards", "Cryptark", "Farwacher", "zzz", "", None)] + [("b", "Farsite"), ("c", "Farwatcher")], "scope string, name string")
     got = {(r["scope"], r["name"]): r for r in reports.validate_names(names, official).collect()}
-    assert got["a", "Lanceguards"]["matched"] == "Lanceguard" and got["a", "Lanceguards"]["confidence"] == pytest.approx(0.9)
+    assert got["a", "Lanceguards"]["matched"] == "Lanceguard" and got["a", "Lanceguards"]["confidence"] == pytest.approx(10 / 11)
     assert got["a", "Cryptark"]["is_validated"] and got["a", "Cryptark"]["matched"] == "Kryptark"
     assert got["b", "Farsite"]["matched"] == "Farsight"
     for key in (("a", "zzz"), ("a", ""), ("c", "Farwatcher")):
