@@ -4,7 +4,9 @@ from lorespark.llm.bpe import op4_bpe
 from lorespark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from lorespark.llm.mixing import OP5_SQL, op5_mix_sources
 from lorespark.llm.near_dedup import op3_near_dedup
+from lorespark.llm.periodic_runs import op11_periodic_runs
 from lorespark.llm.quality import OP7_SQL, op7_quality_rules
+from lorespark.llm.resampling import OP12_SQL, op12_importance_resampling
 from lorespark.llm.sharding import op8_sharding
 from lorespark.llm.substring import op6_substring_dedup
 from lorespark.llm.token_counts import op2_token_counts
@@ -23,6 +25,8 @@ QUERIES = {
     "op9_warc": op9_warc,
     "warc_salvage": warc_salvage,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,
@@ -31,4 +35,5 @@ ORACLE_SQL = {
     "op9_warc": OP9_SQL,
     "warc_salvage": WARC_SALVAGE_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }
