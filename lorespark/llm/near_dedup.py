@@ -14,7 +14,9 @@
    components only, each pair in the first band that it shares; those that
    agree are confirmed on the full sets inside the block, until what is linked
    is joined. So no link is lost to the choice of a bucket's smallest text,
-   and no group of copies is expanded into rows of pairs.
+   and no group of copies is expanded into rows of pairs. A bucket of more
+   texts than a block holds is cut by a second shared band first, so that the
+   work follows what is alike and not the bucket's size.
 5. Components over all links, by large-star and small-star.
 """
 
@@ -61,7 +63,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(8)) & np.uint64(0xFFFF)).astype("<u2")
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", row_id(F.col("doc_id")).alias("oid"), row_mark(F.col("text")).alias("mark"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
 
@@ -81,7 +83,7 @@ def _prepare(docs: DataFrame, n: int) -> DataFrame:
                     signs.append(signature(x).tobytes() if len(x) else None)
                 yield pa.record_batch({"doc_id": part["doc_id"], "oid": part["oid"], "mark": part["mark"], "spot": pa.array(range(begin, begin + len(d)), pa.int64()), "d1": pa.array([x for x, _ in d], pa.int64()), "d2": pa.array([y for _, y in d], pa.int64()), "n_shingles": pa.array(sizes, pa.int64()), "sig": pa.array(signs, pa.binary())})
 
-    return _texts(docs).mapInArrow(walk, "doc_id bigint, oid bigint, mark binary, spot bigint, d1 bigint, d2 bigint, n_shingles bigint, sig binary")
+    return texts_of(docs).mapInArrow(walk, "doc_id bigint, oid bigint, mark binary, spot bigint, d1 bigint, d2 bigint, n_shingles bigint, sig binary")
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -97,7 +99,7 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b", "n_a", "n_b").mapInArrow(walk, "a bigint, b bigint").distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(rep, set) of the wanted texts (rep, oid, mark), the set as sorted 64-bit hashes."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,11 +109,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 part = batch.slice(begin, 256)
                 yield pa.record_batch({"rep": part["rep"], "set": pa.array([shingle_set(hashes, t.lower().split(), n).tobytes() for t in part["text"].to_pylist()], pa.binary())})
 
-    texts = _texts(docs).select("oid", "mark", "text").join(sized(wanted), ["oid", "mark"])
+    texts = texts_of(docs).select("oid", "mark", "text").join(sized(wanted), ["oid", "mark"])
     return texts.select("rep", "text").mapInArrow(walk, "rep bigint, set binary").groupBy("rep").agg(F.first("set").alias("set"))
 
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * |x and y| >= percent * |x or y|, for sorted distinct hashes."""
     few, many = sorted((len(x), len(y)))
     if 100 * few < percent * many:
@@ -120,7 +122,7 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (few + many - both)
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Pairs (a, b) with 100 * |A and B| >= percent * |A or B|, on full sets.
 
     Texts are hashed into blocks and pairs go to their pair of blocks, so a
@@ -133,16 +135,35 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, perce
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks))
     placed = pairs.withColumns({"ba": block("a"), "bb": block("b")})
     need = placed.select(F.col("ba").alias("to_a"), F.col("bb").alias("to_b"), F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sent = need.join(_sets(docs, ids, n), "rep")
+    sent = need.join(full_sets(docs, ids, n), "rep")
 
     def confirm(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {rep: np.frombuffer(s, np.uint64) for rep, s in zip(right["rep"].to_pylist(), right["set"].to_pylist(), strict=True)}
-        keep = [_linked(sets[a], sets[b], percent) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
+        keep = [linked(sets[a], sets[b], percent) for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist(), strict=True)]
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return scratch.write(placed.groupBy("ba", "bb").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(confirm, "a bigint, b bigint"), name)
 
 
+def _cut(now: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of buckets with texts of several components; of those with more than BLOCK texts, by each second band that several texts of several components share.
+
+    A pair is compared in the first two bands that it shares. The chance that a
+    pair of similarity 0.8 shares one band and no other is 2.5e-6.
+    """
+    several = lambda df: df.groupBy("key", "sub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "sub", "n")
+    open_ = scratch.write(several(now).select("key"), "open_buckets")
+    now = now.join(open_, "key")
+    hot = now.filter(F.col("n") > BLOCK)
+    if hot.isEmpty():
+        return now
+    later = hot.filter(F.col("band") < BANDS - 1).join(reps.select("rep", "sig"), "rep").withColumn("sub", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))))
+    rows_of = F.substring("sig", F.col("sub") * (2 * ROWS) + 1, F.lit(2 * ROWS))
+    cut = scratch.write(later.select(F.xxhash64("key", "sub", rows_of).alias("key"), "band", "sub", "rep", "component"), "cut")
+    parts = cut.join(scratch.write(several(cut), "cut_open"), ["key", "sub"]).select("key", "band", "sub", "rep", "n", "component")
+    return now.filter(F.col("n") <= BLOCK).select("key", "band", "sub", "rep", "n", "component").unionByName(parts)
+
+
 def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame, n: int, percent: int, least: float, scratch: Scratch) -> DataFrame:
     """Links of step 4, enough of them to join what is linked: of one bucket, of different components.
 
@@ -151,7 +172,8 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     their full sets are sent to the second pass, which confirms. Both emit at
     most a row per text and block, however many pairs they compare.
     """
-    now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "band", F.lit(-1).alias("sub"), "rep", "n", F.coalesce("component", "rep").alias("component"))
+    now = _cut(scratch.write(now, "bucket_rows"), reps, scratch)
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     members = now.join(open_.select("key", F.col("most.component").alias("most"), F.col("most.c").alias("n_most")), "key").join(reps.select("rep", "sig"), "rep")
@@ -165,7 +187,7 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     with_most = F.when(largest, F.transform(all_of(others), lambda b: cell(-1 - F.col("mine"), b))).otherwise(F.transform(all_of(large), lambda a: cell(-1 - a, F.col("mine"))))
     among = F.when(largest, F.array().cast("array<struct<bi:int,bj:int>>")).otherwise(F.transform(all_of(others), lambda o: cell(F.least("mine", o), F.greatest("mine", o))))
     cast = members.withColumns({"mine": mine, "largest": largest}).withColumn("cell", F.explode(F.concat(with_most, among))).withColumns({"bi": F.col("cell.bi"), "bj": F.col("cell.bj")})
-    shape = "key bigint, bi int, bj int, mine int, largest boolean, band int, rep bigint, component bigint, sig binary"
+    shape = "key bigint, bi int, bj int, mine int, largest boolean, band int, sub int, rep bigint, component bigint, sig binary"
     columns = [c.split()[0] for c in shape.split(", ")]
     dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
 
@@ -173,7 +195,7 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
         """Each text's index with those behind it that agree with it and first do so in this band."""
         comp, mine, largest = group["component"].to_numpy(), group["mine"].to_numpy(), group["largest"].to_numpy()
         sign = np.frombuffer(b"".join(group["sig"].to_pylist()), "<u2").reshape(-1, HASHES)
-        band, bi, bj = (group[c][0].as_py() for c in ("band", "bi", "bj"))
+        band, sub, bi, bj = (group[c][0].as_py() for c in ("band", "sub", "bi", "bj"))
         for i in range(len(comp) - 1):
             ok = comp[i + 1 :] != comp[i]
             if bi < 0:
@@ -184,8 +206,12 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
             if len(j):
                 same = sign[j] == sign[i]
                 close = same.mean(axis=1) >= least
-                first = same[close].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-                yield i, j[close][first == band]
+                shared = same[close].reshape(-1, BANDS, ROWS).all(axis=2)
+                here = shared.argmax(axis=1) == band
+                if sub >= 0:
+                    shared[:, band] = False
+                    here &= shared.argmax(axis=1) == sub
+                yield i, j[close][here]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, ["key", "bi", "bj"]):
@@ -211,7 +237,7 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
             for i, others in alike(group):
                 for j in others.tolist():
                     a, b = root(comp[i]), root(comp[j])
-                    if a == b or not _linked(sets[i], sets[j], percent):
+                    if a == b or not linked(sets[i], sets[j], percent):
                         continue
                     up[a] = b
                     links.append((rep[i], rep[j]))
@@ -220,7 +246,28 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
 
     active = scratch.write(dealt(cast).mapInArrow(find, shape), "active")
     ids = scratch.write(active.select("rep").distinct().join(reps.select("rep", "oid", "mark"), "rep"), "active_ids")
-    return scratch.write(dealt(active.join(_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
+    return scratch.write(dealt(active.join(full_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
+
+
+def judged_rows(told: DataFrame, reps: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """Documents with n_shingles, component_id, kept, oid and mark: what the components of texts (node, component) say of each row of told.
+
+    told: doc_id, oid, mark, spot, d1, d2, n_shingles. reps: rep, d1, d2, oid, mark, copies of distinct texts.
+    """
+    who = F.struct("oid", "mark")
+    # The smallest (doc_id, mark) of a component, its own smallest text among them, stands for it.
+    nodes = comp.select(F.col("node").alias("rep"), "component").union(comp.select(F.col("component").alias("rep"), "component").distinct())
+    named = scratch.write(nodes.join(reps.select("rep", "d1", "d2", "oid", "mark"), "rep"), "named")
+    heads = named.groupBy("component").agg(F.min(who).alias("head"))
+    linked = attach(named, heads, ["component"], "rep").select("d1", "d2", "head")
+    # Only texts with copies or links have anything to say; a text alone is its own component.
+    copied = reps.filter("copies").select("d1", "d2", who.alias("head"))
+    said = scratch.write(linked.union(copied).groupBy("d1", "d2").agg(F.min("head").alias("head")), "said")
+    joined = attach(told, said, ["d1", "d2"], "spot")
+    alone = (F.col("n_shingles") == 0) | F.col("head").isNull()
+    comp_id = F.when(alone, F.col("oid")).otherwise(F.col("head.oid"))
+    kept = alone | (F.col("head") == who)
+    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"), "oid", "mark")
 
 
 def _judged(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
@@ -239,25 +286,13 @@ def _judged(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     rows = scratch.write(entries.join(shared, "key"), "rows")
 
     stars = rows.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _confirmed(_alike(stars, reps, least), reps, docs, shingle_words, percent, scratch, "star_links")
+    links = confirmed(_alike(stars, reps, least), reps, docs, shingle_words, percent, scratch, "star_links")
     comp = components(links, scratch, "star_comp")
     more = _across(rows, reps, comp, docs, shingle_words, percent, least, scratch)
     if not more.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), scratch, "comp")
 
-    # The smallest (doc_id, mark) of a component, its own smallest text among them, stands for it.
-    nodes = comp.select(F.col("node").alias("rep"), "component").union(comp.select(F.col("component").alias("rep"), "component").distinct())
-    named = scratch.write(nodes.join(reps.select("rep", "d1", "d2", "oid", "mark"), "rep"), "named")
-    heads = named.groupBy("component").agg(F.min(who).alias("head"))
-    linked = attach(named, heads, ["component"], "rep").select("d1", "d2", "head")
-    # Only texts with copies or links have anything to say; a text alone is its own component.
-    copied = reps.filter("copies").select("d1", "d2", who.alias("head"))
-    said = scratch.write(linked.union(copied).groupBy("d1", "d2").agg(F.min("head").alias("head")), "said")
-    joined = attach(told, said, ["d1", "d2"], "spot")
-    alone = (F.col("n_shingles") == 0) | F.col("head").isNull()
-    comp_id = F.when(alone, F.col("oid")).otherwise(F.col("head.oid"))
-    kept = alone | (F.col("head") == who)
-    return joined.select("doc_id", "n_shingles", F.nullif(comp_id, F.lit(NO_ID)).alias("component_id"), kept.alias("kept"), "oid", "mark")
+    return judged_rows(told, reps, comp, scratch)
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from lorespark.llm.bpe import op4_bpe
 from lorespark.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from lorespark.llm.jaccard_join import op13_jaccard_join
 from lorespark.llm.mixing import OP5_SQL, op5_mix_sources
 from lorespark.llm.near_dedup import op3_near_dedup
 from lorespark.llm.periodic_runs import op11_periodic_runs
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 ORACLE_SQL = {
     "op1_url_filters": OP1_SQL,

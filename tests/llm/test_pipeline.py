@@ -100,5 +100,5 @@ def test_quality_stage_with_enough_labels_for_cutoffs(spark, tmp_path):
 
 def test_stages_and_registrations():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "near dedup", "mixing", "bpe"]
-    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 13))
+    assert sorted(int(m[1]) for n in QUERIES if (m := re.match(r"op(\d+)_", n))) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(QUERIES)
