@@ -1,7 +1,7 @@
 """N-gram Jaccard join by signature trees.
 
 1. Every document gets a digest of its words, the size of its shingle set and
-   a bitmap of its shingles, four to eight bits a shingle. Texts with equal
+   a bitmap of its shingles, two to four bits a shingle. Texts with equal
    words go on as one.
 2. Shingles are put in one order for all texts: by hash, those that very many
    texts hold last. Two sets with 100 * intersection >= percent * union share
@@ -18,8 +18,9 @@
    lies in one component, if the sizes differ by too much, or if the bits that
    both have, with what the bitmaps may hide, are too few for the least overlap
    that the sizes ask for. Pairs of leaves are held to the tighter bound of the
-   bits that one has and the other has not. The texts of the pairs left are
-   sent to a second walk with their full sets, which links them.
+   bits that one has and the other has not. The pairs left are confirmed on
+   full sets; where a group leaves more pairs than a few a text, they are not
+   listed: its texts go to a second walk with their full sets, which links them.
 5. Components over all links, by large-star and small-star.
 
 Nothing is lost: step 2 holds for every pair that is alike enough, and the
@@ -42,12 +43,14 @@ from lorespark.llm.near_dedup import confirmed, linked, shingle_set, texts_of, f
 
 #: Shingles of a block of texts that is packed together, and first shingles of a part that is grouped at once.
 BLOCK, PART = 500_000, 1_000_000
-#: A shingle counts as held by very many from so many texts on; beyond MANY * HEAVY shingles in all, from more on, so that there are HEAVY such shingles at most.
-MANY, HEAVY = 50, 200_000
+#: A shingle counts as held by very many from so many texts on, or from more on, so that there are HEAVY such shingles at most.
+MANY, HEAVY = 20, 1_000_000
 #: Digests of texts that a task remembers, so as to send copies once.
 SEEN = 200_000
 #: Texts of a group in a cell, children of a node, and bytes of bitmaps that are compared at once.
 CELL, FAN, CHUNK = 1024, 8, 8 << 20
+#: Pairs that a cell may list, for each of its texts.
+LISTED = 4
 
 
 def n_first(n: np.ndarray | int, percent: int):
@@ -56,8 +59,8 @@ def n_first(n: np.ndarray | int, percent: int):
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set: the power of two from 4 n on, 64 at least."""
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """Bits of the bitmap of a set: the power of two from 2 n on, 64 at least."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -72,8 +75,8 @@ def _prepare(docs: DataFrame, n: int) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part, d, sizes, maps, sets = batch.slice(begin, 2048), [], [], [], {}
+            for begin in range(0, batch.num_rows, 4096):
+                part, d, sizes, maps, sets = batch.slice(begin, 4096), [], [], [], {}
                 for text in part["text"].to_pylist():
                     words = text.lower().split()
                     x = shingle_set(hashes, words, n)
@@ -82,7 +85,7 @@ def _prepare(docs: DataFrame, n: int) -> DataFrame:
                     maps.append(bitmap(x) if len(x) else None)
                     sets[d[-1]] = x
                 held, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-                often = np.flatnonzero(times > 2)
+                often = np.flatnonzero(times > 1)
                 shared = np.stack([held[often].view(np.int64), times[often]]).tobytes() if len(often) else None
                 yield pa.record_batch(
                     {"doc_id": part["doc_id"], "oid": part["oid"], "mark": part["mark"], "spot": pa.array(range(begin, begin + len(d)), pa.int64()), "d1": pa.array([x for x, _ in d], pa.int64()), "d2": pa.array([y for _, y in d], pa.int64())}
@@ -92,7 +95,7 @@ def _prepare(docs: DataFrame, n: int) -> DataFrame:
     return texts_of(docs).mapInArrow(walk, "doc_id bigint, oid bigint, mark binary, spot bigint, d1 bigint, d2 bigint, n_shingles bigint, bits binary, shared binary")
 
 
-def _heavy(told: DataFrame, n_shingles: int) -> np.ndarray:
+def _heavy(told: DataFrame, scratch: Scratch) -> np.ndarray:
     """Shingles that very many texts hold, HEAVY at most: which ones only decides the order, so what blocks of texts know of them is enough."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,11 +104,16 @@ def _heavy(told: DataFrame, n_shingles: int) -> np.ndarray:
                 token, n = np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1)
                 yield pa.record_batch({"token": pa.array(token), "n": pa.array(n)})
 
-    counts = told.select("shared").filter("shared is not null").mapInArrow(walk, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    # Each counts for so many of the n_shingles, so there are no more than HEAVY.
-    many = max(MANY, -(-n_shingles // HEAVY))
-    found = counts.filter(F.col("n") >= many).select("token").toArrow()["token"].to_numpy()
-    return np.sort(found.view(np.uint64))
+    counts = told.select("shared").filter("shared is not null").mapInArrow(walk, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= MANY)
+    counts = scratch.write(counts.withColumn("power", F.floor(F.log2("n")).cast("int")), "often")
+    # From which power of two on there are HEAVY of them at most: 63 powers.
+    least, total = 0, 0
+    for power, n in sorted(map(tuple, counts.groupBy("power").agg(F.count(F.lit(1))).collect()), reverse=True):
+        total += n
+        if total > HEAVY:
+            least = power + 1
+            break
+    return np.sort(counts.filter(F.col("power") >= least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
 def _packed(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, n_parts: int) -> DataFrame:
@@ -119,24 +127,24 @@ def _packed(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, n_parts: i
         hashes, seen, heavy = WordHashes(), set(), shared.value
         ids: list[tuple[int, int]] = []
         firsts: list[np.ndarray] = []
+        much: list[np.ndarray] = []
         held = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate(firsts)
+            tokens, late = np.concatenate(firsts), np.concatenate(much)
             who = np.repeat(np.arange(len(firsts), dtype=np.uint32), [len(x) for x in firsts])
-            part = ((tokens >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
-            if len(heavy):
-                part[np.isin(tokens, heavy)] += n_parts
-                # Any part will do for these: by the text, so that they are spread.
-                much = part >= n_parts
-                part[much] = n_parts + (who[much] + held) % n_parts
+            # Any part will do for heavy ones: by the text, so that they are spread.
+            part = np.where(late, n_parts + (who + held) % n_parts, (tokens >> np.uint64(20)) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             tokens, who, part = tokens[order], who[order], part[order]
             starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
             d = np.array(ids, np.int64)
             out = []
             for a, b in zip(starts, np.append(starts[1:], len(part)), strict=True):
-                used, place = np.unique(who[a:b], return_inverse=True)
+                # Places ascend within a part.
+                here = who[a:b]
+                fresh = np.append(True, here[1:] != here[:-1])
+                used, place = here[fresh], np.cumsum(fresh) - 1
                 out.append((int(part[a]), tokens[a:b].tobytes(), place.astype("<u4").tobytes(), d[used, 0].tobytes(), d[used, 1].tobytes()))
             kinds = [pa.int32(), *[pa.binary()] * 4]
             for i in range(0, len(out), 512):
@@ -154,15 +162,16 @@ def _packed(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, n_parts: i
                     seen.add(d)
                     x = shingle_set(hashes, words, n)
                     k = int(n_first(len(x), percent))
-                    if len(heavy):
-                        late = np.isin(x, heavy)
-                        x = np.concatenate([x[~late], x[late]])
+                    late = heavy[np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)] == x if len(heavy) else np.zeros(len(x), bool)
+                    if late.any():
+                        x, late = np.concatenate([x[~late], x[late]]), np.sort(late)
                     ids.append(d)
                     firsts.append(x[:k])
+                    much.append(late[:k])
                     held += k
                     if held >= BLOCK:
                         yield from rows()
-                        ids, firsts, held = [], [], 0
+                        ids, firsts, much, held = [], [], [], 0
         if firsts:
             yield from rows()
 
@@ -318,9 +327,10 @@ def _by_trees(rows: DataFrame, signs: DataFrame, comp: DataFrame, reps: DataFram
 
     Groups of two have been compared in step 3. Larger ones are cut into cells
     of two blocks, a text going to as many cells as there are blocks. The first
-    walk keeps the texts of pairs that the bounds leave; the second one, with
-    their full sets, links what is not joined yet. Both emit at most a row per
-    text and cell.
+    walk lists the pairs that the bounds leave, which are then confirmed, each
+    once; of a cell with more than LISTED a text it keeps the texts instead,
+    and a second walk, with their full sets, links what is not joined yet. So
+    the rows of each step are a bounded number for each text and cell.
     """
     now = rows.filter("n > 2").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     now = scratch.write(now.select("k1", "k2", "rep", "component", "n"), "open_rows")
@@ -335,11 +345,22 @@ def _by_trees(rows: DataFrame, signs: DataFrame, comp: DataFrame, reps: DataFram
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, by):
-            active = np.zeros(group.num_rows, bool)
+            active, listed, n = np.zeros(group.num_rows, bool), [], 0
             for a, b in cell_pairs(group, percent):
                 active[a] = active[b] = True
-            if active.any():
-                yield from group.filter(pa.array(active)).to_batches()
+                n += len(a)
+                if n <= LISTED * group.num_rows:
+                    listed.append((a, b))
+            if 0 < n <= LISTED * group.num_rows:
+                rep = group["rep"].to_numpy()
+                a, b = (rep[np.concatenate(x)] for x in zip(*listed, strict=True))
+                none = {c: pa.nulls(n, group.schema.field(c).type) for c in columns}
+                yield pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))} | none)
+            elif n:
+                kept = group.select(columns).filter(pa.array(active))
+                for batch in kept.combine_chunks().to_batches():
+                    none = pa.nulls(batch.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, *batch.columns], names=["a", "b", *columns])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, by):
@@ -362,9 +383,13 @@ def _by_trees(rows: DataFrame, signs: DataFrame, comp: DataFrame, reps: DataFram
             if links:
                 yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    active = scratch.write(dealt(cast).mapInArrow(find, CELLS), "active")
+    found = scratch.write(dealt(cast).mapInArrow(find, f"a bigint, b bigint, {CELLS}"), "found")
+    few = confirmed(found.filter("a is not null").select("a", "b").distinct(), reps, docs, n, percent, scratch, "few_links")
+    active = found.filter("a is null").drop("a", "b")
+    if active.isEmpty():
+        return few
     ids = scratch.write(active.select("rep").distinct().join(reps.select("rep", "oid", "mark"), "rep"), "active_ids")
-    return scratch.write(dealt(active.join(full_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
+    return few.union(scratch.write(dealt(active.join(full_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links"))
 
 
 def _near(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -408,10 +433,9 @@ def jaccard_join(docs: DataFrame, shingle_words: int = 5, percent: int = 80) ->
     reps = scratch.write(groups.select(F.monotonically_increasing_id().alias("rep"), "d1", "d2", "lo.oid", "lo.mark", (F.col("lo") < F.col("hi")).alias("copies"), "n_shingles"), "reps")
     n = F.col("n_shingles")
     first = n - F.ceil(n * percent / 100) + 1
-    all_shingles, all_first = reps.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.sum(first), F.lit(0))).first()
-    n_parts = -(-int(all_first) // PART) + 1
+    n_parts = int(reps.agg(F.coalesce(F.sum(first), F.lit(0))).first()[0]) // PART + 1
 
-    met = scratch.write(_met(_packed(docs, shingle_words, percent, _heavy(told, all_shingles), n_parts), n_parts), "met")
+    met = scratch.write(_met(_packed(docs, shingle_words, percent, _heavy(told, scratch), n_parts), n_parts), "met")
     rows = _rows(met, reps, scratch)
     named = scratch.write(rows.select("rep").distinct().join(reps.select("rep", "d1", "d2", "n_shingles"), "rep"), "met_reps")
     signs = scratch.write(told.select("d1", "d2", "bits").join(sized(named.select("rep", "d1", "d2")), ["d1", "d2"]).groupBy("rep").agg(F.first("bits").alias("bits")).join(named.select("rep", "n_shingles"), "rep"), "signs")

@@ -24,7 +24,7 @@ def brute(texts, n=5, percent=80):
 @pytest.fixture
 def small(monkeypatch):
     """Few of everything, so that blocks, parts, cells and heavy shingles are met."""
-    for name, value in (("BLOCK", 300), ("PART", 400), ("MANY", 4), ("CELL", 6), ("FAN", 2), ("CHUNK", 4096)):
+    for name, value in (("BLOCK", 300), ("PART", 400), ("MANY", 4), ("CELL", 6), ("FAN", 2), ("CHUNK", 4096), ("LISTED", 1)):
         monkeypatch.setattr(jj, name, value)
 
 
