@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import phonetic, text
 from lorespark.functions.similarity import bare, bigrams, dice_of
+from lorespark.operators.walks import walk
 
 # Thresholds of the matchers.
 FUZZY, PHONETIC, PHONETIC_LOW = 0.7, 0.5, 0.4
@@ -162,11 +163,9 @@ def detect_mentions(segments: DataFrame, dictionary: DataFrame, by: list[str], w
 
 def longest_first(mentions: DataFrame, by: list[str]) -> DataFrame:
     """Non-overlapping mentions of each segment: in order of start, longer first, each kept if it starts after the last kept one ends."""
-    row = F.struct("at", (-F.col("n")).alias("short"), "n", "term", "canonical", "kind")
-    lists = mentions.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = "array<struct<at:int,short:int,n:int,term:string,canonical:string,kind:string>>"
-    fold = F.expr(f"aggregate(all, named_struct('end', 0, 'kept', cast(array() as {kind})), (a, x) -> if(x.at >= a.end, named_struct('end', x.at + x.n, 'kept', concat(a.kept, array(x))), a), a -> a.kept)")
-    return lists.select(*by, F.explode(fold).alias("m")).select(*by, "m.at", "m.n", "m.term", "m.canonical", "m.kind")
+    told = mentions.select(*by, "at", "n", "term", "canonical", "kind", (-F.col("n")).alias("_short"))
+    step = lambda end, row: (row[0] + row[1], ()) if row[0] >= end else (end, None)
+    return walk(told, by, ["at", "_short", "term", "canonical", "kind"], ["at", "n"], lambda: 0, step, "").drop("_short")
 
 
 def word_parts(queries: DataFrame, texts: DataFrame, query: str, text: str, words: str) -> DataFrame:

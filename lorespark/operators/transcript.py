@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.operators.walks import each_text, walk
+
+#: Words of a text, by the white space of ASCII.
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
 
 def drop_repeats(segments: DataFrame, by: list[str], order: list[str], text: str = "text") -> DataFrame:
     """Segments whose trimmed text differs from the one before."""
@@ -30,34 +38,32 @@ def sections(segments: DataFrame, by: str, start: str, text: str, openers: list[
 
     A segment with an opener opens a section where none is open; segments are
     taken until one starts more than ``seconds`` after the opening or has a
-    closer, that one included. One fold per key over its ordered segments,
-    which are bounded by one transcript.
+    closer, that one included.
     """
     low = F.lower(text)
     hit = lambda words: F.exists(F.array(*[F.lit(x) for x in words]), lambda x: F.contains(low, x))
-    row = F.struct(F.col(start).cast("double").alias("start"), F.col(text).alias("text"), hit(openers).alias("o"), hit(closers).alias("c"))
-    lists = segments.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = "array<struct<start:double,text:string,o:boolean,c:boolean>>"
-    fold = F.expr(
-        f"""aggregate(all, named_struct('open', false, 'until', 0.0D, 'kept', cast(array() as {kind})), (a, x) -> named_struct(
-              'open', (a.open or x.o) and not (x.start > if(x.o and not a.open, x.start + {seconds}, a.until) or x.c),
-              'until', if(x.o and not a.open, x.start + {seconds}, a.until),
-              'kept', if(a.open or x.o, concat(a.kept, array(x)), a.kept)), a -> a.kept)"""
-    )
-    return lists.select(by, F.explode(fold).alias("s")).select(by, F.col("s.start").alias(start), F.col("s.text").alias(text))
+    told = segments.select(by, F.col(start).alias("_s"), F.col(text).alias("_t"), F.coalesce(hit(openers), F.lit(False)).alias("_o"), F.coalesce(hit(closers), F.lit(False)).alias("_c"))
+
+    def step(state: tuple[bool, float], row: tuple) -> tuple:
+        (open_, until), (at, opens, closes) = state, row
+        if not open_ and opens:
+            open_, until = True, at + seconds
+        return (open_ and not (at > until or closes), until), () if open_ else None
+
+    kept = walk(told, [by], ["_s", "_t", "_o", "_c"], ["_s", "_o", "_c"], lambda: (False, 0.0), step, "")
+    return kept.select(by, F.col("_s").alias(start), F.col("_t").alias(text))
 
 
 def pack(segments: DataFrame, by: str, order: str, length: str, limit: int) -> DataFrame:
     """segments with chunk: greedy packing in order, a new chunk where the limit would be passed."""
-    row = F.struct(F.col(order).cast("bigint").alias("at"), F.col(length).cast("bigint").alias("len"))
-    lists = segments.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    fold = F.expr(
-        f"""aggregate(all, named_struct('chunk', 0L, 'sum', 0L, 'out', cast(array() as array<struct<at:bigint,chunk:bigint>>)), (a, x) -> named_struct(
-              'chunk', if(a.sum > 0 and a.sum + x.len > {limit}, a.chunk + 1, a.chunk),
-              'sum', if(a.sum > 0 and a.sum + x.len > {limit}, x.len, a.sum + x.len),
-              'out', concat(a.out, array(named_struct('at', x.at, 'chunk', if(a.sum > 0 and a.sum + x.len > {limit}, a.chunk + 1, a.chunk))))), a -> a.out)"""
-    )
-    return lists.select(by, F.explode(fold).alias("p")).select(by, F.col("p.at").alias(order), F.col("p.chunk").alias("chunk"))
+    told = segments.select(by, F.col(order).cast("bigint").alias(order), F.col(length).cast("bigint").alias("_len"))
+
+    def step(state: tuple[int, int], row: tuple) -> tuple:
+        (chunk, total), (size,) = state, row
+        chunk, total = (chunk + 1, size) if total > 0 and total + size > limit else (chunk, total + size)
+        return (chunk, total), (chunk,)
+
+    return walk(told, [by], [order, "_len"], ["_len"], lambda: (0, 0), step, "chunk bigint").drop("_len")
 
 
 def within_budget(rows: DataFrame, by: list[str], order: list[str], length: str, budget: int) -> DataFrame:
@@ -154,17 +160,19 @@ def pack_overlapping(segments: DataFrame, by: str, order: str, length: str, limi
     A transcript of up to ``single`` in all is one chunk. Chunks are closed
     where the next segment would pass the limit.
     """
-    row = F.struct(F.col(order).cast("bigint").alias("at"), F.col(length).cast("bigint").alias("len"))
-    lists = segments.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("all"), F.sum(length).alias("total"))
-    whole = F.col("total") <= single
-    fold = F.expr(
-        f"""aggregate(all, named_struct('first', cast(null as bigint), 'last', cast(null as bigint), 'len', 0L, 'sum', 0L, 'n', 0, 'out', cast(array() as array<struct<first:bigint,last:bigint,n:int>>)), (a, x) ->
-              if(a.n > 0 and a.sum + x.len > {limit} and total > {single},
-                 named_struct('first', a.last, 'last', x.at, 'len', x.len, 'sum', a.len + x.len, 'n', 2, 'out', concat(a.out, array(named_struct('first', a.first, 'last', a.last, 'n', a.n)))),
-                 named_struct('first', coalesce(a.first, x.at), 'last', x.at, 'len', x.len, 'sum', a.sum + x.len, 'n', a.n + 1, 'out', a.out)),
-              a -> concat(a.out, array(named_struct('first', a.first, 'last', a.last, 'n', a.n))))"""
-    )
-    return lists.withColumn("_w", whole).select(by, F.posexplode(fold).alias("chunk", "c")).select(by, "chunk", "c.first", "c.last", "c.n")
+    told = segments.select(by, F.col(order).cast("bigint").alias("_at"), F.col(length).cast("bigint").alias("_len"))
+    told = told.withColumn("_total", F.sum("_len").over(Window.partitionBy(by)))
+
+    def step(state: tuple, row: tuple) -> tuple:
+        (chunk, first, before, size, held, n), (at, length_, total) = state, row
+        if n > 0 and held + length_ > limit and total > single:
+            chunk, first, held, n = chunk + 1, before, size, 1
+        first, held, n = at if first is None else first, held + length_, n + 1
+        return (chunk, first, at, length_, held, n), (chunk, first, n)
+
+    walked = walk(told, [by], ["_at", "_len"], ["_at", "_len", "_total"], lambda: (0, None, None, 0, 0, 0), step, "chunk int, first bigint, n int")
+    # A chunk is what its last row tells of it.
+    return walked.groupBy(by, "chunk").agg(F.max_by(F.struct("first", F.col("_at").alias("last"), "n"), "n").alias("c")).select(by, "chunk", "c.first", "c.last", "c.n")
 
 
 def text_chunks(rows: DataFrame, by: str, text: str, size: int = 8000, overlap: int = 500, single: int = 10000, back: int = 500) -> DataFrame:
@@ -172,42 +180,51 @@ def text_chunks(rows: DataFrame, by: str, text: str, size: int = 8000, overlap:
 
     A chunk ends behind the last sentence mark in its last ``back`` characters,
     else before the last space there, else where it is full; the next one
-    starts ``overlap`` characters before that. One fold per text.
+    starts ``overlap`` characters before that.
     """
-    c, n = "t", "length(t)"
-    tail = "substring(t, at + size - back + 2, back)"
-    mark = f"length(regexp_extract({tail}, '(?s)^(.*[.!?])', 1))"
-    space = f"length(regexp_extract({tail}, '(?s)^(.*) ', 1))"
-    cut = f"if({mark} > 0, at + size - back + 1 + {mark}, if(instr({tail}, ' ') > 0, at + size - back + 1 + {space}, at + size))"
-    for name, value in (("size", size), ("back", back)):
-        cut = cut.replace(f" {name}", f" {value}")
-    steps = f"sequence(1, greatest(1, cast(ceil({n} / {max(1, size - back - overlap)}) as int) + 1))"
-    cut = cut.replace("at +", "a.at +")
-    fold = f"""aggregate({steps}, named_struct('at', 0, 'done', false, 'out', cast(array() as array<string>)), (a, i) ->
-        if(a.done, a, if({n} <= {single} or a.at + {size} >= {n},
-           named_struct('at', a.at, 'done', true, 'out', concat(a.out, array(trim(substring(t, a.at + 1, {n}))))),
-           named_struct('at', if({cut} - {overlap} > 0, {cut} - {overlap}, {cut}), 'done', false, 'out', concat(a.out, array(trim(substring(t, a.at + 1, {cut} - a.at))))))),
-        a -> filter(a.out, x -> x <> ''))"""
-    return rows.select(by, F.coalesce(text, F.lit("")).alias(c)).select(by, F.posexplode(F.expr(fold)).alias("chunk", "part"))
+
+    def tell(t: str) -> list[tuple[int, str]]:
+        parts, at = [], 0
+        while len(t) > single and at + size < len(t):
+            full = at + size
+            cut = max(t.rfind(mark, full - back + 1, full + 1) for mark in ".!?") + 1 or max(t.rfind(" ", full - back + 1, full + 1), -1)
+            cut = cut if cut >= 0 else full
+            parts.append(t[at:cut].strip(" "))
+            at = cut - overlap if cut > overlap else cut
+        parts.append(t[at:].strip(" "))
+        return list(enumerate(p for p in parts if p))
+
+    return each_text(rows.select(by, F.col(text).alias("_text")), [by], "_text", tell, "chunk int, part string")
 
 
 def longest_spans(spans: DataFrame, by: list[str]) -> DataFrame:
     """Spans (by..., start, end, ...) chosen longest first, then by start, each if it meets none chosen before."""
     rest = [c for c in spans.columns if c not in (*by, "start", "end")]
-    row = F.struct((F.col("start") - F.col("end")).alias("short"), "start", "end", *rest)
-    lists = spans.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = lists.schema["all"].dataType.simpleString()
-    fold = F.expr(f"aggregate(all, cast(array() as {kind}), (a, x) -> if(exists(a, y -> x.start < y.end and y.start < x.end), a, concat(a, array(x))))")
-    return lists.select(*by, F.explode(fold).alias("s")).select(*by, "s.start", "s.end", *[f"s.{c}" for c in rest])
+    told = spans.withColumn("_short", F.col("start") - F.col("end"))
+
+    def step(chosen: tuple[list, list], row: tuple) -> tuple:
+        """chosen: starts and ends of what has been taken, in order."""
+        (starts, ends), (a, b) = chosen, row
+        i = bisect_right(ends, a)
+        if a < b and i < len(starts) and starts[i] < b:
+            return chosen, None
+        starts.insert(i, a)
+        ends.insert(i, b)
+        return chosen, ()
+
+    taken = walk(told, by, ["_short", "start", "end", *rest], ["start", "end"], lambda: ([], []), step, "")
+    return taken.select(*by, "start", "end", *rest)
 
 
 def word_spans(segments: DataFrame, by: list[str], text: str, words: int = 3) -> DataFrame:
     """(by..., start, end, n, phrase): runs of up to ``words`` words with their places in the text, from 0."""
-    found = F.regexp_extract_all(text, F.lit(r"(\s*)(\S+)"), 0)
-    sized = F.aggregate(found, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<w:string,s:int>>").alias("out")), lambda a, x: F.struct((a["at"] + F.length(x)).alias("at"), F.concat(a["out"], F.array(F.struct(F.regexp_replace(x, r"^\s+", "").alias("w"), (a["at"] + F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))).alias("s")))).alias("out")), lambda a: a["out"])
-    each = segments.select(*by, sized.alias("_w"))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_w")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(words), F.size("_w") - i + 1)), lambda n: F.struct(F.element_at("_w", i)["s"].alias("start"), (F.element_at("_w", i + n - 1)["s"] + F.length(F.element_at("_w", i + n - 1)["w"])).alias("end"), n.alias("n"), F.array_join(F.transform(F.slice("_w", i, n), lambda x: x["w"]), " ").alias("phrase")))))
-    return each.filter(F.size("_w") > 0).select(*by, F.explode(runs).alias("r")).select(*by, "r.*")
+
+    def tell(t: str) -> list[tuple]:
+        found = [(m[0], m.start(), m.end()) for m in _WORD.finditer(t)]
+        runs = [(i, n) for i in range(len(found)) for n in range(1, min(words, len(found) - i) + 1)]
+        return [(found[i][1], found[i + n - 1][2], n, " ".join(w for w, _, _ in found[i : i + n])) for i, n in runs]
+
+    return each_text(segments.select(*by, F.col(text).alias("_text")), by, "_text", tell, "start int, end int, n int, phrase string")
 
 
 def phonetic_scan(segments: DataFrame, names: DataFrame, by: list[str], text: str, name: str, common: DataFrame, least: float = 0.5, taken: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:

@@ -106,10 +106,9 @@ def objective_owners(t: Tables) -> DataFrame:
     return ev.owners(e.withColumns({"type": F.lit("objective_taken"), "text": F.concat(F.lit("o"), (F.col("ts") % 6).cast("string"))}))
 
 
-@query("""SELECT conv_id, turn FROM conversations WHERE (turn * 100 >= 300 AND turn * 100 < 420) OR (turn * 100 >= 600 AND turn * 100 < 720)""")
+@query("""SELECT conv_id, turn FROM conversations WHERE EXISTS (SELECT 1 FROM (VALUES (300), (600), (900), (1200), (1500), (1800), (2400), (3000), (3600)) s(t) WHERE t > 200 AND turn * 100 >= t AND turn * 100 < t + 120)""")
 def sample_windows(t: Tables) -> DataFrame:
-    rows = t.conversations.filter("turn < 9").withColumn("start", F.col("turn") * 100.0)
-    return transcript.sample_windows(rows, "start", 200).select("conv_id", "turn").union(t.conversations.filter("turn >= 9 and ((turn * 100 >= 300 and turn * 100 < 420) or (turn * 100 >= 600 and turn * 100 < 720))").select("conv_id", "turn"))
+    return transcript.sample_windows(t.conversations.withColumn("start", F.col("turn") * 100.0), "start", 200).select("conv_id", "turn")
 
 
 @query("""SELECT conv_id, left(string_agg(text, ' ' ORDER BY turn), 700) AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, floor(turn * 0.7) ORDER BY turn) AS n FROM conversations WHERE turn * 0.7 < 3) WHERE n = 1 GROUP BY conv_id""")

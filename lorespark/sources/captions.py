@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import decode_entities
+from lorespark.operators.walks import walk
 
 STAMP = r"^(\d{2}):(\d{2}):(\d{2})\.(\d{3})\s*-->\s*(\d{2}):(\d{2}):(\d{2})\.(\d{3})"
 
@@ -27,17 +28,17 @@ def parse(files: DataFrame, by: str, content: str) -> DataFrame:
     texts = timed.filter(~skip & F.col("start").isNotNull()).withColumn("text", cleaned).filter("text <> ''")
     once = Window.partitionBy(by, F.floor("start"), "text").orderBy("at")
     kept = texts.withColumn("_n", F.row_number().over(once)).filter("_n = 1")
-    # Runs of equal texts, each less than half a second after the start of its run's first.
-    row = F.struct("at", "start", (F.col("until") - F.col("start")).alias("duration"), "text")
-    lists = kept.groupBy(by).agg(F.array_sort(F.collect_list(row)).alias("all"))
-    kind = "array<struct<start:double,duration:double,text:string>>"
-    merged = F.expr(
-        f"""aggregate(all, cast(array() as {kind}), (a, x) ->
-              if(size(a) > 0 and get(a, size(a) - 1).text = x.text and x.start - get(a, size(a) - 1).start < 0.5,
-                 concat(slice(a, 1, size(a) - 1), array(named_struct('start', get(a, size(a) - 1).start, 'duration', x.start + x.duration - get(a, size(a) - 1).start, 'text', x.text))),
-                 concat(a, array(named_struct('start', x.start, 'duration', x.duration, 'text', x.text)))))"""
-    )
-    return lists.select(by, F.explode(merged).alias("s")).select(by, "s.start", "s.duration", "s.text")
+    timed = kept.select(by, "at", "start", (F.col("until") - F.col("start")).alias("duration"), "text")
+
+    def step(state: tuple, row: tuple) -> tuple:
+        """state: number, start and text of the run of equal texts, each less than half a second after the run's start."""
+        (run, first, said), (begin, lasts, text) = state, row
+        if said == text and begin - first < 0.5:
+            return state, (run, first, begin + lasts - first)
+        return (run + 1, begin, text), (run + 1, begin, lasts)
+
+    runs = walk(timed, [by], ["at"], ["start", "duration", "text"], lambda: (0, 0.0, None), step, "run int, first double, lasted double")
+    return runs.groupBy(by, "run", "text").agg(F.min("first").alias("start"), F.max_by("lasted", "at").alias("duration")).select(by, "start", "duration", "text")
 
 
 def _seconds(first: int):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.rules import is_legends
+from lorespark.functions.text import decode_entities
+from lorespark.operators.closure import reachable
+from lorespark.sources import elements as el
 
 WEAPON = "struct<name:string,type:string,range:string,attacks:string,skill:string,strength:string,ap:string,damage:string,keywords:array<string>>"
 UNIT = f"struct<name:string,canonicalName:string,stats:struct<movement:string,toughness:int,save:string,wounds:int,leadership:string,objectiveControl:int>,weapons:array<{WEAPON}>,abilities:array<string>,keywords:array<string>,pointsCost:int>"
@@ -102,3 +105,44 @@ def batch_results(results: DataFrame) -> DataFrame:
     each = results.select(F.split_part("custom_id", F.lit(":"), F.lit(1)).alias("group"), F.split_part("custom_id", F.lit(":"), F.lit(2)).alias("part"), F.explode("aliases").alias("unit", "names"))
     last = each.groupBy("group", "unit").agg(F.max_by("names", F.struct(F.length("part"), "part")).alias("names"))
     return last.groupBy("group").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit", "names")))).alias("results"))
+
+
+def nested_entries(files: DataFrame, text: str = "xml", key: str = "catalogue") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Selection entries of XML catalogues at any depth: (entries, links, profiles).
+
+    files: a unique key and the text of a catalogue. entries: key, entry_id,
+    name, type, hidden. links: a, b, entry ids: of an entry and one nested in
+    it, also through groups, or named by an entry link. profiles: key,
+    entry_id, name, type_name, values (name -> text). An entry without an id
+    gets one of its place.
+    """
+    told = el.inner_of(el.inner_of(el.tokens(files, text, key), "selectionentry", "entry_at", key), "profile", "profile_at", key)
+    token = F.col("token")
+    at = lambda name: el.attribute(token, name)
+    opened = told.filter("tag in ('selectionentry', 'entrylink') and (step = 1 or tag = 'entrylink' and step = 0)").join(el.outer_of(told, "selectionentry", key), [key, "at"], "left")
+    opened = opened.withColumn("around", F.when(F.col("tag") == "selectionentry", F.col("outer")).otherwise(F.col("entry_at")))
+    place = lambda c: F.concat(F.col(key).cast("string"), F.lit("#"), F.col(c).cast("string"))
+    is_entry = F.col("tag") == "selectionentry"
+    rows = opened.select(key, "at", "around", is_entry.alias("is_entry"), at("id").alias("id"), at("name").alias("name"), at("type").alias("type"), F.coalesce(at("hidden") == "true", F.lit(False)).alias("hidden"), at("targetId").alias("target"))
+    entries = rows.filter("is_entry").withColumn("entry_id", F.coalesce("id", place("at")))
+    ids = entries.select(key, F.col("at").alias("entry_at"), "entry_id")
+    around = rows.join(ids.select(key, F.col("entry_at").alias("around"), F.col("entry_id").alias("a")), [key, "around"])
+    nested = around.select("a", F.when(F.col("is_entry"), F.coalesce("id", place("at"))).otherwise(F.col("target")).alias("b"))
+    inside = told.filter("profile_at is not null and profile_at > entry_at")
+    named = inside.filter("tag in ('profile', 'characteristic') and step = 1 or tag is null").withColumn("label", F.last(F.when(F.col("tag") == "characteristic", at("name")), ignorenulls=True).over(Window.partitionBy(key, "profile_at").orderBy("at")))
+    head = named.filter("tag = 'profile'").select(key, "profile_at", "entry_at", at("name").alias("name"), at("typeName").alias("type_name"))
+    worth = named.filter("tag is null and label is not null").select(key, "profile_at", "at", "label", F.trim(decode_entities(token)).alias("value")).filter("value <> ''")
+    first = worth.groupBy(key, "profile_at", "label").agg(F.min_by("value", "at").alias("value"))
+    values = first.groupBy(key, "profile_at").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("values"))
+    profiles = head.join(values, [key, "profile_at"], "left").join(ids, [key, "entry_at"]).select(key, "entry_id", "name", "type_name", "values")
+    return entries.select(key, "entry_id", "name", "type", "hidden"), nested.filter("b is not null"), profiles
+
+
+def entry_profiles(files: DataFrame, type_names: list[str], text: str = "xml", key: str = "catalogue") -> DataFrame:
+    """(key, unit, name, type_name, values): profiles of some types that a shown entry of type unit holds at any depth, over nested entries, groups and entry links; of equal names the nearest."""
+    entries, links, profiles = nested_entries(files, text, key)
+    shown = entries.filter("type = 'unit' and not hidden")
+    reach = reachable(shown.select(F.col("entry_id").alias("start")), links)
+    held = reach.join(profiles.drop(key).filter(F.col("type_name").isin(type_names)), reach["node"] == profiles["entry_id"])
+    once = held.groupBy("start", "name").agg(F.min_by(F.struct("type_name", "values"), F.struct("steps", "node", "type_name")).alias("p"))
+    return shown.select(key, F.col("entry_id").alias("start"), F.col("name").alias("unit")).join(once, "start").select(key, "unit", "name", "p.type_name", "p.values")

@@ -83,15 +83,14 @@ def keywords(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.array_distinct(F.when(has_columns, listed).otherwise(lines)).alias("keywords"))
 
 
-def weapon_name(c: Column, abilities: list[str], whole: list[str] = (), depth: int = 3) -> Column:
+def weapon_name(c: Column, abilities: list[str], whole: list[str] = ()) -> Column:
     """(name, abilities) of a weapon's name that abilities in brackets, or grown on to it without a space, follow.
 
-    whole: lower-case names that end in an ability and stay as they are. At
-    most ``depth`` abilities are split off.
+    whole: lower-case names that end in an ability and stay as they are.
     """
     bracketed = F.regexp_extract_all(c, F.lit(r"\[[A-Z][A-Z\s-]+\]"), 0)
     name = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\[[A-Z][A-Z\s-]+\]", ""), r",\s*$", ""), r"\s+", " "))
-    start = F.struct(name.alias("name"), bracketed.alias("found"))
+    start = F.struct(name.alias("name"), bracketed.alias("found"), F.lit(False).alias("done"))
     if not abilities:
         return F.struct(start["name"].alias("name"), F.array_distinct(start["found"]).alias("abilities"))
     known = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(a.replace(" ", "")).alias("joined")) for a in abilities])
@@ -102,9 +101,12 @@ def weapon_name(c: Column, abilities: list[str], whole: list[str] = (), depth: i
         hits = F.filter(F.transform(known, lambda k: F.struct(k["a"].alias("a"), k["joined"].alias("joined"), before(k).alias("before"))), lambda k: (k["before"] != "") & ~F.array_contains(keep, F.lower(F.trim(k["before"]))))
         hit = F.when(~F.array_contains(keep, F.lower(acc["name"])), F.get(hits, F.lit(0)))
         rest = F.regexp_replace(acc["name"], F.concat(F.lit("(?i)(?<=[^ –-])"), hit["joined"]), F.lit(""))
-        return F.struct(F.coalesce(F.trim(rest), acc["name"]).alias("name"), F.when(hit.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.concat(F.lit("["), F.upper(hit["a"]), F.lit("]"))))).alias("found"))
+        found = F.when(hit.isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.concat(F.lit("["), F.upper(hit["a"]), F.lit("]")))))
+        return F.when(acc["done"], acc).otherwise(F.struct(F.coalesce(F.trim(rest), acc["name"]).alias("name"), found.alias("found"), hit.isNull().alias("done")))
 
-    state = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, split_one)
+    # A name holds no more abilities than the shortest of them fits into it; once none is found the rest is passed over.
+    most = F.floor(F.length(c) / min(len(a.replace(" ", "")) for a in abilities)).cast("int") + 1
+    state = F.aggregate(F.sequence(F.lit(1), most), start, split_one)
     return F.struct(state["name"].alias("name"), F.array_distinct(state["found"]).alias("abilities"))
 
 

@@ -1,7 +1,7 @@
 """A game's log folded into its state: legal events, unit flags by turn, cards, scores, eligibility.
 
-Each fold goes over one game's (or one player's) ordered events, which are few;
-games are spread over the tasks.
+Logs are walked in order with a state of a few values, so a game may have any
+number of events; hands and scores are folded over one player's cards.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.operators.walks import walk
 from lorespark.streaming.events import PHASE_ORDER
 
 # Events that a phase accepts; moving on is legal in all but the last, ending the turn in the last.
@@ -33,22 +34,18 @@ def legal_events(events: DataFrame) -> DataFrame:
     player's command phase and, after the second one, to the next round, the
     fifth at most. Events that are not legal in their phase are left out.
     """
-    row = F.struct("ts", "id", "type")
-    lists = events.groupBy("game_id").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    phases = "array(" + ", ".join(f"'{p}'" for p in PHASE_ORDER) + ")"
-    allowed = " or ".join(f"(a.p = {i} and x.type in ({', '.join(repr(t) for t in LEGAL[p])}))" for i, p in enumerate(PHASE_ORDER))
     last = len(PHASE_ORDER) - 1
-    out = "array<struct<id:string,phase:string,player:int,round:int>>"
-    fold = F.expr(
-        f"""aggregate(all, named_struct('p', 0, 'player', 0, 'round', 1, 'out', cast(array() as {out})), (a, x) -> named_struct(
-              'p', if(x.type = 'next_phase' and a.p < {last}, a.p + 1, if(x.type = 'end_turn' and a.p = {last}, 0, a.p)),
-              'player', if(x.type = 'end_turn' and a.p = {last}, 1 - a.player, a.player),
-              'round', if(x.type = 'end_turn' and a.p = {last} and a.player = 1, least(a.round + 1, {ROUNDS}), a.round),
-              'out', if({allowed} or (x.type = 'next_phase' and a.p < {last}) or (x.type = 'end_turn' and a.p = {last}),
-                        concat(a.out, array(named_struct('id', x.id, 'phase', {phases}[a.p], 'player', a.player, 'round', a.round))), a.out)), a -> a.out)"""
-    )
-    told = lists.select("game_id", F.explode(fold).alias("e")).select("game_id", F.col("e.id").alias("id"), F.col("e.phase").alias("in_phase"), F.col("e.player").alias("in_player"), F.col("e.round").alias("in_round"))
-    return events.join(told, ["game_id", "id"])
+
+    def step(state: tuple[int, int, int], row: tuple) -> tuple:
+        (phase, player, round_), (kind,) = state, row
+        here = PHASE_ORDER[phase], player, round_
+        if kind == "end_turn" and phase == last:
+            return (0, 1 - player, min(round_ + player, ROUNDS)), here
+        if kind == "next_phase" and phase < last:
+            return (phase + 1, player, round_), here
+        return state, here if kind in LEGAL[PHASE_ORDER[phase]] else None
+
+    return walk(events, ["game_id"], ["ts", "id"], ["type"], lambda: (0, 0, 1), step, "in_phase string, in_player int, in_round int")
 
 
 def turn_flags(events: DataFrame) -> DataFrame:
