@@ -9,9 +9,12 @@ safe if the exact binomial (Clopper-Pearson) upper bound on the share of good
 documents that it rejects is at most alpha. The sequence is walked until the
 first step that is not safe (fixed-sequence testing, so no share of the risk
 goes to single steps or rules); over the strata and the pool of all of them
-the error level is divided by their number (Bonferroni). A stratum with too
-few labels for a step of its own takes the pool's: its bound then holds for
-good documents of all strata together. The steps are fixed beforehand, and a
+the error level is divided by their number (Bonferroni). A stratum whose
+labels are too few to prove even the first step, and of which the pool's step
+rejects none, takes that step: its bound then holds for good documents of all
+strata together, and the stratum has no bound of its own. A stratum whose
+labels are enough and speak against the first step has no cutoffs. The steps
+are fixed beforehand, and a
 fifth of the labels is kept out of the choice: on it the realised loss is
 counted.
 """
@@ -96,7 +99,8 @@ def good_ones(scored: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def steps(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """One row per stratum with labels, and the pool's with a null stratum: its strictest safe step, 0 where none is.
+    """One row per stratum with labels, and the pool's with a null stratum: its strictest safe step, 0 where none is; few, whether its labels
+    could not prove the first step even if none were lost; lost, how many of them each step rejects.
 
     scored: doc_id, stratum (not null) and the statistics of features().
     labels: doc_id, quality (1: good); rows with null or other values are not used.
@@ -115,15 +119,22 @@ def steps(scored: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFram
         (acc, i) -> if(i > k, acc, named_struct('t', acc.t + ln((n - i + 1) / cast(i as double)) + ln({a!r}D / (1 - {a!r}D)),
                                                 's', acc.s + exp(acc.t + ln((n - i + 1) / cast(i as double)) + ln({a!r}D / (1 - {a!r}D))))), acc -> acc.s)"""
     bound = tested.withColumn("safe", F.expr(f"if(k > n * {a!r}D, false, {tail} <= {risk.delta!r}D / {tests})"))
-    return bound.groupBy("stratum").agg((F.coalesce(F.min(F.when(~F.col("safe"), F.col("step"))), F.lit(STEPS + 1)) - 1).alias("step"))
+    few = F.expr(f"exp(n * ln(1 - {a!r}D)) > {risk.delta!r}D / {tests}")
+    lost = F.transform(F.array_sort(F.collect_list(F.struct("step", "k"))), lambda x: x["k"])
+    return bound.groupBy("stratum").agg((F.coalesce(F.min(F.when(~F.col("safe"), F.col("step"))), F.lit(STEPS + 1)) - 1).alias("step"), F.first(few).alias("few"), lost.alias("lost"))
 
 
 def _applied(chosen: DataFrame) -> tuple[DataFrame, Column, Column]:
-    """The strata's own steps, and columns for the step that a row takes and for where it comes from, once they are attached."""
+    """The strata's own steps, and columns for the step that a row takes and for where it comes from, once they are attached.
+
+    The pool's step goes to strata with no labels, and to those with too few of which it loses none.
+    """
     pool = chosen.filter("stratum is null").first()["step"]
-    step = F.when(F.coalesce("own", F.lit(0)) > 0, F.col("own")).otherwise(F.lit(pool))
-    source = F.when(F.coalesce("own", F.lit(0)) > 0, "own").when(F.lit(pool > 0), "pool").otherwise("none")
-    return chosen.filter("stratum is not null").select("stratum", F.col("step").alias("own")), step, source
+    pooled = F.col("few") & (F.element_at("lost", F.lit(max(pool, 1))) == 0)
+    has_own, takes_pool = F.coalesce("own", F.lit(0)) > 0, F.coalesce("pooled", F.lit(True)) & F.lit(pool > 0)
+    step = F.when(has_own, F.col("own")).when(takes_pool, F.lit(pool)).otherwise(F.lit(0))
+    source = F.when(has_own, "own").when(takes_pool, "pool").otherwise("none")
+    return chosen.filter("stratum is not null").select("stratum", F.col("step").alias("own"), pooled.alias("pooled")), step, source
 
 
 def rejected() -> Column:
@@ -134,7 +145,7 @@ def rejected() -> Column:
 def verdict(scored: DataFrame, chosen: DataFrame) -> DataFrame:
     """scored with base_failed, kept, step (0: no cutoffs) and its source (own, pool, none)."""
     own, step, source = _applied(chosen)
-    ruled = attach(scored, own, ["stratum"], "doc_id").withColumns({"step": step, "source": source}).drop("own")
+    ruled = attach(scored, own, ["stratum"], "doc_id").withColumns({"step": step, "source": source}).drop("own", "pooled")
     return ruled.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected())
 
 
@@ -223,12 +234,18 @@ judged AS (
     list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({a!r}) + (n - i) * ln(1 - {a!r}))))
       <= {level!r} / (SELECT count(DISTINCT stratum) + 1 FROM tests) END AS safe
   FROM tests),
-own AS (SELECT stratum, (coalesce(min(CASE WHEN NOT safe THEN step END), {STEPS + 1}) - 1)::INT AS step FROM judged GROUP BY stratum),
+own AS (
+  SELECT stratum, (coalesce(min(CASE WHEN NOT safe THEN step END), {STEPS + 1}) - 1)::INT AS step,
+         any_value(exp(n * ln(1 - {a!r})) > {level!r} / (SELECT count(DISTINCT stratum) + 1 FROM tests)) AS few
+  FROM judged GROUP BY stratum),
 pool AS (SELECT coalesce(max(step), 0) AS p FROM own WHERE stratum IS NULL),
+open AS (
+  SELECT own.stratum, own.step, few AND NOT EXISTS (SELECT 1 FROM tests WHERE tests.stratum = own.stratum AND tests.step = greatest(p, 1) AND k > 0) AS pooled
+  FROM own CROSS JOIN pool WHERE own.stratum IS NOT NULL),
 v AS (
-  SELECT b.*, CASE WHEN coalesce(own.step, 0) > 0 THEN own.step ELSE p END AS step,
-         CASE WHEN coalesce(own.step, 0) > 0 THEN 'own' WHEN p > 0 THEN 'pool' ELSE 'none' END AS source
-  FROM b CROSS JOIN pool LEFT JOIN own ON b.stratum = own.stratum),
+  SELECT b.*, CASE WHEN coalesce(open.step, 0) > 0 THEN open.step WHEN coalesce(pooled, true) THEN p ELSE 0 END AS step,
+         CASE WHEN coalesce(open.step, 0) > 0 THEN 'own' WHEN coalesce(pooled, true) AND p > 0 THEN 'pool' ELSE 'none' END AS source
+  FROM b CROSS JOIN pool LEFT JOIN open ON b.stratum = open.stratum),
 k AS (SELECT *, NOT base_failed AND NOT (CASE step {lost} ELSE false END) AS kept FROM v),
 h AS (SELECT stratum, count(*) AS n_holdout, count(*) FILTER (WHERE NOT kept) AS n_holdout_lost FROM k
       WHERE apart AND NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY stratum)

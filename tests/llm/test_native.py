@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm.mixing import mix, mix_rows, rates
-from lorespark.llm.quality import HOLDOUT, RULES, STEPS, Risk, features, keep_good, quality_report, steps
+from lorespark.llm.quality import HOLDOUT, RULES, STEPS, Risk, features, keep_good, quality_report, steps, verdict
 from lorespark.llm.sharding import Topology, shard
 from lorespark.llm.url_filter import captures_of, filter_urls
 
@@ -130,6 +130,26 @@ def test_steps_hold_the_exact_bound(spark):
     assert sorted(r["doc_id"] for r in kept.filter("own = 2 and step = 3 and n_words = 4").collect()) == sorted(i for i, r in report.items() if r["kept"])
 
 
+def test_the_pool_does_not_override_a_stratum_that_speaks_against_it(spark):
+    """bad loses a tenth of 1,000 good documents at step 1, the pool next to nothing; few has 30 labels, one of them lost; sound 30, none lost."""
+    one = F.when(F.col("stratum") == "bad", F.col("id") % 10 == 0).when(F.col("stratum") == "few", F.col("id") % 30 == 0).otherwise(F.lit(False))
+    sizes = {"bad": 1000, "clean": 12_000, "few": 30, "sound": 30}
+    at, parts = 0, []
+    for name, n in sizes.items():
+        parts.append(spark.range(at, at + n).withColumn("stratum", F.lit(name)))
+        at += 100_020
+    ids = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    scored = ids.withColumn("spoilt", one).select(F.col("id").alias("doc_id"), "stratum", F.lit(100).alias("n_words"), F.lit(500).alias("word_chars"), F.when(F.col("spoilt"), 400).otherwise(0).alias("n_symbols"), F.lit(5).alias("n_lines"), F.lit(0).alias("n_dup_lines"), F.lit(0).alias("n_repeat_words"))
+    # The label of few that is lost must not be one that is kept apart.
+    labels = scored.select("doc_id", F.lit(1).alias("quality"))
+    lost_of_few = scored.filter("stratum = 'few' and n_symbols > 0").filter(~F.expr(f"conv(substring(md5(cast(doc_id as string)), 1, 4), 16, 10) % {HOLDOUT} = 0")).count()
+    chosen = {r["stratum"]: r for r in steps(scored, labels).collect()}
+    assert lost_of_few == 1 and chosen[None]["step"] == 7 == chosen["clean"]["step"]
+    assert {s: (chosen[s]["step"], chosen[s]["few"]) for s in ("bad", "few", "sound")} == {"bad": (0, False), "few": (0, True), "sound": (0, True)}
+    got = verdict(scored, steps(scored, labels)).groupBy("stratum").agg(F.max("step").alias("step"), F.first("source").alias("source"), F.count_if(~F.col("kept")).alias("lost")).collect()
+    assert {r["stratum"]: tuple(r)[1:] for r in got} == {"bad": (0, "none", 0), "clean": (7, "own", 0), "few": (0, "none", 0), "sound": (7, "pool", 0)}
+
+
 def test_quality_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = quality_report(docs(spark, [(1, "a b", None, "s"), (2, None, "en", "s"), (3, " ".join(map(str, range(30))), None, None)]), labels).collect()
