@@ -11,8 +11,10 @@ that is its end, so what its payload quotes is not taken for records.
 Otherwise the reader searches for the next version line; what it finds may lie
 inside the damaged record, and says so: up to where that one claims to end,
 or, where it does not say, to the end of the archive. Each gzip member of a compressed archive is
-inflated and walked likewise; after a damaged member (one that inflates to
-over 1 GB counts as such) the search is for the next one.
+inflated twice, in pieces: to learn whether it is sound and how much it holds,
+then to be walked likewise, so that no more is held than the record in hand,
+however large the member. After a damaged member the search is for the next
+one.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ WRITTEN = "2024-01-01T00:00:00Z"
 #: Records of an archive by the largest payload in it, (bytes, records): about 64 MB, so that one fits in a reader's memory.
 #: Larger payloads go one to an archive.
 ARCHIVES = ((64 << 10, 1000), (1 << 20, 64), (16 << 20, 4), (1 << 62, 1))
-#: Bytes that one gzip member may inflate to.
-INFLATED = 1 << 30
+#: Bytes of a gzip member that are inflated at once.
+PIECE = 4 << 20
 
 RECORDS = (
     "path string, offset bigint, length bigint, kind string, reason string, record_type string, page_id bigint, url string,"
@@ -185,45 +187,91 @@ def salvage(data: bytes) -> Iterator[dict]:
 
 
 def _salvage_plain(data: bytes) -> Iterator[dict]:
-    at, doubtful = 0, 0
-    while at < len(data):
-        end, got = _record(data, at)
+    return _walked(iter([data]), len(data))
+
+
+def _walked(pieces: Iterator[bytes], size: int) -> Iterator[dict]:
+    """Records and gaps of ``size`` bytes that come in pieces; held are the bytes of the record, or of the gap's end, that is in hand."""
+    held, base, at, doubtful = b"", 0, 0, 0
+    gap: tuple[int, str] | None = None
+
+    def hold(n: int) -> bool:
+        """Whether n bytes from ``at`` on are there, after more pieces have been taken if need be."""
+        nonlocal held, base, at
+        if len(held) - at < n and base + len(held) < size:
+            parts = [held[at:]]
+            have = len(parts[0])
+            while have < n and (piece := next(pieces, None)) is not None:
+                parts.append(piece)
+                have += len(piece)
+            held, base, at = b"".join(parts), base + at, 0
+        return len(held) - at >= n
+
+    while gap or base + at < size:
+        if gap:
+            # held[at] has been looked at; a version line starts behind it.
+            found = _VERSION.search(held, at + 1)
+            if not found and base + len(held) < size:
+                at = max(at, len(held) - 12)
+                hold(len(held) - at + 1)
+                continue
+            at = found.start() if found else size - base
+            yield {"offset": gap[0], "length": base + at - gap[0], "kind": "gap", "reason": gap[1]}
+            gap = None
+            continue
+        hold(12)
+        end, got = _record(held, at)
+        if got == "headers do not end" and base + len(held) < size:
+            hold(2 * (len(held) - at) + 1)
+            continue
+        if got == "no end mark" and len(held) < end + 4 <= size - base:
+            hold(end + 4 - at)
+            continue
+        start, end = base + at, base + end if end >= 0 else -1
         if isinstance(got, dict):
-            if at < doubtful:
+            if start < doubtful:
                 got["reason"] = got["reason"] or "may lie inside a damaged record"
-            yield {"offset": at, "length": end - at, **got}
-            at = end
-            continue
-        if got == "digest differs":
-            to = doubtful = end
+            yield {"offset": start, "length": end - start, **got}
+            at = end - base
+        elif got == "digest differs":
+            yield {"offset": start, "length": end - start, "kind": "gap", "reason": got}
+            doubtful, at = end, end - base
         else:
-            found = _VERSION.search(data, at + 1)
-            to = found.start() if found else len(data)
-            doubtful = end if end > at and end <= len(data) else len(data)
-        yield {"offset": at, "length": to - at, "kind": "gap", "reason": got}
-        at = to
+            doubtful = end if start < end <= size else size
+            gap = start, got
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int, str | None]:
-    """What a member holds, the offset after it (-1: not known) and what is wrong with it; a damaged one is inflated up to the damage."""
-    unzip, out, step, size = zlib.decompressobj(31), [], 1 << 12, 0
+def _pieces(data: bytes, at: int) -> Iterator[bytes]:
+    """What a member holds, up to its damage if it has any; returns the offset after it (-1: not known) and what is wrong with it."""
+    unzip, step = zlib.decompressobj(31), 1 << 12
     while at < len(data):
-        before = unzip.copy() if step > 1 else None
+        before, part = unzip.copy() if step > 1 else None, memoryview(data)[at : at + step]
         try:
-            out.append(unzip.decompress(memoryview(data)[at : at + step]))
+            out = unzip.decompress(part, PIECE)
         except zlib.error:
             if step == 1:
-                return b"".join(out), -1, "bad member"
+                return -1, "bad member"
             unzip, step = before, step >> 4 or 1
             continue
-        size += len(out[-1])
-        at += step
+        at += len(part) - len(unzip.unconsumed_tail) - len(unzip.unused_data)
+        yield out
         if unzip.eof:
-            return b"".join(out), min(at, len(data)) - len(unzip.unused_data), None
-        if size > INFLATED:
-            return b"".join(out), -1, "member too large"
+            return at, None
         step = min(2 * step, 1 << 18) if step >= 1 << 12 else step
-    return b"".join(out), -1, "member cut short"
+    yield unzip.flush()
+    return (at, None) if unzip.eof else (-1, "member cut short")
+
+
+def _measured(data: bytes, at: int) -> tuple[int, int, str | None]:
+    """How many bytes the member at an offset holds, the offset after it (-1: not known) and what is wrong with it."""
+    if data[at : at + 3] != _GZIP:
+        return 0, -1, "bad member"
+    size, pieces = 0, _pieces(data, at)
+    while True:
+        try:
+            size += len(next(pieces))
+        except StopIteration as told:
+            return size, *told.value
 
 
 def _salvage_gzip(data: bytes) -> Iterator[dict]:
@@ -235,14 +283,14 @@ def _salvage_gzip(data: bytes) -> Iterator[dict]:
     """
     at = 0
     while at < len(data):
-        inner, end, reason = _inflated(data, at) if data[at : at + 3] == _GZIP else (b"", -1, "bad member")
+        size, end, reason = _measured(data, at)
         if end > 0:
-            rows = _salvage_plain(inner) if inner else [{"kind": "gap", "reason": "empty member"}]
+            rows = _walked(_pieces(data, at), size) if size else [{"kind": "gap", "reason": "empty member"}]
             for i, row in enumerate(rows):
                 yield {**row, "offset": at, "length": 0 if i else end - at}
             at = end
             continue
-        for row in _salvage_plain(inner):
+        for row in _walked(_pieces(data, at), size):
             if row["kind"] == "record" and (reason == "member cut short" or row["record_type"] == "response" and row["payload_digest"] and not row["reason"]):
                 yield {**row, "offset": at, "length": 0, "reason": row["reason"] or reason}
         to = data.find(_GZIP, at + 1)

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from lorespark.llm import bpe
+from lorespark.llm import bpe, warc
 from lorespark.llm.token_counts import CountTree, build_trees, counter, edit_trees, op2_token_counts, with_edits
 from lorespark.llm.warc import read_warc, salvage, write_warc
 
@@ -236,6 +236,42 @@ def test_salvage_of_foreign_gzip():
         assert sum(r["length"] for r in salvage(data)) == len(data)
 
 
+def test_members_are_walked_in_pieces(monkeypatch):
+    """Sound and damaged archives in one member give the same in pieces of a few bytes as in one piece, and little is held."""
+    sha1 = lambda x: "sha1:" + hashlib.sha1(x).hexdigest()
+    rng = random.Random(11)
+    plain = b"".join(foreign(i, sha1 if i % 3 else None, fold=i % 4 == 0) for i in range(40))
+    for k in range(30):
+        data = bytearray(plain)
+        for _ in range(k % 6):
+            data[rng.randrange(len(data))] ^= 0x5A
+        if k % 5 == 4:
+            data[:] = b"\x00" * 5000 + bytes(data)[: -rng.randrange(1, 400)]
+        for level in (0, 6):
+            member = gzip.compress(bytes(data), level)
+            whole = list(salvage(member))
+            monkeypatch.setattr(warc, "PIECE", rng.choice([1, 7, 300, 5000]))
+            assert list(salvage(member)) == whole
+            assert list(salvage(member[: len(member) * 2 // 3])) == list(salvage(member[: len(member) * 2 // 3]))
+            monkeypatch.undo()
+        told = lambda rows: [(r["kind"], r["reason"], r.get("page_id")) for r in rows]
+        assert told(whole) == told(salvage(bytes(data)))
+
+
+def test_a_large_member_is_not_held(monkeypatch):
+    import tracemalloc
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100_000
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:7>\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    member = gzip.compress(record * 800, 1)
+    monkeypatch.setattr(warc, "PIECE", 1 << 20)
+    tracemalloc.start()
+    n = sum(r["kind"] == "record" for r in salvage(member))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 800 and held < 20 << 20
+
+
 def test_quoted_records_are_not_taken_for_records(spark, tmp_path):
     """Page 1 quotes a whole record of page 99; its own record is damaged in each way."""
     quoted = list(salvage(archive(spark, tmp_path, 3)))
