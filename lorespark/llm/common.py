@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.scratch import Scratch, shared_folder  # noqa: F401
+
 #: The six ASCII white-space characters that separate words, and the word pattern itself.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -20,52 +20,6 @@ SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 SALTS = 16
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, in local mode only, a temporary one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        known = sc._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else None
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lorespark-")
-        sc.setCheckpointDir(base)
-    return base
-
-
-class Scratch:
-    """Tables written once in the shared folder.
-
-    A written table cuts the lineage, so a lost executor costs a re-read and
-    never a recomputation. The folder goes when the application ends; drop()
-    removes a table that no later step reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        self._path(self.root, lambda fs, p: fs.deleteOnExit(p))
-
-    def _path(self, path: str, act) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if path == self.root:
-            fs.mkdirs(p)
-        act(fs, p)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        path = f"{self.root}/{name}"
-        self._path(path, lambda fs, p: fs.delete(p, True))
-
-
 def fits(side: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether a side of a join is small enough to broadcast: its rows are counted and its values measured, in one pass."""
     sized = {"string": F.octet_length, "binary": F.octet_length}

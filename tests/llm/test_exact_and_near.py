@@ -155,6 +155,23 @@ def test_near_dedup_joins_what_stars_miss(spark, monkeypatch):
     assert got == brute_components(texts, 4, 80)
 
 
+def test_a_bucket_of_many_components_is_cut_by_a_second_band(spark):
+    """5,000 texts that agree in one band, in pairs of near copies: each pair is linked, in groups of its own size."""
+    from pyspark.sql import functions as F
+
+    texts = [(i, " ".join(f"t{i // 2}w{k}" for k in range(60)) + " end" * (i % 2)) for i in range(5000)]
+    df, scratch = docs(spark, texts), Scratch(spark, "t")
+    told = scratch.write(near._prepare(df, 5), "told")
+    same = F.expr(f"overlay(sig placing unhex('{'ab' * 2 * near.ROWS}') from 1)")
+    reps = scratch.write(told.select(F.col("doc_id").alias("rep"), "d1", "d2", "oid", "mark", "n_shingles", same.alias("sig")), "reps")
+    rows = reps.select(F.lit(77).cast("bigint").alias("key"), F.lit(0).alias("band"), "rep", F.lit(0).cast("bigint").alias("hub"), F.lit(5000).cast("bigint").alias("n"))
+    comp = spark.createDataFrame([], "node bigint, component bigint")
+    now = scratch.write(rows.select("key", "band", F.lit(-1).alias("sub"), "rep", "n", F.col("rep").alias("component")), "now")
+    assert near._cut(now, reps, scratch).agg(F.max("n")).first()[0] < 20
+    got = near._across(rows, reps, comp, df, 5, 80, 0.66, Scratch(spark, "t")).collect()
+    assert sorted((min(r), max(r)) for r in got) == [(i, i + 1) for i in range(0, 5000, 2)]
+
+
 def test_near_dedup_odd_rows(spark):
     t = "one two three four five six"
     got = near_dedup(docs(spark, [(5, t), (5, t), (None, t.upper()), (6, None), (7, ""), (None, None)])).collect()
