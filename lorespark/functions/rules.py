@@ -6,6 +6,8 @@ numbers inside the functions are fixed values: they say what the rules are.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +91,32 @@ def clean_ability_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(split_joined_words(spaced, ("in", "of", "to")), r"\s+", " "))
 
 
+# Abilities of weapons, in the order in which they are looked for in a text without commas.
+WEAPON_ABILITIES = [
+    "Assault", "Heavy", "Rapid Fire", "Pistol", "Blast", "Melta", "Torrent", "Hazardous", "Precision", "Lethal Hits", "Sustained Hits", "Devastating Wounds",
+    "Ignores Cover", "Indirect Fire", "One Shot", "Psychic", "Twin-linked", "Lance", "Extra Attacks", "Anti-Infantry", "Anti-Vehicle", "Anti-Monster", "Anti-Titan", "Anti-Fly",
+]
+
+
+def weapon_abilities(c: Column, known: list[str] = WEAPON_ABILITIES) -> Column:
+    """Array of the abilities in a text: between commas, or else the known ones that it holds without spaces, in their order; the
+    last one takes the numbers left over. A text of none is an ability of its own; empty and null texts hold none."""
+    listed = F.transform(F.split(c, ","), lambda x: clean_ability_name(F.trim(x)))
+    words = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(re.sub(r"[\s-]", "", k.lower())).alias("joined")) for k in known])
+
+    def take(acc: Column, k: Column) -> Column:
+        at, size = F.call_function("instr", acc["rest"], k["joined"]), F.length(k["joined"])
+        rest = F.concat(F.substring(acc["rest"], F.lit(1), at - 1), F.substring(acc["rest"], at + size, F.length(acc["rest"])))
+        return F.when(at > 0, F.struct(rest.alias("rest"), F.concat(acc["found"], F.array(k["name"])).alias("found"))).otherwise(acc)
+
+    told = F.aggregate(words, F.struct(F.lower(c).alias("rest"), F.array().cast("array<string>").alias("found")), take)
+    values = F.upper(F.array_join(F.regexp_extract_all(told["rest"], F.lit(r"(\d+\+|d\d+)"), 1), " "))
+    n = F.size(told["found"])
+    last = F.when(values != "", F.concat_ws(" ", F.element_at(told["found"], -1), values)).otherwise(F.element_at(told["found"], -1))
+    joined = F.when(n > 0, F.concat(F.slice(told["found"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(last))).otherwise(F.array(clean_ability_name(c)))
+    return F.filter(F.when(F.coalesce(c, F.lit("")) == "", F.array().cast("array<string>")).when(c.contains(","), listed).otherwise(joined), lambda x: x != "")
+
+
 def clean_composition(c: Column) -> Column:
     """A unit's composition without what is left of tables and points."""
     c = F.regexp_replace(c, r"\s*---\s*\d+(\s+\d+)*\s*", " ")
@@ -213,6 +241,21 @@ def army_rule(markdown: Column, patterns: list[str]) -> Column:
     return F.struct(name.alias("name"), lore.alias("lore"), effect.alias("effect"))
 
 
+def sub_abilities(markdown: Column) -> Column:
+    """Array of (name, lore, effect) of the cells of a rule's tables: lines parted by <br>, the first the name, of two or more lines
+    behind it the first lore and the others effect; a single one is effect if it names an ability or a keyword in brackets."""
+    cells = F.filter(F.regexp_extract_all(markdown, F.lit(r"\|\s*([^|]+?)\s*\|(?!\s*---)"), 1), lambda x: (F.trim(x) != "") & ~x.rlike(r"^[-:\s]+$"))
+    lines = lambda x: F.filter(F.transform(F.split(x, r"(?i)<br\s*/?>"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+
+    def told(parts: Column) -> Column:
+        n, second = F.size(parts), F.get(parts, F.lit(1))
+        is_effect = (n == 2) & (second.contains("[") | F.lower(second).contains("ability"))
+        effect = F.when(n > 2, F.array_join(F.slice(parts, F.lit(3), F.greatest(n - 2, F.lit(0))), " ")).when(is_effect, second).otherwise(F.lit(""))
+        return F.struct(F.get(parts, F.lit(0)).alias("name"), F.when((n > 1) & ~is_effect, second).alias("lore"), effect.alias("effect"))
+
+    return F.transform(F.filter(F.transform(cells, lines), lambda p: F.size(p) > 0), told)
+
+
 def replace_spans(c: Column, spans: Column) -> Column:
     """The text with spans (start from 0, end, text; none overlap) replaced, from the last to the first."""
     ordered = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text")))))

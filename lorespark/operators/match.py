@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import phonetic, text
 from lorespark.functions.similarity import bare, bigrams, dice_of
 from lorespark.operators.walks import walk
+from lorespark.scratch import Scratch
 
 # Thresholds of the matchers.
 FUZZY, PHONETIC, PHONETIC_LOW = 0.7, 0.5, 0.4
@@ -133,16 +134,21 @@ def match_chain(terms: DataFrame, candidates: DataFrame, aliases: DataFrame, ter
     low = F.lower(F.trim(F.col(term)))
     first = c.groupBy(F.lower(name).alias("_low")).agg(F.min_by(name, F.struct("place", name)).alias(name))
     hit = lambda df, step, matcher, score="score": df.select(term, name, (F.col(score) if isinstance(score, str) else F.lit(score)).alias("score"), F.lit(step).alias("step"), F.lit(matcher).alias("matcher"))
-    alias = t.join(aliases.select(F.col("alias").alias("_low"), F.col("canonical").alias(name)), low == F.col("_low"))
-    exact = t.join(first, low == F.col("_low"))
-    sound = phonetic_pairs(t, c, term, name, PHONETIC_LOW, overrides)
-    fuzzy = similarity_join(t, c, term, name, least)
-    inside = fuzzy.join(first_containing(t, c, term, name, "place"), [term, name])
-    hits = hit(alias, 0, "alias", 1.0).union(hit(exact, 1, "exact", 1.0)).union(hit(sound.filter(F.col("score") >= PHONETIC), 2, "phonetic"))
-    hits = hits.union(hit(inside, 3, "fuzzy")).union(hit(fuzzy.filter(F.col("score") > least), 4, "fuzzy")).union(hit(sound, 5, "phonetic_fallback"))
-    ranked = hits.filter(F.col("score") >= least).join(c, name, "left")
+    scratch, keep = Scratch(terms.sparkSession, "match_chain"), [term, name, "score", "place", "step", "matcher"]
+    placed = lambda df: df.join(c, name, "left")
+    sure = hit(t.join(aliases.select(F.col("alias").alias("_low"), F.col("canonical").alias(name)), low == F.col("_low")), 0, "alias", 1.0).union(hit(t.join(first, low == F.col("_low")), 1, "exact", 1.0))
+    # A matcher sees only the terms that none before it was sure of; pairs that two of them need are made once.
+    sure = scratch.write(sure.filter(F.col("score") >= least), "sure")
+    open_ = scratch.write(t.join(sure.select(term).distinct(), term, "left_anti"), "open")
+    sound = scratch.write(phonetic_pairs(open_, c, term, name, PHONETIC_LOW, overrides).filter(F.col("score") >= least), "sound")
+    heard = sound.filter(F.col("score") >= PHONETIC)
+    left = scratch.write(open_.join(heard.select(term).distinct(), term, "left_anti"), "left")
+    fuzzy = scratch.write(similarity_join(left, c, term, name, least), "fuzzy")
+    inside = fuzzy.join(first_containing(fuzzy.select(term).distinct(), c, term, name, "place"), [term, name])
+    hits = sure.union(hit(heard, 2, "phonetic")).union(hit(inside, 3, "fuzzy")).union(hit(fuzzy.filter(F.col("score") > least), 4, "fuzzy"))
+    hits = hits.union(hit(sound.join(left, term, "left_semi"), 5, "phonetic_fallback"))
     best = Window.partitionBy(term).orderBy("step", F.col("score").desc(), F.col("place").asc_nulls_last(), name)
-    top = ranked.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(term, name, "score", "matcher")
+    top = placed(hits).select(*keep).withColumn("_n", F.row_number().over(best)).filter("_n = 1").select(term, name, "score", "matcher")
     return t.join(top, term, "left")
 
 

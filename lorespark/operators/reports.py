@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import rules, text
+from lorespark.operators.approx import approximate_search
 from lorespark.operators.integrity import misclassified
 from lorespark.operators.match import phonetic_pairs, similarity_join
 
@@ -42,6 +43,47 @@ def validate_names(names: DataFrame, official: DataFrame, overrides: DataFrame |
     return told.select("scope", "name", matched.alias("matched"), "confidence", "is_validated", F.when(F.col("better"), F.col("f")).otherwise(F.col("p")).alias("suggestion"), F.when(F.col("better"), F.col("fs")).otherwise(F.col("ps")).alias("suggestion_score"))
 
 
+def check_names(names: DataFrame, official: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """(scope, name, matched, confidence, is_validated) of distinct (scope, name), by approximate search in the official names of the scope.
+
+    official: scope, official, and, where there is one, canonical. The best hit
+    holds from a confidence (1 - score) of 0.6 on; else the best phonetic one
+    from 0.4 on, which counts 0.7 at least where both are the same name and is
+    valid from 0.5 on; else the hit's own confidence stands, not valid.
+    """
+    n, fuzzy, sound = _both_searches(names, official, overrides, PHONETIC_LEAST)
+    best = _best(fuzzy, ["scope", "name"], "official").select("scope", "name", F.col("official").alias("f"), F.col("score").alias("fs"))
+    heard = _best(sound, ["scope", "name"], "official").select("scope", "name", F.col("official").alias("p"), F.col("score").alias("ps"))
+    both = n.join(best, ["scope", "name"], "left").join(heard, ["scope", "name"], "left")
+    by_fuzzy = F.coalesce(F.col("fs") >= FUZZY_OK, F.lit(False))
+    agreed = F.when(F.lower("f") == F.lower("p"), F.greatest("ps", "fs", F.lit(AGREED))).otherwise(F.col("ps"))
+    by_sound = ~by_fuzzy & F.coalesce(agreed >= PHONETIC_OK, F.lit(False))
+    confidence = F.when(by_fuzzy, F.col("fs")).when(F.col("ps").isNotNull(), agreed).otherwise(F.coalesce("fs", F.lit(0.0)))
+    return both.select("scope", "name", F.when(by_fuzzy, F.col("f")).when(by_sound, F.col("p")).alias("matched"), confidence.alias("confidence"), (by_fuzzy | by_sound).alias("is_validated"))
+
+
+def _both_searches(names: DataFrame, official: DataFrame, overrides: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Distinct names, and the pairs (scope, name, official, score) of the approximate and of the phonetic search."""
+    n = names.select("scope", "name").distinct()
+    known = official if "canonical" in official.columns else official.withColumn("canonical", text.slugify(F.col("official")))
+    hits = approximate_search(n, known.select("scope", "official", "canonical"), "name", {"official": 0.7, "canonical": 0.3}, ["scope"])
+    fuzzy = hits.groupBy("scope", "name", "official").agg((1 - F.min("score")).alias("score"))
+    o = official.select("scope", "official").distinct()
+    sound = phonetic_pairs(n, o, "name", "official", least, overrides).join(n, "name").join(o, ["scope", "official"]).select("scope", "name", "official", "score")
+    return n, fuzzy, sound
+
+
+def name_suggestions(names: DataFrame, official: DataFrame, overrides: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """(scope, name, rank, suggestion, confidence): for names that check_names() is not sure of, the best of the k best hits of both
+    searches (phonetic ones from 0.3 on), each official name once with its better confidence, ties by name."""
+    checked = check_names(names, official, overrides).filter((F.col("confidence") < FUZZY_OK) | ~F.col("is_validated"))
+    _, fuzzy, sound = _both_searches(checked, official, overrides, SUGGESTED)
+    order = Window.partitionBy("scope", "name").orderBy(F.col("score").desc(), "official")
+    top = lambda pairs: pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k).drop("_n")
+    merged = top(fuzzy).unionByName(top(sound)).groupBy("scope", "name", "official").agg(F.max("score").alias("score"))
+    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("scope", "name", "rank", F.col("official").alias("suggestion"), F.col("score").alias("confidence"))
+
+
 def process_entities(entities: DataFrame, official: DataFrame, mappings: DataFrame, kind: str, overrides: DataFrame | None = None, drop: DataFrame | None = None) -> DataFrame:
     """Entities (scope, name, level and other columns) cleaned, mapped, validated and re-rated.
 

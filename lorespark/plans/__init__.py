@@ -37,4 +37,4 @@ def all_of(conditions: list):
     return reduce(lambda a, b: a & b, conditions)
 
 
-from lorespark.plans import catalog, games, misc, nested, records, rulebook, sheets, text, timeline, tools  # noqa: E402, F401
+from lorespark.plans import catalog, checks, games, misc, nested, records, rulebook, sheets, text, timeline, tools  # noqa: E402, F401

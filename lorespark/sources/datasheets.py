@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import rules
 from lorespark.functions.text import parse_int, slugify
 from lorespark.operators.integrity import any_of
+from lorespark.sources import elements as el
 from lorespark.sources import html as h
 
 # Bold texts with a colon that are references to rules and not abilities of a unit.
@@ -24,11 +25,6 @@ NOT_ABILITIES = [
 INLINE_STATS = r'M\s+(\d+"?)\s+T\s+(\d+)\s+Sv\s+(\d+\+?)\s+W\s+(\d+)\s+Ld\s+(\d+\+?)\s+OC\s+(\d+)'
 
 
-def without_classes(c: Column, classes: list[str]) -> Column:
-    """A page without the elements of some classes (of div, span, p; they hold no other element of their tag)."""
-    return F.regexp_replace(c, rf'(?is)<(div|span|p|tr|li)\b[^>]*class="[^"]*\b(?:{"|".join(classes)})\b[^"]*"[^>]*>.*?</\1>', "") if classes else c
-
-
 def _told(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -164,8 +160,12 @@ def abilities(pages: DataFrame, fixes: dict[str, str] | None = None) -> DataFram
     return good.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("page_id", slugify(F.col("name")).alias("slug"), "name", F.col("kind").alias("ability_type"), "description")
 
 
-def units(pages: DataFrame) -> DataFrame:
-    """One row per page (page_id, url, html): name, slug, stats, points, facts, keywords and what follows from them; list columns as arrays."""
+def units(pages: DataFrame, hidden: list[str] = ()) -> DataFrame:
+    """One row per page (page_id, url, html): name, slug, stats, points, facts, keywords and what follows from them; list columns as arrays.
+
+    hidden: classes whose elements, whatever they hold, are taken out before a page is read.
+    """
+    pages = el.without(pages, list(hidden)) if hidden else pages
     title = h.text_of(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))
     head = h.text_of(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1))
     name = F.trim(F.regexp_replace(F.coalesce(_told(title), _told(F.regexp_extract(head, r"[–-]\s*([^\[–-]+)", 1)), head), r"\s*[\[|].*$", ""))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import clean, links, readable
+from lorespark.functions.text import clean, decode_entities, links, readable
+from lorespark.sources import elements as el
 
 
 def cached(pages: DataFrame) -> DataFrame:
@@ -22,6 +23,34 @@ def page_links(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "at", F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat("site", "href")).otherwise(F.concat_ws("/", "site", "href")).alias("target"))
 
 
+# Pictures before the names of units that a list of contents shows but that are left out.
+LEFT_OUT = ["Legends_logo", "FW_logo"]
+
+
+def toc_entries(pages: DataFrame, part: str = "/datasheets#") -> DataFrame:
+    """(page_id, at, name, slug): units that a list of contents links to, each anchor once, the first.
+
+    An entry is a link whose target holds ``part``; its slug is the anchor
+    behind that, escapes decoded, with hyphens for spaces. A link whose
+    neighbour before it, or before the element that it opens, is a picture of
+    LEFT_OUT is passed over, and so is one without a text.
+    """
+    told = el.spans(el.tokens(pages))
+    order = Window.partitionBy("page_id").orderBy("at")
+    tags = told.filter("tag is not null").withColumns({"b1": F.lag("token", 1).over(order), "s1": F.lag("step", 1).over(order), "b2": F.lag("token", 2).over(order)})
+    picture = lambda c: F.coalesce(F.col(c).rlike("(?i)^<img") & el.attribute(F.col(c), "src").rlike("|".join(LEFT_OUT)), F.lit(False))
+    target = el.attribute(F.col("token"), "href")
+    escaped = F.substring_index(target, part, -1)
+    anchor = F.trim(F.coalesce(F.try_url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B"))), escaped))
+    links = tags.filter((F.col("tag") == "a") & (F.col("step") == 1)).filter(target.contains(part))
+    shown = links.filter(~picture("b1") & ~((F.col("s1") == 1) & picture("b2"))).select("page_id", "at", "until", anchor.alias("anchor")).filter("anchor <> ''")
+    inside = told.filter(F.col("tag").isNull() & ~F.startswith("token", F.lit("<"))).select("page_id", F.col("at").alias("t"), "token").alias("x").join(shown.alias("s"), "page_id").filter("x.t > s.at and x.t < coalesce(s.until, s.at + 2)")
+    named = inside.groupBy("page_id", "at", "anchor").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "token"))), lambda x: x["token"]), "").alias("name"))
+    clean_name = F.trim(F.regexp_replace(decode_entities(F.col("name")), r"\s+", " "))
+    first = named.select("page_id", "at", "anchor", clean_name.alias("name")).withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "anchor").orderBy("at")))
+    return first.filter("_n = 1 and name <> ''").select("page_id", "at", "name", F.regexp_replace("anchor", r"\s+", "-").alias("slug"))
+
+
 def headed_sections(pages: DataFrame, levels: str = "1-6", least: int = 0) -> DataFrame:
     """(page_id, at, level, title, body): the text from each heading to the next."""
     parts = F.filter(F.split("html", rf"(?i)(?=<h[{levels}][ >])"), lambda x: x.rlike(rf"(?i)^<h[{levels}][ >]"))

@@ -117,16 +117,17 @@ def initial_state(reports: DataFrame) -> DataFrame:
 
 
 def fan_out(rows: DataFrame, work: Callable[[pd.DataFrame], pd.DataFrame], schema: str, workers: int = 3) -> DataFrame:
-    """work() over rows in so many partitions at once; a batch whose work fails gives no rows, and the others theirs."""
+    """work() over rows in so many partitions at once, with a column error: null, or, in the one row that a batch gives whose work fails, what went wrong; the other batches give theirs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
-                yield work(batch)
-            except Exception:  # noqa: BLE001  a worker's failure is its batch's
-                continue
+                yield work(batch).assign(error=None)
+            except Exception as e:  # noqa: BLE001  a worker's failure is its batch's
+                yield pd.DataFrame({"error": [f"{type(e).__name__}: {e}"[:1000]]}).reindex(columns=[*names, "error"])
 
-    return rows.repartition(workers).mapInPandas(run, schema)
+    names = [c.strip().split()[0] for c in schema.split(",")]
+    return rows.repartition(workers).mapInPandas(run, f"{schema}, error string")
 
 
 def live_mentions(captions: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -119,8 +119,10 @@ def test_fan_out_goes_on_after_a_failure(spark):
             raise ValueError("worker")
         return batch
 
-    got = {r["id"] for r in game.fan_out(spark.range(40), work, "id bigint", 8).collect()}
+    rows = game.fan_out(spark.range(40), work, "id bigint", 8).collect()
+    got = {r["id"] for r in rows if r["error"] is None}
     assert 3 not in got and len(got) > 10
+    assert [(r["id"], r["error"]) for r in rows if r["error"]] == [(None, "ValueError: worker")]
 
 
 def test_live_mentions(spark, tmp_path):

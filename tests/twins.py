@@ -184,4 +184,63 @@ def phrase_tags(db):
     return ["conv_id", "replaced", "tagged", "turn"], out
 
 
-TWINS = {f.__name__: f for f in (match_chain, sound_codes, tagged_conversations, text_chunks, phonetic_scan, phrase_tags)}
+def edits(pattern, text):
+    """Fewest edits of the pattern into a part of the text."""
+    row = [0] * (len(text) + 1)
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return min(row)
+
+
+def found_like(term, name):
+    """1 - score of a name, by its own and its canonical form; None if neither holds the term."""
+    score, hit = 1.0, False
+    for weight, text in ((0.7, name.lower()), (0.3, re.sub("[^a-z0-9]+", "-", name.lower()))):
+        low = term.lower()
+        share = 2.0**-52 if low == text else max(edits(low, text) / len(low), 0.001)
+        if share <= 0.4 and (low == text or re.search(f"[{low}]{{3}}", text)):
+            hit, score = True, score * share ** (weight * round(len(text.split()) ** -0.5, 3))
+    return 1 - score if hit else None
+
+
+def checks(db):
+    """(scope, name, matched, confidence, valid, fuzzy hits, phonetic hits) of every name of a scope."""
+    scopes = {}
+    for key, name in db.execute("SELECT DISTINCT p_partkey % 3, p_name FROM part").fetchall():
+        scopes.setdefault(key, set()).add(name)
+    for scope, known in scopes.items():
+        forms = {f for n in known for a, b in [n.split(" ")] for f in (n.replace("c", "k"), n + "s", n.upper(), b, f"{b} {a}")}
+        for term in forms:
+            fuzzy = sorted(((s, n) for n in known if (s := found_like(term, n)) is not None), key=lambda x: (-round(x[0], 9), x[1]))
+            sound = sounds_like(term, sorted(known), 0.3)
+            best, heard = fuzzy[:1], [x for x in sound if x[0] >= 0.4][:1]
+            if best and best[0][0] >= 0.6:
+                told = best[0][1], best[0][0], True
+            elif heard:
+                score = max(heard[0][0], best[0][0], 0.7) if best and best[0][1].lower() == heard[0][1].lower() else heard[0][0]
+                told = (heard[0][1], score, True) if score >= 0.5 else (None, score, False)
+            else:
+                told = None, best[0][0] if best else 0.0, False
+            yield scope, term, *told, fuzzy, sound
+
+
+def checked_names(db):
+    return ["confidence", "is_validated", "matched", "name", "scope"], [(round(c, 6), ok, m, term, scope) for scope, term, m, c, ok, _, _ in checks(db)]
+
+
+def name_suggestions(db):
+    out = []
+    for scope, term, _, confidence, ok, fuzzy, sound in checks(db):
+        if confidence < 0.6 or not ok:
+            best = {}
+            for score, name in fuzzy[:5] + sound[:5]:
+                best[name] = max(score, best.get(name, 0))
+            if best:
+                out.append((term, scope, sorted(round(x, 6) for x in sorted(best.values(), reverse=True)[:5])))
+    return ["name", "scope", "scores"], out
+
+
+TWINS = {f.__name__: f for f in (match_chain, sound_codes, tagged_conversations, text_chunks, phonetic_scan, phrase_tags, checked_names, name_suggestions)}
