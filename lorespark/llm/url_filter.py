@@ -49,9 +49,15 @@ def intervals(entries: DataFrame) -> DataFrame:
     return held.filter("action <> 'remove' and (until is null or until > since)").select("pattern", "since", "until", "action", "list_name")
 
 
+def _hashed(parts: Column, first: Column) -> Column:
+    """Hash of all parts, each folded into that of the parts before."""
+    return F.aggregate(parts, first, lambda h, x: F.xxhash64(h, x))
+
+
 def _folded(parts: Column, first: Column) -> Column:
-    """Hashes of the first 1, 2, ... parts, each made from the one before."""
-    return F.aggregate(parts, F.struct(first.alias("h"), F.array().cast("array<bigint>").alias("all")), lambda a, x: F.struct(F.xxhash64(a["h"], x).alias("h"), F.concat(a["all"], F.array(F.xxhash64(a["h"], x))).alias("all")), lambda a: a["all"])
+    """Hashes of the first 1, 2, ... of a few parts, as _hashed() makes them."""
+    all_ = F.aggregate(parts, F.array(first), lambda hs, x: F.concat(hs, F.array(F.xxhash64(F.element_at(hs, -1), x))))
+    return F.slice(all_, F.lit(2), F.size(parts))
 
 
 def _labels(host: Column) -> Column:
@@ -73,18 +79,18 @@ def _start() -> Column:
 
 def _pattern_key(pattern: Column) -> Column:
     host, path = F.split_part(pattern, F.lit("/"), F.lit(1)), F.regexp_extract(pattern, r"^[^/]*(/.*)$", 1)
-    domain = F.element_at(_folded(_labels(host), _start()), -1)
+    domain = _hashed(_labels(host), _start())
     segments = _segments(path)
-    return F.when(F.size(segments) == 0, domain).otherwise(F.element_at(_folded(segments, F.xxhash64(F.lit(PATH), domain)), -1))
+    return F.when(F.size(segments) == 0, domain).otherwise(_hashed(segments, F.xxhash64(F.lit(PATH), domain)))
 
 
 def _probes(host: Column, path: Column, labels: Column, segments: Column) -> Column:
     """(labels, segments, key) of each pattern of at most so many labels and segments that covers a URL; labels, then segments, tell its reach."""
     shape = "array<struct<labels:int,segments:int,key:bigint>>"
     all_labels, some_segments = _labels(host), F.slice(_segments(path), F.lit(1), segments)
-    hashes = _folded(all_labels, _start())
-    domains = F.transform(F.slice(hashes, F.lit(1), labels), lambda h, i: F.struct((i + 1).alias("labels"), F.lit(0).alias("segments"), h.alias("key")))
-    paths = F.transform(_folded(some_segments, F.xxhash64(F.lit(PATH), F.element_at(hashes, -1))), lambda h, i: F.struct(F.size(all_labels).alias("labels"), (i + 1).alias("segments"), h.alias("key")))
+    # As many labels and segments as a pattern has at most; the exact host takes all of its labels.
+    domains = F.transform(_folded(F.slice(all_labels, F.lit(1), labels), _start()), lambda h, i: F.struct((i + 1).alias("labels"), F.lit(0).alias("segments"), h.alias("key")))
+    paths = F.transform(_folded(some_segments, F.xxhash64(F.lit(PATH), _hashed(all_labels, _start()))), lambda h, i: F.struct(F.size(all_labels).alias("labels"), (i + 1).alias("segments"), h.alias("key")))
     return F.when(F.coalesce(host, F.lit("")) == "", F.array().cast(shape)).otherwise(F.concat(domains, F.when(F.size(all_labels) <= labels, paths).otherwise(F.array())).cast(shape))
 
 
