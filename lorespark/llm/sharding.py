@@ -16,7 +16,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import Scratch, documents
+from lorespark.llm.common import Scratch, documents, sized
 
 #: Sub-ranges that each shard's slots are counted in; fixed, so the table of counts has a proven bound.
 RANGES = 1024
@@ -105,14 +105,15 @@ def shard(docs: DataFrame, tree: Topology = Topology.even(), new_weight: float =
     new = _draw("region", F.lit("root"), F.lit(len(tree.weights)), F.lit(float(new_weight)), F.col("_key"))
     grown = F.when(new < F.col("region_draw"), F.lit(tree.n_shards)).otherwise(F.col("shard"))
     placed = descend(ranged, tree, "_key").withColumn("grown_shard", grown.cast("int")).drop("_key", "_row", "region_draw")
-    rows = Scratch(docs.sparkSession, "sharding").write(placed, "rows")
+    scratch = Scratch(docs.sparkSession, "sharding")
+    rows = scratch.write(placed, "rows")
 
-    # At most n_shards * RANGES counts, whatever the input.
+    # At most n_shards * RANGES counts, whatever the input; many shards make too many to broadcast.
     counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    starts = scratch.write(counts.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "starts")
     inside = Window.partitionBy("shard", "_range").orderBy(F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    slotted = rows.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["shard", "_range"])
+    slotted = rows.withColumn("_in", F.row_number().over(inside) - 1).join(sized(starts), ["shard", "_range"])
     return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_start") + F.col("_in")).cast("bigint").alias("slot"), "grown_shard")
 
 
