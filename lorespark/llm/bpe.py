@@ -324,7 +324,12 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, leaf: int = LEAF, spread: i
 
 
 def decode_ids(coded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id and text of rows (doc_id, ids array<int>), special tokens kept; null ids give the empty text."""
+    """doc_id and text of rows (doc_id, ids array<int>), special tokens kept.
+
+    Null and empty ids give the empty text; ids of any length are decoded
+    whole; repeated rows give repeated rows; a null doc_id is handed on; other
+    columns are left out, whatever their names; empty rows give an empty table.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = coder_of(tokenizer_path).tokenizer

@@ -147,6 +147,7 @@ class CountTree:
             nodes = {i // 2 for i in nodes} - {0}
         if n_pieces > GROWN * LEAF:
             self._build(self.text)
+            self.reencoded += self.pieces[1]
 
 
 def _rows(schema: str, batches: Iterator[pa.RecordBatch], row) -> Iterator[pa.RecordBatch]:
@@ -184,8 +185,10 @@ def edit_trees(trees: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """The trees (EDITED) after the edits in column ``edits`` (EDITS, in order; each position is one of the text as the edits before it left it).
 
     Null edits are none, and such a tree is handed on untouched; a null insert
-    is empty; positions outside the text are moved to its end. The result is a
-    table of trees for the next batch of edits.
+    is empty; positions outside the text are moved to its end. Repeated rows
+    are edited each for itself; texts of any length go whole; other columns are
+    left out, whatever their names; empty trees give an empty table. The result
+    is a table of trees for the next batch of edits.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +211,11 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     """trees (or documents) with the edits of a table (doc_id, edit_no, pos, n_delete, insert) as the array that edit_trees() takes.
 
     Edits of a doc_id go to every row that has it, in the order of edit_no;
-    a document's edits are gathered in one row, as its text is.
+    a document's edits are gathered in one row, as its text is. Edits that
+    repeat are made as often; edits without a doc_id, or of one that no tree
+    has, change nothing; empty edits leave every tree without any (null), and
+    empty trees give an empty table. A column edits of trees is replaced, other
+    columns are kept, whatever their names.
     """
     one = F.struct("edit_no", F.col("pos").cast("int").alias("pos"), F.col("n_delete").cast("int").alias("n_delete"), "insert")
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_e"))
