@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,24 @@ def top_matches(pairs: DataFrame, term: str, name: str, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def top_similar(terms: DataFrame, candidates: DataFrame, term: str, name: str, k: int, least: float, steps: tuple[float, ...] = (0.85, 0.7, 0.55, 0.4)) -> DataFrame:
+    """(term, name, score, rank): the k candidates most alike to each term, from ``least`` on, ties by name.
+
+    The bound falls step by step. A term that has k candidates at a bound has
+    its best ones, since all others score less; only terms that are still short
+    of k go on to the next bound, where prefixes are longer and more pairs meet.
+    """
+    scratch = Scratch(terms.sparkSession, "top_similar")
+    open_, found = scratch.write(terms.select(term).distinct(), "terms"), []
+    for i, bound in enumerate([*[s for s in steps if s > least], least]):
+        pairs = scratch.write(similarity_join(open_, candidates, term, name, bound), f"pairs{i}")
+        if bound == least:
+            return top_matches(reduce(DataFrame.unionByName, [*found, pairs]), term, name, k)
+        full = scratch.write(pairs.groupBy(term).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k).select(term), f"full{i}")
+        found.append(pairs.join(full, term, "left_semi"))
+        open_ = scratch.write(open_.join(full, term, "left_anti"), f"open{i}")
+
+
 def phonetic_pairs(terms: DataFrame, candidates: DataFrame, term: str, name: str, least: float, overrides: DataFrame | None = None) -> DataFrame:
     """Pairs with an equal sound code; score is the mean of the best equal code's base score and of the codes' similarity.
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import slugify
-from lorespark.operators import approx, closure, phrases
+from lorespark.operators import approx, closure, hashtree, match, phrases
 from lorespark.plans import Tables, query
+from lorespark.plans.text import _DICE
 from lorespark.scratch import Scratch
 from lorespark.sources import catalog, elements
 from lorespark.streaming import ordered, sinks
@@ -126,6 +127,24 @@ def approximate_names(t: Tables) -> DataFrame:
     return approx.approximate_search(terms, items, "term", {"name": 0.7, "canonical": 0.3}).select("term", "name", F.round("score", 6).alias("score"))
 
 
+@query(_DICE.format(names="SELECT p_name AS name FROM part UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation", terms="SELECT replace(n_name, 'TION', 'TON') || 's' AS term FROM nation UNION SELECT 'x' || substr(p_name, 2) FROM part")
+       + "SELECT term, name, round(score, 9) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, name) AS rank FROM s WHERE score >= 0.3) WHERE rank <= 3")
+def nearest_names(t: Tables) -> DataFrame:
+    """The three names most alike to each misspelt one; most terms never see the lower bounds."""
+    names = t.part.select(F.col("p_name").alias("name")).union(t.supplier.select("s_name")).union(t.nation.select("n_name"))
+    terms = t.nation.select(F.concat(F.replace("n_name", F.lit("TION"), F.lit("TON")), F.lit("s")).alias("term")).union(t.part.select(F.concat(F.lit("x"), F.substring("p_name", 2, 1 << 30))))
+    return match.top_similar(terms, names, "term", "name", 3, 0.3).withColumn("score", F.round("score", 9))
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey % 20 AS grp, l_partkey AS member FROM lineitem WHERE l_quantity > 2), a AS (SELECT DISTINCT l_suppkey % 20 AS grp, l_partkey AS member FROM lineitem WHERE l_suppkey % 20 < 18 AND (l_quantity > 3 OR l_suppkey % 20 > 2))
+          SELECT *, 'removed' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'added' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
+def changed_members(t: Tables) -> DataFrame:
+    """Parts of supplier groups that came and went: some groups lose a few or all, others gain a few."""
+    rows = t.lineitem.select((F.col("l_suppkey") % 20).alias("grp"), F.col("l_partkey").alias("member"), "l_quantity")
+    after = rows.filter("grp < 18 and (l_quantity > 3 or grp > 2)")
+    return hashtree.changed_members(rows.filter("l_quantity > 2"), after, ["grp"], "member")
+
+
 @query("""WITH m AS (SELECT (epoch_ms(max(ts)) - 7200000) * 1000 AS mark FROM events),
           l AS (SELECT user_id, list(CASE event_type WHEN 'purchase' THEN -2 WHEN 'signup' THEN 3 WHEN 'view' THEN 1 ELSE 0 END ORDER BY ts, CASE event_type WHEN 'purchase' THEN -2 WHEN 'signup' THEN 3 WHEN 'view' THEN 1 ELSE 0 END) AS d, max(ts) AS until FROM events, m WHERE epoch_us(ts) <= mark GROUP BY user_id)
           SELECT user_id, list_reduce(list_prepend(6, d), lambda a, x: greatest(0, least(12, a + x)))::BIGINT AS balance, len(d)::BIGINT AS n_events, until FROM l""")

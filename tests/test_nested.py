@@ -83,6 +83,41 @@ def test_profiles_of_nested_entries(spark):
     assert sorted((r["unit"], r["name"], r["values"]["Range"]) for r in got) == [("Armed", "armed", 'armed"')] + [("Unit", n, f'{n}"') for n in ("deep", "own", "shared")]
 
 
+def test_changed_members_of_large_sets(spark, monkeypatch):
+    from lorespark.operators import hashtree
+
+    rng = random.Random(8)
+    # One group holds a hundred times the members of the others.
+    before = [(g, f"m{rng.randrange(10**6)}") for g in [1] * 3000 + list(range(2, 32)) * 2] + [(7, None), (40, "x"), (40, "x")]
+    after = [r for r in before if rng.random() > 0.004 and r[0] != 9] + [(1, "new"), (50, "first"), (50, None)]
+    sides = [spark.createDataFrame(rows, "g int, name string") for rows in (before, after)]
+    was, now = ({r for r in rows if r[1] is not None} for rows in (before, after))
+    want = {(*r, "removed") for r in was - now} | {(*r, "added") for r in now - was}
+    assert {tuple(r) for r in hashtree.changed_members(*sides, ["g"], "name").collect()} == want
+    trees = [hashtree.member_tree(s, ["g"], "name") for s in sides]
+    ranges = hashtree.changed_ranges(*trees, ["g"]).collect()
+    assert len(ranges) <= len(want) and {r["g"] for r in ranges} == {g for g, *_ in want}
+    assert hashtree.changed_members(sides[0], sides[0], ["g"], "name", (trees[0], trees[0])).count() == 0
+    assert hashtree.changed_members(sides[0].limit(0), sides[1], ["g"], "name").count() == len(now)
+
+
+def test_top_similar_equals_all_pairs_ranked(spark):
+    from twins import dice
+
+    from lorespark.operators.match import top_similar
+
+    rng = random.Random(9)
+    names = {" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 5))) for _ in range(2)) for _ in range(60)}
+    terms = {n[:-1] + rng.choice("xyz") for n in list(names)[:25]} | {"zz", ""}
+    got = {}
+    frames = [spark.createDataFrame([(x,) for x in side], f"{c} string") for side, c in ((terms, "term"), (names, "name"))]
+    for r in top_similar(*frames, "term", "name", 4, 0.3).collect():
+        got.setdefault(r["term"], []).append((r["rank"], round(r["score"], 9), r["name"]))
+    for term in terms:
+        best = sorted(((-round(dice(term, n), 9), n) for n in names if dice(term, n) >= 0.3))[:4]
+        assert sorted(got.get(term, [])) == [(i, -s, n) for i, (s, n) in enumerate(best, 1)]
+
+
 def brute_edits(pattern, text):
     row = [0] * (len(text) + 1)
     for i, p in enumerate(pattern, 1):
