@@ -14,9 +14,10 @@
    components only, each pair in the first band that it shares; those that
    agree are confirmed on the full sets inside the block, until what is linked
    is joined. So no link is lost to the choice of a bucket's smallest text,
-   and no group of copies is expanded into rows of pairs. A bucket of more
-   texts than a block holds is cut by a second shared band first, so that the
-   work follows what is alike and not the bucket's size.
+   and no group of copies is expanded into rows of pairs. Where a bucket holds
+   more texts outside its largest component than a block, these are cut by a
+   second shared band, so that the work follows what is alike and not the
+   bucket's size.
 5. Components over all links, by large-star and small-star.
 """
 
@@ -145,23 +146,17 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percen
     return scratch.write(placed.groupBy("ba", "bb").cogroup(sent.groupBy("to_a", "to_b")).applyInArrow(confirm, "a bigint, b bigint"), name)
 
 
-def _cut(now: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of buckets with texts of several components; of those with more than BLOCK texts, by each second band that several texts of several components share.
+def _cut(wide: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (key, band, rep, component) of large buckets by each second band that texts of several components share: key, band, sub, rep, component, n.
 
     A pair is compared in the first two bands that it shares. The chance that a
     pair of similarity 0.8 shares one band and no other is 2.5e-6.
     """
-    several = lambda df: df.groupBy("key", "sub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "sub", "n")
-    open_ = scratch.write(several(now).select("key"), "open_buckets")
-    now = now.join(open_, "key")
-    hot = now.filter(F.col("n") > BLOCK)
-    if hot.isEmpty():
-        return now
-    later = hot.filter(F.col("band") < BANDS - 1).join(reps.select("rep", "sig"), "rep").withColumn("sub", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))))
+    later = wide.filter(F.col("band") < BANDS - 1).join(reps.select("rep", "sig"), "rep").withColumn("sub", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))))
     rows_of = F.substring("sig", F.col("sub") * (2 * ROWS) + 1, F.lit(2 * ROWS))
     cut = scratch.write(later.select(F.xxhash64("key", "sub", rows_of).alias("key"), "band", "sub", "rep", "component"), "cut")
-    parts = cut.join(scratch.write(several(cut), "cut_open"), ["key", "sub"]).select("key", "band", "sub", "rep", "n", "component")
-    return now.filter(F.col("n") <= BLOCK).select("key", "band", "sub", "rep", "n", "component").unionByName(parts)
+    several = cut.groupBy("key", "sub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("key", "sub", "n")
+    return cut.join(scratch.write(several, "cut_open"), ["key", "sub"])
 
 
 def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame, n: int, percent: int, least: float, scratch: Scratch) -> DataFrame:
@@ -172,11 +167,12 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     their full sets are sent to the second pass, which confirms. Both emit at
     most a row per text and block, however many pairs they compare.
     """
-    now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "band", F.lit(-1).alias("sub"), "rep", "n", F.coalesce("component", "rep").alias("component"))
-    now = _cut(scratch.write(now, "bucket_rows"), reps, scratch)
+    now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     open_ = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    members = now.join(open_.select("key", F.col("most.component").alias("most"), F.col("most.c").alias("n_most")), "key").join(reps.select("rep", "sig"), "rep")
+    members = now.join(open_.select("key", F.col("most.component").alias("most"), F.col("most.c").alias("n_most")), "key").withColumn("sub", F.lit(-1))
+    members = scratch.write(members.select("key", "band", "sub", "rep", "n", "component", "most", "n_most"), "bucket_rows")
+    wide = (F.col("component") != F.col("most")) & (F.col("n") - F.col("n_most") > BLOCK)
     # Texts of the bucket's largest component need no comparing among themselves: only the others are copied to all of its blocks.
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     largest, large, others = F.col("component") == F.col("most"), blocks(F.col("n_most")), blocks(F.col("n") - F.col("n_most"))
@@ -185,8 +181,15 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     cell = lambda bi, bj: F.struct(bi.alias("bi"), bj.alias("bj"))
     # Cells (-1 - a, b): block a of the largest component with block b of the others. Cells (a, b): two blocks of the others.
     with_most = F.when(largest, F.transform(all_of(others), lambda b: cell(-1 - F.col("mine"), b))).otherwise(F.transform(all_of(large), lambda a: cell(-1 - a, F.col("mine"))))
-    among = F.when(largest, F.array().cast("array<struct<bi:int,bj:int>>")).otherwise(F.transform(all_of(others), lambda o: cell(F.least("mine", o), F.greatest("mine", o))))
-    cast = members.withColumns({"mine": mine, "largest": largest}).withColumn("cell", F.explode(F.concat(with_most, among))).withColumns({"bi": F.col("cell.bi"), "bj": F.col("cell.bj")})
+    in_blocks = lambda n: F.transform(all_of(n), lambda o: cell(F.least("mine", o), F.greatest("mine", o)))
+    among = F.when(largest | wide, F.array().cast("array<struct<bi:int,bj:int>>")).otherwise(in_blocks(others))
+    placed = members.withColumns({"mine": mine, "largest": largest}).withColumn("cell", F.explode(F.concat(with_most, among)))
+    if not members.filter(wide).isEmpty():
+        parts = _cut(members.filter(wide).select("key", "band", "rep", "component"), reps, scratch).withColumn("largest", F.lit(False))
+        parts = parts.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks(F.col("n")).cast("bigint")).cast("int")).withColumn("cell", F.explode(in_blocks(blocks(F.col("n")))))
+        both = ["key", "band", "sub", "rep", "component", "largest", "mine", "cell"]
+        placed = placed.select(*both).unionByName(parts.select(*both))
+    cast = placed.join(reps.select("rep", "sig"), "rep").withColumns({"bi": F.col("cell.bi"), "bj": F.col("cell.bj")})
     shape = "key bigint, bi int, bj int, mine int, largest boolean, band int, sub int, rep bigint, component bigint, sig binary"
     columns = [c.split()[0] for c in shape.split(", ")]
     dealt = lambda df, *more: df.select(*columns, *more).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
