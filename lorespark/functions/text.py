@@ -47,10 +47,6 @@ def strip_last_parentheses(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s*\([^)]*\)\s*$", ""))
 
 
-def escape_like(c: Column) -> Column:
-    return F.regexp_replace(c, r"([\\%_])", r"\\$1")
-
-
 def contains_ci(c: Column, part: str | Column) -> Column:
     """Case-insensitive contains, without wildcards."""
     return F.contains(F.lower(c), F.lower(F.lit(part) if isinstance(part, str) else part))

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import rules, text
+from lorespark.functions.similarity import bare
 from lorespark.operators.approx import approximate_search
 from lorespark.operators.integrity import misclassified
-from lorespark.operators.match import phonetic_pairs, similarity_join
+from lorespark.operators.match import containment_pairs, phonetic_pairs, similarity_join
 
 # From which score a fuzzy hit, a phonetic hit and a suggestion count, and what two matchers that agree are worth.
 FUZZY_OK, PHONETIC_OK, PHONETIC_LEAST, SUGGESTED, AGREED = 0.6, 0.5, 0.4, 0.3, 0.7
@@ -126,7 +127,12 @@ def enrich_units(units: DataFrame, catalogue: DataFrame) -> DataFrame:
     u = units.filter(~misclassified(F.col("name"))).withColumn("_id", F.monotonically_increasing_id())
     c = catalogue.withColumnRenamed("scope", "_scope")
     exact = u.join(c, (F.col("scope") == F.col("_scope")) & (F.lower("name") == F.lower("official"))).withColumn("_tier", F.lit(0))
-    part = u.join(c, (F.col("scope") == F.col("_scope")) & F.contains(F.lower("official"), F.lower("name"))).withColumn("_tier", F.lit(1))
+    # Distinct names meet the official ones that hold them by their rarest letters; names without letters and digits are compared with all of their scope.
+    sides = [df.select(k).distinct().withColumn("_x", bare(F.col(k))) for df, k in ((u, "name"), (c, "official"))]
+    held = containment_pairs(*sides, "name", "official").select("name", F.col("official").alias("_holder"))
+    holds = (F.col("scope") == F.col("_scope")) & F.contains(F.lower("official"), F.lower("name"))
+    part = u.join(held, "name").join(c, (F.col("_holder") == F.col("official")) & holds).drop("_holder").select(*exact.columns[:-1])
+    part = part.unionByName(u.filter(bare(F.col("name")) == "").join(c, holds)).withColumn("_tier", F.lit(1))
     first = Window.partitionBy("_id").orderBy("_tier", F.length("official"), "official")
     best = exact.unionByName(part).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
     return best.withColumn("points", F.coalesce("db_points", "points")).drop("_id", "_scope", "_tier", "_n", "db_points")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import rules, text
 from lorespark.functions.text import slugify
-from lorespark.operators import reports, stages
+from lorespark.operators import joins, reports, stages
 from lorespark.operators.catalog_api import Catalog
 from lorespark.plans import Tables, query
 from lorespark.plans.games import _GAME, _games
@@ -193,3 +193,12 @@ def tool_missions(t: Tables) -> DataFrame:
 @query("""SELECT conv_id * 1000 + turn AS id FROM conversations WHERE conv_id % 25 = 4 AND (contains(lower(text), 'an') OR contains(lower(role), 'an')) ORDER BY id LIMIT 10""")
 def tool_faqs(t: Tables) -> DataFrame:
     return _catalog(t).search_faqs("an", "nation 4").select("id")
+
+
+@query("""SELECT e.event_id, s.opened FROM (SELECT *, event_id % 2 AS half FROM events WHERE event_type <> 'signup') e
+          ASOF LEFT JOIN (SELECT user_id, event_id % 2 AS half, ts, event_id AS opened FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.half = s.half AND e.ts >= s.ts""")
+def events_in_intervals(t: Tables) -> DataFrame:
+    """Each event with the interval that holds it: signups of its user and half open them."""
+    e = t.events.withColumn("half", F.col("event_id") % 2)
+    starts = e.filter("event_type = 'signup'").select("user_id", "half", F.col("ts").alias("since"), F.col("event_id").alias("opened"))
+    return joins.into_intervals(e.filter("event_type <> 'signup'"), starts, ["user_id", "half"], "ts", "since", ["opened"]).select("event_id", "opened")

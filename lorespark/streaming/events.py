@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorespark.operators.joins import as_of
 
 
 def clamped(rows: DataFrame, by: str, ts: str, delta: str, start: int, low: int, high: int) -> DataFrame:
@@ -26,11 +25,6 @@ def status(rows: DataFrame, by: str, ts: str, kind: str, kinds: list[str]) -> Da
     return rows.groupBy(by).agg(*flags, last.alias("l")).select(by, *[f"has_{k}" for k in kinds], F.col(f"l.{kind}").alias("last_type"), F.col(f"l.{ts}").alias("last_ts"))
 
 
-def state_at(moments: DataFrame, rows: DataFrame, by: str, ts: str, take: list[str]) -> DataFrame:
-    """The latest event of each key at or before each moment."""
-    return as_of(moments, rows, by, ts, take)
-
-
 def counts_by_type(rows: DataFrame, kinds: DataFrame, kind: str) -> DataFrame:
     """Events per type, with zero for the types that have none."""
     seen = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
