@@ -116,17 +116,6 @@ def _heavy(told: DataFrame, scratch: Scratch) -> np.ndarray:
     return np.sort(counts.filter(F.col("power") >= least).select("token").toArrow()["token"].to_numpy().view(np.uint64))
 
 
-def first_shingles(shingles: np.ndarray, k: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first k shingles of a sorted set, heavy ones last, and which of them are heavy. As few are looked up as it takes."""
-    is_heavy = lambda x: heavy[np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)] == x if len(heavy) else np.zeros(len(x), bool)
-    late, m = is_heavy(shingles[:k]), k
-    while m < len(shingles) and m - late.sum() < k:
-        late, m = np.concatenate([late, is_heavy(shingles[m : 2 * m])]), min(2 * m, len(shingles))
-    light = shingles[:m][~late][:k]
-    rest = shingles[:m][late][: k - len(light)]
-    return np.concatenate([light, rest]), np.arange(k) >= len(light)
-
-
 def _packed(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, n_parts: int) -> DataFrame:
     """First shingles of all texts in packed rows: part, tokens (uint64), who (uint32 places in d1 and d2, the texts' digests).
 
@@ -172,11 +161,14 @@ def _packed(docs: DataFrame, n: int, percent: int, heavy: np.ndarray, n_parts: i
                         seen.clear()
                     seen.add(d)
                     x = shingle_set(hashes, words, n)
-                    x, late = first_shingles(x, int(n_first(len(x), percent)), heavy)
+                    k = int(n_first(len(x), percent))
+                    late = heavy[np.minimum(np.searchsorted(heavy, x), len(heavy) - 1)] == x if len(heavy) else np.zeros(len(x), bool)
+                    if late.any():
+                        x, late = np.concatenate([x[~late], x[late]]), np.sort(late)
                     ids.append(d)
-                    firsts.append(x)
-                    much.append(late)
-                    held += len(x)
+                    firsts.append(x[:k])
+                    much.append(late[:k])
+                    held += k
                     if held >= BLOCK:
                         yield from rows()
                         ids, firsts, much, held = [], [], [], 0

@@ -86,17 +86,6 @@ def test_first_shingles_hold_one_in_common():
             assert set(x[: n_first(a, percent)]) & set(y[: n_first(b, percent)])
 
 
-def test_heavy_shingles_come_last():
-    rng = np.random.default_rng(4)
-    for _ in range(300):
-        x = np.unique(rng.integers(0, 60, rng.integers(1, 50), dtype=np.uint64))
-        heavy = np.unique(rng.integers(0, 60, rng.integers(0, 60), dtype=np.uint64))
-        k = int(n_first(len(x), 80))
-        order = sorted(x.tolist(), key=lambda t: (t in heavy, t))[:k]
-        got, late = jj.first_shingles(x, k, heavy)
-        assert got.tolist() == order and late.tolist() == [t in heavy for t in order]
-
-
 def test_bounds_are_never_below_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(300):
