@@ -31,11 +31,11 @@ def _rarest_first(units: Column) -> Column:
     return F.transform(F.array_sort(F.transform(units, lambda u: F.struct((-at(u, 1) - at(u, 2)).alias("r"), u.alias("u")))), lambda x: x["u"])
 
 
-def _entries(kind: str, units: Column) -> Column:
+def entries(kind: str, units: Column) -> Column:
     return F.transform(units, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("g")))
 
 
-def _whole(x: Column, grams: Column) -> Column:
+def whole(x: Column, grams: Column) -> Column:
     """The rarest unit of a name, as an array; empty for an empty name."""
     return F.slice(_rarest_first(_units(grams, x, False)), 1, 1)
 
@@ -46,7 +46,7 @@ def containment_pairs(shorter: DataFrame, longer: DataFrame, short_key: str, lon
     A name meets the longer ones by the rarest of its units, so common bigrams are no hot keys.
     """
     x = F.col("_x")
-    s = shorter.filter("_x <> ''").select(short_key, "_x", F.explode(_whole(x, bigrams(x))).alias("g"))
+    s = shorter.filter("_x <> ''").select(short_key, "_x", F.explode(whole(x, bigrams(x))).alias("g"))
     l = longer.select(long_key, x.alias("_y"), F.explode(_units(bigrams(x), x, True)).alias("g"))  # noqa: E741
     return s.join(l, "g").filter(F.contains("_y", x)).select(short_key, long_key).distinct()
 
@@ -68,7 +68,7 @@ def similarity_join(terms: DataFrame, candidates: DataFrame, term: str, name: st
         prefix = F.slice(_rarest_first(grams), F.lit(1), F.size(grams) - F.ceil(F.size(grams) * F.lit(share)).cast("int") + 1)
         open_ = _units(grams, x, F.length(x) <= 1.0 / least)
         bare_names = F.when(x == "", F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        all_ = F.concat(_entries("alike", prefix), _entries(probe, _whole(x, grams)), _entries(meet, open_), _entries("empty", bare_names))
+        all_ = F.concat(entries("alike", prefix), entries(probe, whole(x, grams)), entries(meet, open_), entries("empty", bare_names))
         return df.select(key).distinct().withColumn("_x", bare(F.col(key))).select(key, x.alias(f"_x{n}"), F.size(grams).alias(f"_n{n}"), F.explode(all_).alias("e")).select(key, f"_x{n}", f"_n{n}", "e.kind", "e.g")
 
     met = side(terms, term, "in_name", "in_term", 1).join(side(candidates, name, "in_term", "in_name", 2), ["kind", "g"])

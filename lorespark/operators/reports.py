@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import rules, text
-from lorespark.functions.similarity import bare
+from lorespark.functions.similarity import bare, bigrams
 from lorespark.operators.approx import approximate_search
 from lorespark.operators.integrity import misclassified
-from lorespark.operators.match import containment_pairs, phonetic_pairs, similarity_join
+from lorespark.operators.match import containment_pairs, entries, phonetic_pairs, similarity_join, whole
 
 # From which score a fuzzy hit, a phonetic hit and a suggestion count, and what two matchers that agree are worth.
 FUZZY_OK, PHONETIC_OK, PHONETIC_LEAST, SUGGESTED, AGREED = 0.6, 0.5, 0.4, 0.3, 0.7
@@ -146,19 +146,39 @@ def name_tier(name: Column, mention: Column) -> Column:
     return F.when(name == mention, 0).when(F.contains(mention, name) | F.contains(name, mention) | half, 1)
 
 
+def _meeting(x: Column, mine: str, theirs: str) -> Column:
+    """What a text is met by: its words longer than two letters, the rarest of its bigrams as a part of another text, all that it has as one that holds another."""
+    grams = bigrams(x)
+    none = F.array().cast("array<string>")
+    empty = F.when(x == "", F.array(F.lit(""))).otherwise(none)
+    letters = F.when(x == "", none).otherwise(F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.substring(x, i, F.lit(1))))
+    words = F.array_distinct(F.filter(F.split(x, " "), lambda w: F.length(w) > 2))
+    return F.concat(entries("word", words), entries(mine, F.concat(whole(x, grams), empty)), entries(theirs, F.array_distinct(F.concat(grams, letters, F.array(F.lit(""))))))
+
+
 def fill_mentions(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     """entities (report, name, ts, ...) with ts and mention_count from a report's mentions (report, place, mention, seconds: sorted).
 
     A missing ts is the first second of the equal mention, or else of the
     first one in order of place that agrees; the count is that of the equal
     mention, or else the largest of those that agree; a ts that is there stays.
+
+    Names and mentions are taken distinct in their report first, each mention
+    with its first place and its largest count, and meet by a word that they
+    share or by the rarest bigram of the one that is part of the other, so that
+    repeated names cost a comparison once and only likely pairs are compared.
     """
-    e = entities.withColumn("_id", F.monotonically_increasing_id())
-    m = mentions.select(F.col("report").alias("_r"), "place", "mention", "seconds")
-    met = e.select("_id", "report", text.normalize_term(F.col("name")).alias("_name")).join(m, F.col("report") == F.col("_r")).withColumn("tier", name_tier(F.col("_name"), F.col("mention"))).filter("tier is not null")
-    equal = F.max(F.when(F.col("tier") == 0, F.size("seconds")))
-    best = met.groupBy("_id").agg(F.min_by(F.col("seconds")[0], F.struct("tier", "place")).alias("_ts"), F.coalesce(equal, F.max(F.size("seconds"))).alias("mention_count"))
-    return e.join(best, "_id", "left").withColumn("ts", F.coalesce("ts", "_ts")).drop("_id", "_ts")
+    e = entities.withColumns({"_r": F.col("report"), "_name": text.normalize_term(F.col("name"))})
+    first = F.min(F.struct(F.col("place"), F.col("seconds")[0].alias("second")))
+    told = mentions.groupBy(F.col("report").alias("_r"), "mention").agg(first.alias("first"), F.max(F.size("seconds")).alias("n"))
+    names = e.select("_r", "_name").distinct()
+    name, mention = F.col("_name"), F.col("mention")
+    met = names.select("_r", "_name", F.explode(_meeting(name, "in_mention", "in_name")).alias("e")).select("_r", "_name", "e.*")
+    by = told.select("_r", "mention", F.explode(_meeting(mention, "in_name", "in_mention")).alias("e")).select("_r", "mention", "e.*")
+    pairs = met.join(by, ["_r", "kind", "g"]).select("_r", "_name", "mention").distinct().withColumn("tier", name_tier(name, mention)).filter("tier is not null")
+    equal = F.max(F.when(F.col("tier") == 0, F.col("n")))
+    best = pairs.join(told, ["_r", "mention"]).groupBy("_r", "_name").agg(F.min_by("first.second", F.struct("tier", "first")).alias("_ts"), F.coalesce(equal, F.max("n")).alias("mention_count"))
+    return e.join(best, ["_r", "_name"], "left").withColumn("ts", F.coalesce("ts", "_ts")).drop("_r", "_name", "_ts")
 
 
 def repair_detachments(players: DataFrame, transcripts: DataFrame, detachments: DataFrame) -> DataFrame:
