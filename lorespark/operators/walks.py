@@ -42,6 +42,38 @@ def walk(rows: DataFrame, by: list[str], order: list[str], reads: list[str], sta
     return dealt.mapInArrow(run, StructType([*rows.schema.fields, *fresh.fields]))
 
 
+def fold(rows: DataFrame, by: list[str], order: list[str], reads: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], end: Callable[[object], tuple], shape: str) -> DataFrame:
+    """A row for each key: by and the columns of shape, what end() tells of the state after the key's last row.
+
+    As in walk(), step takes a key's state and the values of ``reads``; it
+    returns the next state, which may be the same object. A task holds a batch
+    of rows and one state.
+    """
+    fresh = rows.sparkSession.createDataFrame([], shape).schema
+    kept = rows.select(*dict.fromkeys([*by, *order, *reads]))
+    out = StructType([*[kept.schema[c] for c in by], *fresh.fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((*key, *end(state)), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            keys = zip(*[batch[c].to_pylist() for c in by], strict=True)
+            for k, values in zip(keys, zip(*[batch[c].to_pylist() for c in reads], strict=True), strict=True):
+                if key is None or k != key:
+                    if key is not None:
+                        yield told()
+                    key, state = k, start()
+                state = step(state, values)
+        if key is not None:
+            yield told()
+
+    return kept.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out)
+
+
 def each_text(rows: DataFrame, keep: list[str], text: str, tell: Callable[[str], list[tuple]], shape: str) -> DataFrame:
     """keep and the columns of shape: a row for each tuple that tell() gives of a text (null: empty)."""
     fresh = rows.sparkSession.createDataFrame([], shape).schema

@@ -1,7 +1,7 @@
 """A game's log folded into its state: legal events, unit flags by turn, cards, scores, eligibility.
 
 Logs are walked in order with a state of a few values, so a game may have any
-number of events; hands and scores are folded over one player's cards.
+number of events.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.operators.walks import walk
+from lorespark.operators.walks import fold, walk
 from lorespark.streaming.events import PHASE_ORDER
 
 # Events that a phase accepts; moving on is legal in all but the last, ending the turn in the last.
@@ -67,19 +67,29 @@ def card_hands(events: DataFrame, deck: int, start_cp: int = 6) -> DataFrame:
 
     events: game_id, player, ts, id, type (draw, discard, achieve), card,
     amount (points scored), flag (a discard that gains a command point, twelve
-    at most in hand). A draw needs a hand of fewer than two.
+    at most in hand). A draw needs a hand of fewer than two. The log is walked
+    in order, so its time grows with the events; only a player's own cards,
+    which the row returns, are held.
     """
-    row = F.struct("ts", "id", "type", "card", F.coalesce("amount", F.lit(0)).alias("amount"), F.coalesce("flag", F.lit(False)).alias("flag"))
-    lists = events.groupBy("game_id", "player").agg(F.array_sort(F.collect_list(row)).alias("all"))
-    none = "cast(array() as array<string>)"
-    fold = F.expr(
-        f"""aggregate(all, named_struct('hand', {none}, 'deck', {deck}, 'discarded', {none}, 'achieved', {none}, 'cp', {start_cp}, 'vp', 0), (a, x) -> case
-              when x.type = 'draw' and size(a.hand) < {HAND} then named_struct('hand', concat(a.hand, array(x.card)), 'deck', greatest(0, a.deck - 1), 'discarded', a.discarded, 'achieved', a.achieved, 'cp', a.cp, 'vp', a.vp)
-              when x.type = 'discard' then named_struct('hand', filter(a.hand, c -> c <> x.card), 'deck', a.deck, 'discarded', concat(a.discarded, array(x.card)), 'achieved', a.achieved, 'cp', if(x.flag, least({MOST_CP}, a.cp + 1), a.cp), 'vp', a.vp)
-              when x.type = 'achieve' then named_struct('hand', filter(a.hand, c -> c <> x.card), 'deck', a.deck, 'discarded', a.discarded, 'achieved', concat(a.achieved, array(x.card)), 'cp', a.cp, 'vp', a.vp + x.amount)
-              else a end)"""
-    )
-    return lists.select("game_id", "player", fold.alias("s")).select("game_id", "player", "s.*")
+    told = events.select("game_id", "player", "ts", "id", "type", "card", F.coalesce("amount", F.lit(0)).alias("amount"), F.coalesce("flag", F.lit(False)).alias("flag"))
+
+    def step(state: list, row: tuple) -> list:
+        hand, left, discarded, achieved, cp, vp = state
+        kind, card, amount, flag = row
+        if kind == "draw" and len(hand) < HAND:
+            return [[*hand, card], max(0, left - 1), discarded, achieved, cp, vp]
+        if kind not in ("discard", "achieve"):
+            return state
+        # As in SQL, nothing is known to differ from a card that is null.
+        hand = [c for c in hand if c is not None and card is not None and c != card]
+        (discarded if kind == "discard" else achieved).append(card)
+        if kind == "achieve":
+            return [hand, left, discarded, achieved, cp, vp + amount]
+        return [hand, left, discarded, achieved, min(MOST_CP, cp + 1) if flag else cp, vp]
+
+    order = ["ts", "id", "type", "card", "amount", "flag"]
+    shape = "hand array<string>, deck int, discarded array<string>, achieved array<string>, cp int, vp int"
+    return fold(told, ["game_id", "player"], order, ["type", "card", "amount", "flag"], lambda: [[], deck, [], [], start_cp, 0], step, tuple, shape)
 
 
 def scores(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from lorespark.operators import reports
+from lorespark.streaming import game
 
 
 def tier(name, mention):
@@ -41,3 +42,25 @@ def test_a_report_of_very_many_repeated_names(spark):
     began = time.time()
     got = reports.fill_mentions(e, m).groupBy("ts", "mention_count").count().collect()
     assert sorted(map(tuple, got)) == [(i, 1, 7500) for i in range(8)] and time.time() - began < 60
+
+
+def test_cards_of_a_game_with_four_times_the_events(spark):
+    kinds = F.array(*map(F.lit, ["draw", "discard", "achieve", "draw", "discard"]))
+    log = lambda n: spark.range(n).select(F.lit(1).alias("game_id"), F.lit(0).alias("player"), F.col("id").alias("ts"), F.col("id").cast("string").alias("id"), kinds[(F.col("id") % 5).cast("int")].alias("type"), F.concat(F.lit("c"), (F.col("id") % 7).cast("string")).alias("card"), F.lit(1).alias("amount"), F.lit(True).alias("flag"))
+    took = []
+    for n in (75_000, 300_000):
+        df = log(n).cache()
+        df.count()
+        began = time.time()
+        (row,) = game.card_hands(df, 9).collect()
+        took.append(time.time() - began)
+        assert len(row["discarded"]) == 2 * n // 5 and len(row["achieved"]) == row["vp"] == n // 5 and (row["deck"], row["cp"]) == (0, 12)
+        df.unpersist()
+    assert took[1] < 5 * took[0] + 3
+
+
+def test_cards_that_are_null(spark):
+    log = [(1, 0, 1, "draw", "a"), (1, 0, 2, "draw", "b"), (1, 0, 3, "draw", "c"), (1, 0, 4, "discard", "b"), (1, 0, 5, "draw", None), (2, 0, 1, "draw", "a"), (2, 0, 2, "discard", None), (3, None, 1, "draw", "a"), (3, None, 2, "draw", None), (3, None, 3, "achieve", "z"), (None, 1, 1, None, "a")]
+    df = spark.createDataFrame([(*r[:3], str(i), *r[3:], None, None) for i, r in enumerate(log)], "game_id int, player int, ts int, id string, type string, card string, amount int, flag boolean")
+    got = {(r["game_id"], r["player"]): (r["hand"], r["deck"], r["discarded"], r["achieved"], r["cp"], r["vp"]) for r in game.card_hands(df, 9).collect()}
+    assert got == {(1, 0): (["a", None], 6, ["b"], [], 6, 0), (2, 0): ([], 8, [None], [], 6, 0), (3, None): (["a"], 7, [], ["z"], 6, 0), (None, 1): ([], 9, [], [], 6, 0)}
