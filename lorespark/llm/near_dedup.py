@@ -15,9 +15,11 @@
    agree are confirmed on the full sets inside the block, until what is linked
    is joined. So no link is lost to the choice of a bucket's smallest text,
    and no group of copies is expanded into rows of pairs. Where a bucket holds
-   more texts outside its largest component than a block, these are cut by a
-   second shared band, so that the work follows what is alike and not the
-   bucket's size.
+   more texts outside its largest component than a block, these are first cut
+   by a second shared band, which joins most of what is alike; then the pairs
+   that share no second band are compared too, block by block. So every pair
+   that shares a band is compared, whatever the bucket's size; the size decides
+   the order of the work only.
 5. Components over all links, by large-star and small-star.
 """
 
@@ -149,8 +151,8 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, percen
 def _cut(wide: DataFrame, reps: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (key, band, rep, component) of large buckets by each second band that texts of several components share: key, band, sub, rep, component, n.
 
-    A pair is compared in the first two bands that it shares. The chance that a
-    pair of similarity 0.8 shares one band and no other is 2.5e-6.
+    A pair is compared in the first two bands that it shares; pairs that share
+    one band and no other are left to the pass after it.
     """
     later = wide.filter(F.col("band") < BANDS - 1).join(reps.select("rep", "sig"), "rep").withColumn("sub", F.explode(F.sequence(F.col("band") + 1, F.lit(BANDS - 1))))
     rows_of = F.substring("sig", F.col("sub") * (2 * ROWS) + 1, F.lit(2 * ROWS))
@@ -165,7 +167,9 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     rows: key, band, rep, n (texts in the bucket). The first pass over the
     blocks keeps the texts that agree with any text of another component; only
     their full sets are sent to the second pass, which confirms. Both emit at
-    most a row per text and block, however many pairs they compare.
+    most a row per text and block, however many pairs they compare. Buckets cut
+    by a second band go through both passes once more for the pairs that have
+    none, with the components that the first links make.
     """
     now = rows.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
@@ -184,11 +188,27 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
     in_blocks = lambda n: F.transform(all_of(n), lambda o: cell(F.least("mine", o), F.greatest("mine", o)))
     among = F.when(largest | wide, F.array().cast("array<struct<bi:int,bj:int>>")).otherwise(in_blocks(others))
     placed = members.withColumns({"mine": mine, "largest": largest}).withColumn("cell", F.explode(F.concat(with_most, among)))
-    if not members.filter(wide).isEmpty():
+    cut_up = not members.filter(wide).isEmpty()
+    if cut_up:
         parts = _cut(members.filter(wide).select("key", "band", "rep", "component"), reps, scratch).withColumn("largest", F.lit(False))
         parts = parts.withColumn("mine", F.pmod(F.xxhash64("rep"), blocks(F.col("n")).cast("bigint")).cast("int")).withColumn("cell", F.explode(in_blocks(blocks(F.col("n")))))
         both = ["key", "band", "sub", "rep", "component", "largest", "mine", "cell"]
         placed = placed.select(*both).unionByName(parts.select(*both))
+    links = _compared(placed, False, reps, docs, n, percent, least, scratch, "more")
+    if not cut_up:
+        return links
+    now = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), scratch, "cut_comp")
+    rest = members.filter(wide).withColumns({"largest": F.lit(False), "mine": mine}).withColumn("cell", F.explode(in_blocks(others)))
+    rest = rest.drop("component").join(now.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    return links.union(_compared(rest, True, reps, docs, n, percent, least, scratch, "rest"))
+
+
+def _compared(placed: DataFrame, alone: bool, reps: DataFrame, docs: DataFrame, n: int, percent: int, least: float, scratch: Scratch, name: str) -> DataFrame:
+    """Links inside the cells of placed (key, band, sub, rep, component, largest, mine, cell), between texts of different components.
+
+    A pair counts in the first band, or the first two, that it shares; with
+    ``alone`` if it shares the cell's band and no other.
+    """
     cast = placed.join(reps.select("rep", "sig"), "rep").withColumns({"bi": F.col("cell.bi"), "bj": F.col("cell.bj")})
     shape = "key bigint, bi int, bj int, mine int, largest boolean, band int, sub int, rep bigint, component bigint, sig binary"
     columns = [c.split()[0] for c in shape.split(", ")]
@@ -211,7 +231,9 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
                 close = same.mean(axis=1) >= least
                 shared = same[close].reshape(-1, BANDS, ROWS).all(axis=2)
                 here = shared.argmax(axis=1) == band
-                if sub >= 0:
+                if alone:
+                    here = shared[:, band] & (shared.sum(axis=1) == 1)
+                elif sub >= 0:
                     shared[:, band] = False
                     here &= shared.argmax(axis=1) == sub
                 yield i, j[close][here]
@@ -247,9 +269,9 @@ def _across(rows: DataFrame, reps: DataFrame, comp: DataFrame, docs: DataFrame,
             if links:
                 yield pa.record_batch({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    active = scratch.write(dealt(cast).mapInArrow(find, shape), "active")
-    ids = scratch.write(active.select("rep").distinct().join(reps.select("rep", "oid", "mark"), "rep"), "active_ids")
-    return scratch.write(dealt(active.join(full_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), "more_links")
+    active = scratch.write(dealt(cast).mapInArrow(find, shape), f"{name}_active")
+    ids = scratch.write(active.select("rep").distinct().join(reps.select("rep", "oid", "mark"), "rep"), f"{name}_active_ids")
+    return scratch.write(dealt(active.join(full_sets(docs, ids, n), "rep"), "set").mapInArrow(confirm, "a bigint, b bigint"), f"{name}_links")
 
 
 def judged_rows(told: DataFrame, reps: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:

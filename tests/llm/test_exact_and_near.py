@@ -171,6 +171,24 @@ def test_a_bucket_of_many_components_is_cut_by_a_second_band(spark):
     assert sorted((min(r), max(r)) for r in got) == [(i, i + 1) for i in range(0, 5000, 2)]
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_links_do_not_depend_on_a_buckets_size(spark, monkeypatch, block):
+    """Near copies whose signatures share one band and no other, in a bucket below and above a block; above it, they were lost."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near, "BLOCK", block)
+    texts = [(i, " ".join(f"t{i // 2}w{k}" for k in range(60)) + " end" * (i % 2)) for i in range(200)]
+    df, scratch = docs(spark, texts), Scratch(spark, "t")
+    told = scratch.write(near._prepare(df, 5), "told")
+    # A text and its copy differ in the last hash of every band but the first, which all texts share.
+    same = F.concat(F.unhex(F.lit("ab" * 2 * near.ROWS)), *[x for b in range(1, near.BANDS) for x in (F.unhex(F.lpad(F.hex(F.floor(F.col("doc_id") / 2) * 64 + b), 16, "0")), F.unhex(F.lpad(F.hex(F.col("doc_id")), 4, "0")))])
+    reps = scratch.write(told.select(F.col("doc_id").alias("rep"), "d1", "d2", "oid", "mark", "n_shingles", same.alias("sig")), "reps")
+    rows = reps.select(F.lit(77).cast("bigint").alias("key"), F.lit(0).alias("band"), "rep", F.lit(0).cast("bigint").alias("hub"), F.lit(200).cast("bigint").alias("n"))
+    comp = spark.createDataFrame([], "node bigint, component bigint")
+    got = near._across(rows, reps, comp, df, 5, 80, 0.66, scratch).collect()
+    assert sorted((min(r), max(r)) for r in got) == [(i, i + 1) for i in range(0, 200, 2)]
+
+
 def test_near_dedup_odd_rows(spark):
     t = "one two three four five six"
     got = near_dedup(docs(spark, [(5, t), (5, t), (None, t.upper()), (6, None), (7, ""), (None, None)])).collect()
