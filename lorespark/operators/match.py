@@ -14,6 +14,8 @@ from lorespark.scratch import Scratch
 
 # Thresholds of the matchers.
 FUZZY, PHONETIC, PHONETIC_LOW = 0.7, 0.5, 0.4
+#: So many of a query's longest words are looked up in all words of the texts.
+LONGEST = 3
 
 
 #: Letters and digits from common to rare; names meet by the rarest of their units in this fixed order.
@@ -197,17 +199,24 @@ def longest_first(mentions: DataFrame, by: list[str]) -> DataFrame:
 def word_parts(queries: DataFrame, texts: DataFrame, query: str, text: str, words: str) -> DataFrame:
     """Pairs of a query and a text whose words (distinct, of a-z and 0-9) include every word of the query or have it as a part; queries without words meet nothing.
 
-    A query meets texts by that of its words which is part of words of fewest
-    texts; the pairs found so are compared word by word.
+    Of its longest words, which are part of few others, a query meets texts by
+    that which is part of words of fewest texts; the pairs found so are looked
+    up word by word, longest first, in the text's words. Words are taken out of
+    the texts once.
     """
-    told = texts.select(text, F.explode(words).alias("w"))
-    known = told.groupBy(F.col("w").alias("known")).agg(F.count(F.lit(1)).alias("n"))
-    asked = queries.select(query, F.explode(words).alias("asked"))
+    scratch = Scratch(texts.sparkSession, "word_parts")
+    told = scratch.write(texts.select(text, F.col(words).alias("_w")), "texts")
+    known = scratch.write(told.select(F.explode("_w").alias("known")).groupBy("known").agg(F.count(F.lit(1)).alias("n")), "known")
+    by_length = F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("short"), w.alias("w")))), lambda x: x["w"])
+    asked_of = queries.select(query, by_length.alias("_q"))
+    asked = asked_of.select(query, F.explode(F.slice("_q", 1, LONGEST)).alias("asked"))
     unit = lambda df, c: df.select(c, F.col(c).alias("_x"))
-    parts = containment_pairs(unit(asked.select("asked").distinct(), "asked"), unit(known, "known"), "asked", "known")
+    parts = scratch.write(containment_pairs(unit(asked.select("asked").distinct(), "asked"), unit(known, "known"), "asked", "known"), "parts")
     often = parts.join(known, "known").groupBy("asked").agg(F.sum("n").alias("n"))
     # A word that no text has makes its query meet nothing: it is the rarest.
     rarest = asked.join(often, "asked", "left").groupBy(query).agg(F.min_by("asked", F.struct(F.coalesce("n", F.lit(0)), "asked")).alias("asked"))
-    met = rarest.join(parts, "asked").join(told, F.col("known") == F.col("w")).select(query, text).distinct()
-    both = met.join(queries.select(query, F.col(words).alias("_q")), query).join(texts.select(text, F.col(words).alias("_w")), text)
-    return both.filter(F.forall("_q", lambda q: F.exists("_w", lambda w: F.contains(w, q)))).select(query, text)
+    by = scratch.write(rarest.join(parts, "asked").select(query, "known"), "by")
+    met = scratch.write(told.select(text, F.explode("_w").alias("known")).join(by, "known").select(query, text).distinct(), "met")
+    # Words have no blanks, so a word is part of one of the text's where it is part of all of them in a row.
+    both = met.join(asked_of, query).join(told.select(text, F.array_join("_w", " ").alias("_t")), text)
+    return both.filter(F.forall("_q", lambda q: F.contains(F.col("_t"), q))).select(query, text)

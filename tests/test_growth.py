@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import reports
+from lorespark.operators import match, reports
 from lorespark.streaming import game
 
 
@@ -64,3 +64,18 @@ def test_cards_that_are_null(spark):
     df = spark.createDataFrame([(*r[:3], str(i), *r[3:], None, None) for i, r in enumerate(log)], "game_id int, player int, ts int, id string, type string, card string, amount int, flag boolean")
     got = {(r["game_id"], r["player"]): (r["hand"], r["deck"], r["discarded"], r["achieved"], r["cp"], r["vp"]) for r in game.card_hands(df, 9).collect()}
     assert got == {(1, 0): (["a", None], 6, ["b"], [], 6, 0), (2, 0): ([], 8, [None], [], 6, 0), (3, None): (["a"], 7, [], ["z"], 6, 0), (None, 1): ([], 9, [], [], 6, 0)}
+
+
+def test_queries_meet_texts_by_their_longest_words(spark, monkeypatch):
+    """Of a query's words, short ones among them, only the three longest are looked up in all words of the texts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc1") for _ in range(rng.randint(1, 5)))
+    texts = [(i, sorted({word() for _ in range(rng.randrange(60))})) for i in range(120)] + [(120, None), (None, ["abc"])]
+    asked = [(i, sorted({word()[:3] for _ in range(rng.randrange(8))})) for i in range(40)] + [(40, []), (41, None), (42, ["zz"])]
+    looked_up, pairs = [], match.containment_pairs
+    monkeypatch.setattr(match, "containment_pairs", lambda s, *rest: looked_up.append({r[0] for r in s.collect()}) or pairs(s, *rest))
+    got = match.word_parts(spark.createDataFrame(asked, "q int, w array<string>"), spark.createDataFrame(texts, "t int, w array<string>"), "q", "t", "w")
+    want = sorted((q, t) for q, a in asked for t, b in texts if a and b and t is not None and all(any(x in y for y in b) for x in a))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+    longest = {x for _, a in asked for x in sorted(a or [], key=lambda x: (-len(x), x))[:3]}
+    assert looked_up == [longest] and len(longest) < len({x for _, a in asked for x in a or []})
