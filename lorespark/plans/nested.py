@@ -100,7 +100,7 @@ def _dictionary(t: Tables) -> DataFrame:
 @query(f"""WITH d AS ({PHRASES}), a AS (SELECT '(?i)\\b(?:' || string_agg(regexp_escape(p), '|' ORDER BY length(p) DESC, p) || ')\\b' AS pattern FROM d)
            SELECT conv_id, turn, list_transform(regexp_extract_all(text, pattern), lambda x: lower(x)) AS hits FROM conversations, a""")
 def phrase_hits(t: Tables) -> DataFrame:
-    found = phrases.find_phrases(t.conversations.select("conv_id", "turn", "text"), _dictionary(t))
+    found = phrases.join_phrases(t.conversations.select("conv_id", "turn", "text"), _dictionary(t))
     return found.select("conv_id", "turn", F.transform("hits", lambda h: F.lower(F.substring(F.col("text"), h["start"] + 1, h["length"]))).alias("hits"))
 
 

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from lorespark.operators import match, reports
+from lorespark.operators import match, phrases, reports
 from lorespark.streaming import game
 
 
@@ -79,3 +79,19 @@ def test_queries_meet_texts_by_their_longest_words(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and len(want) > 50
     longest = {x for _, a in asked for x in sorted(a or [], key=lambda x: (-len(x), x))[:3]}
     assert looked_up == [longest] and len(longest) < len({x for _, a in asked for x in a or []})
+
+
+def test_phrases_of_any_number_are_replaced(spark, monkeypatch):
+    """A dictionary larger than an automaton may be (refused before) gives what one automaton gives; blocks hold their own phrases only."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abé_.K") for _ in range(rng.randint(1, 3)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    d = spark.createDataFrame([(said(rng.randint(1, 3)), f"N{i}", "k") for i in range(400)] + [("", "none", "k")], "phrase string, official string, kind string")
+    df = spark.createDataFrame([(i, said(rng.randrange(40))) for i in range(150)] + [(150, None), (151, ""), (152, "a\u212ab")], "id int, text string").repartition(3)
+    want = {r["id"]: r["hits"] for r in phrases.find_phrases(df, d, values=["official"]).collect()}
+    monkeypatch.setattr(phrases, "MOST", 10)
+    monkeypatch.setattr(phrases, "BLOCK_BITS", 3)
+    assert {r["id"]: r["hits"] for r in phrases.join_phrases(df, d, values=["official"]).collect()} == want and sum(map(len, want.values())) > 200
+    new = {r["id"]: r["replaced"] for r in phrases.replace_phrases(df, d).collect()}
+    assert len(new) == 153 and new[150] is None and new[151] == ""
+    assert phrases.join_phrases(df, d.limit(0)).filter("size(hits) > 0").count() == 0
